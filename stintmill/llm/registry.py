@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8_mix_sources
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op8_mix_sources": op8_mix_sources}
+    return {
+        "op3_toxicity": op3_toxicity,
+        "op8_mix_sources": op8_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
