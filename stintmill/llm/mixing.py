@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import staged, table
 
 WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_SOURCES = 50_000  # the plan is broadcast up to this many sources (a few MB), and shuffled beyond
 BUCKETS_HEX = 3  # 4096 hash buckets a source: the prefix sum runs over buckets, then inside one
 
 
@@ -104,9 +105,11 @@ def mix(
         .join(edges.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
         .select("p.*", "e.edge", "e.before")
     )
+    plan = staged(plan, "mix-plan")  # one row a source
+    few = plan.count() <= BROADCAST_SOURCES
     rows = (
         sized.alias("d")
-        .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+        .join((F.broadcast(plan) if few else plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
         .select("d.doc_id", "d.source", "d.size", "d.h", "d.bucket", "p.source_size", "p.target", "p.repeats", "p.need", "p.edge", "p.before")
     )
     running = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
