@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
+from .neardup import op2_near_duplicates
 from .toxicity import op3_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
+        "op5_line_dedup": op5_line_dedup,
         "op8_mix_sources": op8_mix_sources,
     }
 
