@@ -65,8 +65,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row a document: what the mix takes of it.
+    """One row a document: what the mix takes of it, and the columns named in ``carry``.
 
     Columns: doc_id, source, size (words), source_size, target (words of its source),
     repeats (whole repetitions), part (words of one more, fractional, repetition), taken.
@@ -74,18 +75,19 @@ def mix(
     Null text counts as no words; a null source is a source, weighed last; a null id is hashed
     as the empty string; repeated rows are separate documents, and those equal in id and size
     are interchangeable. An empty table gives no rows. Other columns are ignored.
-    Only (id, source, size) is shuffled, never text.
+    Only (id, source, size) is shuffled, and carried columns only in the one bucket of 4096 a
+    source in which its last repetition ends; beyond ``BROADCAST_SOURCES`` sources all of it is.
     """
-    sized = staged(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ),
-        "mix-sizes",
-    ).withColumn("h", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    sized = sized.withColumn("bucket", F.substring("h", 1, BUCKETS_HEX))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    own = {"doc_id": F.col(id_col), "source": F.col(source_col)}
+    extra = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)]
+    measured = docs.select(
+        *[c.alias(n) for n, c in own.items()], F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *extra
+    )
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    hashed = lambda df: df.withColumn("h", h).withColumn("bucket", F.substring("h", 1, BUCKETS_HEX))
+    narrow = hashed(staged(measured.select("doc_id", "source", "size"), "mix-sizes"))
+    sized = hashed(measured) if carry else narrow
+    buckets = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     plan = water_targets(buckets.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
     plan = plan.withColumn("goal", F.floor(F.col("target") + 0.5)).withColumn(
         "repeats", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(F.lit(0).cast("long"))
@@ -110,7 +112,7 @@ def mix(
     rows = (
         sized.alias("d")
         .join((F.broadcast(plan) if few else plan).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.doc_id", "d.source", "d.size", "d.h", "d.bucket", "p.source_size", "p.target", "p.repeats", "p.need", "p.edge", "p.before")
+        .select("d.*", "p.source_size", "p.target", "p.repeats", "p.need", "p.edge", "p.before")
     )
     running = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.where("bucket = edge").withColumn(
@@ -132,19 +134,20 @@ def mix(
         "repeats",
         "part",
         (F.col("repeats") * F.col("size") + F.col("part")).alias("taken"),
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(carry)],
     )
 
 
-def mixed_texts(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: (doc_id, copy, text), one row a repetition, the last one cut after ``part`` words.
+def mixed_texts(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
+    """The mix itself: (doc_id, source, copy, text) and carried columns, one row a repetition.
 
-    Ids must be unique in docs; rows with a null id give nothing.
+    The last repetition of a source is the first ``part`` words of its text, with single spaces. Options are those of mix.
     """
-    cut = F.regexp_extract(text_col, F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), F.col("part").cast("string"), F.lit("}")), 0)
-    copies = F.array_repeat(F.col(text_col), F.col("repeats").cast("int"))
-    last = F.when(F.col("part") == F.col("size"), F.array(F.col(text_col))).when(F.col("part") > 0, F.array(cut)).otherwise(F.array().cast("array<string>"))
-    joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).join(plan.select("doc_id", "size", "repeats", "part"), "doc_id")
-    return joined.select("doc_id", F.posexplode(F.concat(copies, last)).alias("copy", "text"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
+    whole = F.array_repeat(F.col(text_col), (F.col("repeats") + (F.col("part") == F.col("size")).cast("int")).cast("int"))
+    rest = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(cut)).otherwise(F.array().cast("array<string>"))
+    plan = mix(docs, text_col=text_col, carry=(text_col, *carry), **options).where("taken > 0")
+    return plan.select("doc_id", "source", *carry, F.posexplode(F.concat(whole, rest)).alias("copy", "text"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op1_decontaminate
 from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .neardup import op2_near_duplicates
@@ -10,6 +11,7 @@ from .toxicity import op3_toxicity
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": op1_decontaminate,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
         "op5_line_dedup": op5_line_dedup,
