@@ -7,6 +7,7 @@ from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .neardup import op2_near_duplicates
 from .toxicity import op3_toxicity
+from .warc import op10_warc
 
 
 def queries() -> dict:
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op5_line_dedup": op5_line_dedup,
         "op8_mix_sources": op8_mix_sources,
+        "op10_warc": op10_warc,
     }
 
 
