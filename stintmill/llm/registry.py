@@ -6,7 +6,9 @@ from .decontam import op1_decontaminate
 from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .neardup import op2_near_duplicates
+from .neighbours import op4_nearest
 from .toxicity import op3_toxicity
+from .urls import op9_url_filter
 from .warc import op10_warc
 
 
@@ -15,8 +17,10 @@ def queries() -> dict:
         "op1_decontaminate": op1_decontaminate,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
+        "op4_nearest": op4_nearest,
         "op5_line_dedup": op5_line_dedup,
         "op8_mix_sources": op8_mix_sources,
+        "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
     }
 
