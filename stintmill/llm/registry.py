@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontam import op1_decontaminate
+from .html import op7_extract_text
+from .licences import op6_licences
 from .lines import op5_line_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .neardup import op2_near_duplicates
@@ -19,6 +21,8 @@ def queries() -> dict:
         "op3_toxicity": op3_toxicity,
         "op4_nearest": op4_nearest,
         "op5_line_dedup": op5_line_dedup,
+        "op6_licences": op6_licences,
+        "op7_extract_text": op7_extract_text,
         "op8_mix_sources": op8_mix_sources,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
