@@ -1,6 +1,6 @@
 """Operator 6: licence scans by sparse TF-IDF cosine, with inheritance from the nearest directory.
 
-A segment is a line that speaks of a licence, or the whole of a licence file. Segments are sparse
+A segment is a line that speaks of a licence, and the whole of a licence file. Segments are sparse
 TF-IDF vectors; the document frequencies are those of all distinct segments of the corpus and of the
 templates. A segment's licence is the template of the largest cosine, if that is large enough.
 A file without one of its own takes that of the licence file in its own directory or else in the
@@ -48,7 +48,7 @@ def segments(files: DataFrame) -> DataFrame:
     """(path, segment) of the lines that speak of a licence and of whole licence files; input: path, text."""
     whole = files.where(F.col("path").rlike(LICENCE_FILE)).select("path", F.col("text").alias("segment"))
     headers = (
-        files.where(~F.col("path").rlike(LICENCE_FILE) & F.col("text").rlike(CUE))
+        files.where(F.col("text").rlike(CUE))
         .select("path", F.explode(F.split("text", "\n")).alias("segment"))
         .where(F.col("segment").rlike(CUE))
     )
