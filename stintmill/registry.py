@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import boxes_and_checks, events_and_stints
+
+GROUPS = (events_and_stints, boxes_and_checks)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for group in GROUPS for name, sql in group.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Possession coefficients by season."""
+    return queries()["possession_coefficients"](spark, sf_dir)
