@@ -1,9 +1,10 @@
 """Candidate links from shared signature keys, and distributed union-find.
 
 Used by the near-duplicate operators. Ids are 64-bit integers. No step emits the pairs of a
-group: members of a key are linked to one leader, which keeps the work linear in the members
-however large the group is; members that fail against the leader are dealt again by two keys at
-once, then three, so unrelated texts that share a frequent key part while alike ones stay together.
+group: members of a key are compared with one leader, the member whose keys are shared most widely,
+which keeps the work linear in the members however large the group is. Members that are not
+alike the leader are dealt again by two neighbouring keys at once, then four and so on, so
+unrelated texts that share a frequent key part while alike ones stay together.
 """
 
 from __future__ import annotations
@@ -81,36 +82,42 @@ def jaccard_check(sets_of: Callable[[DataFrame], DataFrame], threshold: float) -
     return verify
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], prefilter: bool = True) -> DataFrame:
-    """Verified links (a, b), a < b, among members that share a key.
+def _groups(rows: DataFrame) -> DataFrame:
+    """(key, n) of keys that two ids or more share; an id may be there more than once."""
+    sizes = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("n"))
+    return staged(sizes.where("one < two").select("key", "n"), "shared-keys")
 
-    members: staged (id long, keys array<long>), an id once or more with the same keys. verify takes
-    distinct pairs (a, b) and returns those that hold. Rounds end when no member is left unlinked
-    in a group of two or more; a round's groups share one key more than the last's.
+
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
+    """Verified links (a, b) among members that share a key.
+
+    members: staged (id long, keys array<long>), n_keys keys each (or none), an id once or more with
+    equal keys. verify takes distinct pairs (a, b) and returns those that hold. At level l the
+    groups share 2^l neighbouring keys; a level takes up the members that its predecessor compared in
+    vain, and the last one has all keys in common.
     """
-    rows = members.select(F.explode("keys").alias("key"), "id")
+    rows = members.select(F.posexplode("keys").alias("band", "key"), "id")
     links: DataFrame | None = None
-    depth = 0
+    level = 0
     while True:
-        # an id may repeat, so a group counts when its least and greatest ids differ
-        shared = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-        shared = staged(shared, "shared-keys")
-        if not depth and prefilter:
-            full = members.select(F.explode("keys").alias("key"), "id", "keys")
-            full = maybe_in(full, "key", bitmap(shared, "key")).withColumn("at", F.col("key"))
-        else:
-            full = rows if depth else members.select(F.explode("keys").alias("key"), "id", "keys").withColumn("at", F.col("key"))
-        near = staged(full.join(shared, "key").where("id <> lead").select("key", "id", "keys", "at", "lead"), "near-keys")
-        good = staged(verify(near.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"), "links")
+        shared = _groups(rows)
+        if level and shared.isEmpty():
+            return links
+        near = (rows if level else maybe_in(rows, "key", bitmap(shared, "key"))).join(shared, "key")
+        near = staged(near.groupBy("key", "id").agg(F.min("band").alias("band"), F.max("n").alias("n")), "near-keys")
+        spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
+        leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead")).select("key", "lead.id")
+        tried = staged(near.join(leads.withColumnRenamed("id", "lead"), "key").where("id <> lead").select("band", "id", "lead"), "tried")
+        good = staged(verify(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"), "links")
         links = good if links is None else links.unionByName(good)
-        failed = near.join(good, (near.lead == good.a) & (near.id == good.b), "left_anti")
-        rows = failed.select("key", "id", "keys", F.explode(F.expr("filter(keys, k -> k > at)")).alias("more")).select(
-            F.xxhash64("key", "more").alias("key"), "id", "keys", F.col("more").alias("at")
-        )
-        rows = staged(rows.distinct(), "unlinked")
-        depth += 1
-        if rows.isEmpty():
+        level += 1
+        if 1 << level > n_keys:
             return links
+        failed = tried.join(good, (tried.lead == good.a) & (tried.id == good.b), "left_anti").select("id", F.shiftright("band", 1).alias("band")).distinct()
+        failed = staged(failed, "unlinked")
+        own = maybe_in(members, "id", bitmap(failed, "id")).dropDuplicates(["id"])
+        part = F.slice("keys", F.col("band") * (1 << level) + 1, F.lit(1 << level))
+        rows = staged(failed.join(own, "id").select("band", F.xxhash64(F.lit(level), part).alias("key"), "id"), "dealt-again")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -122,14 +129,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
     while True:
-        around = (
-            edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        )
+        around = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         moved = labels.join(around, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        moved = staged(moved, "labels-moved")
-        to = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
-        jumped = moved.join(to, "to", "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was")
-        jumped = staged(jumped, "labels")
+        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
+        jumped = staged(moved.join(jump, "to", "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was"), "labels")
         labels = jumped.select("id", "component")
         if jumped.where("component <> was").isEmpty():
             return labels
