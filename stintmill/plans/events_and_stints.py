@@ -17,11 +17,7 @@ def _coefficients(spark, sf):
 
 
 def _possessions(spark, sf):
-    return events_possessions(view(spark, sf, "possession_stats"))
-
-
-def events_possessions(stats):
-    return stints.possessions(stats)
+    return stints.possessions(view(spark, sf, "possession_stats"))
 
 
 def _reconcile(spark, sf):
@@ -65,7 +61,7 @@ QUERIES = {
     ),
 }
 
-_TOLD = """
+TOLD = """
 t AS (SELECT *, coalesce(type_text, '') LIKE 'Free Throw%' AS is_free_throw,
   type_text LIKE 'Free Throw%Technical%' AS tech, type_text LIKE 'Free Throw%Flagrant%' OR type_text LIKE 'Free Throw%Clear Path%' AS keeps,
   TRY_CAST(regexp_extract(type_text, '(\\d+) of (\\d+)$', 1) AS INT) AS k, TRY_CAST(regexp_extract(type_text, '(\\d+) of (\\d+)$', 2) AS INT) AS n,
@@ -105,10 +101,10 @@ pt AS (SELECT game_id, team_id, sum(points) AS points FROM (SELECT game_id, offe
   UNION ALL SELECT game_id, defense_team_id, opponent_points FROM stints) GROUP BY ALL)"""
 
 SQL = {
-    "classify_free_throws": f"WITH {ctes('pbp')}, {_TOLD} SELECT event_id, is_last_of_trip, ends_possession FROM c WHERE is_free_throw",
-    "possession_coefficients": f"""WITH {ctes('pbp')}, {_TOLD} SELECT season, total_attempts, unresolved, ending_trips, attempts,
+    "classify_free_throws": f"WITH {ctes('pbp')}, {TOLD} SELECT event_id, is_last_of_trip, ends_possession FROM c WHERE is_free_throw",
+    "possession_coefficients": f"""WITH {ctes('pbp')}, {TOLD} SELECT season, total_attempts, unresolved, ending_trips, attempts,
         round(coefficient, 9) AS coefficient, round(coefficient - 0.44, 9) AS difference FROM cf""",
-    "coefficient_summary": f"""WITH {ctes('pbp')}, {_TOLD} SELECT round(min(coefficient), 9) AS least, round(max(coefficient), 9) AS greatest,
+    "coefficient_summary": f"""WITH {ctes('pbp')}, {TOLD} SELECT round(min(coefficient), 9) AS least, round(max(coefficient), 9) AS greatest,
         round(max(coefficient) - min(coefficient), 9) AS spread, round(avg(coefficient), 9) AS mean, count(coefficient) AS seasons FROM cf""",
     "number_events": f"WITH {ctes('pbp')} SELECT game_id, event_id AS event_num, row_number() OVER (PARTITION BY game_id ORDER BY period, event_id) - 1 AS event_order FROM pbp",
     "possession_rows": f"WITH {ctes('possession_stats')}, {_POSS} SELECT * FROM po",

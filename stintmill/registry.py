@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boxes_and_checks, events_and_stints
+from .plans import boxes_and_checks, events_and_stints, people_and_tables
 
-GROUPS = (events_and_stints, boxes_and_checks)
+GROUPS = (events_and_stints, boxes_and_checks, people_and_tables)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
