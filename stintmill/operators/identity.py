@@ -71,7 +71,7 @@ def crosswalk(people: DataFrame, known: DataFrame, within: tuple[str, ...] = ())
         *own,
         F.col("athlete_display_name").alias("name"),
         F.col("m.nba_id").alias("nba_id"),
-        F.element_at(F.array(*map(F.lit, PASSES)), F.col("m.pass") + 1).alias("pass"),
+        F.when(F.col("m").isNotNull(), F.element_at(F.array(*map(F.lit, PASSES)), F.col("m.pass") + 1)).alias("pass"),
         F.when(F.col("m").isNotNull(), "matched").when(F.col("seen"), "ambiguous").otherwise("unmatched").alias("status"),
     )
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boxes_and_checks, events_and_stints, people_and_tables
+from .plans import boxes_and_checks, events_and_stints, people_and_tables, ratings_and_panels
 
-GROUPS = (events_and_stints, boxes_and_checks, people_and_tables)
+GROUPS = (events_and_stints, boxes_and_checks, people_and_tables, ratings_and_panels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,5 +20,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Possession coefficients by season."""
-    return queries()["possession_coefficients"](spark, sf_dir)
+    """Ridge ratings of every player from the stints."""
+    return queries()["ridge_ratings"](spark, sf_dir)
