@@ -90,6 +90,13 @@ def fit(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float],
     return {"loadings": b, "intercepts": a, "bounds": bound}
 
 
+def convergence(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float], anchor: str, starts: int = 3, steps: int = 30) -> DataFrame:
+    """(metric, spread): how far first-factor loadings lie apart over random starts; small when fits agree."""
+    found = np.array([fit(wide, names, reliability, anchor, steps=steps, seed=k)["loadings"][:, 0] for k in range(starts)])
+    rows = [(n, float(d)) for n, d in zip(names, np.ptp(found, axis=0), strict=True)]
+    return wide.sparkSession.createDataFrame(rows, "metric string, spread double")
+
+
 def loading_table(spark, names: tuple[str, ...], model: dict) -> DataFrame:
     """(metric, loading, bound, share_of_bound, nuisance): the first factor's loading beside its bound."""
     b, bound = model["loadings"], model["bounds"]

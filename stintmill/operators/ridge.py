@@ -202,8 +202,8 @@ def bootstrap_se(rows: DataFrame, alpha: float, draws: int = 200, seed: int = SE
     often they were drawn, and each draw is solved in its own task."""
     games = rows.select("game_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("game_id")).cast("long") - 1)
     n = games.count()
-    picks = rows.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(rows.sparkSession.range(n)))
-    drawn = picks.select("draw", F.pmod(F.xxhash64("draw", "id", F.lit(seed)), F.lit(n)).alias("g")).groupBy("draw", "g").agg(F.count("*").alias("times"))
+    picks = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("g"))
+    drawn = picks.groupBy("draw", "g").agg(F.count("*").alias("times"))
     times = drawn.join(games, "g").select("draw", "game_id", "times")
     by_draw = gram(rows, "game_id").join(times, "game_id").groupBy("draw", "i", "j").agg(F.sum(F.col("s") * F.col("times")).alias("s"))
     fits = by_draw.groupBy("draw").applyInPandas(_solved(alpha, "draw"), f"draw long, {_RATED}")

@@ -109,6 +109,10 @@ QUERIES = {
     "schedule_games": lambda s, d: tables.schedule_games(_schedule_payloads(s, d)),
     "payload_validity": lambda s, d: tables.payload_validity(_payloads(s, d)),
     "coefficient_lookup": _with_coefficient,
+    "fingerprint": lambda s, d: drift.fingerprint(view(s, d, "ratings")),
+    "long_to_wide": lambda s, d: tables.long_to_wide(
+        view(s, d, "ratings").unpivot(["player_id", "window_end"], ["offensive", "defensive"], "side", "value"), ("player_id", "window_end"), "side", "value", ["offensive", "defensive"]
+    ),
 }
 
 _N = lambda c: f"trim(regexp_replace(replace(replace(replace(lower(strip_accents({c})), '.', ''), '''', ''), '-', ' '), '\\s+', ' ', 'g'))"
@@ -221,6 +225,7 @@ SQL = {
     "precision_view": f"{_R} SELECT player, window_end, possessions, total FROM ratings WHERE player IS NOT NULL",
     "schedule_games": "SELECT DISTINCT '002' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS game_id FROM orders WHERE o_orderkey % 10 <> 0",
     "payload_validity": "SELECT event_id AS name, event_id % 4 = 1 AS valid_game, event_id % 4 = 3 AS valid_schedule FROM events",
+    "long_to_wide": f"{_R} SELECT player_id, window_end, avg(offensive) AS offensive, avg(defensive) AS defensive FROM ratings GROUP BY ALL",
     "coefficient_lookup": f"""WITH {ctes('pbp', 'box')}, {TOLD}, s AS (SELECT DISTINCT season FROM box)
         SELECT s.season, round(coalesce(cf.coefficient, 0.4178::DOUBLE), 9) AS coefficient FROM s LEFT JOIN (SELECT season - 5 AS season, coefficient FROM cf WHERE season % 2 = 0) cf USING (season)""",
 }

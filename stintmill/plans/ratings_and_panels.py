@@ -70,6 +70,7 @@ QUERIES = {
     "fusion_matrix": lambda s, d: rounded(_matrix(s, d), 5, *FUSED),
     "fusion_completeness": lambda s, d: rounded(fusion.completeness(_matrix(s, d), FUSED), 9, "observed"),
     "fusion_loadings": lambda s, d: fusion.loading_table(s, FUSED, _fitted(s, d)[1]),
+    "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), FUSED, RELIABILITY, "rating", 2, 6),
     "fused_ratings": lambda s, d: (lambda w: fusion.scores(w[0], "athlete_id", FUSED, w[1]))(_fitted(s, d)),
     "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating", steps=8),
     "team_panel": lambda s, d: rounded(_panel(s, d), 6, *CANDIDATES, "target"),
