@@ -107,6 +107,7 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
         near = staged(near.groupBy("key", "id").agg(F.min("band").alias("band"), F.max("n").alias("n")), "near-keys")
         spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
         leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead")).select("key", "lead.id")
+        leads = staged(leads, "leads")  # so that the join deals its sides anew and a large group can be split
         tried = staged(near.join(leads.withColumnRenamed("id", "lead"), "key").where("id <> lead").select("band", "id", "lead"), "tried")
         good = staged(verify(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"), "links")
         links = good if links is None else links.unionByName(good)
