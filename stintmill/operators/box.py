@@ -131,3 +131,11 @@ def weighted_mean(rows: DataFrame, value: str, by: tuple[str, ...], weight: str
     """Mean of value weighted by minutes, of rows with a value and enough minutes."""
     used = rows.where(F.col(value).isNotNull() & (F.col(weight) >= least))
     return used.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(value), F.count("*").alias("people"))
+
+
+def weighted_means(rows: DataFrame, values: tuple[str, ...], by: tuple[str, ...], weight: str = "minutes", least: float = 200.0) -> DataFrame:
+    """``weighted_mean`` of several values in one pass; groups without any value are left out."""
+    used = rows.where(F.col(weight) >= least)
+    has = lambda v: F.col(v).isNotNull()
+    means = [F.try_divide(F.sum(F.col(v) * F.col(weight)), F.sum(F.when(has(v), F.col(weight)))).alias(v) for v in values]
+    return used.groupBy(*by).agg(*means).dropna(how="all", subset=list(values))

@@ -35,10 +35,7 @@ def _panel(s, d):
     rows = box.eligible_rows(view(s, d, "box"))
     people = box.with_metrics(box.totals(rows, ("season", "athlete_id")), only=CANDIDATES)
     placed = people.join(box.primary_team(rows).select("season", "athlete_id", "team_id"), ["season", "athlete_id"])
-    out = None
-    for c in CANDIDATES:
-        one = box.weighted_mean(placed, c, ("season", "team_id")).select("season", "team_id", c)
-        out = one if out is None else out.join(one, ["season", "team_id"], "full_outer")
+    out = box.weighted_means(placed, CANDIDATES, ("season", "team_id"))
     # seasons x teams, a few hundred rows: the folds read it from memory
     return panel.next_season_target(out, out, "points_per_36").repartition(1).cache()
 
@@ -79,7 +76,7 @@ QUERIES = {
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
     "paired_p_value": lambda s, d: panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36", with_p=True),
     "ridge_baseline": lambda s, d: panel.baseline_table(ridge=panel.ridge_baseline(_panel(s, d), CANDIDATES)),
-    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES[:2], depths=(2,), iterations=4)),
+    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES[:2], depths=(2,), iterations=2)),
     "ridge_attribution": lambda s, d: panel.ridge_attribution(_panel(s, d), CANDIDATES),
     "attribution_agreement": lambda s, d: panel.attribution_agreement(panel.ridge_attribution(_panel(s, d), CANDIDATES), fusion.loading_table(s, FUSED, _fitted(s, d)[1])),
     "claim_report": _claim,
