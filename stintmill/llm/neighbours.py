@@ -109,8 +109,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _tops(pdf_v: pd.DataFrame, vs: np.ndarray, pdf_q: pd.DataFrame, qs: np.ndarray, keep: int) -> list[tuple]:
-    """(q, id, score) of the ``keep`` best rows of a block for each query."""
+    """(q, id, score) of the ``keep`` best rows of a block for each query, of those not below its ``floor``."""
     out = []
+    floor = pdf_q["floor"].to_numpy() if "floor" in pdf_q else np.full(len(pdf_q), -2.0)
     raw_v, raw_q = pdf_v["v"].to_numpy(), pdf_q["v"].to_numpy()
     ids = pdf_v["id"].to_numpy()
     for start in range(0, len(qs), 256):
@@ -120,6 +121,7 @@ def _tops(pdf_v: pd.DataFrame, vs: np.ndarray, pdf_q: pd.DataFrame, qs: np.ndarr
         for j, row in enumerate(best):
             q = start + j
             a = np.asarray(raw_q[q], dtype=float)
+            row = row[near[j, row] >= floor[q] - 1e-9]
             out.extend((int(pdf_q["q"].iloc[q]), int(ids[k]), cosine(a, np.asarray(raw_v[k], dtype=float))) for k in row)
     return out
 
@@ -208,10 +210,10 @@ def nearest(
                     if seen >= visits and met > k:
                         break
                     seen, met = seen + 1, met + counts.get(leaf, 0)
-                    rows.extend((q, leaf, block, v) for block in range(-(-counts.get(leaf, 0) // block_rows)))
-            yield pd.DataFrame(rows, columns=["q", "leaf", "block", "v"])
+                    rows.extend((q, leaf, block, seen, v) for block in range(-(-counts.get(leaf, 0) // block_rows)))
+            yield pd.DataFrame(rows, columns=["q", "leaf", "block", "turn", "v"])
 
-    routed = wanted.mapInPandas(route, "q long, leaf long, block long, v array<double>")
+    routed = wanted.mapInPandas(route, "q long, leaf long, block long, turn int, v array<double>")
     blocks = spark.createDataFrame([(leaf, -(-n // block_rows)) for leaf, n in counts.items()], "leaf long, blocks long")
     dealt = indexed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
@@ -219,9 +221,17 @@ def nearest(
         rows = _tops(left, _unit(left["v"]), right, _unit(right["v"]), k + 1) if len(left) and len(right) else []
         return pd.DataFrame(rows, columns=["q", "id", "score"])
 
-    found = dealt.select("leaf", "block", "id", "v").groupBy("leaf", "block").cogroup(routed.groupBy("leaf", "block"))
-    found = found.applyInPandas(compare, "q long, id long, score double")
+    def searched(asks: DataFrame) -> DataFrame:
+        groups = dealt.select("leaf", "block", "id", "v").groupBy("leaf", "block").cogroup(asks.groupBy("leaf", "block"))
+        return groups.applyInPandas(compare, "q long, id long, score double")
+
+    # the leaf opened first sets a floor: what lies under its k + 1 best is no answer and is not handed on
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    first = staged(searched(routed.where("turn = 1").drop("turn")), "first-leaf")
+    ranked = first.withColumn("n", F.row_number().over(best))
+    floors = ranked.where(F.col("n") == k + 1).select("q", F.col("score").alias("floor"))
+    later = routed.where("turn > 1").drop("turn").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    found = first.unionByName(searched(later))
     found = staged(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "found")
     # back to ids: of the queries that share a vector, and of the vectors that are equal
     named = indexed.select("id", "key", "key2")
