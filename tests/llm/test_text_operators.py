@@ -129,6 +129,20 @@ def test_line_links_equal_brute_force(spark):
     assert got == gone
 
 
+def test_line_typos_equal_brute_force_on_characters(spark):
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    every = [" ".join("".join(rng.choices(letters, k=rng.randrange(2, 10))) for _ in range(n)) for n in (8, 10, 12, 15, 18, 30) for _ in range(15)]
+    for line in list(every):
+        at = rng.choice([k for k, c in enumerate(line) if c != " "])
+        every.append(line[:at] + ("q" if line[at] != "q" else "z") + line[at + 1 :])
+    every += ["-" * 30, "-" * 31, "abc", "abd"]
+    sets = [{t[k : k + 5] for k in range(max(1, len(t) - 4))} for t in every]
+    gone = {j for j in range(len(every)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = {r.doc_id for r in lines.duplicate_lines(frame(spark, list(enumerate(every)))).collect()}
+    assert len(gone) > 70 and got == gone
+
+
 def test_leaks_copy_changed_and_inconsistent(spark):
     item = "a train leaves the old station with 120 people and then meets Maria Lopez who counts 7 bags near the river before 120 birds arrive there"
     changed = item.replace("120", "350").replace("Maria Lopez", "Ann Lee").replace("7 bags", "9 bags")
