@@ -6,9 +6,9 @@ are aligned inside, elements that one side lacks become optional, and what there
 to its like is repeated. The result is the host's wrapper, a union-free regular expression such as
 ``body(nav(ul(li+(a(#))))article(h1(#)p+(b?(#)#)))footer(#)``. Wrappers are merged from the distinct
 trees of a host, in salted groups first, never from its pages in one place. A wrapper's slots are
-then chosen: those inside its article, or else inside its body, that stand in no menu, header,
+then chosen: those inside its article, and those elsewhere in its body, that stand in no menu, header,
 footer, sidebar, notice, advert, form, or comment. A page's text is what its own tokens put into
-the chosen slots.
+the article's slots, or into the others where it puts nothing into those.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ BLOCK = set(
 CLOSES_P = BLOCK - {"body", "html"}
 DROPPED = set("head nav footer aside form script style noscript template button select option input label textarea iframe svg math menu dialog object canvas title".split())
 MAIN = set("article main".split())
+PAGE = set("html body".split())
 DROPPED_WORDS = set(
     "ad ads adbox advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright "
     "disclaimer disqus dropdown footer gdpr hidden login masthead menu meta-nav modal nav navbar navigation newsletter notice notices notification overlay "
@@ -188,31 +189,44 @@ def _parts(key: str) -> tuple[str, list[str]]:
 
 def _is_main(key: str) -> bool:
     tag, words = _parts(key)
-    return tag in MAIN or any(w in MAIN_WORDS or w in ("main", "article") for w in words)
+    return tag in MAIN or (tag not in PAGE and any(w in MAIN_WORDS or w in ("main", "article") for w in words))
 
 
 def _is_dropped(key: str, in_main: bool) -> bool:
+    """Classes of html and body speak of the page, those of an article or main of its kind: neither drops it."""
     tag, words = _parts(key)
+    if tag in PAGE:
+        return False
+    if tag in MAIN:
+        return "hidden" in words
     if tag in DROPPED or (tag == "header" and not in_main):
         return True
+    if _is_main(key):
+        return any(w in DROPPED_WORDS for w in words)
     if not in_main and any(p in ("header", "branding", "logo") for w in words for p in re.split(r"[-_]", w)):
         return True
     return any(w in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split(r"[-_]", w)) for w in words)
 
 
-def chosen_slots(nodes: list) -> list[str]:
-    """Paths of the slots that hold the main text: in the article if the wrapper has one, else in the body."""
-    inside, anywhere = [], []
+def chosen_slots(nodes: list) -> list[list[str]]:
+    """Paths of the slots that may hold the main text, in the order in which a page tries them: those in an
+    article, those in an article or main that is named like a comment or a notice, and those of the body."""
+    inside, named, anywhere = [], [], []
 
-    def visit(children: list, path: str, main: bool) -> None:
+    def visit(children: list, path: str, into: list) -> None:
         for key, _, _, own in children:
+            main = into is not anywhere
             if key == SLOT:
-                (inside if main else anywhere).append(path)
+                into.append(path)
             elif not _is_dropped(key, main):
-                visit(own, f"{path}/{key}", main or _is_main(key))
+                tag, words = _parts(key)
+                if tag in MAIN and any(w in DROPPED_WORDS for w in words):
+                    visit(own, f"{path}/{key}", named)
+                else:
+                    visit(own, f"{path}/{key}", inside if not main and _is_main(key) else into)
 
-    visit(nodes, "", False)
-    return sorted(set(inside or anywhere))
+    visit(nodes, "", anywhere)
+    return [sorted(set(slots)) for slots in (inside, named, anywhere)]
 
 
 def main_text(page: str, slots: set[str]) -> str:
@@ -267,7 +281,7 @@ def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
     salted = trees.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(salts)))
     part = salted.groupBy("host", "salt").applyInPandas(lambda pdf: _merged(pdf), "host string, tree string, n long")
     whole = staged(part, "host-parts").groupBy("host").applyInPandas(_merged, "host string, tree string, n long")
-    choose = F.pandas_udf(lambda s: pd.Series([chosen_slots(json.loads(t)) for t in s]), "array<string>")
+    choose = F.pandas_udf(lambda s: pd.Series([chosen_slots(json.loads(t)) for t in s]), "array<array<string>>")
     written = F.pandas_udf(lambda s: pd.Series([expression(json.loads(t)) for t in s]), "string")
     return staged(whole.select("host", written("tree").alias("wrapper"), choose("tree").alias("slots")), "wrappers")
 
@@ -290,8 +304,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return joined.select("page_id", "url", text("html", "slots").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _first_text(page: str, slots) -> str:
+    return next((text for own in slots if len(own) and (text := main_text(page, set(own)))), "")
+
+
 def _texts(pages: pd.Series, slots: pd.Series) -> pd.Series:
-    return pd.Series([main_text(p, set(s)) if p and s is not None else "" for p, s in zip(pages, slots, strict=True)])
+    return pd.Series([_first_text(p, s) if p and s is not None else "" for p, s in zip(pages, slots, strict=True)])
 
 
 def op7_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,24 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 <section id=comments><p>first!</p></section><footer>foot</footer><script>if (a < b) "</p>"</script></body></html>"""
 
 
+def test_main_text_of_mixed_templates_and_class_names(spark):
+    pages = [
+        ("http://m/1", "<body><article><p>In an article</p></article><div>beside</div></body>", "In an article"),
+        ("http://m/2", "<body><nav>menu</nav><div><p>No article here</p></div></body>", "No article here"),
+        ("http://n/1", "<html class='js no-sidebar'><body class='no-sidebar'><p>Plain</p></body></html>", "Plain"),
+        ("http://o/1", "<body class='has-comments'><article class='post social-media'><p>Social</p><div class='comments'>c</div></article></body>", "Social"),
+        ("http://p/1", "<body><main class='has-sidebar'><article class='post has-comments'>Nested</article></main></body>", "Nested"),
+        ("http://q/1", "<body><article class='post'>Post</article><article class='comment'>Reply</article></body>", "Post"),
+        ("http://r/1", "<body><article class='sponsored'>Paid</article><div>beside</div></body>", "Paid"),
+        ("http://s/1", "<body><div id='main' class='with-sidebar'>Wide</div><div class='sidebar'>side</div></body>", "Wide"),
+        (None, "<main>One</main>", "One"),
+        (None, "<p>Two</p>", "Two"),
+    ]
+    df = spark.createDataFrame([(k, u, h) for k, (u, h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert got == {k: t for k, (_, _, t) in enumerate(pages)}
+
+
 def test_main_text(spark):
     want = "Head & line\nOne two three\nfour five\nsix\nseven"
     rows = [(1, "http://h/1", PAGE % ""), (2, "http://h/2", PAGE % "<p>more</p>"), (3, "http://h/3", None), (4, None, "<p>alone</p>"), (5, "http://g/", ""), (6, "http://g/2", "<div>a < b &lt; c</div>"), (6, "http://g/2", "x" * 300000)]
