@@ -5,7 +5,9 @@ sentence) and units (a unit word behind a number) replaced by typed placeholders
 placeholder being one. Windows of eight template tokens are hashed and hash-joined with the
 benchmark's; hits of one document and item on one alignment must put the same document value into
 the same item slot everywhere, and different values into different ones. Equal values are a copy,
-others a re-parameterised question.
+others a re-parameterised question. A window whose own values are all the item's is copied whatever
+the rest of its alignment holds, and a run of names or numbers at a window's edge, which may go on
+outside, says nothing about consistency. Items without a usable window are searched by plain words.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import small_batches, staged, table
 from .linking import WORD_BITS, without_ids
 
 WINDOW = 8
-SHORTEST = 4  # items of fewer template tokens are not searched for
+SHORTEST = 4  # items of fewer template tokens are searched for by plain words
 FILTER_BITS = 24  # 2 MB of bits screen the documents' windows, however many the benchmark has
 # Words taken for units when they follow a number.
 UNITS = (
@@ -67,6 +69,7 @@ class Templates:
         starts, ends = cuts[word], ends[word]
         doc = np.cumsum(raw == 0)[starts] if len(raw) else starts
         ids = span_hashes(buf, starts, ends)
+        self.plain, self.plain_doc = ids.copy(), doc
         n = len(starts)
         kind = np.zeros(n, np.uint8)
         same = np.append(False, doc[1:] == doc[:-1])[:n]
@@ -89,26 +92,36 @@ class Templates:
         self.end = ends[np.append(first[1:] - 1, n - 1)] if n else ends
 
     def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of every window of so many tokens inside one text."""
-        n = len(self.ids) - length + 1
+        """(first token, hash) of every window of so many tokens inside one text; of plain words if length < 0."""
+        ids, doc = (self.plain, self.plain_doc) if length < 0 else (self.ids, self.doc)
+        size = abs(length)
+        n = len(ids) - size + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        key = np.full(n, length, np.uint64)
-        for j in range(length):
-            key = key * P + self.ids[j : n + j]
-        at = np.flatnonzero(self.doc[:n] == self.doc[length - 1 :])
+        key = np.full(n, length, np.int64).view(np.uint64)
+        for j in range(size):
+            key = key * P + ids[j : n + j]
+        at = np.flatnonzero(doc[:n] == doc[size - 1 :])
         return at, mixed(key[at])
 
     def slots(self, at: int, length: int) -> list[str]:
+        """Values of a window's placeholders; plain words have none."""
         return [
             f"{self.kind[k]}:{' '.join(bytes(self.raw[self.start[k] : self.end[k]]).decode('utf-8', 'replace').lower().split())}"
             for k in range(at, at + length)
             if self.kind[k] != LITERAL
         ]
 
-    def first_of(self) -> np.ndarray:
-        """For each token the index of its text's first token."""
-        return np.searchsorted(self.doc, self.doc)
+    def marks(self, at: int, length: int, first: int, last: int) -> list[str]:
+        """Where each slot of a window stands: ^ and $ at the text's own edges, < and > at the window's, else =."""
+        end = at + length - 1
+        place = {at: "^" if at == first else "<", end: "$" if end == last else ">"}
+        return [place.get(k, "=") for k in range(at, at + length) if self.kind[k] != LITERAL]
+
+    def first_of(self, length: int = 1) -> np.ndarray:
+        """For each token (plain word if length < 0) the index of its text's first one."""
+        doc = self.plain_doc if length < 0 else self.doc
+        return np.searchsorted(doc, doc)
 
 
 def _clean(texts: pd.Series) -> list[str]:
@@ -120,23 +133,34 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = _clean(pdf["text"])
         for a, b in chunks(texts):
             t = Templates(texts[a:b])
-            size = np.bincount(t.doc, minlength=b - a)
-            first = t.first_of()
+            size, words = np.bincount(t.doc, minlength=b - a), np.bincount(t.plain_doc, minlength=b - a)
+            first, found = t.first_of(), np.zeros(b - a, bool)
             out = []
             for length in range(SHORTEST, WINDOW + 1):
                 for at, key in zip(*t.windows(length), strict=True):
-                    n = size[t.doc[at]]
+                    d = t.doc[at]
+                    n = size[d]
                     plain = int((t.kind[at : at + length] == LITERAL).sum())
                     if (length == WINDOW or n == length) and 2 * plain >= length:
-                        out.append((int(pdf["item_id"].iloc[a + t.doc[at]]), key.view(np.int64), int(at - first[at]), length, t.slots(at, length)))
+                        marks = t.marks(at, length, first[at], first[at] + n - 1)
+                        slots = [m + v for m, v in zip(marks, t.slots(at, length), strict=True)]
+                        out.append((int(pdf["item_id"].iloc[a + d]), key.view(np.int64), int(at - first[at]), length, slots))
+                        found[d] = True
+            first = t.first_of(-1)
+            for length in range(1, WINDOW + 1):
+                for at, key in zip(*t.windows(-length), strict=True):
+                    d = t.plain_doc[at]
+                    if not found[d] and min(words[d], WINDOW) == length:
+                        out.append((int(pdf["item_id"].iloc[a + d]), key.view(np.int64), int(at - first[at]), -length, []))
             yield pd.DataFrame(out, columns=["item_id", "key", "item_pos", "length", "item_slots"])
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Staged windows of the benchmark: (item_id, key, item_pos, length, item_slots).
 
-    Windows with more placeholders than words say too little and are left out, so are items of
-    fewer than four template tokens; those of four to seven are one window.
+    Windows with more placeholders than words say too little and are left out; items of four to
+    seven template tokens are one window. Items of fewer, and those without a window that says
+    enough, have windows of eight plain words (one window if they are shorter) with length < 0.
     """
     rows = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
     return staged(rows.mapInPandas(_item_windows, "item_id long, key long, item_pos int, length int, item_slots array<string>"), "item-windows")
@@ -170,14 +194,14 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
             texts = _clean(pdf["text"])
             for a, b in chunks(texts):
                 t = Templates(texts[a:b])
-                first = t.first_of()
                 out = []
                 for length in lengths:
                     at, keys = t.windows(length)
+                    first, doc = t.first_of(length), t.plain_doc if length < 0 else t.doc
                     slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                     hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                     for k, key in zip(at[hit], keys[hit], strict=True):
-                        out.append((int(pdf["doc_id"].iloc[a + t.doc[k]]), key.view(np.int64), int(k - first[k]), t.slots(k, length)))
+                        out.append((int(pdf["doc_id"].iloc[a + doc[k]]), key.view(np.int64), int(k - first[k]), t.slots(k, max(length, 0))))
                 yield pd.DataFrame(out, columns=["doc_id", "key", "doc_pos", "doc_slots"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -187,9 +211,10 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, changed_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, kind, windows, item_windows, share): items found in documents.
 
-    ``share`` is the part of an item's windows found on alignments whose slots are consistent;
-    ``kind`` is "copy" when every slot value is the item's own, else "reparameterised". A copy
-    counts from ``copied_share`` on, a re-parameterised item from ``changed_share``. Whole texts
+    A window whose slot values are all the item's own is copied; where a run at the item's first or
+    last token goes on in the document, its part is compared. ``share`` is the part of an item's
+    windows that are copied or found on alignments whose slots are consistent; ``kind`` is "copy"
+    when copied windows suffice, else "reparameterised". A copy counts from ``copied_share`` on, a re-parameterised item from ``changed_share``. Whole texts
     are searched. Null and empty texts match nothing, null ids are left out, rows that share an
     id count as one document, and an item listed twice counts once.
     """
@@ -197,14 +222,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, chan
     hits = staged(window_hits(docs, items, id_col, text_col), "window-hits")
     total = items.groupBy("item_id").agg(F.count_distinct("key").alias("item_windows"))
     met = hits.join(items, "key").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
-    pairs = F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")))))
-    lined = met.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("key").alias("keys"), pairs.alias("slots"))
-    lined = lined.withColumn("changed", F.expr("exists(slots, s -> s.i <> s.d)")).where(
-        "size(slots) = size(array_distinct(transform(slots, s -> s.i))) and size(slots) = size(array_distinct(transform(slots, s -> s.d)))"
+    met = met.withColumn("slots", F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")))
+    own = """forall(slots, s -> substring(s.i, 2) = s.d or (left(s.i, 1) = '$' and startswith(s.d, concat(substring(s.i, 2), ' ')))
+        or (left(s.i, 1) = '^' and endswith(s.d, concat(' ', substring(s.i, 4)))))"""
+    met = met.withColumn("own", F.expr(own)).withColumn("slots", F.expr("filter(slots, s -> left(s.i, 1) = '=')"))
+    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
+    lined = met.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("copied"), pairs.alias("slots")
     )
+    agreed = F.expr("size(slots) = size(array_distinct(transform(slots, s -> s.i))) and size(slots) = size(array_distinct(transform(slots, s -> s.d)))")
+    lined = lined.withColumn("keys", F.when(agreed, F.col("keys")).otherwise(F.col("copied")))
     found = lined.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("keys")))).cast("long").alias("windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("changed"), F.col("keys")))))).cast("long").alias("copied"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("copied")))).cast("long").alias("copied"),
     )
     judged = found.join(total, "item_id").withColumn("share", F.col("windows") / F.col("item_windows"))
     copied = F.col("copied") / F.col("item_windows")

@@ -157,6 +157,20 @@ def test_leaks_copy_changed_and_inconsistent(spark):
     assert decontam.leaks(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_runs_at_edges_altered_values_and_short_items(spark):
+    ends = "the teacher asks Maria Lopez how many apples are left in the basket and then the answer is read aloud by Maria Lopez"
+    twice = "a farmer sells 40 eggs at the market in the morning and carries the rest of them home by the old road where " \
+        "the miller of the village later buys exactly 40 eggs"
+    texts = [
+        (1, f"so {ends} And Others"), (2, twice.replace("40 eggs at", "41 eggs at")), (3, "we saw 3 5 8 13 21 34 55 89 144 233 there"),
+        (4, "they said capital of france twice"), (5, "capital of spain"), (6, "we saw 3 5 9 there"), (7, f"so {ends.replace('Maria Lopez how', 'Ann Lee how')} And Others"),
+    ]
+    bench = spark.createDataFrame([(1, ends), (2, twice), (3, "3 5 8 13 21 34 55 89 144 233"), (4, "capital of France"), (5, ""), (6, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.kind, r.share) for r in decontam.leaks(frame(spark, texts), bench).collect()}
+    assert {k for k in got if k[0] < 7} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+    assert all(got[k, k][0] == "copy" for k in range(1, 5)) and got[1, 1][1] == got[3, 3][1] == 1.0
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), "en", s, 0, "x", 1) for i, s in enumerate(rng.choices(["a", "b", "c", None, "hot"], [1, 1, 3, 1, 12], k=400))]
