@@ -1,10 +1,10 @@
 """Candidate links from shared signature keys, and distributed union-find.
 
-Used by the near-duplicate operators. Ids are 64-bit integers. No step emits the pairs of a
-group: members of a key are compared with one leader, the member whose keys are shared most widely,
-which keeps the work linear in the members however large the group is. Members that are not
-alike the leader are dealt again by two neighbouring keys at once, then four and so on, so
-unrelated texts that share a frequent key part while alike ones stay together.
+Used by the near-duplicate operators. Ids are 64-bit integers. Members of a key are compared with
+one leader, the member whose keys are shared most widely, which is linear in the members. Members
+that are not alike the leader are dealt again by two neighbouring keys at once, then four and so
+on. What is then in one key and not in one component is compared pair by pair, in salted blocks,
+unless the two distances from the leader rule it out, so no pair that shares a key is left open.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WORD_BITS = 15  # Spark's bitmaps hold 2^15 bits
+BLOCK = 500  # members of a key that one task compares with the others
 
 
 def bitmap(values: DataFrame, col: str, bits: int = 26) -> DataFrame:
@@ -64,7 +65,7 @@ def without_ids(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
 
 
 def jaccard_check(sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A ``verify`` for leader_links by the exact Jaccard similarity of sets.
+    """A ``verify`` for leader_links by the exact Jaccard similarity of sets; ``far`` is their distance.
 
     sets_of takes the distinct ids (id) of the first round's pairs, which later rounds draw from,
     and returns (id, h array) for each; it is staged once.
@@ -77,7 +78,8 @@ def jaccard_check(sets_of: Callable[[DataFrame], DataFrame], threshold: float) -
         one, two = sets[0].toDF("a", "x"), sets[0].toDF("b", "y")
         both = F.size(F.array_intersect("x", "y"))
         joined = pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
-        return joined.where(F.col("both") >= threshold * (F.col("all") - F.col("both"))).select("a", "b")
+        either = F.col("all") - F.col("both")
+        return joined.select("a", "b", (F.col("both") >= threshold * either).alias("alike"), (1 - F.col("both") / either).alias("far"))
 
     return verify
 
@@ -88,13 +90,33 @@ def _groups(rows: DataFrame) -> DataFrame:
     return staged(sizes.where("one < two").select("key", "n"), "shared-keys")
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n_keys: int) -> DataFrame:
+def _rest_links(held: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], reach: float) -> DataFrame:
+    """Links that leaders left open, from held (key, id, alike, far): each member but the leader of a key.
+
+    Members alike the leader are in one component. A pair with a member that is not is compared
+    unless its components are one or, by the triangle inequality, it is further apart than reach.
+    """
+    placed = held.join(components(links), "id", "left").select("key", "id", "alike", "far", F.coalesce("component", "id").alias("component"))
+    placed = staged(placed, "placed-keys")
+    mixed = placed.groupBy("key").agg(F.count_if(~F.col("alike")).alias("n"), F.min("component").alias("one"), F.max("component").alias("two"))
+    mixed = staged(mixed.where("n > 0 and one < two").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("salts")), "mixed-keys")
+    here = placed.join(mixed, "key")
+    left = here.where("not alike").withColumn("salt", F.expr("cast(pmod(xxhash64(id), salts) as int)"))
+    right = here.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    left, right = (side.select("key", "salt", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "alike", "far", "component")]) for n, side in enumerate((left, right)))
+    open_ = left.join(right, ["key", "salt"]).where("component_0 <> component_1 and (alike_1 or id_0 < id_1)").where(F.abs(F.col("far_0") - F.col("far_1")) <= reach + 1e-9)
+    pairs = staged(open_.select(F.least("id_0", "id_1").alias("a"), F.greatest("id_0", "id_1").alias("b")).distinct(), "open-pairs")
+    return staged(verify(pairs).where("alike").select("a", "b"), "rest-links")
+
+
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n_keys: int, threshold: float = 0.8) -> DataFrame:
     """Verified links (a, b) among members that share a key.
 
     members: staged (id long, keys array<long>), n_keys keys each (or none), an id once or more with
-    equal keys. verify takes distinct pairs (a, b) and returns those that hold. At level l the
+    equal keys. verify takes distinct pairs (a, b) and returns (a, b, alike, far), far being a metric
+    that is 1 - threshold at most where alike holds. At level l the
     groups share 2^l neighbouring keys; a level takes up the members that its predecessor compared in
-    vain, and the last one has all keys in common.
+    vain, and the last one has all keys in common. Pairs of a key that are then still open are compared.
     """
     rows = members.select(F.posexplode("keys").alias("band", "key"), "id")
     links: DataFrame | None = None
@@ -102,23 +124,29 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n
     while True:
         shared = _groups(rows)
         if level and shared.isEmpty():
-            return links
+            break
         near = (rows if level else maybe_in(rows, "key", bitmap(shared, "key"))).join(shared, "key")
         near = staged(near.groupBy("key", "id").agg(F.min("band").alias("band"), F.max("n").alias("n")), "near-keys")
         spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
         leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead")).select("key", "lead.id")
         leads = staged(leads, "leads")  # so that the join deals its sides anew and a large group can be split
-        tried = staged(near.join(leads.withColumnRenamed("id", "lead"), "key").where("id <> lead").select("band", "id", "lead"), "tried")
-        good = staged(verify(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()).select("a", "b"), "links")
+        tried = staged(near.join(leads.withColumnRenamed("id", "lead"), "key").where("id <> lead").select("key", "band", "id", "lead"), "tried")
+        judged = staged(verify(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "judged")
+        good = judged.where("alike").select("a", "b")
+        if not level:
+            first = tried.join(judged, (tried.lead == judged.a) & (tried.id == judged.b)).select("key", "id", "alike", "far")
         links = good if links is None else links.unionByName(good)
         level += 1
         if 1 << level > n_keys:
-            return links
+            break
         failed = tried.join(good, (tried.lead == good.a) & (tried.id == good.b), "left_anti").select("id", F.shiftright("band", 1).alias("band")).distinct()
         failed = staged(failed, "unlinked")
         own = maybe_in(members, "id", bitmap(failed, "id")).dropDuplicates(["id"])
         part = F.slice("keys", F.col("band") * (1 << level) + 1, F.lit(1 << level))
         rows = staged(failed.join(own, "id").select("band", F.xxhash64(F.lit(level), part).alias("key"), "id"), "dealt-again")
+    if first.where("not alike").isEmpty():
+        return links
+    return links.unionByName(_rest_links(first, links, verify, 1 - threshold))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         found = maybe_in(rows_, "doc_id", bitmap(spots, "doc_id")).join(spots, "doc_id")
         return found.mapInPandas(_expanded, "id long, h array<int>").dropDuplicates(["id"])
 
-    linked = components(leader_links(staged(one, "texts"), jaccard_check(sets_of, threshold), bands))
+    linked = components(leader_links(staged(one, "texts"), jaccard_check(sets_of, threshold), bands, threshold))
     placed = signed.select("doc_id", "id").join(linked, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
     placed = staged(placed, "placed")
     # written, so that the join deals its sides anew and Spark can split a large group

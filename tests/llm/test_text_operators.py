@@ -87,6 +87,22 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + k: 100 for k in range(30)}}
 
 
+def test_links_of_second_generation_copies_beside_a_large_hub(spark):
+    hub = list(range(100))
+    sets = {0: hub} | {k: hub[:-1] + [1000 + k] for k in range(1, 300)}
+    for k in range(20):  # b is alike the hub; c is alike b alone, and shares one key with it
+        sets[400 + k] = hub[10:] + [2000 + 100 * k + j for j in range(10)]
+        sets[500 + k] = sets[400 + k][8:] + [9000 + 100 * k + j for j in range(8)]
+    rows = [(i, [7] + [1_000_000 + (0 if i < 300 else 10 * i + j) for j in range(7)]) for i in sets]
+    members = linking.staged(spark.createDataFrame(rows, "id long, keys array<long>"), "members")
+    table = spark.createDataFrame(list(sets.items()), "id long, h array<int>")
+    links = linking.leader_links(members, linking.jaccard_check(lambda asked: table.join(asked, "id"), 0.8), 8)
+    near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
+    assert all(near(0, 400 + k) and near(400 + k, 500 + k) and not near(0, 500 + k) for k in range(20))
+    got = {r.id: r.component for r in linking.components(links).collect()}
+    assert got == dict.fromkeys(sets, 0)
+
+
 def test_bitmap_splits_rows_without_loss(spark):
     rows = spark.range(5000).select(F.xxhash64("id").alias("v"), "id")
     marks = linking.bitmap(rows.where("id % 50 = 0").select("v"), "v")
