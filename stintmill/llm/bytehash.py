@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 4_000_000  # bytes of text handled at once
+CHUNK = 1 << 19  # bytes of text handled at once
 P = np.uint64(0x9E3779B97F4A7C15)
 Q = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -24,15 +24,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of P and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("p", ())) < n:
-        for name, base in (("p", P), ("q", Q)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
+    """The first n powers of P and of its inverse, modulo 2^64; those of a usual chunk are kept."""
+    if n > 2 * CHUNK:
+        return tuple(_powers(n, base) for base in (P, Q))
+    if not _POWERS:
+        _POWERS.update(p=_powers(2 * CHUNK, P), q=_powers(2 * CHUNK, Q))
     return _POWERS["p"][:n], _POWERS["q"][:n]
 
 
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end), from one running sum."""
     p, q = powers(len(buf) + 1)

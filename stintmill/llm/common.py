@@ -38,11 +38,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts stay small enough for a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 4 << 20
 
 
-def digest_key(*cols) -> list:
-    """Two independent 64- and 32-bit hashes that together stand for equal values."""
-    return [F.xxhash64(*cols).alias("k64"), F.hash(*cols).alias("k32")]
+def small_batches(spark: SparkSession, rows: int = 4000) -> None:
+    """Arrow batches hold so many rows and about BATCH_BYTES bytes at most, so whole texts stay small
+    enough for a Python worker. These are settings of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

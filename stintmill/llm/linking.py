@@ -1,23 +1,29 @@
 """Candidate links from shared signature keys, and distributed union-find.
 
-Used by the near-duplicate operators. Ids are 64-bit integers. Members of a key are compared with
-one leader, the member whose keys are shared most widely, which is linear in the members. Members
-that are not alike the leader are dealt again by two neighbouring keys at once, then four and so
-on. What is then in one key and not in one component is compared pair by pair, in salted blocks,
-unless the two distances from the leader rule it out, so no pair that shares a key is left open.
+Used by the near-duplicate operators. Ids are 64-bit integers. Members of a key are first compared with
+one leader, the member whose keys are shared most widely, which is linear in the members. Where a key
+then still holds members of more than one component, the members other than its leader are compared
+with each other in blocks of bounded size, each block pair in one task, so no pair that shares a key
+and is not joined by other links is left open. Only a spanning forest of a block's links is handed on.
+Joins on a key deal the rows of crowded keys by a salt too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
 WORD_BITS = 15  # Spark's bitmaps hold 2^15 bits
-BLOCK = 500  # members of a key that one task compares with the others
+BLOCK = 256  # members of a key that are compared with as many others in one step of a task
+CROWD = 2000  # rows of a key beyond which a join deals them by a salt too
+SALTS = 64
+WIDTH = 8192  # distinct hashes that a comparison of blocks holds as columns at once
 
 
 def bitmap(values: DataFrame, col: str, bits: int = 26) -> DataFrame:
@@ -64,104 +70,151 @@ def without_ids(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
     )
 
 
-def jaccard_check(sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A ``verify`` for leader_links by the exact Jaccard similarity of sets; ``far`` is their distance.
+def spread_join(rows: DataFrame, by_key: DataFrame, sizes: DataFrame, key: str, deal_by: str, crowd: int = CROWD) -> DataFrame:
+    """The inner join of rows with by_key, a table of one row a key, on a column of 64-bit integers.
 
-    sets_of takes the distinct ids (id) of the first round's pairs, which later rounds draw from,
-    and returns (id, h array) for each; it is staged once.
+    sizes (staged; key, n) counts the rows of each key. The rows of a key of more than ``crowd`` are
+    dealt to ``SALTS`` parts by their column deal_by, so that no task gets a whole crowded key.
     """
-    sets: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        if not sets:
-            sets.append(staged(sets_of(staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")), "sets"))
-        one, two = sets[0].toDF("a", "x"), sets[0].toDF("b", "y")
-        both = F.size(F.array_intersect("x", "y"))
-        joined = pairs.join(two, "b").join(one, "a").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
-        either = F.col("all") - F.col("both")
-        return joined.select("a", "b", (F.col("both") >= threshold * either).alias("alike"), (1 - F.col("both") / either).alias("far"))
-
-    return verify
-
-
-def _groups(rows: DataFrame) -> DataFrame:
-    """(key, n) of keys that two ids or more share; an id may be there more than once."""
-    sizes = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("n"))
-    return staged(sizes.where("one < two").select("key", "n"), "shared-keys")
-
+    crowded = sizes.where(F.col("n") > crowd).select(F.xxhash64(key).alias("_c"))
+    if crowded.isEmpty():
+        return rows.join(by_key, key)
+    marks = bitmap(crowded, "_c")
+    rows, by_key = (t.withColumn("_c", F.xxhash64(key)) for t in (rows, by_key))
+    dealt = maybe_in(rows, "_c", marks).withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
+    copies = maybe_in(by_key, "_c", marks).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (
+        dealt.drop("_c")
+        .join(copies.drop("_c"), [key, "_salt"])
+        .drop("_salt")
+        .unionByName(surely_out(rows, "_c", marks).drop("_c").join(surely_out(by_key, "_c", marks).drop("_c"), key))
+    )
 
-def _rest_links(held: DataFrame, links: DataFrame, verify: Callable[[DataFrame], DataFrame], reach: float) -> DataFrame:
-    """Links that leaders left open, from held (key, id, alike, far): each member but the leader of a key.
 
-    Members alike the leader are in one component. A pair with a member that is not is compared
-    unless its components are one or, by the triangle inequality, it is further apart than reach.
-    """
-    placed = held.join(components(links), "id", "left").select("key", "id", "alike", "far", F.coalesce("component", "id").alias("component"))
+def _spanning(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join what alike members of two blocks (or of one) connect beyond their components."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        a, b = np.searchsorted(column, (low, low + WIDTH))
+        held = np.zeros((n, int(column[b - 1]) - low + 1), np.float32)
+        held[owner[a:b], column[a:b] - low] = 1
+        both += held @ held.T
+    alike = both >= threshold * (size[:, None] + size[None, :] - both).astype(float)
+    alike &= size[:, None] > 0
+    if side.any() and not side.all():
+        alike &= side[:, None] != side[None, :]
+    near = alike | (component[:, None] == component[None, :])
+    links, left = [], np.ones(n, bool)
+    while left.any():
+        first = int(np.argmax(left))
+        left[first], todo = False, [first]
+        while todo:
+            u = todo.pop()
+            new = np.flatnonzero(near[u] & left)
+            left[new] = False
+            todo.extend(new.tolist())
+            links.extend((u, v) for v in new.tolist() if component[u] != component[v])
+    return links
+
+
+def _block_links(decode: Callable[[list], list[np.ndarray]], threshold: float):
+    """Links inside the groups (key, i, j) that follow each other in a partition; at most one group is held."""
+
+    def judged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
+        component, ids = rows["component"].to_numpy(), rows["id"].to_numpy()
+        if (component == component[0]).all():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = _spanning(decode(rows["h"].tolist()), rows["side"].to_numpy(), component, threshold)
+        return pd.DataFrame({"a": [ids[u] for u, _ in found], "b": [ids[v] for _, v in found]}, dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            group = pdf[["key", "i", "j"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and (held[-1][["key", "i", "j"]].to_numpy()[-1] != group[a]).any():
+                    out.append(judged(held))
+                    held = []
+                held.append(pdf.iloc[a:b])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield judged(held)
+
+    return run
+
+
+def _open_links(tried: DataFrame, links: DataFrame, sets: DataFrame, decode, threshold: float) -> DataFrame | None:
+    """Links that leaders left open, from tried (key, id): each member but the leader of a key."""
+    placed = tried.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = staged(placed, "placed-keys")
-    mixed = placed.groupBy("key").agg(F.count_if(~F.col("alike")).alias("n"), F.min("component").alias("one"), F.max("component").alias("two"))
-    mixed = staged(mixed.where("n > 0 and one < two").select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("salts")), "mixed-keys")
-    here = placed.join(mixed, "key")
-    left = here.where("not alike").withColumn("salt", F.expr("cast(pmod(xxhash64(id), salts) as int)"))
-    right = here.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-    left, right = (side.select("key", "salt", *[F.col(c).alias(f"{c}_{n}") for c in ("id", "alike", "far", "component")]) for n, side in enumerate((left, right)))
-    open_ = left.join(right, ["key", "salt"]).where("component_0 <> component_1 and (alike_1 or id_0 < id_1)").where(F.abs(F.col("far_0") - F.col("far_1")) <= reach + 1e-9)
-    pairs = staged(open_.select(F.least("id_0", "id_1").alias("a"), F.greatest("id_0", "id_1").alias("b")).distinct(), "open-pairs")
-    return staged(verify(pairs).where("alike").select("a", "b"), "rest-links")
-
-
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], n_keys: int, threshold: float = 0.8) -> DataFrame:
-    """Verified links (a, b) among members that share a key.
-
-    members: staged (id long, keys array<long>), n_keys keys each (or none), an id once or more with
-    equal keys. verify takes distinct pairs (a, b) and returns (a, b, alike, far), far being a metric
-    that is 1 - threshold at most where alike holds. At level l the
-    groups share 2^l neighbouring keys; a level takes up the members that its predecessor compared in
-    vain, and the last one has all keys in common. Pairs of a key that are then still open are compared.
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("one"), F.max("component").alias("two"))
+    mixed = staged(mixed.where("one < two").select("key", "n"), "open-keys")
+    if mixed.isEmpty():
+        return None
+    here = spread_join(placed, mixed, mixed, "key", "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    here = here.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    here = here.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = here.join(sets, "id").select("key", "i", "j", "side", "id", "component", "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return staged(dealt.mapInPandas(_block_links(decode, threshold), "a long, b long").distinct(), "open-links")
+
+
+def leader_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike, decode, threshold: float = 0.8) -> DataFrame:
+    """Verified links (a, b) among members that share a key; their components are those of all alike pairs with a shared key.
+
+    members: staged (id long, keys array<long>), an id once or more with equal keys. sets_of takes the
+    distinct ids (id) that share a key and returns (id, h) once each, h being what ``alike(x, y)``, a
+    Column of the exact test of two, and ``decode``, from a list of h to arrays of distinct integers, read.
     """
-    rows = members.select(F.posexplode("keys").alias("band", "key"), "id")
-    links: DataFrame | None = None
-    level = 0
-    while True:
-        shared = _groups(rows)
-        if level and shared.isEmpty():
-            break
-        near = (rows if level else maybe_in(rows, "key", bitmap(shared, "key"))).join(shared, "key")
-        near = staged(near.groupBy("key", "id").agg(F.min("band").alias("band"), F.max("n").alias("n")), "near-keys")
-        spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
-        leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead")).select("key", "lead.id")
-        leads = staged(leads, "leads")  # so that the join deals its sides anew and a large group can be split
-        tried = staged(near.join(leads.withColumnRenamed("id", "lead"), "key").where("id <> lead").select("key", "band", "id", "lead"), "tried")
-        judged = staged(verify(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "judged")
-        good = judged.where("alike").select("a", "b")
-        if not level:
-            first = tried.join(judged, (tried.lead == judged.a) & (tried.id == judged.b)).select("key", "id", "alike", "far")
-        links = good if links is None else links.unionByName(good)
-        level += 1
-        if 1 << level > n_keys:
-            break
-        failed = tried.join(good, (tried.lead == good.a) & (tried.id == good.b), "left_anti").select("id", F.shiftright("band", 1).alias("band")).distinct()
-        failed = staged(failed, "unlinked")
-        own = maybe_in(members, "id", bitmap(failed, "id")).dropDuplicates(["id"])
-        part = F.slice("keys", F.col("band") * (1 << level) + 1, F.lit(1 << level))
-        rows = staged(failed.join(own, "id").select("band", F.xxhash64(F.lit(level), part).alias("key"), "id"), "dealt-again")
-    if first.where("not alike").isEmpty():
-        return links
-    return links.unionByName(_rest_links(first, links, verify, 1 - threshold))
+    rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    shared = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("n")).where("one < two")
+    shared = staged(shared.select("key", "n"), "shared-keys")
+    near = staged(spread_join(maybe_in(rows, "key", bitmap(shared, "key")).distinct(), shared, shared, "key", "id"), "near-keys")
+    spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
+    leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead"), F.count("*").alias("n"))
+    leads = staged(leads.select("key", "n", F.col("lead.id").alias("lead")), "leads")
+    tried = staged(spread_join(near.drop("n"), leads.drop("n"), leads, "key", "id").where("id <> lead"), "tried")
+    sets = staged(sets_of(staged(near.select("id").distinct(), "asked")), "sets")
+    pairs = staged(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    sizes = staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "leaders")
+    led = sets.toDF("a", "x").join(sizes.select("a"), "a", "left_semi")
+    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), led, sizes, "a", "b", BLOCK).where(alike("x", "y")).select("a", "b")
+    good = staged(good, "leader-links")
+    more = _open_links(tried.select("key", "id"), good, sets, decode, threshold)
+    return good if more is None else staged(good.unionByName(more), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b); a component is named by its least id.
 
     Least labels travel along links and every label then jumps to its own label, so stars end in
-    two rounds and chains in about as many rounds as their length has binary digits.
+    two rounds and chains in about as many rounds as their length has binary digits. Labels that
+    are roots need no jump, so the many that point to one root are not dealt by it.
     """
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("component")), "labels")
+    stars = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+    stars = staged(stars.select(F.col("a").alias("id"), "n", F.least("a", "b").alias("component")), "labels")
+    labels, degrees = stars.select("id", "component"), stars.select(F.col("id").alias("b"), "n")
     while True:
-        around = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        around = spread_join(edges, labels.withColumnRenamed("id", "b"), degrees, "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         moved = labels.join(around, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
-        jumped = staged(moved.join(jump, "to", "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was"), "labels")
+        moved = moved.withColumn("_k", F.xxhash64("to"))
+        inner = labels.where("id <> component")
+        marks = bitmap(inner.select(F.xxhash64("id").alias("_k")), "_k")
+        jumped = maybe_in(moved, "_k", marks).join(inner.select(F.col("id").alias("to"), F.col("component").alias("next")), "to", "left")
+        jumped = jumped.select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was")
+        jumped = staged(jumped.unionByName(surely_out(moved, "_k", marks).select("id", F.col("to").alias("component"), "was")), "labels")
         labels = jumped.select("id", "component")
         if jumped.where("component <> was").isEmpty():
             return labels

@@ -14,20 +14,26 @@ weighted Jaccard similarity of the multisets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytehash import P, Q, chunks, mixed, scaled, span_hashes
 from .common import small_batches, staged, table
-from .linking import bitmap, components, jaccard_check, leader_links, maybe_in, without_ids
+from .linking import bitmap, components, leader_links, maybe_in, spread_join, without_ids
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
-LEAST_SHINGLES = 4  # below, 0.8 can only be reached by equal multisets
+
+
+def least_shingles(threshold: float) -> int:
+    """Multisets of fewer shingles only reach the threshold when they are equal."""
+    return math.ceil(threshold / (1 - threshold) - 1e-9) if threshold < 1 else 1 << 62
 
 
 def normal(text: str | None) -> str:
@@ -106,23 +112,20 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(key + np.arange(bands, dtype=np.uint64) * Q).view(np.int64)
 
 
-def _sketch(bands: int, rows: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            norms = [normal(t) for t in pdf["text"]]
+def _sketch(bands: int, rows: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = [normal(t) for t in batch.column("text").to_pylist()]
             for a, b in chunks(norms):
                 doc, h, weight, nth = bags(*shingles(norms[a:b]))
                 size = np.bincount(doc, weight, b - a)
-                fit = size[doc] >= LEAST_SHINGLES
+                fit = size[doc] >= least
                 keys = band_keys(bag_signatures(doc[fit], h[fit], weight[fit], b - a, bands * rows), bands, rows)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"].iloc[a:b].to_numpy(),
-                        # integers with a mask: a list with None would pass through floats
-                        "id": pd.arrays.IntegerArray(np.array([content_id(t) for t in norms[a:b]], np.int64), np.array([not t for t in norms[a:b]], bool)),
-                        "keys": pd.Series([k if n >= LEAST_SHINGLES else [] for k, n in zip(keys, size, strict=True)], dtype=object),
-                    }
-                )
+                keyed = size >= least
+                ends = np.append(0, np.cumsum(keyed * bands)).astype(np.int32)
+                ids = pa.array([content_id(t) if t else None for t in norms[a:b]], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keyed].ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids, lists], ["doc_id", "id", "keys"])
 
     return run
 
@@ -151,30 +154,29 @@ def group_documents(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     than four shingles only match their copies. Rows with a null id are left out. Rows may repeat
     an id: they are grouped by their texts. Multisets are compared by 32-bit shingle hashes.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(rows_.mapInPandas(_sketch(bands, rows), "doc_id long, id long, keys array<long>"), "bags")
+    signed = staged(rows_.mapInArrow(_sketch(bands, rows, least_shingles(threshold)), "doc_id long, id long, keys array<long>"), "bags")
     # one row a text: its least doc_id stands for it
-    texts = signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-    one = signed.where("size(keys) > 0").join(texts, ["id", "doc_id"], "left_semi").select("id", "keys")
+    texts = staged(signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts")
 
     def sets_of(asked: DataFrame) -> DataFrame:
         spots = staged(texts.join(asked, "id"), "asked-docs").select("doc_id", "id")
         found = maybe_in(rows_, "doc_id", bitmap(spots, "doc_id")).join(spots, "doc_id")
         return found.mapInPandas(_expanded, "id long, h array<int>").dropDuplicates(["id"])
 
-    linked = components(leader_links(staged(one, "texts"), jaccard_check(sets_of, threshold), bands, threshold))
-    placed = signed.select("doc_id", "id").join(linked, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
-    placed = staged(placed, "placed")
-    # written, so that the join deals its sides anew and Spark can split a large group
-    heads = staged(placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("group_id")), "heads")
-    return (
-        placed.where("c is not null")
-        .join(heads, "c")
-        .select("doc_id", "group_id")
-        .unionByName(placed.where("c is null").select("doc_id", F.col("doc_id").alias("group_id")))
-    )
+    def alike(x: str, y: str) -> F.Column:
+        both = F.size(F.array_intersect(x, y))
+        return both >= threshold * (F.size(x) + F.size(y) - both)
+
+    linked = components(leader_links(signed.where("size(keys) > 0").select("id", "keys"), sets_of, alike, list, threshold))
+    # from texts to groups, and back to the rows of each text
+    named = texts.join(linked, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
+    named = staged(named, "named")
+    heads = staged(named.groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "heads")
+    groups = spread_join(named.select("id", "component"), heads.drop("n"), heads, "component", "id").select("id", "group_id")
+    placed = spread_join(signed.where("id is not null").select("doc_id", "id"), groups, texts, "id", "doc_id").select("doc_id", "group_id")
+    return placed.unionByName(signed.where("id is null").select("doc_id", F.col("doc_id").alias("group_id")))
 
 
 def dedup_documents(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,7 +96,8 @@ def test_links_of_second_generation_copies_beside_a_large_hub(spark):
     rows = [(i, [7] + [1_000_000 + (0 if i < 300 else 10 * i + j) for j in range(7)]) for i in sets]
     members = linking.staged(spark.createDataFrame(rows, "id long, keys array<long>"), "members")
     table = spark.createDataFrame(list(sets.items()), "id long, h array<int>")
-    links = linking.leader_links(members, linking.jaccard_check(lambda asked: table.join(asked, "id"), 0.8), 8)
+    alike = lambda x, y: F.size(F.array_intersect(x, y)) >= 0.8 * F.size(F.array_union(x, y))
+    links = linking.leader_links(members, lambda asked: table.join(asked, "id"), alike, list, 0.8)
     near = lambda a, b: len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))
     assert all(near(0, 400 + k) and near(400 + k, 500 + k) and not near(0, 500 + k) for k in range(20))
     got = {r.id: r.component for r in linking.components(links).collect()}
@@ -132,14 +133,7 @@ def test_line_links_equal_brute_force(spark):
         every.append(" ".join(w))
     texts = [(i, t) for i, t in enumerate(every)]
 
-    def grams(t):
-        out, at = set(), 0
-        for word in t.split(" "):
-            out |= {t[at + k : at + k + 12] for k in range(0, len(word), 12)}
-            at += len(word) + 1
-        return out
-
-    sets = [grams(t) for t in every]
+    sets = [{t[k : k + 5] for k in range(max(1, len(t) - 4))} for t in every]
     gone = {j for j in range(len(every)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     got = {r.doc_id for r in lines.duplicate_lines(frame(spark, texts)).collect()}
     assert got == gone
@@ -201,3 +195,48 @@ def test_mix_meets_targets(spark):
     texts = mixing.mixed_texts(spark.createDataFrame(rows, DOCS)).withColumn("n", F.regexp_count("text", F.lit(mixing.WORD))).groupBy("source").agg(F.sum("n").alias("n"))
     assert {r.source: r.n for r in texts.collect()} == {(None if k == "-" else k): v for k, v in by["taken"].items() if v}
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_families_of_edited_copies_lose_no_links(spark):
+    rng = random.Random(77)
+    texts, parent = [], {}
+    for family in range(12):
+        own = [rng.choices(WORDS, k=90)]
+        for _ in range(59):  # each is an earlier one with a run of words changed
+            words = list(own[rng.randrange(len(own))])
+            at = rng.randrange(85)
+            words[at : at + 4] = rng.choices(WORDS, k=4)
+            own.append(words)
+        for k, w in enumerate(own):
+            texts.append((family * 100 + k, " ".join(w)))
+    got = {r.doc_id: r.group_id for r in neardup.group_documents(frame(spark, texts)).collect()}
+    want = true_groups(texts)
+    def pairs(groups):
+        by = collections.defaultdict(list)
+        for k, g in groups.items():
+            by[g].append(k)
+        return sum(len(m) * (len(m) - 1) // 2 for m in by.values())
+    assert len(set(want.values())) < 60
+    assert all(want[k] == want[g] for k, g in got.items())
+    assert pairs(got) >= 0.99 * pairs(want)
+
+
+def test_repeated_rows_keep_one_copy_and_shared_ids_are_told_apart(spark):
+    same, other = "the same line stands here twice over", "another line that nothing else is like"
+    texts = [(5, same), (5, same), (1, f"{same} and more words behind it to differ by much"), (1, f"{same}\n{other}"), (None, same), (9, "\n\n"), (9, "\n\n")]
+    out = collections.Counter((r.doc_id, r.text) for r in lines.dedup_lines(frame(spark, texts)).collect())
+    assert out == collections.Counter([(5, ""), (5, ""), (1, texts[2][1]), (1, f"{same}\n{other}"), (None, same), (9, "\n\n"), (9, "\n\n")])
+    out = [r.text for r in lines.dedup_lines(frame(spark, [(5, f"{same}\n\n{other}")] * 3)).collect()]
+    assert sorted(out) == ["", "", f"{same}\n\n{other}"]
+
+
+def test_line_sketches_of_long_and_odd_lines():
+    rng = random.Random(3)
+    odd = ["a", "", "abcd", "abcde", "x" * 300_000, "".join(rng.choices("abcdé€😀", k=290_000))]
+    want = [{t.ljust(5, "\0")[k : k + 5] for k in range(max(1, len(t) - 4))} for t in odd]
+    assert [len(s) for s in lines.line_sets(odd)] == [len(s) for s in want]
+    both, either = lines.overlaps(odd, odd[1:] + odd[:1])
+    assert list(both) == [len(a & b) for a, b in zip(want, want[1:] + want[:1])]
+    assert list(either) == [len(a | b) for a, b in zip(want, want[1:] + want[:1])]
+    keys = lines.line_keys(odd)
+    assert (keys == np.vstack([lines.line_keys([t]) for t in odd])).all()
