@@ -4,8 +4,7 @@ Texts become template tokens: lower-case words, with numbers, names (capitalised
 sentence) and units (a unit word behind a number) replaced by typed placeholders, runs of one
 placeholder being one. Windows of eight template tokens are hashed and hash-joined with the
 benchmark's; hits of one document and item on one alignment must put the same document value into
-the same item slot everywhere, and different values into different ones. Equal values are a copy,
-others a re-parameterised question. A window whose own values are all the item's is copied whatever
+the same item slot everywhere. Equal values are a copy, others a re-parameterised question. A window whose own values are all the item's is copied whatever
 the rest of its alignment holds, and a run of names or numbers at a window's edge, which may go on
 outside, says nothing about consistency. Items without a usable window are searched by plain words.
 """
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 
 from .bytehash import P, chunks, mixed, span_hashes
 from .common import small_batches, staged, table
-from .linking import WORD_BITS, without_ids
+from .linking import WORD_BITS, spread_join, without_ids
 
 WINDOW = 8
 SHORTEST = 4  # items of fewer template tokens are searched for by plain words
-FILTER_BITS = 24  # 2 MB of bits screen the documents' windows, however many the benchmark has
+LEAST_BITS, MOST_BITS = 16, 28  # bits that screen the documents' windows: 16 a benchmark window, 32 MB at most
+BROADCAST_WINDOWS = 200_000  # benchmark windows are broadcast up to this many (some tens of MB), and joined by a shuffle beyond
 # Words taken for units when they follow a number.
 UNITS = (
     "mm cm m km kms in inch inches ft foot feet yd yard yards mile miles mg g gram grams kg kilogram kilograms lb lbs pound pounds oz "
@@ -167,17 +167,19 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _screen(items: DataFrame) -> np.ndarray:
-    """2^FILTER_BITS bits: which window hashes may be in the benchmark; fixed in size."""
-    top = F.shiftrightunsigned("key", 64 - FILTER_BITS)
+    """Bits that tell which window hashes may be in the benchmark: 16 a window, within LEAST_BITS and MOST_BITS."""
+    n = items.count()
+    width = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    top = F.shiftrightunsigned("key", 64 - width)
     rows = (
         items.groupBy(F.shiftright(top, WORD_BITS).alias("chunk"))
         .agg(F.bitmap_construct_agg(top.bitwiseAND((1 << WORD_BITS) - 1)).alias("bits"))
         .collect()
     )
-    bits = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
-    width = (1 << WORD_BITS) >> 3
+    bits = np.zeros((1 << width) >> 3, np.uint8)
+    part = (1 << WORD_BITS) >> 3
     for r in rows:
-        bits[r.chunk * width : (r.chunk + 1) * width] = np.frombuffer(bytes(r.bits), np.uint8)
+        bits[r.chunk * part : (r.chunk + 1) * part] = np.frombuffer(bytes(r.bits), np.uint8)
     return bits
 
 
@@ -190,6 +192,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = bits.value
+        shift = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
         for pdf in batches:
             texts = _clean(pdf["text"])
             for a, b in chunks(texts):
@@ -198,7 +201,7 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 for length in lengths:
                     at, keys = t.windows(length)
                     first, doc = t.first_of(length), t.plain_doc if length < 0 else t.doc
-                    slot = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    slot = (keys >> shift).astype(np.int64)
                     hit = (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
                     for k, key in zip(at[hit], keys[hit], strict=True):
                         out.append((int(pdf["doc_id"].iloc[a + doc[k]]), key.view(np.int64), int(k - first[k]), t.slots(k, max(length, 0))))
@@ -208,6 +211,16 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return rows.mapInPandas(scan, "doc_id long, key long, doc_pos int, doc_slots array<string>")
 
 
+def _met(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """Hits with the items' windows of their key. The items of a key are one row of the join."""
+    of_key = items.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_pos", "item_slots")).alias("items"))
+    if items.count() <= BROADCAST_WINDOWS:
+        joined = hits.join(F.broadcast(of_key), "key")
+    else:
+        joined = spread_join(hits, of_key, staged(hits.groupBy("key").agg(F.count("*").alias("n")), "hit-keys"), "key", "doc_id")
+    return joined.select("doc_id", "key", "doc_pos", "doc_slots", F.inline("items"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, changed_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, kind, windows, item_windows, share): items found in documents.
 
@@ -221,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, chan
     items = item_windows(benchmark)
     hits = staged(window_hits(docs, items, id_col, text_col), "window-hits")
     total = items.groupBy("item_id").agg(F.count_distinct("key").alias("item_windows"))
-    met = hits.join(items, "key").withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
+    met = _met(hits, items).withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     met = met.withColumn("slots", F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")))
     own = """forall(slots, s -> substring(s.i, 2) = s.d or (left(s.i, 1) = '$' and startswith(s.d, concat(substring(s.i, 2), ' ')))
         or (left(s.i, 1) = '^' and endswith(s.d, concat(' ', substring(s.i, 4)))))"""
@@ -230,7 +243,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, chan
     lined = met.groupBy("doc_id", "item_id", "shift").agg(
         F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("own"), F.col("key"))).alias("copied"), pairs.alias("slots")
     )
-    agreed = F.expr("size(slots) = size(array_distinct(transform(slots, s -> s.i))) and size(slots) = size(array_distinct(transform(slots, s -> s.d)))")
+    agreed = F.expr("size(slots) = size(array_distinct(transform(slots, s -> s.i)))")
     lined = lined.withColumn("keys", F.when(agreed, F.col("keys")).otherwise(F.col("copied")))
     found = lined.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("keys")))).cast("long").alias("windows"),

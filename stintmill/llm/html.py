@@ -1,21 +1,24 @@
 """Operator 7: main text of web pages by wrappers, inferred as union-free regular expressions.
 
 A page is a tree of elements keyed by tag and class. Adjacent elements of one key are one repeated
-group, and text is a slot. The pages of a host are aligned one after another: elements of equal key
-are aligned inside, elements that one side lacks become optional, and what thereby becomes adjacent
-to its like is repeated. The result is the host's wrapper, a union-free regular expression such as
-``body(nav(ul(li+(a(#))))article(h1(#)p+(b?(#)#)))footer(#)``. Wrappers are merged from the distinct
-trees of a host, in salted groups first, never from its pages in one place. A wrapper's slots are
-then chosen: those inside its article, and those elsewhere in its body, that stand in no menu, header,
-footer, sidebar, notice, advert, form, or comment. A page's text is what its own tokens put into
-the article's slots, or into the others where it puts nothing into those.
+group, as are sequences of elements that follow themselves, and text is a slot. The pages of a host are
+aligned one after another: elements of equal key are aligned inside, elements that one side lacks become
+optional, and what thereby becomes adjacent to its like is repeated. The result is the host's wrapper, a
+union-free regular expression such as ``body(nav(ul(li+(a(#))))article(h1(#)p+(b?(#)#)))footer(#)``.
+Wrappers are merged from the distinct trees of a host, in rounds of groups of bounded size.
+A wrapper's slots are then chosen: those inside its article, and those elsewhere in its body, that stand
+in no menu, header, footer, sidebar, notice, advert, form, or comment. Slots outside an article that say
+the same on every page of a host are part of its template and hold no text. A page's text is what its own
+tokens put into the article's slots, or into the others where it puts nothing into those.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,6 +45,13 @@ DROPPED_WORDS = set(
     "social sponsor sponsored subscribe subscription tags toolbar widget widgets".split()
 )
 MAIN_WORDS = set("article articlebody articlecontent article-body article-content content-body entry-content main-content maincontent post-body post-content story-body".split())
+# Words that only say where or what kind of box a named thing is.
+BOX_WORDS = set(
+    "area banner bar block body bottom box button buttons center col column container content entry fixed footer form global group header holder icon icons "
+    "inner item items left link links list main media module outer page panel popup post posts primary right row secondary section site slot thread top "
+    "unit wrap wrapper zone".split()
+)
+DEEPEST = 256  # elements nested deeper belong to their ancestor at this depth
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|(?P<text>[^<]+|<)",
     re.S,
@@ -69,9 +79,18 @@ def _key(tag: str, attrs: str) -> str:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """("open", key), ("close", key) and ("text", raw text), well nested whatever the markup."""
+    """("open", key), ("close", key) and ("text", raw text), well nested whatever the markup.
+
+    Elements below DEEPEST are ("in", key) and ("out", key) instead.
+    """
     stack: list[tuple[str, str]] = []
-    at = 0
+    opened, at = dict[str, int](), 0
+
+    def shut() -> tuple[str, str]:
+        tag, key = stack.pop()
+        opened[tag] -= 1
+        return ("close" if len(stack) < DEEPEST else "out"), key
+
     while m := TOKEN.match(page, at):
         at = m.end()
         if (text := m["text"]) is not None or (text := m["cdata"]) is not None:
@@ -81,10 +100,10 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             continue
         tag = m["tag"].lower()
         if m["close"]:
-            if any(t == tag for t, _ in stack):
+            if opened.get(tag):
                 while stack:
-                    t, key = stack.pop()
-                    yield "close", key
+                    t = stack[-1][0]
+                    yield shut()
                     if t == tag:
                         break
             elif tag in BLOCK or tag == "br":
@@ -99,37 +118,50 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                 yield ("text", " ") if tag != "wbr" else ("text", "")
             continue
         if tag in CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            shut = {"p"} if tag in CLOSES_P else set()
-            shut |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(tag, set())
+            ends = {"p"} if tag in CLOSES_P else set()
+            ends |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}.get(tag, set())
             depth = len(stack)
-            while depth and (stack[depth - 1][0] not in BLOCK or stack[depth - 1][0] in shut):
+            while depth and any(map(opened.get, ends)) and (stack[depth - 1][0] not in BLOCK or stack[depth - 1][0] in ends):
                 depth -= 1
-                if stack[depth][0] in shut and not (depth and stack[depth - 1][0] in shut):
+                if stack[depth][0] in ends and not (depth and stack[depth - 1][0] in ends):
                     break
-            if depth < len(stack) and stack[depth][0] in shut:
+            if depth < len(stack) and stack[depth][0] in ends:
                 while len(stack) > depth:
-                    yield "close", stack.pop()[1]
+                    yield shut()
         key = _key(tag, m["attrs"])
         if m["attrs"].endswith("/") and tag not in BLOCK:
             continue
         stack.append((tag, key))
-        yield "open", key
+        opened[tag] = opened.get(tag, 0) + 1
+        yield ("open" if len(stack) <= DEEPEST else "in"), key
     while stack:
-        yield "close", stack.pop()[1]
+        yield shut()
 
 
-# A node is [key, optional, repeated, children]; a slot's key is "#".
+# A node is [key, optional, repeated, children]; a slot's key is "#", that of a repeated sequence "(" and its keys.
+LONGEST_GROUP = 6
+ALIGNED = 250_000  # cells of a table of longest common subsequences; longer sequences are aligned greedily
 
 
 def _fold(nodes: list) -> list:
-    """Adjacent nodes of one key become one repeated node."""
+    """Adjacent nodes of one key become one repeated node, and so do sequences that follow themselves."""
     out: list = []
     for node in nodes:
         if out and out[-1][0] == node[0]:
             out[-1] = _merge(out[-1], node)
             out[-1][2] = True
-        else:
-            out.append(node)
+            continue
+        out.append(node)
+        for k in range(2, LONGEST_GROUP + 1):
+            last = [x[0] for x in out[-k:]]
+            key = "(" + " ".join(last)
+            if len(out) > k and out[-k - 1][0] == key:
+                whole = out[-k - 1]
+                out[-k - 1 :] = [[key, whole[1], True, [_merge(x, y) for x, y in zip(whole[3], out[-k:], strict=True)]]]
+                break
+            if len(out) >= 2 * k and [x[0] for x in out[-2 * k : -k]] == last:
+                out[-2 * k :] = [[key, False, True, [_merge(x, y) for x, y in zip(out[-2 * k : -k], out[-k:], strict=True)]]]
+                break
     return out
 
 
@@ -137,26 +169,49 @@ def _merge(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], _align(a[3], b[3])]
 
 
-def _align(a: list, b: list) -> list:
-    """Two sequences as one: a longest common subsequence of keys is aligned, the rest is optional."""
-    if [x[0] for x in a] == [x[0] for x in b]:
-        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Aligned places of two sequences of keys: a longest common subsequence, or for very long ones the next equal keys."""
     n, m = len(a), len(b)
+    out = []
+    if n * m > ALIGNED:
+        places: dict[str, list[int]] = {}
+        for j, key in enumerate(b):
+            places.setdefault(key, []).append(j)
+        least = 0
+        for i, key in enumerate(a):
+            own = places.get(key, ())
+            at = bisect.bisect_left(own, least)
+            if at < len(own) and own[at] - least <= 2 * LONGEST_GROUP:
+                out.append((i, own[at]))
+                least = own[at] + 1
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(_merge(a[i], b[j]))
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], True, a[i][2], a[i][3]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], True, b[j][2], b[j][3]])
             j += 1
+    return out
+
+
+def _align(a: list, b: list) -> list:
+    """Two sequences as one: common keys are aligned, the rest is optional."""
+    own, other = [x[0] for x in a], [x[0] for x in b]
+    if own == other:
+        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    for to_i, to_j in [*_common(own, other), (len(a), len(b))]:
+        out.extend([k, True, r, c] for k, _, r, c in [*a[i:to_i], *b[j:to_j]])
+        if to_i < len(a):
+            out.append(_merge(a[to_i], b[to_j]))
+        i, j = to_i + 1, to_j + 1
     return _fold(out)
 
 
@@ -179,7 +234,8 @@ def tree(page: str) -> list:
 
 def expression(nodes: list) -> str:
     """A wrapper written out as a union-free regular expression."""
-    return "".join(k + ("+" if r else "") + ("?" if o else "") + (f"({expression(c)})" if c else "") for k, o, r, c in nodes)
+    marks = lambda o, r: ("+" if r else "") + ("?" if o else "")
+    return "".join([f"({expression(c)}){marks(o, r)}" if k[0] == "(" else k + marks(o, r) + (f"({expression(c)})" if c else "") for k, o, r, c in nodes])
 
 
 def _parts(key: str) -> tuple[str, list[str]]:
@@ -192,6 +248,12 @@ def _is_main(key: str) -> bool:
     return tag in MAIN or (tag not in PAGE and any(w in MAIN_WORDS or w in ("main", "article") for w in words))
 
 
+def _speaks_of(word: str, names: set[str]) -> bool:
+    """True for a class that is one of the names, or a name and words for boxes: ``ad-box``, not ``social-science``."""
+    parts = [p for p in re.split(r"[-_]+", word) if p and p != "0"]
+    return word in names or (any(p in names for p in parts) and all(p in names or p in BOX_WORDS for p in parts))
+
+
 def _is_dropped(key: str, in_main: bool) -> bool:
     """Classes of html and body speak of the page, those of an article or main of its kind: neither drops it."""
     tag, words = _parts(key)
@@ -203,14 +265,15 @@ def _is_dropped(key: str, in_main: bool) -> bool:
         return True
     if _is_main(key):
         return any(w in DROPPED_WORDS for w in words)
-    if not in_main and any(p in ("header", "branding", "logo") for w in words for p in re.split(r"[-_]", w)):
+    if not in_main and any(_speaks_of(w, {"header", "branding", "logo"}) for w in words):
         return True
-    return any(w in DROPPED_WORDS or any(p in DROPPED_WORDS for p in re.split(r"[-_]", w)) for w in words)
+    return any(_speaks_of(w, DROPPED_WORDS) for w in words)
 
 
-def chosen_slots(nodes: list) -> list[list[str]]:
+def chosen_slots(nodes: list, constant: set[str] = frozenset()) -> list[list[str]]:
     """Paths of the slots that may hold the main text, in the order in which a page tries them: those in an
-    article, those in an article or main that is named like a comment or a notice, and those of the body."""
+    article, those in an article or main that is named like a comment or a notice, and those of the body,
+    without those that are ``constant`` unless all are."""
     inside, named, anywhere = [], [], []
 
     def visit(children: list, path: str, into: list) -> None:
@@ -218,6 +281,8 @@ def chosen_slots(nodes: list) -> list[list[str]]:
             main = into is not anywhere
             if key == SLOT:
                 into.append(path)
+            elif key[0] == "(":
+                visit(own, path, into)
             elif not _is_dropped(key, main):
                 tag, words = _parts(key)
                 if tag in MAIN and any(w in DROPPED_WORDS for w in words):
@@ -226,7 +291,25 @@ def chosen_slots(nodes: list) -> list[list[str]]:
                     visit(own, f"{path}/{key}", inside if not main and _is_main(key) else into)
 
     visit(nodes, "", anywhere)
-    return [sorted(set(slots)) for slots in (inside, named, anywhere)]
+    said = set(anywhere) - set(constant)
+    return [sorted(set(slots)) for slots in (inside, named, said or anywhere)]
+
+
+def outer_slots(page: str) -> dict[str, int]:
+    """Path and hash of the text of each slot outside an article; a path that repeats has one hash for all."""
+    found: dict[str, list[str]] = {}
+    path, inside = [""], 0
+    for what, value in tokens(page):
+        if what == "text":
+            if not inside and value.strip():
+                found.setdefault(path[-1], []).append(" ".join(value.split()))
+        elif what == "open":
+            inside += bool(inside) or _is_main(value)
+            path.append(f"{path[-1]}/{value}")
+        elif what == "close":
+            inside -= bool(inside)
+            path.pop()
+    return {p: zlib.crc32("\n".join(t).encode("utf-8", "surrogatepass")) for p, t in found.items()}
 
 
 def main_text(page: str, slots: set[str]) -> str:
@@ -234,6 +317,7 @@ def main_text(page: str, slots: set[str]) -> str:
     blocks: list[str] = []
     run: list[str] = []
     path = [""]
+    deep: list[bool] = []  # of the elements below the deepest: whether they stand in one that is dropped
 
     def flush() -> None:
         if run and (line := " ".join(entities.unescape("".join(run)).split())):
@@ -242,13 +326,17 @@ def main_text(page: str, slots: set[str]) -> str:
 
     for what, value in tokens(page):
         if what == "text":
-            if path[-1] in slots or (run and not value.strip()):
+            if (path[-1] in slots and not (deep and deep[-1])) or (run and not value.strip()):
                 run.append(value)
         else:
             if value.split(".", 1)[0] in BLOCK:
                 flush()
             if what == "open":
                 path.append(f"{path[-1]}/{value}")
+            elif what == "in":
+                deep.append((deep and deep[-1]) or _is_dropped(value, True))
+            elif what == "out":
+                deep.pop()
             else:
                 path.pop()
     flush()
@@ -259,9 +347,16 @@ def host_of(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1)), F.lit(""))
 
 
+GROUP = 200  # trees that one task merges into one wrapper
+LEAST_PAGES = 3  # pages that must say the same in a slot for it to count as constant
+
+
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"host": pdf["host"], "tree": [json.dumps(tree(h or "")) for h in pdf["html"]]})
+        outer = [outer_slots(h or "") for h in pdf["html"]]
+        page = [zlib.crc32((h or "").encode("utf-8", "surrogatepass")) for h in pdf["html"]]
+        trees = [json.dumps(tree(h or "")) for h in pdf["html"]]
+        yield pd.DataFrame({"host": pdf["host"], "page": page, "tree": trees, "paths": [list(o) for o in outer], "said": [list(o.values()) for o in outer]})
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,17 +368,23 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [pdf["host"].iloc[0]], "tree": [json.dumps(wrapper)], "n": [int(pdf["n"].sum())]})
 
 
-def wrappers(pages: DataFrame, salts: int = 32) -> DataFrame:
-    """Staged (host, wrapper, slots) from every page (host, html): the distinct trees of a host are
-    merged in ``salts`` groups, and the groups' wrappers then with each other."""
-    small_batches(pages.sparkSession)
-    trees = pages.select("host", "html").mapInPandas(_signatures, "host string, tree string").groupBy("host", "tree").agg(F.count("*").alias("n"))
-    salted = trees.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(salts)))
-    part = salted.groupBy("host", "salt").applyInPandas(lambda pdf: _merged(pdf), "host string, tree string, n long")
-    whole = staged(part, "host-parts").groupBy("host").applyInPandas(_merged, "host string, tree string, n long")
-    choose = F.pandas_udf(lambda s: pd.Series([chosen_slots(json.loads(t)) for t in s]), "array<array<string>>")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """Staged (host, wrapper, slots) from every page (host, html): the distinct trees of a host are merged
+    in groups of about GROUP, the groups' wrappers again, and so on until a host has one."""
+    small_batches(pages.sparkSession, 500)
+    seen = staged(pages.select("host", "html").mapInPandas(_signatures, "host string, page long, tree string, paths array<string>, said array<long>"), "page-trees")
+    level = staged(seen.groupBy("host", "tree").agg(F.count("*").alias("n")), "trees")
+    while (most := level.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        salt = F.pmod(F.xxhash64("tree"), F.lit(-(-most // GROUP)))
+        level = staged(level.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(lambda pdf: _merged(pdf), "host string, tree string, n long"), "trees")
+    # slots outside an article that say the same on every page
+    each = seen.select("host", "page", F.explode(F.arrays_zip("paths", "said")).alias("s")).select("host", "page", "s.paths", "s.said")
+    each = each.groupBy("host", "paths").agg(F.min("said").alias("a"), F.max("said").alias("b"), F.approx_count_distinct("page").alias("n"))
+    constant = each.where((F.col("a") == F.col("b")) & (F.col("n") >= LEAST_PAGES)).groupBy("host").agg(F.collect_set("paths").alias("constant"))
+    choose = F.pandas_udf(lambda t, c: pd.Series([chosen_slots(json.loads(x), set(y if y is not None else ())) for x, y in zip(t, c, strict=True)]), "array<array<string>>")
     written = F.pandas_udf(lambda s: pd.Series([expression(json.loads(t)) for t in s]), "string")
-    return staged(whole.select("host", written("tree").alias("wrapper"), choose("tree").alias("slots")), "wrappers")
+    both = level.join(constant, "host", "left")
+    return staged(both.select("host", written("tree").alias("wrapper"), choose("tree", "constant").alias("slots")), "wrappers")
 
 
 BROADCAST_HOSTS = 20_000  # wrappers are broadcast up to this many hosts, and joined by a shuffle beyond

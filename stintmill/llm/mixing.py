@@ -141,9 +141,10 @@ def mix(
 def mixed_texts(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (), **options) -> DataFrame:
     """The mix itself: (doc_id, source, copy, text) and carried columns, one row a repetition.
 
-    The last repetition of a source is the first ``part`` words of its text, with single spaces. Options are those of mix.
+    The last repetition of a source is its text up to the end of its ``part``-th word. Options are those of mix.
     """
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("part").cast("int")), " ")
+    spaced = F.regexp_extract_all(text_col, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(spaced, 1, F.col("part").cast("int")), "")
     whole = F.array_repeat(F.col(text_col), (F.col("repeats") + (F.col("part") == F.col("size")).cast("int")).cast("int"))
     rest = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(cut)).otherwise(F.array().cast("array<string>"))
     plan = mix(docs, text_col=text_col, carry=(text_col, *carry), **options).where("taken > 0")

@@ -112,7 +112,30 @@ def test_main_text(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_deep_and_wide_pages(spark):
+    deep = "<body><article>" + "<div><b>" * 2500 + "core<nav>menu</nav><p>more" + "</b></div>" * 2500 + "<p>end</article></body>"
+    wide = "<body><article>" + "".join(f"<h2>t{i}</h2><p>x{i}</p>" + ("<ul><li>y</li></ul>" if i % 7 == 0 else "") for i in range(20_000)) + "</article></body>"
+    pages = [(1, "http://a/1", deep), (2, "http://a/2", wide), (3, "http://a/3", wide.replace("<ul>", "<ol>").replace("</ul>", "</ol>")), (4, "http://b/", deep)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[4] == "core\nmore\nend"
+    assert got[2] == got[3] and got[2].startswith("t0\nx0\ny\nt1\nx1\nt2") and got[2].count("\n") == 40_000 + 2857
+
+
+def test_class_names_and_constant_slots(spark):
+    body = "<body><div class='promo-claim'>Same on all</div><div class='text'><p>Story {0}</p></div><div class='x'>Terms apply</div></body>"
+    pages = [(i, f"http://c/{i}", body.format(i)) for i in range(4)]
+    pages += [
+        (10, "http://d/1", "<body><article class='post social-science'><div class='tags-of-life'><p>Kept</p></div><div class='ad-box'>buy</div><div class='has-sidebar'>Too</div></article></body>"),
+        (11, "http://e/1", "<body><div class='x'>One page only</div></body>"),
+        (12, "http://f/1", "<body><div class='page-wrap'>Copy</div></body>"), (13, "http://f/2", "<body><div class='page-wrap'>Copy</div></body>"),
+    ]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"Story {i}" for i in range(4)]
+    assert got[10] == "Kept\nToo" and got[11] == "One page only" and got[12] == got[13] == "Copy"
+
+
 def test_wrapper_has_repeats_and_optionals():
+    assert html.expression(html.tree("<dl><dt>a<dd>b<dt>c<dd>d</dl>")) == "dl((dt(#)dd(#))+)"
     one, two = html.tree("<ul><li>a<li>b</ul><p>x"), html.tree("<ul><li>a</ul><h2>t</h2><p>x")
     assert html.expression(html._align(one, two)) == "ul(li+(#))h2?(#)p(#)"
 
