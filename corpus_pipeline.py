@@ -41,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each repetition of a document that it takes."""
-    return mixed_texts(docs, carry=("lang", "n_chars"))
+    return mixed_texts(docs, carry=("lang",)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 STAGES = [
