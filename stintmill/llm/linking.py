@@ -1,15 +1,18 @@
 """Candidate links from shared signature keys, and distributed union-find.
 
-Used by the near-duplicate operators. Ids are 64-bit integers. Members of a key are first compared with
-one leader, the member whose keys are shared most widely, which is linear in the members. Where a key
+Used by the near-duplicate operators. Ids are 64-bit integers. Each member carries keys and a sketch of
+32 bytes that agree with the probability of two members' similarity. Members of a key are first compared
+with one leader, the member whose keys are shared most widely, which is linear in the members. Where a key
 then still holds members of more than one component, the members other than its leader are compared
-with each other in blocks of bounded size, each block pair in one task, so no pair that shares a key
-and is not joined by other links is left open. Only a spanning forest of a block's links is handed on.
+with each other in blocks of bounded size, each block pair in one task: by their sketches, and where
+these come near, by the exact test. So no pair that shares a key and is not joined by other links is
+left open. Only a spanning forest of a block's links is handed on.
 Joins on a key deal the rows of crowded keys by a salt too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,6 +26,9 @@ WORD_BITS = 15  # Spark's bitmaps hold 2^15 bits
 BLOCK = 256  # members of a key that are compared with as many others in one step of a task
 CROWD = 2000  # rows of a key beyond which a join deals them by a salt too
 SALTS = 64
+LANES = 32  # bytes of a sketch, in four 64-bit integers
+SKETCH = [f"s{k}" for k in range(LANES // 8)]
+PAIRS = 1 << 18  # pairs whose sketches are compared at once
 WIDTH = 8192  # distinct hashes that a comparison of blocks holds as columns at once
 
 
@@ -91,6 +97,91 @@ def spread_join(rows: DataFrame, by_key: DataFrame, sizes: DataFrame, key: str,
     )
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Sketches (rows of four 64-bit integers) from rows of LANES integers, of which the low bytes count."""
+    return np.ascontiguousarray(values.astype(np.uint8)).view(np.int64)
+
+
+def least_agreeing(threshold: float) -> int:
+    """Sketches of two members that reach the threshold agree in fewer bytes in less than 1 of 10,000 cases."""
+    return max(1, math.floor(LANES * threshold - 4.25 * math.sqrt(LANES * threshold * (1 - threshold))))
+
+
+def agreeing(a: list[str], b: list[str]) -> F.Column:
+    """In how many bytes two sketches agree."""
+    differ = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        z = F.col(x).bitwiseXOR(F.col(y))
+        for step in (4, 2, 1):
+            z = z.bitwiseOR(F.shiftrightunsigned(z, step))
+        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+    return F.lit(LANES) - differ
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = a ^ b
+    for step in (4, 2, 1):
+        z |= z >> np.uint64(step)
+    return LANES - np.bitwise_count(z & np.uint64(0x0101010101010101)).sum(axis=1, dtype=np.int64)
+
+
+GROUP = ["key", "i", "j"]
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups of a sorted partition, and where the groups start; a group may span batches."""
+    held: list[pd.DataFrame] = []
+    last = None
+
+    def cut(pdf: pd.DataFrame) -> np.ndarray:
+        group = pdf[GROUP].to_numpy()
+        return np.flatnonzero(np.append(True, (group[1:] != group[:-1]).any(axis=1)))
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        starts = cut(pdf)
+        if last is not None and (len(starts) > 1 or tuple(pdf[GROUP].iloc[0]) != last):
+            whole = pd.concat([*held, pdf.iloc[: starts[-1]]], ignore_index=True)
+            held = [pdf.iloc[starts[-1] :]]
+            yield whole, cut(whole)
+        elif last is None and len(starts) > 1:
+            yield pdf.iloc[: starts[-1]].reset_index(drop=True), starts[:-1]
+            held = [pdf.iloc[starts[-1] :]]
+        else:
+            held.append(pdf)
+        last = tuple(pdf[GROUP].iloc[-1])
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, cut(whole)
+
+
+def _near_members(least: int):
+    """The members of groups (key, i, j) whose sketch comes near that of another component's member."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, starts in _whole_groups(batches):
+            sketch = rows[SKETCH].to_numpy().view(np.uint64)
+            component, side, other = rows["component"].to_numpy(), rows["side"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
+            near = np.zeros(len(rows), bool)
+            until = np.repeat(np.append(starts[1:], len(rows)), np.diff(np.append(starts, len(rows))))
+            partners = until - np.arange(len(rows)) - 1
+            upto = np.append(0, np.cumsum(partners))
+            at = 0
+            while at < len(rows):
+                stop = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+                u = np.repeat(np.arange(at, stop), partners[at:stop])
+                v = np.arange(upto[stop] - upto[at]) - np.repeat(upto[at:stop] - upto[at], partners[at:stop]) + u + 1
+                open_ = (component[u] != component[v]) & (~other[u] | (side[u] != side[v]))
+                u, v = u[open_], v[open_]
+                close = _agree(sketch[u], sketch[v]) >= least
+                near[u[close]] = near[v[close]] = True
+                at = stop
+            yield rows.loc[near, [*GROUP, "side", "id", "component"]]
+
+    return run
+
+
 def _spanning(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join what alike members of two blocks (or of one) connect beyond their components."""
     n = len(sets)
@@ -124,40 +215,23 @@ def _spanning(sets: list[np.ndarray], side: np.ndarray, component: np.ndarray, t
 
 
 def _block_links(decode: Callable[[list], list[np.ndarray]], threshold: float):
-    """Links inside the groups (key, i, j) that follow each other in a partition; at most one group is held."""
-
-    def judged(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        rows = pd.concat(parts) if len(parts) > 1 else parts[0]
-        component, ids = rows["component"].to_numpy(), rows["id"].to_numpy()
-        if (component == component[0]).all():
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        found = _spanning(decode(rows["h"].tolist()), rows["side"].to_numpy(), component, threshold)
-        return pd.DataFrame({"a": [ids[u] for u, _ in found], "b": [ids[v] for _, v in found]}, dtype="int64")
+    """Links inside the groups (key, i, j) of a sorted partition."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            group = pdf[["key", "i", "j"]].to_numpy()
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        for rows, starts in _whole_groups(batches):
+            component, side, ids, h = (rows[c].to_numpy() for c in ("component", "side", "id", "h"))
             out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if held and (held[-1][["key", "i", "j"]].to_numpy()[-1] != group[a]).any():
-                    out.append(judged(held))
-                    held = []
-                held.append(pdf.iloc[a:b])
-            if out:
-                yield pd.concat(out)
-        if held:
-            yield judged(held)
+            for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True):
+                if (component[a:b] != component[a]).any():
+                    out.extend((ids[a + u], ids[a + v]) for u, v in _spanning(decode(h[a:b].tolist()), side[a:b], component[a:b], threshold))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _open_links(tried: DataFrame, links: DataFrame, sets: DataFrame, decode, threshold: float) -> DataFrame | None:
-    """Links that leaders left open, from tried (key, id): each member but the leader of a key."""
-    placed = tried.join(components(links), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+def _open_links(tried: DataFrame, links: DataFrame, sets_of, decode, threshold: float) -> DataFrame | None:
+    """Links that leaders left open, from tried (key, id, sketch): each member but the leader of a key."""
+    placed = tried.join(components(links), "id", "left").select("key", "id", *SKETCH, F.coalesce("component", "id").alias("component"))
     placed = staged(placed, "placed-keys")
     mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("one"), F.max("component").alias("two"))
     mixed = staged(mixed.where("one < two").select("key", "n"), "open-keys")
@@ -165,33 +239,42 @@ def _open_links(tried: DataFrame, links: DataFrame, sets: DataFrame, decode, thr
         return None
     here = spread_join(placed, mixed, mixed, "key", "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     here = here.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    here = here.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    dealt = here.join(sets, "id").select("key", "i", "j", "side", "id", "component", "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return staged(dealt.mapInPandas(_block_links(decode, threshold), "a long, b long").distinct(), "open-links")
+    dealt = here.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", *SKETCH, (F.col("own") > F.col("other")).cast("int").alias("side"))
+    dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    near = dealt.mapInPandas(_near_members(least_agreeing(threshold)), "key long, i int, j int, side int, id long, component long")
+    near = staged(near, "near-members")
+    asked = staged(near.select("id").distinct(), "asked")
+    exact = near.join(sets_of(asked), "id").select(*GROUP, "side", "id", "component", "h").repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return staged(exact.mapInPandas(_block_links(decode, threshold), "a long, b long").distinct(), "open-links")
 
 
 def leader_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], alike, decode, threshold: float = 0.8) -> DataFrame:
     """Verified links (a, b) among members that share a key; their components are those of all alike pairs with a shared key.
 
-    members: staged (id long, keys array<long>), an id once or more with equal keys. sets_of takes the
-    distinct ids (id) that share a key and returns (id, h) once each, h being what ``alike(x, y)``, a
+    members: staged (id long, keys array<long>, sketch in SKETCH), an id once or more with equal keys.
+    sets_of takes distinct ids (id) and returns (id, h) once each, h being what ``alike(x, y)``, a
     Column of the exact test of two, and ``decode``, from a list of h to arrays of distinct integers, read.
     """
-    rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
+    rows = members.select(F.explode(F.array_distinct("keys")).alias("key"), "id", *SKETCH)
     shared = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("n")).where("one < two")
     shared = staged(shared.select("key", "n"), "shared-keys")
-    near = staged(spread_join(maybe_in(rows, "key", bitmap(shared, "key")).distinct(), shared, shared, "key", "id"), "near-keys")
+    held = maybe_in(rows, "key", bitmap(shared, "key")).groupBy("key", "id").agg(*[F.first(c).alias(c) for c in SKETCH])
+    near = staged(spread_join(held, shared, shared, "key", "id"), "near-keys")
     spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
-    leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id")).alias("lead"), F.count("*").alias("n"))
-    leads = staged(leads.select("key", "n", F.col("lead.id").alias("lead")), "leads")
-    tried = staged(spread_join(near.drop("n"), leads.drop("n"), leads, "key", "id").where("id <> lead"), "tried")
-    sets = staged(sets_of(staged(near.select("id").distinct(), "asked")), "sets")
-    pairs = staged(tried.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id", *SKETCH)).alias("lead"), F.count("*").alias("n"))
+    led = [f"l{c}" for c in SKETCH]
+    leads = staged(leads.select("key", "n", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(n) for c, n in zip(SKETCH, led, strict=True)]), "leads")
+    tried = spread_join(near.drop("n"), leads.drop("n"), leads, "key", "id").where("id <> lead")
+    tried = tried.withColumn("close", agreeing(SKETCH, led) >= least_agreeing(threshold))
+    tried = staged(tried.select("key", "id", "lead", "close", *SKETCH), "tried")
+    pairs = staged(tried.where("close").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     sizes = staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "leaders")
-    led = sets.toDF("a", "x").join(sizes.select("a"), "a", "left_semi")
-    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), led, sizes, "a", "b", BLOCK).where(alike("x", "y")).select("a", "b")
+    asked = staged(pairs.select("b").union(sizes.select("a")).toDF("id").distinct(), "asked")
+    sets = staged(sets_of(asked), "sets")
+    of_leads = sets.toDF("a", "x").join(sizes.select("a"), "a", "left_semi")
+    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), of_leads, sizes, "a", "b", BLOCK).where(alike("x", "y")).select("a", "b")
     good = staged(good, "leader-links")
-    more = _open_links(tried.select("key", "id"), good, sets, decode, threshold)
+    more = _open_links(tried, good, sets_of, decode, threshold)
     return good if more is None else staged(good.unionByName(more), "links")
 
 

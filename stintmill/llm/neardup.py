@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import P, Q, chunks, mixed, scaled, span_hashes
 from .common import small_batches, staged, table
-from .linking import bitmap, components, leader_links, maybe_in, spread_join, without_ids
+from .linking import LANES, SKETCH, bitmap, components, leader_links, maybe_in, packed, spread_join, without_ids
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -112,6 +112,11 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(key + np.arange(bands, dtype=np.uint64) * Q).view(np.int64)
 
 
+def sketches(times: np.ndarray) -> np.ndarray:
+    """A byte of each of the first LANES components (at least so many are needed), packed."""
+    return packed(mixed(np.ascontiguousarray(times[:, :LANES]).view(np.uint64) * P))
+
+
 def _sketch(bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,12 +125,14 @@ def _sketch(bands: int, rows: int, least: int):
                 doc, h, weight, nth = bags(*shingles(norms[a:b]))
                 size = np.bincount(doc, weight, b - a)
                 fit = size[doc] >= least
-                keys = band_keys(bag_signatures(doc[fit], h[fit], weight[fit], b - a, bands * rows), bands, rows)
+                times = bag_signatures(doc[fit], h[fit], weight[fit], b - a, bands * rows)
+                keys, sketch = band_keys(times, bands, rows), sketches(times)
                 keyed = size >= least
                 ends = np.append(0, np.cumsum(keyed * bands)).astype(np.int32)
                 ids = pa.array([content_id(t) if t else None for t in norms[a:b]], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keyed].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids, lists], ["doc_id", "id", "keys"])
+                lanes = [pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], ids, lists, *lanes], ["doc_id", "id", "keys", *SKETCH])
 
     return run
 
@@ -156,7 +163,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     """
     small_batches(docs.sparkSession)
     rows_ = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(rows_.mapInArrow(_sketch(bands, rows, least_shingles(threshold)), "doc_id long, id long, keys array<long>"), "bags")
+    signed = staged(rows_.mapInArrow(_sketch(bands, rows, least_shingles(threshold)), "doc_id long, id long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)), "bags")
     # one row a text: its least doc_id stands for it
     texts = staged(signed.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "texts")
 
@@ -169,7 +176,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
         both = F.size(F.array_intersect(x, y))
         return both >= threshold * (F.size(x) + F.size(y) - both)
 
-    linked = components(leader_links(signed.where("size(keys) > 0").select("id", "keys"), sets_of, alike, list, threshold))
+    linked = components(leader_links(signed.where("size(keys) > 0").select("id", "keys", *SKETCH), sets_of, alike, list, threshold))
     # from texts to groups, and back to the rows of each text
     named = texts.join(linked, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     named = staged(named, "named")

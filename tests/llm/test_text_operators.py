@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintmill.llm import decontam, lines, linking, mixing, neardup
+from stintmill.llm import bytehash, decontam, lines, linking, mixing, neardup
 
 WORDS = [f"w{i:03d}" for i in range(400)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, keys int"
@@ -93,8 +93,13 @@ def test_links_of_second_generation_copies_beside_a_large_hub(spark):
     for k in range(20):  # b is alike the hub; c is alike b alone, and shares one key with it
         sets[400 + k] = hub[10:] + [2000 + 100 * k + j for j in range(10)]
         sets[500 + k] = sets[400 + k][8:] + [9000 + 100 * k + j for j in range(8)]
-    rows = [(i, [7] + [1_000_000 + (0 if i < 300 else 10 * i + j) for j in range(7)]) for i in sets]
-    members = linking.staged(spark.createDataFrame(rows, "id long, keys array<long>"), "members")
+    def sketch(s):
+        turns = bytehash.mixed(np.arange(1, 33, dtype=np.uint64) * bytehash.P)
+        least = bytehash.mixed(np.array(s, np.uint64)[:, None] * bytehash.Q ^ turns[None, :]).min(axis=0)
+        return [int(x) for x in linking.packed(bytehash.mixed(least)[None, :])[0]]
+
+    rows = [(i, [7] + [1_000_000 + (0 if i < 300 else 10 * i + j) for j in range(7)], *sketch(s)) for i, s in sets.items()]
+    members = linking.staged(spark.createDataFrame(rows, "id long, keys array<long>, s0 long, s1 long, s2 long, s3 long"), "members")
     table = spark.createDataFrame(list(sets.items()), "id long, h array<int>")
     alike = lambda x, y: F.size(F.array_intersect(x, y)) >= 0.8 * F.size(F.array_union(x, y))
     links = linking.leader_links(members, lambda asked: table.join(asked, "id"), alike, list, 0.8)
@@ -238,5 +243,6 @@ def test_line_sketches_of_long_and_odd_lines():
     both, either = lines.overlaps(odd, odd[1:] + odd[:1])
     assert list(both) == [len(a & b) for a, b in zip(want, want[1:] + want[:1])]
     assert list(either) == [len(a | b) for a, b in zip(want, want[1:] + want[:1])]
-    keys = lines.line_keys(odd)
-    assert (keys == np.vstack([lines.line_keys([t]) for t in odd])).all()
+    minima = lines.line_minima(odd)
+    assert (minima == np.vstack([lines.line_minima([t]) for t in odd])).all()
+    assert lines.line_keys(minima).shape == (len(odd), len(lines.BANDS))
