@@ -1,7 +1,9 @@
 """Toxicity, neighbours, licences, HTML, URLs and WARC."""
 
+import collections
 import hashlib
 import random
+import re
 import tempfile
 
 import numpy as np
@@ -78,6 +80,48 @@ def test_licences_of_headers_files_and_directories(spark):
     assert licences.scan(df.limit(0), licences.templates(spark)).count() == 0
 
 
+def test_licence_versions_tags_and_wrapped_texts(spark):
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of\nthe GNU General Public License as published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    files = [
+        ("a/1", f"x = 1\n\n{gpl2}\n\ny = 2"), ("a/2", "# SPDX-License-Identifier: GPL-2.0-or-later"), ("a/3", "// SPDX-License-Identifier: Apache-2.0"), ("a/4", isc),
+        ("a/5", "Licensed under the GNU General Public License, version 2.\n" + "word " * 200_000), ("a/6", "Licensed under the GNU Lesser General Public License, version 2.1."),
+        ("a/7", "the general public may use the version that it likes"), ("a/7", "Licensed under CC BY 4.0."), ("a/8", "Licensed under CC BY-SA 4.0."), ("a/9", None), ("a/9", ""),
+    ]
+    got = {r.path: r.licence for r in licences.scan(spark.createDataFrame(files, "path string, text string"), licences.templates(spark)).collect()}
+    assert got == {"a/1": "GPL-2.0", "a/2": "GPL-2.0", "a/3": "Apache-2.0", "a/4": "ISC", "a/5": "GPL-2.0", "a/6": "LGPL-2.1", "a/7": "CC-BY-4.0", "a/8": "CC-BY-SA-4.0", "a/9": None}
+
+
+def test_licence_scores_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = sorted({w for _, t in licences.TEMPLATES for w in re.findall(licences.TERM, t.lower())}) + [f"q{c}" for c in "abcdefgh"]
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(3)) for _ in range(60)]
+    texts += ["\n".join(" ".join(t.split()[: rng.randrange(4, 40)]) for _, t in rng.choices(licences.TEMPLATES, k=2)) for _ in range(60)]
+    rows = licences.templates(spark).collect()
+    lines = [x for t in texts for x in t.split("\n")]
+    terms = lambda t: collections.Counter(re.findall(licences.TERM, t.lower()))
+    df = collections.Counter(w for x in lines for w in terms(x))
+    known = {w for r in rows for w in terms(r.text)}
+    idf = {w: np.log(1 + len(lines) / max(1, df[w])) for w in known}
+    mean = np.mean(list(idf.values()))
+    vector = lambda t: {w: (1 + np.log(k)) * idf.get(w, mean) for w, k in terms(t).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    found, own = licences.line_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"), sorted(known)), {}
+    assert found == ({w: n for w, n in df.items() if w in known}, len(lines))
+    weights = licences.Weights(rows, *found, 0.6)
+    for x in lines:
+        v = vector(x)
+        scores = [(sum(v[w] * u.get(w, 0) for w in v) / norm(v) / norm(u), -r.template, r.licence) for r in rows for u in [vector(r.text)]]
+        said = set(licences._version(x))
+        fits = [s for s in scores if s[0] >= 0.6 and not (said and (own_v := set(licences._version(rows[-s[1]].text))) and not said & own_v)]
+        own[x] = max(fits)[2] if fits else None
+        assert not any(s[0] >= 0.6 for s in scores) or set(v) & set(weights.needed)  # the filter loses nothing
+    once = spark.createDataFrame([(k, x) for k, x in enumerate(dict.fromkeys(lines))], "s long, segment string")
+    got = {r.s: r.licence for r in licences.matched(once, licences.templates(spark), weights, 0.6).collect()}
+    assert [got.get(k) for k in range(len(own))] == list(own.values())
+    assert sum(v is not None for v in own.values()) > 30
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><a href=/>menu</a></nav><header>Site</header>
 <div id="cookie-notice">We use cookies</div><aside>side</aside><article class=post><h1>Head &amp; line</h1><p>One <b>two</b>
   three<p>four<br>five <ul><li>six<li>seven</ul><div class="ad-box">buy</div><form><input>send</form>%s</article>
