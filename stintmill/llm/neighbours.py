@@ -7,7 +7,8 @@ until ``visits`` of them are. How many that takes is calibrated: some queries ar
 brute force over all vectors, and visits widen until their recall reaches the target.
 
 Equal vectors are one vector of the index with their smallest ids: no answer needs more than
-k + 1 of them. Leaves are read in blocks, so a crowded leaf is many small tasks.
+k + 1 of them. Leaves are read in blocks, and the queries that visit a leaf in parts, so a crowded leaf is
+many small tasks.
 """
 
 from __future__ import annotations
@@ -151,6 +152,7 @@ def nearest(
     calibration_queries: int = 100,
     leaf_rows: int = 400,
     block_rows: int = 1000,
+    query_rows: int = 2000,
     branching: int = 8,
     seed: int = 20240817,
     id_col: str = "vec_id",
@@ -159,14 +161,14 @@ def nearest(
     """(query_id, rank, vec_id, score): each query's k nearest by cosine, ties to the smaller vec_id.
 
     queries is one column (query_id) of ids in vectors; a query is not its own neighbour. Null ids
-    and unusable vectors (see ``usable``) take no part. Ids should be unique; rows that repeat an id
-    with one vector count once. The sample of the tree and the calibration are bounded by
+    and unusable vectors (see ``usable``) take no part. Ids should be unique; of rows that repeat an id
+    the least vector counts. The sample of the tree and the calibration are bounded by
     ``sample_rows`` and ``calibration_queries``; all vectors are indexed.
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
     # equal vectors: the least id stands for them, and k + 1 ids are kept
-    keyed = usable(vectors, id_col, vec_col).dropDuplicates(["vec_id"]).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash("v"))
+    keyed = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash("v"))
     order = Window.partitionBy("key", "key2").orderBy("vec_id")
     kept = staged(keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1), "kept-vectors")
     unique = kept.where("n = 1").select(F.col("vec_id").alias("id"), "key", "key2", "v")
@@ -210,19 +212,25 @@ def nearest(
                     if seen >= visits and met > k:
                         break
                     seen, met = seen + 1, met + counts.get(leaf, 0)
-                    rows.extend((q, leaf, block, seen, v) for block in range(-(-counts.get(leaf, 0) // block_rows)))
-            yield pd.DataFrame(rows, columns=["q", "leaf", "block", "turn", "v"])
-
-    routed = wanted.mapInPandas(route, "q long, leaf long, block long, turn int, v array<double>")
-    blocks = spark.createDataFrame([(leaf, -(-n // block_rows)) for leaf, n in counts.items()], "leaf long, blocks long")
-    dealt = indexed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+                    if leaf in counts:
+                        rows.append((q, leaf, seen, v))
+            yield pd.DataFrame(rows, columns=["q", "leaf", "turn", "v"])
+
+    # a task compares at most about block_rows vectors of a leaf with query_rows queries that visit it
+    visited = wanted.select("q", "v").mapInPandas(route, "q long, leaf long, turn int, v array<double>")
+    asks = {r.leaf: -(-r["count"] // query_rows) for r in visited.groupBy("leaf").count().collect()}
+    plan = [(leaf, -(-n // block_rows), asks[leaf]) for leaf, n in counts.items() if leaf in asks]
+    plan = F.broadcast(spark.createDataFrame(plan, "leaf long, blocks long, parts long"))  # one row a leaf of the bounded tree
+    routed = visited.join(plan, "leaf").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    dealt = indexed.join(plan, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = _tops(left, _unit(left["v"]), right, _unit(right["v"]), k + 1) if len(left) and len(right) else []
         return pd.DataFrame(rows, columns=["q", "id", "score"])
 
     def searched(asks: DataFrame) -> DataFrame:
-        groups = dealt.select("leaf", "block", "id", "v").groupBy("leaf", "block").cogroup(asks.groupBy("leaf", "block"))
+        asks = asks.drop("blocks", "parts")
+        groups = dealt.select("leaf", "block", "part", "id", "v").groupBy("leaf", "block", "part").cogroup(asks.groupBy("leaf", "block", "part"))
         return groups.applyInPandas(compare, "q long, id long, score double")
 
     # the leaf opened first sets a floor: what lies under its k + 1 best is no answer and is not handed on

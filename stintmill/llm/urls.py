@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -20,6 +20,8 @@ from .common import staged, table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 # Host words that label a URL for training; they are not features.
 BLOCKED_WORDS = ("ads", "adult", "bet", "bets", "casino", "click", "free", "pills", "porn", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
+FOLDS = 16  # a row's suffix statistics come from the rows of the other folds; a crowded suffix is dealt by fold too
+BROADCAST_RATES = 200_000  # rates of suffixes are broadcast up to this many rows (some MB), and joined by a shuffle beyond
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy", "params", "hyphens",
     "longest_label", "has_fragment", "has_extension", "https", "suffix_rate", "top_rate",
@@ -103,8 +105,8 @@ def judge(
 
     A null URL or one without :// has an empty host and path and is judged by the trees like any
     other. Rows repeat as they come; rows with a null id are judged too. Training takes about
-    ``max_training`` rows by a hash of the URL; suffix statistics are taken over all labelled
-    rows, smoothed towards the overall rate. With one class only, everything not ruled on is
+    ``max_training`` rows by a hash of the URL; suffix statistics are taken over all labelled rows of
+    the other folds, smoothed towards the overall rate. With one class only, everything not ruled on is
     given that class; an empty table gives no rows.
     """
     host, path = host_and_path(F.col(url_col))
@@ -115,10 +117,14 @@ def judge(
     seen = rows.agg(F.count("*").alias("n"), F.avg("label").alias("rate")).first()
     if not seen.n:
         return rows.select("page_id", "host", "path", "rule", F.lit("allow").alias("verdict"), F.lit(0.0).alias("block_score"))
-    # a key's block rate: all its labelled rows and ``smoothing`` rows of the overall rate
+    # a key's block rate as the other folds have it, and ``smoothing`` rows of the overall rate
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(FOLDS)).cast("int"))
     for key, name in (("suffix", "suffix_rate"), ("top", "top_rate")):
-        rates = rows.groupBy(key).agg(((F.sum("label") + smoothing * seen.rate) / (F.count("*") + smoothing)).alias(name))
-        rows = rows.join(rates, key)
+        sums = rows.groupBy(key, "fold").agg(F.sum("label").alias("own"), F.count("*").alias("n"))
+        others = lambda c: F.sum(c).over(Window.partitionBy(key)) - F.col(c)  # noqa: E731, B023
+        rates = sums.select(key, "fold", ((others("own") + smoothing * seen.rate) / (others("n") + smoothing)).alias(name))
+        rates = staged(rates, "url-rates")
+        rows = rows.join(F.broadcast(rates) if rates.count() <= BROADCAST_RATES else rates, [key, "fold"])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     draw = F.pmod(F.xxhash64("host", "path", "page_id", F.lit(seed)), F.lit(1_000_000))
     sample = staged(ready.where(draw < int(min(1.0, max_training / seen.n) * 1_000_000)).select("features", "label"), "url-sample")

@@ -36,11 +36,11 @@ def with_digests(pages: DataFrame) -> DataFrame:
     )
     narrow = staged(rows.where(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest"), "digests")
     shared = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = staged(narrow.join(shared, "payload_digest").where("page_id <> refers_to").distinct(), "revisits")
+    revisits = staged(narrow.join(shared.hint("merge"), "payload_digest").where("page_id <> refers_to").distinct(), "revisits")
     # only pages that may be revisits are shuffled; the other payloads stay where they are
     rows = rows.withColumn("_k", F.xxhash64("page_id", "payload_digest"))
     marks = bitmap(revisits.select(F.xxhash64("page_id", "payload_digest").alias("_k")), "_k")
-    again = maybe_in(rows, "_k", marks).drop("_k").join(revisits, ["page_id", "payload_digest"], "left")
+    again = maybe_in(rows, "_k", marks).drop("_k").join(revisits.hint("merge"), ["page_id", "payload_digest"], "left")
     return again.unionByName(surely_out(rows, "_k", marks).drop("_k").withColumn("refers_to", F.lit(None).cast("long")))
 
 
@@ -138,7 +138,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     blocks = pieces.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     blocks = blocks.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("offset"))
     return (
-        pieces.join(blocks, ["file", "block"])
+        pieces.join(blocks.hint("merge"), ["file", "block"])
         .withColumn("start", F.col("offset") + F.col("place") - len(MAGIC))
         .where("start >= 0")  # what precedes the first start of a file
         .withColumn("successor", F.when(F.col("length") >= 0, F.col("start") + len(MAGIC) + F.col("body") + F.col("length") + len(END)))
@@ -156,15 +156,15 @@ def reachable(links: DataFrame) -> DataFrame:
     known = staged(links.where("start = 0").select("file", "start").distinct(), "known")
     size = known.count()
     while True:
-        ahead = known.join(jump, ["file", "start"]).select("file", F.col("to").alias("start"))
+        ahead = known.join(jump.hint("merge"), ["file", "start"]).select("file", F.col("to").alias("start"))
         known = staged(known.unionByName(ahead).distinct(), "known")
         now = known.count()
         if now == size:
             break
         size = now
         on = jump.select("file", F.col("start").alias("to"), F.col("to").alias("further"))
-        jump = staged(jump.join(on, ["file", "to"]).select("file", "start", F.col("further").alias("to")), "jumps")
-    return known.join(links, ["file", "start"], "left_semi")
+        jump = staged(jump.join(on.hint("merge"), ["file", "to"]).select("file", "start", F.col("further").alias("to")), "jumps")
+    return known.hint("merge").join(links, ["file", "start"], "left_semi")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -175,14 +175,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = candidates(spark, path)
     chain = staged(reachable(pieces.select("file", "start", "successor")), "chain")
-    real = pieces.join(chain.select("file", "start"), ["file", "start"])
-    # records that lack bytes take them from the pieces up to their successor
+    real = pieces.join(chain.select("file", "start").hint("merge"), ["file", "start"])
+    # records that lack bytes take them from the pieces up to their successor: in file order, a piece
+    # belongs to the last record before it
     broken = staged(real.where("found is null").select("file", "start", "successor", "length", "body"), "broken")
-    loose = pieces.where("raw is not null").select("file", F.col("start").alias("at"), "raw")
-    inside = loose.join(broken, "file").where("at >= start and at < successor")
+    loose = staged(pieces.where("raw is not null").select("file", F.col("start").alias("at"), "raw"), "loose")
+    order = Window.partitionBy("file").orderBy("at")
+    narrow = loose.select("file", "at").join(broken.withColumn("at", F.col("start")).hint("merge"), ["file", "at"], "left")
+    owners = [F.last(c, ignorenulls=True).over(order).alias(c) for c in ("start", "successor", "length", "body")]
+    owned = narrow.select("file", "at", *owners).where("at < successor")
+    inside = loose.join(owned.hint("merge"), ["file", "at"])
     mended = inside.groupBy("file", "start", "length", "body").agg(F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("parts"))
     mended = mended.select("file", "start", _mended().alias("mended"))
-    rows = real.join(mended, ["file", "start"], "left").select(
+    rows = real.join(mended.hint("merge"), ["file", "start"], "left").select(
         _page("record_id").alias("page_id"),
         "uri",
         F.col("type").alias("record_type"),
@@ -194,7 +199,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     rows = staged(rows, "records")
     stored = rows.where("record_type = 'response'").select(F.col("page_id").alias("to_id"), F.col("bytes").alias("to_bytes"), F.col("found").alias("to_found"))
     revisit = F.col("record_type") == "revisit"
-    return rows.join(stored, revisit & (F.col("refers_to") == F.col("to_id")) & (F.col("said") == F.col("to_found")), "left").select(
+    return rows.join(stored.hint("merge"), revisit & (F.col("refers_to") == F.col("to_id")) & (F.col("said") == F.col("to_found")), "left").select(
         "page_id",
         "uri",
         "record_type",
