@@ -50,7 +50,7 @@ SCHEMAS = {
     "team_box": Schema(
         {"game_id": ("bigint", False), "season": ("bigint", False), "team_id": ("bigint", False), "field_goals_made": ("double", True),
          "field_goals_attempted": ("double", True), "field_goal_pct": ("double", True)},
-        (between("season", 1946, 2100), between("field_goal_pct", 0, 100), MADE),
+        (between("season", 1946, 2100), between("field_goals_made", 0), between("field_goals_attempted", 0), between("field_goal_pct", 0, 100), MADE),
         ("game_id", "team_id"),
     ),
     "schedules": Schema(

@@ -46,8 +46,13 @@ def _residual(b: np.ndarray) -> np.ndarray:
     return np.maximum(LEAST_RESIDUAL, np.sqrt(np.maximum(0.0, 1 - (b**2).sum(axis=1))))
 
 
-def fit(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float], anchor: str, factors: int = 2, steps: int = 30, tol: float = 1e-4, seed: int = 20260910) -> dict[str, np.ndarray]:
-    """Loadings (metric x factor), intercepts and bounds. wide must not be recomputed at each step: stage it."""
+def fit(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float], anchor: str, factors: int = 2, steps: int = 30, tol: float = 1e-4, seed: int = 20260910, anchor_mode: str = "fixed") -> dict[str, np.ndarray]:
+    """Loadings (metric x factor), their deviations, intercepts and bounds. wide must not be recomputed at each step: stage it.
+
+    The anchor's loading is its bound ("fixed"), or free between 0 and that ("positive").
+    """
+    if anchor_mode not in ("fixed", "positive"):
+        raise ValueError(f"no anchor mode {anchor_mode!r}")
     m, k = len(names), factors
     bound = np.array([np.sqrt(reliability.get(n, 1.0)) for n in names])
     rng = np.random.default_rng(seed)
@@ -58,10 +63,11 @@ def fit(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float],
 
     def project(rows: np.ndarray) -> np.ndarray:
         rows = rows * np.minimum(1.0, bound / np.maximum(1e-12, np.linalg.norm(rows, axis=1)))[:, None]
-        rows[at] = bound[at] * np.eye(1, k)[0]
+        own = bound[at] if anchor_mode == "fixed" else np.clip(rows[at, 0], 0.0, bound[at])
+        rows[at] = own * np.eye(1, k)[0]
         return rows
 
-    b = project(b)
+    b, spread = project(b), np.zeros((m, k))
     for _ in range(steps):
         now_a, now_b = a, b
 
@@ -85,9 +91,11 @@ def fit(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float],
         v = sums[[f"v{i}" for i in range(size)]].to_numpy()
         c = np.array([np.linalg.solve(r[: (k + 1) ** 2].reshape(k + 1, k + 1) + 1e-9 * np.eye(k + 1), r[(k + 1) ** 2 :]) for r in v])
         a, b = c[:, 0], project(c[:, 1:])
+        inverse = np.array([np.linalg.inv(r[: (k + 1) ** 2].reshape(k + 1, k + 1) + 1e-9 * np.eye(k + 1)) for r in v])
+        spread = np.sqrt(np.maximum(0.0, np.einsum("mii->mi", inverse)[:, 1:])) * _residual(b)[:, None]
         if np.abs(b - now_b).max() < tol:
             break
-    return {"loadings": b, "intercepts": a, "bounds": bound}
+    return {"loadings": b, "loading_sd": spread, "intercepts": a, "bounds": bound}
 
 
 def convergence(wide: DataFrame, names: tuple[str, ...], reliability: dict[str, float], anchor: str, starts: int = 3, steps: int = 30) -> DataFrame:
@@ -98,10 +106,10 @@ def convergence(wide: DataFrame, names: tuple[str, ...], reliability: dict[str,
 
 
 def loading_table(spark, names: tuple[str, ...], model: dict) -> DataFrame:
-    """(metric, loading, bound, share_of_bound, nuisance): the first factor's loading beside its bound."""
-    b, bound = model["loadings"], model["bounds"]
-    rows = [(n, float(b[i, 0]), float(bound[i]), float(abs(b[i, 0]) / bound[i]), float(np.linalg.norm(b[i, 1:]))) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "metric string, loading double, bound double, share_of_bound double, nuisance double")
+    """(metric, loading, loading_sd, bound, share_of_bound, nuisance): the first factor's loading beside its bound."""
+    b, bound, sd = model["loadings"], model["bounds"], model["loading_sd"]
+    rows = [(n, float(b[i, 0]), float(sd[i, 0]), float(bound[i]), float(abs(b[i, 0]) / bound[i]), float(np.linalg.norm(b[i, 1:]))) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "metric string, loading double, loading_sd double, bound double, share_of_bound double, nuisance double")
 
 
 def scores(wide: DataFrame, key: str, names: tuple[str, ...], model: dict, z: float = 1.6448536269514722) -> DataFrame:

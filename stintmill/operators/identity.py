@@ -60,12 +60,13 @@ def crosswalk(people: DataFrame, known: DataFrame, within: tuple[str, ...] = ())
     """
     own = [*within, "athlete_id"]
     left = _keyed(people, "athlete_display_name", *own)
-    right = _keyed(known, "name", "nba_id", "played")
-    found = (
-        left.join(right, ["pass", "key"])
-        .groupBy(*own, "pass")
+    # a key's candidates are one row, so the join is one to many however common a name is
+    right = (
+        _keyed(known, "name", "nba_id", "played")
+        .groupBy("pass", "key")
         .agg(F.count(F.when(F.col("played"), 1)).alias("here"), F.min(F.when(F.col("played"), F.col("nba_id"))).alias("nba_id"))
     )
+    found = left.join(right, ["pass", "key"])
     best = found.groupBy(*own).agg(F.min(F.when(F.col("here") == 1, F.struct("pass", "nba_id"))).alias("m"), F.lit(True).alias("seen"))
     return people.join(best, own, "left").select(
         *own,

@@ -92,6 +92,23 @@ def _ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[float, np.ndarra
     return float(y.mean()), b
 
 
+def _tuned(train: pd.DataFrame, columns: list[str], alphas: tuple[float, ...]) -> tuple[float, float]:
+    """(error, penalty) that does best over the seasons of train, each held out in turn."""
+    score = {}
+    for alpha in alphas:
+        errors = []
+        for inner in sorted(train["season"].unique()):
+            a, b = train[train["season"] != inner], train[train["season"] == inner]
+            if len(a) < 5 or b.empty:
+                continue
+            x, z = _prepared(a, b, columns)
+            c, w = _ridge(x, a["target"].to_numpy(), alpha)
+            errors.extend((c + z @ w - b["target"].to_numpy()) ** 2)
+        score[alpha] = float(np.mean(errors)) if errors else np.inf
+    best = min(alphas, key=lambda v: score[v])
+    return score[best], best
+
+
 def ridge_baseline(panel: DataFrame, names: tuple[str, ...], alphas: tuple[float, ...] = RIDGE_ALPHAS) -> DataFrame:
     """(held_out, team_id, alpha, squared_error): nested selection, the held-out season never seen.
 
@@ -102,18 +119,7 @@ def ridge_baseline(panel: DataFrame, names: tuple[str, ...], alphas: tuple[float
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         held = pdf["held_out"].iloc[0]
         train, test = pdf[pdf["season"] != held], pdf[pdf["season"] == held]
-        score = {}
-        for alpha in alphas:
-            errors = []
-            for inner in sorted(train["season"].unique()):
-                a, b = train[train["season"] != inner], train[train["season"] == inner]
-                if len(a) < 5 or b.empty:
-                    continue
-                x, z = _prepared(a, b, columns)
-                c, w = _ridge(x, a["target"].to_numpy(), alpha)
-                errors.extend((c + z @ w - b["target"].to_numpy()) ** 2)
-            score[alpha] = np.mean(errors) if errors else np.inf
-        best = min(alphas, key=lambda v: score[v])
+        _, best = _tuned(train, columns, alphas)
         x, z = _prepared(train, test, columns)
         c, w = _ridge(x, train["target"].to_numpy(), best)
         return pd.DataFrame({"held_out": held, "team_id": test["team_id"], "alpha": best, "squared_error": (c + z @ w - test["target"].to_numpy()) ** 2})
@@ -151,14 +157,26 @@ def baseline_table(**errors: DataFrame) -> DataFrame:
     return out
 
 
-def ridge_attribution(panel: DataFrame, names: tuple[str, ...], alpha: float = 1.0, sample: int = 500) -> DataFrame:
-    """(feature, mean_abs, mean_signed): exact Shapley values b_j (x_j - mean_j) on at most ``sample`` rows."""
-    pdf = panel.orderBy("season", "team_id").limit(sample).toPandas()
-    x, _ = _prepared(pdf, pdf, list(names))
-    _, w = _ridge(x, pdf["target"].to_numpy(), alpha)
-    values = x * w
-    rows = [(n, float(np.abs(values[:, k]).mean()), float(values[:, k].mean())) for k, n in enumerate(names)]
-    return panel.sparkSession.createDataFrame(rows, "feature string, mean_abs double, mean_signed double")
+def ridge_attribution(panel: DataFrame, names: tuple[str, ...], alphas: tuple[float, ...] = RIDGE_ALPHAS) -> DataFrame:
+    """(feature, mean_abs, mean_signed): exact Shapley values b_j (x_j - mean_j) of every row, by a ridge
+    fitted on all rows at the penalty that does best over held-out seasons.
+
+    The fit is one task over a panel of seasons x teams; the values are taken from all rows by Spark.
+    """
+    columns = list(names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, best = _tuned(pdf, columns, alphas)
+        x, _ = _prepared(pdf, pdf, columns)
+        _, w = _ridge(x, pdf["target"].to_numpy(), best)
+        sd = pdf[columns].fillna(pdf[columns].mean().fillna(0.0)).to_numpy().std(axis=0)
+        return pd.DataFrame({"feature": columns, "weight": w / np.where(sd == 0, 1.0, sd), "mean": pdf[columns].mean().fillna(0.0).to_numpy()})
+
+    used = panel.select("season", "team_id", *columns, "target")
+    weights = used.groupBy().applyInPandas(run, "feature string, weight double, mean double")
+    each = used.unpivot(["season", "team_id"], columns, "feature", "value").join(F.broadcast(weights), "feature")  # a row a feature
+    value = F.coalesce(F.col("weight") * (F.col("value") - F.col("mean")), F.lit(0.0))
+    return each.groupBy("feature").agg(F.avg(F.abs(value)).alias("mean_abs"), F.avg(value).alias("mean_signed"))
 
 
 def attribution_agreement(attribution: DataFrame, loadings: DataFrame) -> DataFrame:

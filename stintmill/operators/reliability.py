@@ -81,6 +81,16 @@ def measure(rows: DataFrame, rule: str = "random", draws: int = 20, floor: float
     return out.join(traded_share(used), "season").withColumn("rule", F.lit(rule))
 
 
+def split_half(rows: DataFrame, metric: str, rule: str = "random", draws: int = 20, floor: float = 500.0, seed: int = SEED) -> DataFrame:
+    """One metric's repeatability by season; a ValueError where no draw of any season leaves it defined."""
+    if metric not in {m.name for m in metrics()}:
+        raise ValueError(f"no metric {metric!r}")
+    table = measure(rows, rule, draws, floor, (metric,), seed).where("draws_used > 0")
+    if table.isEmpty():
+        raise ValueError(f"too few people have {metric} in both halves over {floor:g} minutes")
+    return table
+
+
 def curve(rows: DataFrame, metric: str, floors: tuple[float, ...] = (200.0, 500.0, 1000.0, 1500.0), draws: int = 10, seed: int = SEED) -> DataFrame:
     """One metric at nested minute floors; floors with too few people are left out.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.stats import seeded, with_average_rank
 from .stints import possessions_by_player, usable_stints
 
+# The penalties that are tried, and the seed.
 ALPHAS = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0)
 SEED = 20260910
+_RATED = "player_id long, offensive double, defensive double, total double"
 MOST_COLUMNS = 4096  # a dense system larger than this is not solved on one machine
 
 
@@ -105,7 +107,7 @@ def sums_of(pdf: pd.DataFrame, columns: np.ndarray | None = None) -> Sums:
         players = np.unique(pdf.loc[pdf["i"] >= 0, "i"].to_numpy() // 2)
         columns = np.sort(np.concatenate([2 * players, 2 * players + 1]))
     if len(columns) > MOST_COLUMNS:
-        raise ValueError(f"{len(columns)} columns; use fit_mllib beyond {MOST_COLUMNS}")
+        raise ValueError(f"{len(columns)} columns are more than {MOST_COLUMNS}")
     i, j, s = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
     n, at = len(columns), np.searchsorted
     xx, xy, sx = np.zeros((n, n)), np.zeros(n), np.zeros(n)
@@ -125,33 +127,55 @@ def _ratings(columns: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return out.assign(total=out["offensive"] + out["defensive"])
 
 
+def column_count(rows: DataFrame) -> int:
+    """Columns of a design: two a player."""
+    players = rows.select(F.explode("x").alias("e")).select(F.floor(F.col("e.c") / 2).alias("p"))
+    return 2 * (players.agg(F.countDistinct("p")).first()[0] or 0)
+
+
 def fit(rows: DataFrame, alpha: float) -> tuple[float, DataFrame]:
-    """(intercept, ratings) of a design at one penalty; the p x p sums are solved on the driver."""
-    intercept, b = (s := sums_of(gram(rows).toPandas())).solve(alpha)
-    return intercept, rows.sparkSession.createDataFrame(_ratings(s.columns, b))
+    """(intercept, ratings) of a design at one penalty: the p x p sums are solved in one task, and beyond
+    MOST_COLUMNS columns the iterative solver takes over."""
+    if alpha <= 0:
+        raise ValueError(f"alpha must be positive, got {alpha!r}")
+    n = column_count(rows)
+    if not n:
+        raise ValueError("an empty design has no ratings")
+    if n > MOST_COLUMNS:
+        return fit_mllib(rows, alpha)
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        intercept, b = (s := sums_of(pdf)).solve(alpha)
+        return _ratings(s.columns, b).assign(intercept=intercept)
 
-def fit_mllib(rows: DataFrame, alpha: float, tol: float = 1e-12) -> DataFrame:
-    """Ratings by MLlib's iterative solver, for more columns than a dense solve takes.
+    solved = gram(rows).groupBy().applyInPandas(run, f"{_RATED}, intercept double").toPandas()  # a row a player
+    return float(solved["intercept"].iloc[0]), rows.sparkSession.createDataFrame(solved.drop(columns="intercept"))
+
+
+def fit_mllib(rows: DataFrame, alpha: float, tol: float = 1e-12) -> tuple[float, DataFrame]:
+    """(intercept, ratings) by MLlib's iterative solver, for more columns than a dense solve takes.
 
     MLlib scales the penalty by the weighted deviation of the target, which is undone here.
     """
     ids = rows.select(F.explode("x").alias("e")).select(F.floor(F.col("e.c") / 2).alias("p")).distinct().orderBy("p")
     players = [r.p for r in ids.collect()]  # one number a player
     place = {c: k for k, c in enumerate(sorted([2 * p for p in players] + [2 * p + 1 for p in players]))}
+    shared, width = rows.sparkSession.sparkContext.broadcast(np.array(sorted(place))), len(place)
 
-    @F.udf(VectorUDT())
-    def vector(x):
-        summed: dict[int, float] = {}
-        for e in x:
-            summed[place[e.c]] = summed.get(place[e.c], 0.0) + e.v
-        return SparseVector(len(place), summed)
+    def dense(columns: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for c, v in zip(columns, values, strict=True):
+            row = np.zeros(width)
+            np.add.at(row, np.searchsorted(shared.value, c), v)
+            out.append(row)
+        return pd.Series(out)
 
+    vector = F.pandas_udf(dense, "array<double>")
     m = rows.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy")).first()
     spread = ((m.wyy - m.wy**2 / m.w) / (m.w - m.ww / m.w)) ** 0.5
     model = LinearRegression(weightCol="w", labelCol="y", featuresCol="v", elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=500, tol=tol, regParam=alpha * spread / m.w)
-    fitted = model.fit(rows.select("y", "w", vector("x").alias("v")))
-    return rows.sparkSession.createDataFrame(_ratings(np.array(sorted(place)), np.array(fitted.coefficients)))
+    fitted = model.fit(rows.select("y", "w", array_to_vector(vector("x.c", "x.v")).alias("v")))
+    return float(fitted.intercept), rows.sparkSession.createDataFrame(_ratings(np.array(sorted(place)), np.array(fitted.coefficients)))
 
 
 def game_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
@@ -161,19 +185,27 @@ def game_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
 
 
 def select_alpha(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int = 5, seed: int = SEED) -> tuple[float, DataFrame]:
-    """(best alpha, table of alpha and held-out weighted MSE); training sums are total less the fold's."""
-    by_fold = gram(rows.join(game_folds(rows, folds, seed), "game_id"), "fold").toPandas()
-    if by_fold["fold"].nunique() < folds:
+    """(best alpha, table of alpha and held-out weighted MSE); training sums are total less the fold's,
+    and each fold is solved in its own task."""
+    if (n := column_count(rows)) > MOST_COLUMNS:
+        raise ValueError(f"{n} columns; penalties are chosen for up to {MOST_COLUMNS}")
+    dealt = game_folds(rows, folds, seed)
+    if dealt.agg(F.countDistinct("fold")).first()[0] < folds:
         raise ValueError(f"fewer than {folds} games")
-    columns = sums_of(by_fold).columns
-    parts = [sums_of(g, columns) for _, g in by_fold.groupby("fold")]
-    whole = sums_of(by_fold.groupby(["i", "j"], as_index=False)["s"].sum(), columns)
-    found = []
-    for alpha in alphas:
-        errors = [part.mse(*whole.less(part).solve(alpha)) for part in parts]
-        found.append((float(alpha), float(np.mean(errors))))
-    best = min(found, key=lambda r: r[1])[0]
-    return best, rows.sparkSession.createDataFrame(found, "alpha double, weighted_mse double")
+    by_fold = gram(rows.join(dealt, "game_id"), "fold")
+    # every fold's task gets the sums of all folds: they are p x p numbers a fold
+    each = by_fold.withColumn("held_out", F.explode(F.array(*[F.lit(k) for k in range(folds)])))
+    each = each.groupBy("held_out", "i", "j").agg(F.sum("s").alias("s"), F.sum(F.when(F.col("fold") == F.col("held_out"), F.col("s")).otherwise(0.0)).alias("own"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = sums_of(pdf[["i", "j", "s"]])
+        part = sums_of(pdf[["i", "j", "own"]].rename(columns={"own": "s"}), whole.columns)
+        train = whole.less(part)
+        return pd.DataFrame({"alpha": alphas, "mse": [part.mse(*train.solve(a)) for a in alphas]})
+
+    table = each.groupBy("held_out").applyInPandas(run, "alpha double, mse double").groupBy("alpha").agg(F.avg("mse").alias("weighted_mse")).toPandas().sort_values("alpha")
+    best = float(table["alpha"].iloc[int(np.argmin(table["weighted_mse"]))])
+    return best, rows.sparkSession.createDataFrame(table)
 
 
 def solve(stints: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int = 5) -> tuple[float, DataFrame]:
@@ -194,19 +226,22 @@ def _solved(alpha: float, *by: str):
     return run
 
 
-_RATED = "player_id long, offensive double, defensive double, total double"
-
-
 def bootstrap_se(rows: DataFrame, alpha: float, draws: int = 200, seed: int = SEED) -> DataFrame:
     """Standard errors over resamples of whole games: each draw's sums are the games' sums times how
-    often they were drawn, and each draw is solved in its own task."""
+    often they were drawn, and each draw is solved in its own task.
+
+    A game carries its counts of all draws as one array, so the games' sums are shuffled once however
+    many draws there are.
+    """
     games = rows.select("game_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("game_id")).cast("long") - 1)
     n = games.count()
-    picks = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("g"))
-    drawn = picks.groupBy("draw", "g").agg(F.count("*").alias("times"))
-    times = drawn.join(games, "g").select("draw", "game_id", "times")
-    by_draw = gram(rows, "game_id").join(times, "game_id").groupBy("draw", "i", "j").agg(F.sum(F.col("s") * F.col("times")).alias("s"))
-    fits = by_draw.groupBy("draw").applyInPandas(_solved(alpha, "draw"), f"draw long, {_RATED}")
+    picks = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("g"))
+    drawn = picks.groupBy("draw", "g").agg(F.count("*").cast("double").alias("times")).groupBy("g")
+    drawn = drawn.agg(F.map_from_entries(F.collect_list(F.struct("draw", "times"))).alias("times"))
+    sums = gram(rows, "game_id").join(games.join(drawn, "g").select("game_id", "times"), "game_id").groupBy("i", "j")
+    sums = sums.agg(*[F.sum(F.col("s") * F.coalesce(F.element_at("times", k), F.lit(0.0))).alias(f"d{k}") for k in range(draws)])
+    by_draw = sums.select("i", "j", F.posexplode(F.array(*[f"d{k}" for k in range(draws)])).alias("draw", "s"))
+    fits = by_draw.groupBy("draw").applyInPandas(_solved(alpha, "draw"), f"draw int, {_RATED}")
     return fits.groupBy("player_id").agg(*[F.stddev_samp(c).alias(f"{c}_se") for c in ("offensive", "defensive", "total")], F.count("*").alias("draws"))
 
 

@@ -89,6 +89,14 @@ def usable_stints(rows: DataFrame, least_possessions: float = 1.0) -> DataFrame:
     return rows.where(F.col("possessions") >= least_possessions).where(has_valid_lineups())
 
 
+def required_stints(rows: DataFrame, least_possessions: float = 1.0) -> DataFrame:
+    """Usable stints; a ValueError where there are none to rate anyone by."""
+    usable = usable_stints(rows, least_possessions)
+    if usable.isEmpty():
+        raise ValueError(f"no stint of {least_possessions:g} possessions or more has two line-ups of five")
+    return usable
+
+
 def dropped_stints(rows: DataFrame, least_possessions: float = 1.0) -> DataFrame:
     """How many stints each rule drops, the floor first."""
     kept = F.col("possessions") >= least_possessions

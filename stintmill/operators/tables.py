@@ -66,7 +66,23 @@ def landed_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 def write_by_season(rows: DataFrame, path: str) -> None:
     """Write a table by season; only the seasons in it are replaced."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season").parquet(path)
+    write_by(rows, path, "season")
+
+
+def write_by(rows: DataFrame, path: str, column: str) -> None:
+    """Write a table by a column (ratings by ``window_end``, reliability by ``season``); only the values in it are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def read_by(spark: SparkSession, path: str, column: str, *values: int) -> DataFrame:
+    """A table that ``write_by`` wrote, or some values of its column; a ValueError names those that it lacks."""
+    rows = spark.read.parquet(path)
+    if not values:
+        return rows
+    found = {r[0] for r in rows.select(column).where(F.col(column).isin(*values)).distinct().collect()}
+    if lacking := sorted(set(values) - found):
+        raise ValueError(f"{path} has no {column} {lacking}")
+    return rows.where(F.col(column).isin(*values))
 
 
 def rating_query(ratings: DataFrame, window_end: int | None = None, least_possessions: float = 0.0) -> DataFrame:

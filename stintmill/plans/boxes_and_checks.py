@@ -184,7 +184,7 @@ SQL = {
         ctes("box"),
     ),
     "schema_team_box": _v(
-        [_range("tb", "season", 1946, 2100), _range("tb", "field_goal_pct", 0, 100), _bad("tb", "field_goals_made", "made_at_most_attempted", _MADE), _unique("tb", ("game_id", "team_id"))],
+        [_range("tb", "season", 1946, 2100), _range("tb", "field_goals_made", 0), _range("tb", "field_goals_attempted", 0), _range("tb", "field_goal_pct", 0, 100), _bad("tb", "field_goals_made", "made_at_most_attempted", _MADE), _unique("tb", ("game_id", "team_id"))],
         f"{ctes('box')}, {_TB}",
     ),
     "schema_schedules": _v([_range("sched", "season", 1946, 2100), _bad("sched", "home_id", "distinct_teams", "home_id <> away_id"), _unique("sched", ("game_id",))], ctes("sched")),

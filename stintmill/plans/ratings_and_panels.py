@@ -12,7 +12,7 @@ from .boxes_and_checks import ELIGIBLE, metric_sql
 FUSED = ("points_per_36", "assists_per_36", "rebounds_per_36", "true_shooting", "free_throw_pct", "usage_proxy", "rating")
 RELIABILITY = {"points_per_36": 0.9, "assists_per_36": 0.9, "rebounds_per_36": 0.95, "true_shooting": 0.7, "free_throw_pct": 0.75, "usage_proxy": 0.9, "rating": 0.796}
 CANDIDATES = ("points_per_36", "assists_per_36", "true_shooting", "usage_proxy")
-ALPHA, ALPHAS = 3000.0, (300.0, 3000.0, 30000.0)
+ALPHA = 3000.0
 
 
 def _design(s, d, *carry):
@@ -20,15 +20,16 @@ def _design(s, d, *carry):
 
 
 def _matrix(s, d):
-    """One row a person over all seasons: metrics and a rating, standardised; staged in memory for the EM steps."""
+    """One row a person over all seasons: metrics and the ridge rating of who has one, standardised; staged in memory for the EM steps."""
     wide = box.with_metrics(box.totals(box.eligible_rows(view(s, d, "box")), ("athlete_id",)), only=FUSED[:-1])
-    wide = wide.withColumn("rating", F.col("points") / F.col("minutes") - F.col("turnovers") / F.col("games"))
-    return fusion.standardise(wide.where("minutes >= 1000").select("athlete_id", *FUSED), FUSED)
+    enough = stints.possessions_by_player(view(s, d, "stints")).where("possessions >= 100").select("player_id")
+    rated = ridge.fit(_design(s, d), ALPHA)[1].join(enough, "player_id", "left_semi").select(F.col("player_id").alias("athlete_id"), F.col("total").alias("rating"))
+    return fusion.standardise(wide.where("minutes >= 1000").join(rated, "athlete_id", "left").select("athlete_id", *FUSED), FUSED)
 
 
 def _fitted(s, d):
     wide = _matrix(s, d).cache()
-    return wide, fusion.fit(wide, FUSED, RELIABILITY, "rating", steps=10)
+    return wide, fusion.fit(wide, FUSED, RELIABILITY, "rating")
 
 
 def _panel(s, d):
@@ -41,15 +42,29 @@ def _panel(s, d):
 
 
 def _claim(s, d):
-    """The report: each candidate's RMSE beside the ridge baseline's."""
+    """The report: RMSE of every candidate, of ridge and trees on all inputs and on the box score without the rating-like
+    candidate, the paired test of the best two candidates, and what the ridge attributes to each input."""
     p = _panel(s, d)
+    errors = panel.candidate_errors(panel.long_panel(p, CANDIDATES))
     table = panel.compare_candidates(panel.long_panel(p, CANDIDATES)).select(F.col("candidate").alias("model"), "rmse", "observations")
-    return table.unionByName(panel.baseline_table(ridge_all=panel.ridge_baseline(p, CANDIDATES)))
+    box_only = CANDIDATES[1:]
+    table = table.unionByName(
+        panel.baseline_table(
+            ridge_all=panel.ridge_baseline(p, CANDIDATES), ridge_box=panel.ridge_baseline(p, box_only), trees_all=panel.tree_baseline(p, CANDIDATES, iterations=3)
+        )
+    )
+    best, second = [r.candidate for r in panel.compare_candidates(panel.long_panel(p, CANDIDATES)).orderBy("rmse", "candidate").limit(2).collect()]
+    none = F.lit(None).cast("double")
+    rows = table.select(F.lit("rmse").alias("part"), "model", F.col("rmse").alias("value"), "observations", none.alias("p"))
+    test = panel.paired(errors, best, second, with_p=True).select(F.lit("paired").alias("part"), F.lit(f"{best} - {second}").alias("model"), F.col("rmse_gap").alias("value"), F.col("n").alias("observations"), "p")
+    said = panel.ridge_attribution(p, CANDIDATES).select(F.lit("attribution").alias("part"), F.col("feature").alias("model"), F.col("mean_abs").alias("value"), F.lit(None).cast("long").alias("observations"), none.alias("p"))
+    return rows.unionByName(test).unionByName(said)
 
 
 def _builds(s, d):
+    """The stints as they are beside a second build that lacks the shortest ones."""
     rows = view(s, d, "stints")
-    return ridge.compare_builds(rows, rows.where("cast(game_id as bigint) % 5 <> 0"), ALPHA, 200.0)
+    return ridge.compare_builds(rows, rows.where("possessions >= 3"), ALPHA, 200.0)
 
 
 QUERIES = {
@@ -59,24 +74,24 @@ QUERIES = {
     "fold_sums": lambda s, d: rounded(ridge.gram(_design(s, d).join(ridge.game_folds(_design(s, d)), "game_id"), "fold").where("i = -1"), 3, "s"),
     "game_folds": lambda s, d: ridge.game_folds(_design(s, d)),
     "ridge_ratings": lambda s, d: ridge.fit(_design(s, d), ALPHA)[1],
-    "ridge_penalties": lambda s, d: ridge.select_alpha(_design(s, d), ALPHAS)[1],
-    "ridge_bootstrap": lambda s, d: ridge.bootstrap_se(_design(s, d), ALPHA, 10),
-    "ridge_stability": lambda s, d: ridge.stability(view(s, d, "stints"), ALPHA, 5, 100.0),
+    "ridge_penalties": lambda s, d: ridge.select_alpha(_design(s, d))[1],
+    "ridge_bootstrap": lambda s, d: ridge.bootstrap_se(_design(s, d), ALPHA),
+    "ridge_stability": lambda s, d: ridge.stability(view(s, d, "stints"), ALPHA, possession_floor=100.0),
     "ridge_builds": _builds,
-    "ridge_error_profile": lambda s, d: ridge.error_profile(ridge.bootstrap_se(_design(s, d), ALPHA, 8), stints.possessions_by_player(view(s, d, "stints"))),
-    "fusion_matrix": lambda s, d: rounded(_matrix(s, d), 5, *FUSED),
-    "fusion_completeness": lambda s, d: rounded(fusion.completeness(_matrix(s, d), FUSED), 9, "observed"),
+    "ridge_error_profile": lambda s, d: ridge.error_profile(ridge.bootstrap_se(_design(s, d), ALPHA), stints.possessions_by_player(view(s, d, "stints"))),
+    "fusion_matrix": lambda s, d: rounded(_matrix(s, d).drop("rating"), 5, *FUSED[:-1]),
+    "fusion_completeness": lambda s, d: rounded(fusion.completeness(_matrix(s, d), FUSED[:-1]), 9, "observed"),
     "fusion_loadings": lambda s, d: fusion.loading_table(s, FUSED, _fitted(s, d)[1]),
-    "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), FUSED, RELIABILITY, "rating", 2, 6),
+    "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), FUSED, RELIABILITY, "rating"),
     "fused_ratings": lambda s, d: (lambda w: fusion.scores(w[0], "athlete_id", FUSED, w[1]))(_fitted(s, d)),
-    "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating", steps=8),
+    "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
     "team_panel": lambda s, d: rounded(_panel(s, d), 6, *CANDIDATES, "target"),
     "panel_folds": lambda s, d: panel.folds(_panel(s, d)),
     "compare_candidates": lambda s, d: rounded(panel.compare_candidates(panel.long_panel(_panel(s, d), CANDIDATES)), 5, "rmse").drop("vs_best"),
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
     "paired_p_value": lambda s, d: panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36", with_p=True),
     "ridge_baseline": lambda s, d: panel.baseline_table(ridge=panel.ridge_baseline(_panel(s, d), CANDIDATES)),
-    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES[:2], depths=(2,), iterations=2)),
+    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES, iterations=3)),
     "ridge_attribution": lambda s, d: panel.ridge_attribution(_panel(s, d), CANDIDATES),
     "attribution_agreement": lambda s, d: panel.attribution_agreement(panel.ridge_attribution(_panel(s, d), CANDIDATES), fusion.loading_table(s, FUSED, _fitted(s, d)[1])),
     "claim_report": _claim,
@@ -89,8 +104,8 @@ dx AS (SELECT rn, game_id, possessions AS w, points, unnest(list_concat(list_tra
 xv AS (SELECT rn, game_id, w, points, c, CASE WHEN c % 2 = 0 THEN 1.0::DOUBLE ELSE -1 END AS v FROM dx)"""
 _FOLD = "gf AS (SELECT game_id, ntile(5) OVER (ORDER BY md5('20260910|' || game_id), game_id) - 1 AS fold FROM (SELECT DISTINCT game_id FROM us))"
 _MX = f"""{ELIGIBLE}, tt AS (SELECT athlete_id, {', '.join(f'sum({c}) AS {c}' for c in box.COUNTS)}, count(DISTINCT game_id) AS games FROM el GROUP BY ALL HAVING sum(minutes) >= 1000),
-mx AS (SELECT athlete_id, {', '.join(f'{metric_sql(n)} AS {n}' for n in FUSED[:-1])}, points / minutes - turnovers / games AS rating FROM tt),
-sx AS (SELECT athlete_id, {', '.join(f'({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0) AS {n}' for n in FUSED)} FROM mx)"""
+mx AS (SELECT athlete_id, {', '.join(f'{metric_sql(n)} AS {n}' for n in FUSED[:-1])} FROM tt),
+sx AS (SELECT athlete_id, {', '.join(f'({n} - avg({n}) OVER ()) / nullif(stddev_pop({n}) OVER (), 0) AS {n}' for n in FUSED[:-1])} FROM mx)"""
 _WM = lambda c: f"(SELECT season, team_id, sum({c} * minutes) / sum(minutes) AS {c} FROM pm WHERE {c} IS NOT NULL AND minutes >= 200 GROUP BY ALL)"
 _PN = f"""{ELIGIBLE}, tt AS (SELECT season, athlete_id, {', '.join(f'sum({c}) AS {c}' for c in box.COUNTS)} FROM el GROUP BY ALL),
 mt AS (SELECT season, athlete_id, team_id, sum(minutes) AS m FROM el GROUP BY ALL),
@@ -113,8 +128,8 @@ SQL = {
         SELECT fold, CAST(-1 AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(s), 3) AS s FROM (SELECT fold, -1 AS j, 100 * points AS s FROM f UNION ALL SELECT fold, -2, possessions FROM f
         UNION ALL SELECT fold, -3, possessions * (100 * points / possessions) * (100 * points / possessions) FROM f) GROUP BY ALL""",
     "game_folds": f"WITH {ctes('stints')}, {_X}, {_FOLD} SELECT * FROM gf",
-    "fusion_matrix": f"WITH {ctes('box')}, {_MX} SELECT athlete_id, {', '.join(f'round({n}, 5) AS {n}' for n in FUSED)} FROM sx",
-    "fusion_completeness": f"WITH {ctes('box')}, {_MX} SELECT count(*) AS people, round(({' + '.join(f'count({n})' for n in FUSED)}) / (count(*) * {len(FUSED)}), 9) AS observed FROM sx",
+    "fusion_matrix": f"WITH {ctes('box')}, {_MX} SELECT athlete_id, {', '.join(f'round({n}, 5) AS {n}' for n in FUSED[:-1])} FROM sx",
+    "fusion_completeness": f"WITH {ctes('box')}, {_MX} SELECT count(*) AS people, round(({' + '.join(f'count({n})' for n in FUSED[:-1])}) / (count(*) * {len(FUSED) - 1}), 9) AS observed FROM sx",
     "team_panel": f"WITH {ctes('box')}, {_PN} SELECT season, team_id, {', '.join(f'round({c}, 6) AS {c}' for c in (*CANDIDATES, 'target'))} FROM pn",
     "panel_folds": f"""WITH {ctes('box')}, {_PN}, n AS (SELECT season AS held_out, count(*) AS test FROM pn GROUP BY ALL)
         SELECT held_out, (SELECT count(*) FROM pn) - test AS train, test, (SELECT count(*) FROM pn) - test >= 5 AS usable FROM n""",

@@ -93,3 +93,14 @@ def test_drift_is_zero_on_equal_windows_and_grows(spark):
     assert moved.verdict == "shifted" and moved.ks == pytest.approx(0.4) and moved.ks_p < 1e-6
     with pytest.raises(ValueError, match="2001"):
         drift.compare_windows(df, "total", 1999)
+
+
+def test_tables_by_a_column_are_replaced_by_value_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "ratings")
+    rows = spark.createDataFrame([(2001, 1, 1.0), (2002, 1, 2.0)], "window_end int, player_id long, total double")
+    tables.write_by(rows, path, "window_end")
+    tables.write_by(rows.where("window_end = 2002").withColumn("total", F.lit(5.0)), path, "window_end")
+    assert {(r.window_end, r.total) for r in tables.read_by(spark, path, "window_end").collect()} == {(2001, 1.0), (2002, 5.0)}
+    assert [r.total for r in tables.read_by(spark, path, "window_end", 2002).collect()] == [5.0]
+    with pytest.raises(ValueError):
+        tables.read_by(spark, path, "window_end", 1999)

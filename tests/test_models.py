@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintmill.functions import stats
-from stintmill.operators import fusion, identity, panel, reliability, ridge
+from stintmill.operators import stints, fusion, identity, panel, reliability, ridge
 
 STINTS = "game_id string, offense_team_id long, defense_team_id long, offense_lineup string, defense_lineup string, possessions double, points double, opponent_points double"
 
@@ -46,7 +46,7 @@ def test_ridge_equals_closed_form_and_finds_the_planted_player(spark, season):
     assert got.keys() == want.keys()
     assert max(abs(np.subtract(got[p], want[p])).max() for p in want) < 1e-8
     assert max(got, key=lambda p: sum(got[p])) == 7
-    mllib = {r.player_id: (r.offensive, r.defensive) for r in ridge.fit_mllib(rows, 500.0).collect()}
+    mllib = {r.player_id: (r.offensive, r.defensive) for r in ridge.fit_mllib(rows, 500.0)[1].collect()}
     assert max(abs(np.subtract(mllib[p], want[p])).max() for p in want) < 1e-4
     with pytest.raises(ValueError):
         ridge.fit(rows, 0.0)
@@ -116,3 +116,57 @@ def test_held_out_season_is_never_trained_on(spark):
     got = {r.season: r.e for r in errors.groupBy("season").agg(F.avg("squared_error").alias("e")).collect()}
     assert got[3] == pytest.approx(10000.0)  # the jump of season 3 cannot be known from the others
     assert got[1] == got[2] == pytest.approx(2500.0)
+
+
+def test_penalties_bootstrap_and_empty_designs(spark, season):
+    rows = ridge.design(spark.createDataFrame(season, STINTS))
+    best, table = ridge.select_alpha(rows, (50.0, 500.0, 5000.0), folds=4)
+    folds = {r.game_id: r.fold for r in ridge.game_folds(rows, 4).collect()}
+    got = {r.alpha: r.weighted_mse for r in table.collect()}
+    for alpha, mse in got.items():
+        errors = []
+        for k in range(4):
+            train = [r for r in season if r[0] in folds and folds[r[0]] != k]
+            b = closed_form(train, alpha)
+            s = ridge.sums_of(ridge.gram(rows).toPandas())
+            own = [r for r in season if folds.get(r[0]) == k]
+            hat = lambda r: sum(b[int(p)][0] if int(p) in b else 0 for p in r[3].split("-")) - sum(b[int(p)][1] if int(p) in b else 0 for p in r[4].split("-"))  # noqa: E731, B023
+            w = np.array([r[5] for r in train])
+            c = np.average(np.array([100 * r[6] / r[5] - hat(r) for r in train]), weights=w)
+            e = np.array([(100 * r[6] / r[5] - hat(r) - c) ** 2 for r in own])
+            errors.append(np.average(e, weights=[r[5] for r in own]))
+        assert mse == pytest.approx(np.mean(errors), rel=1e-8)
+    assert got[best] == min(got.values()) and s.w == sum(r[5] for r in season)
+    errors = ridge.bootstrap_se(rows, 500.0, 12).collect()
+    assert all(0 < r.total_se < 50 and r.draws <= 12 for r in errors) and {r.player_id for r in errors} == set(closed_form(season, 500.0))
+    for call in (lambda d: ridge.fit(d, 500.0), lambda d: ridge.select_alpha(d)):
+        with pytest.raises(ValueError):
+            call(rows.limit(0))
+    with pytest.raises(ValueError):
+        stints.required_stints(spark.createDataFrame(season, STINTS), 1e9)
+
+
+def test_attribution_uses_every_row(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), t, float(a), float(b), float(3 * a + 0 * b + s)) for s in range(30) for t in range(25) for a, b in [rng.normal(size=2)]]
+    df = spark.createDataFrame(rows, "season long, team_id long, a double, b double, target double")
+    got = {r.feature: (r.mean_abs, r.mean_signed) for r in panel.ridge_attribution(df, ("a", "b")).collect()}
+    a = np.array([r[2] for r in rows])
+    assert got["a"][0] == pytest.approx(3 * np.abs(a - a.mean()).mean(), rel=0.15) and got["b"][0] < 0.5
+    assert abs(got["a"][1]) < 1e-9 and abs(got["b"][1]) < 1e-9
+
+
+def test_positive_anchor_and_loading_deviations(spark):
+    rng = np.random.default_rng(2)
+    f = rng.normal(size=800)
+    rows = [(i, float(0.7 * f[i] + 0.7 * rng.normal()), float(0.5 * f[i] + 0.86 * rng.normal()), float(0.6 * f[i] + 0.8 * rng.normal())) for i in range(800)]
+    wide = spark.createDataFrame(rows, "id long, a double, b double, rating double").cache()
+    model = fusion.fit(wide, ("a", "b", "rating"), {"rating": 0.9}, "rating", factors=1, steps=25, anchor_mode="positive")
+    assert 0 <= model["loadings"][2, 0] <= np.sqrt(0.9) and (model["loading_sd"][:, 0] > 0).all()
+    with pytest.raises(ValueError):
+        fusion.fit(wide, ("a", "b", "rating"), {}, "rating", anchor_mode="other")
+
+
+def test_split_half_of_one_metric(spark):
+    with pytest.raises(ValueError):
+        reliability.split_half(spark.createDataFrame([], "season long, athlete_id long, minutes double"), "no such metric")
