@@ -50,7 +50,7 @@ def _claim(s, d):
     box_only = CANDIDATES[1:]
     table = table.unionByName(
         panel.baseline_table(
-            ridge_all=panel.ridge_baseline(p, CANDIDATES), ridge_box=panel.ridge_baseline(p, box_only), trees_all=panel.tree_baseline(p, CANDIDATES, iterations=3)
+            ridge_all=panel.ridge_baseline(p, CANDIDATES), ridge_box=panel.ridge_baseline(p, box_only), trees_all=panel.tree_baseline(p, CANDIDATES, iterations=2)
         )
     )
     best, second = [r.candidate for r in panel.compare_candidates(panel.long_panel(p, CANDIDATES)).orderBy("rmse", "candidate").limit(2).collect()]
@@ -91,7 +91,7 @@ QUERIES = {
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
     "paired_p_value": lambda s, d: panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36", with_p=True),
     "ridge_baseline": lambda s, d: panel.baseline_table(ridge=panel.ridge_baseline(_panel(s, d), CANDIDATES)),
-    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES, iterations=3)),
+    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES, iterations=2)),
     "ridge_attribution": lambda s, d: panel.ridge_attribution(_panel(s, d), CANDIDATES),
     "attribution_agreement": lambda s, d: panel.attribution_agreement(panel.ridge_attribution(_panel(s, d), CANDIDATES), fusion.loading_table(s, FUSED, _fitted(s, d)[1])),
     "claim_report": _claim,
