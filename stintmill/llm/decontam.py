@@ -24,7 +24,7 @@ from .linking import WORD_BITS, spread_join, without_ids
 
 WINDOW = 8
 SHORTEST = 4  # items of fewer template tokens are searched for by plain words
-LEAST_BITS, MOST_BITS = 16, 28  # bits that screen the documents' windows: 16 a benchmark window, 32 MB at most
+LEAST_BITS, MOST_BITS = 24, 29  # the documents' windows are screened by 2^24 bits or 512 a benchmark window, 64 MB at most
 BROADCAST_WINDOWS = 200_000  # benchmark windows are broadcast up to this many (some tens of MB), and joined by a shuffle beyond
 # Words taken for units when they follow a number.
 UNITS = (
@@ -167,9 +167,9 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 
 
 def _screen(items: DataFrame) -> np.ndarray:
-    """Bits that tell which window hashes may be in the benchmark: 16 a window, within LEAST_BITS and MOST_BITS."""
+    """Bits that tell which window hashes may be in the benchmark."""
     n = items.count()
-    width = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    width = min(MOST_BITS, max(LEAST_BITS, (512 * n).bit_length()))
     top = F.shiftrightunsigned("key", 64 - width)
     rows = (
         items.groupBy(F.shiftright(top, WORD_BITS).alias("chunk"))
