@@ -35,16 +35,19 @@ WIDTH = 8192  # distinct hashes that a comparison of blocks holds as columns at
 def bitmap(values: DataFrame, col: str, bits: int = 26) -> DataFrame:
     """A bitmap of hashed values: at most 2^bits bits (8 MB by default) however many there are."""
     slot = F.pmod(F.col(col), F.lit(1 << bits))
-    return values.groupBy(F.shiftright(slot, WORD_BITS).alias("_bucket")).agg(
-        F.bitmap_construct_agg(slot.bitwiseAND((1 << WORD_BITS) - 1)).alias("_bits")
-    )
+    made = values.groupBy(F.shiftright(slot, WORD_BITS).alias("_bucket")).agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << WORD_BITS) - 1)).alias("_b"))
+    word = "cast(conv(hex(substring(_b, 4 * i + 1, 4)), 16, 10) as bigint)"
+    words = f"transform(sequence(0, {(1 << WORD_BITS) // 32 - 1}), i -> cast({word} - if({word} >= 2147483648, 4294967296, 0) as int))"
+    return made.select("_bucket", F.expr(words).alias("_bits"))
 
 
 def _marked(rows: DataFrame, col: str, marks: DataFrame, how: str, bits: int) -> DataFrame:
     slot = F.pmod(F.col(col), F.lit(1 << bits))
     held = rows.withColumn("_slot", slot).withColumn("_bucket", F.shiftright("_slot", WORD_BITS)).join(F.broadcast(marks), "_bucket", how)
-    byte = F.expr(f"conv(hex(substring(_bits, cast(shiftright(_slot & {(1 << WORD_BITS) - 1}, 3) as int) + 1, 1)), 16, 10)")
-    bit = F.getbit(byte.cast("int"), F.col("_slot").bitwiseAND(7).cast("int"))
+    # the bytes of a bitmap are in order, so a word's first byte is its highest
+    at = F.col("_slot").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
+    byte = F.shiftright(at, 3).bitwiseAND(3)
+    bit = F.getbit(F.get("_bits", F.shiftright(at, 5)), (3 - byte) * 8 + at.bitwiseAND(7))
     return held.withColumn("_bit", F.coalesce(bit, F.lit(0)))
 
 
@@ -86,15 +89,11 @@ def spread_join(rows: DataFrame, by_key: DataFrame, sizes: DataFrame, key: str,
     if crowded.isEmpty():
         return rows.join(by_key, key)
     marks = bitmap(crowded, "_c")
-    rows, by_key = (t.withColumn("_c", F.xxhash64(key)) for t in (rows, by_key))
-    dealt = maybe_in(rows, "_c", marks).withColumn("_salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
-    copies = maybe_in(by_key, "_c", marks).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        dealt.drop("_c")
-        .join(copies.drop("_c"), [key, "_salt"])
-        .drop("_salt")
-        .unionByName(surely_out(rows, "_c", marks).drop("_c").join(surely_out(by_key, "_c", marks).drop("_c"), key))
-    )
+    one, every = F.lit(0), F.sequence(F.lit(0), F.lit(SALTS - 1))
+    rows, by_key = (_marked(t.withColumn("_c", F.xxhash64(key)), "_c", marks, "left", 26).drop("_c", "_slot", "_bucket", "_bits") for t in (rows, by_key))
+    dealt = rows.withColumn("_salt", F.when(F.col("_bit") == 1, F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int")).otherwise(one)).drop("_bit")
+    copies = by_key.withColumn("_salt", F.explode(F.when(F.col("_bit") == 1, every).otherwise(F.array(one)))).drop("_bit")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -292,12 +291,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = spread_join(edges, labels.withColumnRenamed("id", "b"), degrees, "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         moved = labels.join(around, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
-        moved = moved.withColumn("_k", F.xxhash64("to"))
         inner = labels.where("id <> component")
         marks = bitmap(inner.select(F.xxhash64("id").alias("_k")), "_k")
-        jumped = maybe_in(moved, "_k", marks).join(inner.select(F.col("id").alias("to"), F.col("component").alias("next")), "to", "left")
-        jumped = jumped.select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was")
-        jumped = staged(jumped.unionByName(surely_out(moved, "_k", marks).select("id", F.col("to").alias("component"), "was")), "labels")
+        moved = _marked(moved.withColumn("_k", F.xxhash64("to")), "_k", marks, "left", 26).drop("_k", "_slot", "_bucket", "_bits")
+        moved = moved.withColumn("_salt", F.when(F.col("_bit") == 1, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+        jump = inner.select(F.col("id").alias("to"), F.col("component").alias("next"), F.lit(-1).alias("_salt"))
+        jumped = moved.join(jump, ["to", "_salt"], "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was")
+        jumped = staged(jumped, "labels")
         labels = jumped.select("id", "component")
         if jumped.where("component <> was").isEmpty():
             return labels

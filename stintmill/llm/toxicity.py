@@ -9,8 +9,9 @@ sampling error is left to them whole, so it says nothing about the class.
 A text's value is the difference of the two log-likelihoods over its number of tokens; a cut and
 a slope fitted on labelled rows that the counts never saw turn it into a score.
 
-Training reads a sample of at most about ``max_per_class`` labelled rows of each class, whole
-texts, exact copies once. Everything kept of it is bounded by that and by ``max_entries``.
+Training reads a sample of at most about ``max_per_class`` labelled rows of each class and of
+``max_chars`` characters of them, whole texts, exact copies once. Everything kept of it is bounded by
+that.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged, table
@@ -122,7 +123,7 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def fit_counts(counts: DataFrame, discount: float, min_count: int, sigmas: float, least: float, max_entries: int) -> Model:
+def fit_counts(counts: DataFrame, discount: float, min_count: int, sigmas: float, least: float) -> Model:
     """The model from staged (u, w, n0, n1); only bounded tables reach the driver.
 
     Events whose counts do not differ between the classes by ``sigmas`` standard errors are
@@ -133,7 +134,7 @@ def fit_counts(counts: DataFrame, discount: float, min_count: int, sigmas: float
     by_stem = by_word.groupBy("s").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     kept = lambda c: F.greatest(F.col(c) - discount, F.lit(0.0))
     sums = lambda df: df.agg(F.sum("n0"), F.sum("n1"), F.sum(kept("n0")), F.sum(kept("n1"))).first()
-    top = lambda df: df.orderBy(F.desc(F.col("n0") + F.col("n1")), *df.columns[:2]).limit(max_entries).collect()
+    top = lambda df: df.collect()  # noqa: E731 - events of the bounded sample
 
     def chances(row, total, left, low):
         return [max(row[f"n{c}"] - discount, 0.0) / total[c] + left[c] * low[c] for c in (0, 1)]
@@ -154,9 +155,9 @@ def fit_counts(counts: DataFrame, discount: float, min_count: int, sigmas: float
         stem_p[r.s] = (chances(r, *of_stems, ((r.n0 + r.n1) / whole,) * 2), r.n0 + r.n1)
         stems[r.s] = ratio(stem_p[r.s][0])
     apart = _apart(sigmas, of_words[0])
-    listed = F.array(*[F.lit(s) for s in stems]) if stems else F.array().cast("array<string>")
+    listed = counts.sparkSession.createDataFrame([(s, True) for s in stems], "s string, listed boolean")  # openings of the bounded sample
     words, word_p = {}, {}
-    for r in top(by_word.where(enough & (apart | F.array_contains(listed, F.col("s")))).withColumn("apart", apart)):
+    for r in top(by_word.where(enough).join(F.broadcast(listed), "s", "left").where(apart | F.col("listed")).withColumn("apart", apart)):
         n = r.n0 + r.n1
         (low, inside) = stem_p.get(r.s, ((n / whole,) * 2, n))
         word_p[r.w] = chances(r, *of_words, [x * n / inside for x in low])
@@ -204,7 +205,7 @@ def train(
     min_count: int = 5,
     sigmas: float = 4.0,
     least: float = 1.5,
-    max_entries: int = 100_000,
+    max_chars: int = 60_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
@@ -213,10 +214,14 @@ def train(
     small_batches(spark)
     chosen = sampled_labels(labels, max_per_class, id_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    fit = texts.where("fit and text is not null").select("text", "toxic")
+    texts = staged(texts.where("text is not null").withColumn("size", F.length("text").cast("long")), "toxic-sample")
+    upto = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    short = texts.select("doc_id", "toxic", "size", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before")).where(F.col("before") < max_chars)  # a few thousand rows
+    texts = texts.join(F.broadcast(short.select("doc_id").distinct()), "doc_id", "left_semi")
+    fit = texts.where("fit").select("text", "toxic")
     # exact copies teach once: only rows of the sample are grouped, and by hash, not by text
     once = staged(fit.withColumn("k", F.xxhash64("text")).dropDuplicates(["k", "toxic"]).select("text", "toxic"), "toxic-fit")
-    model = fit_counts(staged(count_table(once), "toxic-pairs"), discount, min_count, sigmas, least, max_entries)
+    model = fit_counts(staged(count_table(once), "toxic-pairs"), discount, min_count, sigmas, least)
     shared = spark.sparkContext.broadcast(model)
     value = F.pandas_udf(lambda s: pd.Series([shared.value.value(t) for t in s], dtype=float), "double")
     rows = texts.where("not fit").select(value("text").alias("v"), "toxic").collect()
