@@ -79,7 +79,8 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen[toxic].update(zip([START, *found], found))
             if len(seen[0]) + len(seen[1]) > 200_000:
                 yield flush()
-    yield flush()
+    if seen[0] or seen[1]:
+        yield flush()
 
 
 def count_table(texts: DataFrame) -> DataFrame:

@@ -197,7 +197,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("digest", "^sha256:", "").alias("said"),
     )
     rows = staged(rows, "records")
-    stored = rows.where("record_type = 'response'").select(F.col("page_id").alias("to_id"), F.col("bytes").alias("to_bytes"), F.col("found").alias("to_found"))
+    stored = rows.where("record_type = 'response'").select(F.col("page_id").alias("to_id"), F.col("bytes").alias("to_bytes"), F.col("found").alias("to_found")).distinct()
     revisit = F.col("record_type") == "revisit"
     return rows.join(stored.hint("merge"), revisit & (F.col("refers_to") == F.col("to_id")) & (F.col("said") == F.col("to_found")), "left").select(
         "page_id",

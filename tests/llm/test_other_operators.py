@@ -218,3 +218,63 @@ def test_warc_round_trip_with_false_starts(spark):
         again = len(raw) >= 100 and first[raw] != i
         want = ("revisit" if again else "response", first[raw] if again else None, len(raw), hashlib.sha256(raw).hexdigest(), True)
         assert (got[i].record_type, got[i].refers_to, got[i].payload_bytes, got[i].payload_digest, got[i].intact) == want
+
+
+def test_toxicity_of_empty_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "vile word"), (1, "vile word"), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = [r.score for r in toxicity.score(docs, model).orderBy(F.desc("text")).collect()]
+    assert got[0] == got[1] and all(0 <= g <= 1 for g in got)
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+
+
+def test_neighbours_of_repeated_ids_take_the_least_vector(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = spark.createDataFrame([(2,), (2,), (None,)], "query_id long")
+    for d in (df, df.repartition(5)):
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.nearest(d, ask).orderBy("rank").collect()] == [(2, 1, 1, 1.0), (2, 2, 3, 0.0)]
+
+
+def rule_by_hand(url, rules=urls.RULES):
+    """Host, path, rule and verdict, character by character."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = url[url.index("://") + 3 :]
+        while rest and rest[0] not in "/?#":
+            host, rest = host + (rest[0].lower() if "A" <= rest[0] <= "Z" else rest[0]), rest[1:]
+        while rest and rest[0] not in "?#":
+            path, rest = path + rest[0], rest[1:]
+    labels = host.split(".")
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if labels[-len(h.split(".")) :] == h.split(".") and path[: len(p)] == p]
+    return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else None
+
+
+def test_url_rules_equal_a_walk_over_characters(spark):
+    rng = random.Random(6)
+    parts = ["http", "://", "://", "/", "?", "#", ".", "example", "net", "com", "org", "EXAMPLE", "en/", "de/", "fr/", "a", "-", "é", "\n", "%20", ":80", "@", " "]
+    every = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(300)]
+    every += [f"http://{h}/{p}" for h in ("example.net", "x.example.net", "example.com", "q.org", "netx", "example.net.") for p in ("", "en/", "de/x", "fr/")]
+    every += [None, "http://long.org/" + "fr/" * 30_000, "http://" + "a." * 20_000 + "net/en/"] + ["http://same.org/fr/"] * 3
+    df = spark.createDataFrame([(k if k % 50 else None, u) for k, u in enumerate(every)], "page_id long, url string")
+    got = collections.Counter((r.page_id, r.host, r.path, r.rule) for r in urls.judge(df, trees=2).collect())
+    assert got == collections.Counter((k if k % 50 else None, *rule_by_hand(u)[:3]) for k, u in enumerate(every))
+
+
+def test_urls_of_one_class(spark):
+    df = spark.createDataFrame([(k, f"http://plain{k}.example/x") for k in range(30)], "page_id long, url string")
+    assert {r.verdict for r in urls.judge(df).collect()} == {"allow"}
+
+
+def test_warc_of_empty_null_and_repeated_ids(spark):
+    def back(rows):
+        path = tempfile.mkdtemp(prefix="spark-") + "/w"
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+        return collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, path).collect())
+
+    assert back([]) == {}
+    text = "y" * 200
+    assert back([(None, "u", "z"), (3, "u", text), (3, "u", text), (4, "v", text), (4, "v", "short")]) == collections.Counter(
+        [(None, "response", None, 1), (3, "response", None, 200), (3, "response", None, 200), (4, "revisit", 3, 200), (4, "response", None, 5)]
+    )

@@ -29,3 +29,21 @@ def test_stages_keep_columns_and_pass_on_their_rows(spark):
 
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "mixing"]
+
+
+def test_stages_take_null_empty_and_repeated_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "a line of its own that no other document says in this table\nand one more of them"
+    odd = [(900001, None, "en", None, None), (900002, "", None, "s", 0), (900003, text, "en", "s", len(text)), (900003, text, "en", "s", len(text)), (None, "the row without an id keeps what it says", "en", "s", 40)]
+    odd = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.select([F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    for name, stage in corpus_pipeline.STAGES:
+        small = docs.limit(60).unionByName(odd)
+        out = stage(spark, small, SF)
+        rows = out.collect()
+        if name != "mixing":
+            assert out.columns == docs.columns
+            kept = [r.text for r in rows if r.doc_id == 900003]
+            assert text in kept
+            assert any(r.doc_id is None for r in rows)
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -186,6 +187,122 @@ def test_leaks_of_runs_at_edges_altered_values_and_short_items(spark):
     assert all(got[k, k][0] == "copy" for k in range(1, 5)) and got[1, 1][1] == got[3, 3][1] == 1.0
 
 
+def plain_templates(text):
+    """Template tokens (kind, identity, value) and plain words of a text, token by token."""
+    found, plain = [], []
+    last_end, last_number = None, False
+    for m in re.finditer(r"[A-Za-z]+|[0-9]+", text):
+        word, low = m.group(), m.group().lower()
+        plain.append(low)
+        inside = last_end is not None and not re.search(r"[\n\r!.:?]", text[last_end : m.start()])
+        kind = "number" if word[0].isdigit() else "unit" if last_number and low in decontam.UNITS else "name" if word[0].isupper() and inside else None
+        last_end, last_number = m.end(), word[0].isdigit()
+        if kind and found and found[-1][0] == kind:
+            found[-1] = (kind, kind, text[found[-1][3] : m.end()], found[-1][3])
+        else:
+            found.append((kind, kind or low, word, m.start()))
+    return found, plain
+
+
+def brute_leaks(texts, items, copied_share=0.3, changed_share=0.5):
+    norm = lambda v: " ".join(v.lower().split())
+    docs = {}
+    for k, t in texts:
+        docs[k] = plain_templates(t or "")
+    out = {}
+    for item, text in items:
+        toks, plain = plain_templates(text or "")
+        n = len(toks)
+        length = 8 if n >= 8 else n
+        starts = [a for a in range(n - length + 1) if length >= 4 and 2 * sum(not t[0] for t in toks[a : a + length]) >= length]
+        words = not starts
+        if words:
+            toks = [(None, w, w, 0) for w in plain]
+            n, length = len(toks), min(8, len(toks))
+            starts = list(range(n - length + 1)) if n else []
+        windows = collections.defaultdict(list)
+        for a in starts:
+            windows[tuple(t[1] for t in toks[a : a + length])].append(a)
+        for k, (doc, doc_plain) in docs.items():
+            mine = [(None, w, w, 0) for w in doc_plain] if words else doc
+            by_shift = collections.defaultdict(lambda: [set(), set(), set()])
+            for b in range(len(mine) - length + 1):
+                key = tuple(t[1] for t in mine[b : b + length])
+                for a in windows.get(key, ()):
+                    keys, copied, slots = by_shift[b - a]
+                    keys.add(key)
+                    own = True
+                    for j in range(length):
+                        kind, _, value, _ = toks[a + j]
+                        if not kind:
+                            continue
+                        i, d = norm(value), norm(mine[b + j][2])
+                        if j not in (0, length - 1):
+                            slots.add(((kind, i), d))
+                        first, last = j == 0 and a == 0, j == length - 1 and a + length == n
+                        own &= i == d or (last and d.startswith(i + " ")) or (first and d.endswith(" " + i))
+                    if own:
+                        copied.add(key)
+            agreed = [(keys if len(slots) == len({i for i, _ in slots}) else copied, copied) for keys, copied, slots in by_shift.values()]
+            share, same = (len(set().union(*[p[q] for p in agreed])) / len(windows) if windows else 0 for q in (0, 1))
+            if same >= copied_share or share >= changed_share:
+                out[k, item] = ("copy" if same >= copied_share else "reparameterised", round(share, 9))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(31)
+    names = ["Maria Lopez", "Ann Lee", "Otto", "Kim"]
+    def sentence():
+        words = rng.choices(WORDS[:60], k=rng.randrange(6, 14))
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = rng.choice([rng.choice(names), str(rng.randrange(30)), f"{rng.randrange(9)} km", f"{rng.randrange(9)} hours"])
+        return " ".join(words) + rng.choice([".", "?", ",", ""])
+    items = [(k, " ".join(sentence() for _ in range(rng.randrange(1, 4)))) for k in range(30)]
+    items += [(k, f"so w{k:03d} has {k} of w001 and Otto {k + 3} km of w002 but Kim w003 {k + 5} on w004 days") for k in range(30, 40)] + [(90, "w001 w002"), (91, "7 9 11"), (92, ""), (93, None)]
+    texts = []
+    for k in range(160):
+        words = items[rng.randrange(40)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            at = rng.randrange(len(words))
+            words[at] = rng.choice([rng.choice(names), str(rng.randrange(30)), words[at], rng.choice(WORDS)])
+        said = " ".join(words)
+        if k % 3 == 0:  # other values throughout, most of them consistent
+            said = re.sub(r"[0-9]+", lambda m: str(int(m.group()) + 40 + (rng.random() < 0.05)), said)
+            for a, b in zip(names, ["Zoe", "Lin Po", "Max", "Eve Adams"], strict=True):
+                said = said.replace(a, b)
+        texts.append((k, f"{sentence()} {said} {sentence()}"))
+    got = {(r.doc_id, r.item_id): (r.kind, round(r.share, 9)) for r in decontam.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(texts, items)
+    assert got == want
+    assert {kind for kind, _ in want.values()} == {"copy", "reparameterised"} and len(want) > 80
+
+
+def test_equal_new_values_are_a_changed_question(spark):
+    item = "a baker makes 120 rolls and sells 7 boxes to 4 inns before 3 bells ring 5 times at 8 gates"
+    texts = [(1, re.sub("[0-9]+", "9", item)), (2, item.replace("120", "9")), (3, item.replace("120", "9").replace("7", "120"))]
+    got = {r.doc_id: r.kind for r in decontam.leaks(frame(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: "reparameterised", 2: "copy", 3: "copy"}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    text = " ".join(WORDS[:30])
+    rows = [(1, text), (1, text), (1, " ".join(WORDS[40:90])), (2, text + " more"), (None, text), (3, None), (3, "")]
+    got = collections.Counter((r.doc_id, r.group_id) for r in neardup.group_documents(frame(spark, rows)).collect())
+    assert got == {(1, 1): 3, (2, 1): 1, (3, 3): 2}
+    left = collections.Counter(r.doc_id for r in neardup.dedup_documents(frame(spark, rows)).collect())
+    assert left == {1: 3, None: 1, 3: 2}
+
+
+def test_mix_of_equal_hashes_and_white_space(spark):
+    rows = [(7, "a  b\nc d", "en", "s", 0, "x", 1)] * 4 + [(None, "a b", "en", "s", 0, "x", 1)] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    one, two = ([tuple(r) for r in mixing.mix(d).orderBy("doc_id", "taken").collect()] for d in (df, df.repartition(3)))
+    assert one == two and sum(r[-1] for r in one) == 30
+    texts = [r.text for r in mixing.mixed_texts(df, share=1.1).collect()]
+    assert all(t in ("a  b\nc d", "a  b\nc", "a  b", "a", "a b") for t in texts)
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 30)), "en", s, 0, "x", 1) for i, s in enumerate(rng.choices(["a", "b", "c", None, "hot"], [1, 1, 3, 1, 12], k=400))]
