@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import P, chunks, mixed, span_hashes
 from .common import small_batches, staged, table
-from .linking import WORD_BITS, spread_join, without_ids
+from .linking import WORD_BITS, crowded, spread_join, without_ids
 
 WINDOW = 8
 SHORTEST = 4  # items of fewer template tokens are searched for by plain words
@@ -217,7 +217,7 @@ def _met(hits: DataFrame, items: DataFrame) -> DataFrame:
     if items.count() <= BROADCAST_WINDOWS:
         joined = hits.join(F.broadcast(of_key), "key")
     else:
-        joined = spread_join(hits, of_key, staged(hits.groupBy("key").agg(F.count("*").alias("n")), "hit-keys"), "key", "doc_id")
+        joined = spread_join(hits, of_key, crowded(staged(hits.groupBy("key").agg(F.count("*").alias("n")), "hit-keys"), "key"), "key", "doc_id")
     return joined.select("doc_id", "key", "doc_pos", "doc_slots", F.inline("items"))
 
 

@@ -32,36 +32,46 @@ PAIRS = 1 << 18  # pairs whose sketches are compared at once
 WIDTH = 8192  # distinct hashes that a comparison of blocks holds as columns at once
 
 
-def bitmap(values: DataFrame, col: str, bits: int = 26) -> DataFrame:
-    """A bitmap of hashed values: at most 2^bits bits (8 MB by default) however many there are."""
+def bits_for(n: int) -> int:
+    """Bits of a bitmap of n values: 64 a value, within 2^16 and 2^26."""
+    return min(26, max(16, (64 * n).bit_length()))
+
+
+def bitmap(values: DataFrame, col: str, bits: int | None = None) -> tuple[DataFrame, int]:
+    """A bitmap of hashed values and its bits: 8 MB at most however many values there are.
+
+    Without bits they are chosen by the count of values, which should be staged then.
+    """
+    bits = bits_for(values.count()) if bits is None else bits
     slot = F.pmod(F.col(col), F.lit(1 << bits))
     made = values.groupBy(F.shiftright(slot, WORD_BITS).alias("_bucket")).agg(F.bitmap_construct_agg(slot.bitwiseAND((1 << WORD_BITS) - 1)).alias("_b"))
-    word = "cast(conv(hex(substring(_b, 4 * i + 1, 4)), 16, 10) as bigint)"
-    words = f"transform(sequence(0, {(1 << WORD_BITS) // 32 - 1}), i -> cast({word} - if({word} >= 2147483648, 4294967296, 0) as int))"
-    return made.select("_bucket", F.expr(words).alias("_bits"))
+    words = f"transform(sequence(0, {(1 << WORD_BITS) // 32 - 1}), i -> cast(conv(hex(substring(_b, 4 * i + 1, 4)), 16, 10) as bigint))"
+    return made.select("_bucket", F.expr(f"transform({words}, w -> cast(w - if(w >= 2147483648, 4294967296, 0) as int))").alias("_bits")), bits
 
 
-def _marked(rows: DataFrame, col: str, marks: DataFrame, how: str, bits: int) -> DataFrame:
+def _marked(rows: DataFrame, col: str, marks: tuple[DataFrame, int], how: str = "left") -> DataFrame:
+    """rows with _bit: 1 where the bitmap may hold the value of col."""
+    made, bits = marks
     slot = F.pmod(F.col(col), F.lit(1 << bits))
-    held = rows.withColumn("_slot", slot).withColumn("_bucket", F.shiftright("_slot", WORD_BITS)).join(F.broadcast(marks), "_bucket", how)
+    held = rows.withColumn("_slot", slot).withColumn("_bucket", F.shiftright("_slot", WORD_BITS)).join(F.broadcast(made), "_bucket", how)
     # the bytes of a bitmap are in order, so a word's first byte is its highest
     at = F.col("_slot").bitwiseAND((1 << WORD_BITS) - 1).cast("int")
     byte = F.shiftright(at, 3).bitwiseAND(3)
     bit = F.getbit(F.get("_bits", F.shiftright(at, 5)), (3 - byte) * 8 + at.bitwiseAND(7))
-    return held.withColumn("_bit", F.coalesce(bit, F.lit(0)))
+    return held.withColumn("_bit", F.coalesce(bit, F.lit(0))).drop("_slot", "_bucket", "_bits")
 
 
-def maybe_in(rows: DataFrame, col: str, marks: DataFrame, bits: int = 26) -> DataFrame:
+def maybe_in(rows: DataFrame, col: str, marks: tuple[DataFrame, int]) -> DataFrame:
     """Rows whose value may be among those of the bitmap: none of those is lost, few others stay.
 
-    The bitmap's size is fixed, so it is broadcast; an exact join of what is left follows.
+    The bitmap's size is bounded, so it is broadcast; an exact join of what is left follows.
     """
-    return _marked(rows, col, marks, "inner", bits).where("_bit = 1").drop("_slot", "_bucket", "_bits", "_bit")
+    return _marked(rows, col, marks, "inner").where("_bit = 1").drop("_bit")
 
 
-def surely_out(rows: DataFrame, col: str, marks: DataFrame, bits: int = 26) -> DataFrame:
+def surely_out(rows: DataFrame, col: str, marks: tuple[DataFrame, int]) -> DataFrame:
     """The rows that ``maybe_in`` leaves out; their values are surely not among those of the bitmap."""
-    return _marked(rows, col, marks, "left", bits).where("_bit = 0").drop("_slot", "_bucket", "_bits", "_bit")
+    return _marked(rows, col, marks).where("_bit = 0").drop("_bit")
 
 
 def without_ids(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
@@ -79,18 +89,25 @@ def without_ids(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
     )
 
 
-def spread_join(rows: DataFrame, by_key: DataFrame, sizes: DataFrame, key: str, deal_by: str, crowd: int = CROWD) -> DataFrame:
+def crowded(sizes: DataFrame, key: str, crowd: int = CROWD) -> tuple[DataFrame, int] | None:
+    """A bitmap, and its bits, of the keys that sizes (staged; key, n) says have more than ``crowd`` rows; None without any."""
+    many = staged(sizes.where(F.col("n") > crowd).select(F.xxhash64(key).alias("_c")), "crowded")
+    if not (n := many.count()):
+        return None
+    made, bits = bitmap(many, "_c", bits_for(n))
+    return staged(made, "crowded-marks"), bits
+
+
+def spread_join(rows: DataFrame, by_key: DataFrame, marks: tuple[DataFrame, int] | None, key: str, deal_by: str) -> DataFrame:
     """The inner join of rows with by_key, a table of one row a key, on a column of 64-bit integers.
 
-    sizes (staged; key, n) counts the rows of each key. The rows of a key of more than ``crowd`` are
-    dealt to ``SALTS`` parts by their column deal_by, so that no task gets a whole crowded key.
+    The rows of keys that ``crowded`` marks are dealt to ``SALTS`` parts by their column deal_by, so
+    that no task gets a whole crowded key.
     """
-    crowded = sizes.where(F.col("n") > crowd).select(F.xxhash64(key).alias("_c"))
-    if crowded.isEmpty():
+    if marks is None:
         return rows.join(by_key, key)
-    marks = bitmap(crowded, "_c")
     one, every = F.lit(0), F.sequence(F.lit(0), F.lit(SALTS - 1))
-    rows, by_key = (_marked(t.withColumn("_c", F.xxhash64(key)), "_c", marks, "left", 26).drop("_c", "_slot", "_bucket", "_bits") for t in (rows, by_key))
+    rows, by_key = (_marked(t.withColumn("_c", F.xxhash64(key)), "_c", marks).drop("_c") for t in (rows, by_key))
     dealt = rows.withColumn("_salt", F.when(F.col("_bit") == 1, F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int")).otherwise(one)).drop("_bit")
     copies = by_key.withColumn("_salt", F.explode(F.when(F.col("_bit") == 1, every).otherwise(F.array(one)))).drop("_bit")
     return dealt.join(copies, [key, "_salt"]).drop("_salt")
@@ -236,7 +253,7 @@ def _open_links(tried: DataFrame, links: DataFrame, sets_of, decode, threshold:
     mixed = staged(mixed.where("one < two").select("key", "n"), "open-keys")
     if mixed.isEmpty():
         return None
-    here = spread_join(placed, mixed, mixed, "key", "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    here = spread_join(placed, mixed, crowded(mixed, "key"), "key", "id").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     here = here.withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = here.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", *SKETCH, (F.col("own") > F.col("other")).cast("int").alias("side"))
     dealt = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
@@ -258,12 +275,12 @@ def leader_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     shared = rows.groupBy("key").agg(F.min("id").alias("one"), F.max("id").alias("two"), F.count("*").alias("n")).where("one < two")
     shared = staged(shared.select("key", "n"), "shared-keys")
     held = maybe_in(rows, "key", bitmap(shared, "key")).groupBy("key", "id").agg(*[F.first(c).alias(c) for c in SKETCH])
-    near = staged(spread_join(held, shared, shared, "key", "id"), "near-keys")
+    near = staged(spread_join(held, shared, crowded(shared, "key"), "key", "id"), "near-keys")
     spread = near.groupBy("id").agg(F.sum("n").alias("spread"))
     leads = near.join(spread, "id").groupBy("key").agg(F.max(F.struct("spread", "id", *SKETCH)).alias("lead"), F.count("*").alias("n"))
     led = [f"l{c}" for c in SKETCH]
     leads = staged(leads.select("key", "n", F.col("lead.id").alias("lead"), *[F.col(f"lead.{c}").alias(n) for c, n in zip(SKETCH, led, strict=True)]), "leads")
-    tried = spread_join(near.drop("n"), leads.drop("n"), leads, "key", "id").where("id <> lead")
+    tried = spread_join(near.drop("n"), leads.drop("n"), crowded(leads, "key"), "key", "id").where("id <> lead")
     tried = tried.withColumn("close", agreeing(SKETCH, led) >= least_agreeing(threshold))
     tried = staged(tried.select("key", "id", "lead", "close", *SKETCH), "tried")
     pairs = staged(tried.where("close").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -271,7 +288,7 @@ def leader_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     asked = staged(pairs.select("b").union(sizes.select("a")).toDF("id").distinct(), "asked")
     sets = staged(sets_of(asked), "sets")
     of_leads = sets.toDF("a", "x").join(sizes.select("a"), "a", "left_semi")
-    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), of_leads, sizes, "a", "b", BLOCK).where(alike("x", "y")).select("a", "b")
+    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), of_leads, crowded(sizes, "a", BLOCK), "a", "b").where(alike("x", "y")).select("a", "b")
     good = staged(good, "leader-links")
     more = _open_links(tried, good, sets_of, decode, threshold)
     return good if more is None else staged(good.unionByName(more), "links")
@@ -287,13 +304,14 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     stars = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
     stars = staged(stars.select(F.col("a").alias("id"), "n", F.least("a", "b").alias("component")), "labels")
-    labels, degrees = stars.select("id", "component"), stars.select(F.col("id").alias("b"), "n")
+    labels, bits = stars.select("id", "component"), bits_for(stars.count())
+    hubs = crowded(stars.select(F.col("id").alias("b"), "n"), "b")
     while True:
-        around = spread_join(edges, labels.withColumnRenamed("id", "b"), degrees, "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        around = spread_join(edges, labels.withColumnRenamed("id", "b"), hubs, "b", "a").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         moved = labels.join(around, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         inner = labels.where("id <> component")
-        marks = bitmap(inner.select(F.xxhash64("id").alias("_k")), "_k")
-        moved = _marked(moved.withColumn("_k", F.xxhash64("to")), "_k", marks, "left", 26).drop("_k", "_slot", "_bucket", "_bits")
+        marks = bitmap(inner.select(F.xxhash64("id").alias("_k")), "_k", bits)
+        moved = _marked(moved.withColumn("_k", F.xxhash64("to")), "_k", marks).drop("_k")
         moved = moved.withColumn("_salt", F.when(F.col("_bit") == 1, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
         jump = inner.select(F.col("id").alias("to"), F.col("component").alias("next"), F.lit(-1).alias("_salt"))
         jumped = moved.join(jump, ["to", "_salt"], "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), "was")

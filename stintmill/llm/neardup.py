@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import P, Q, chunks, mixed, scaled, span_hashes
 from .common import small_batches, staged, table
-from .linking import LANES, SKETCH, bitmap, components, leader_links, maybe_in, packed, spread_join, without_ids
+from .linking import LANES, SKETCH, bitmap, components, crowded, leader_links, maybe_in, packed, spread_join, without_ids
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -181,8 +181,8 @@ def group_documents(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS,
     named = texts.join(linked, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     named = staged(named, "named")
     heads = staged(named.groupBy("component").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "heads")
-    groups = spread_join(named.select("id", "component"), heads.drop("n"), heads, "component", "id").select("id", "group_id")
-    placed = spread_join(signed.where("id is not null").select("doc_id", "id"), groups, texts, "id", "doc_id").select("doc_id", "group_id")
+    groups = spread_join(named.select("id", "component"), heads.drop("n"), crowded(heads, "component"), "component", "id").select("id", "group_id")
+    placed = spread_join(signed.where("id is not null").select("doc_id", "id"), groups, crowded(texts, "id"), "id", "doc_id").select("doc_id", "group_id")
     return placed.unionByName(signed.where("id is null").select("doc_id", F.col("doc_id").alias("group_id")))
 
 
