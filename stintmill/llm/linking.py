@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from .common import staged
 
 WORD_BITS = 15  # Spark's bitmaps hold 2^15 bits
-BLOCK = 256  # members of a key that are compared with as many others in one step of a task
+BLOCK = 1000  # members of a key that are compared with as many others in one step of a task
+FAMILY = 256  # members of one leader beyond which their comparison is dealt by a salt too
 CROWD = 2000  # rows of a key beyond which a join deals them by a salt too
 SALTS = 64
 LANES = 32  # bytes of a sketch, in four 64-bit integers
 SKETCH = [f"s{k}" for k in range(LANES // 8)]
 PAIRS = 1 << 18  # pairs whose sketches are compared at once
-WIDTH = 8192  # distinct hashes that a comparison of blocks holds as columns at once
+WIDTH = 2048  # distinct hashes that a comparison of blocks holds as columns at once
 
 
 def bits_for(n: int) -> int:
@@ -288,7 +289,7 @@ def leader_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     asked = staged(pairs.select("b").union(sizes.select("a")).toDF("id").distinct(), "asked")
     sets = staged(sets_of(asked), "sets")
     of_leads = sets.toDF("a", "x").join(sizes.select("a"), "a", "left_semi")
-    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), of_leads, crowded(sizes, "a", BLOCK), "a", "b").where(alike("x", "y")).select("a", "b")
+    good = spread_join(pairs.join(sets.toDF("b", "y"), "b"), of_leads, crowded(sizes, "a", FAMILY), "a", "b").where(alike("x", "y")).select("a", "b")
     good = staged(good, "leader-links")
     more = _open_links(tried, good, sets_of, decode, threshold)
     return good if more is None else staged(good.unionByName(more), "links")
