@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op12_bpe
+from .centroids import OP11_SQL, op11_centroids
+from .conversations import op13_conversations
 from .decontam import op1_decontaminate
 from .html import op7_extract_text
 from .licences import op6_licences
@@ -26,8 +29,11 @@ def queries() -> dict:
         "op8_mix_sources": op8_mix_sources,
         "op9_url_filter": op9_url_filter,
         "op10_warc": op10_warc,
+        "op11_centroids": op11_centroids,
+        "op12_bpe": op12_bpe,
+        "op13_conversations": op13_conversations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op11_centroids": OP11_SQL}
