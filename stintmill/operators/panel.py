@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import spearman, t_two_sided
+from . import trees
 
 KEYS = ("season", "team_id")
 
@@ -128,26 +124,6 @@ def ridge_baseline(panel: DataFrame, names: tuple[str, ...], alphas: tuple[float
     return panel.join(F.broadcast(seasons)).groupBy("held_out").applyInPandas(run, "held_out long, team_id long, alpha double, squared_error double")
 
 
-def tree_baseline(panel: DataFrame, names: tuple[str, ...], depths: tuple[int, ...] = (2, 3), iterations: int = 8, seed: int = 20260910) -> DataFrame:
-    """(held_out, team_id, squared_error) of boosted trees; depth chosen on the inner seasons only."""
-    panel = panel.withColumns({f"{n}_missing": F.col(n).isNull().cast("double") for n in names}).repartition(1).cache()
-    out = None
-    for held in [r.season for r in panel.select("season").distinct().orderBy("season").collect()]:
-        inner = panel.where(F.col("season") != held)
-        order = {s: k for k, s in enumerate(sorted(r.season for r in inner.select("season").distinct().collect()))}
-        inner = inner.withColumn("fold", F.element_at(F.create_map(*[F.lit(x) for s, k in order.items() for x in (s, k)]), F.col("season")))
-        trees = GBTRegressor(labelCol="target", featuresCol="features", maxIter=iterations, seed=seed)
-        steps = [Imputer(inputCols=list(names), outputCols=[f"{n}_filled" for n in names]), VectorAssembler(inputCols=[f"{n}{s}" for n in names for s in ("_filled", "_missing")], outputCol="features"), trees]
-        search = CrossValidator(
-            estimator=Pipeline(stages=steps), estimatorParamMaps=ParamGridBuilder().addGrid(trees.maxDepth, list(depths)).build(),
-            evaluator=RegressionEvaluator(labelCol="target"), numFolds=len(order), foldCol="fold", parallelism=4, seed=seed,
-        )
-        scored = search.fit(inner).transform(panel.where(F.col("season") == held))
-        part = scored.select(F.col("season").alias("held_out"), "team_id", F.pow(F.col("prediction") - F.col("target"), 2).alias("squared_error"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def baseline_table(**errors: DataFrame) -> DataFrame:
     """(model, rmse) of several baselines."""
     out = None
@@ -183,3 +159,37 @@ def attribution_agreement(attribution: DataFrame, loadings: DataFrame) -> DataFr
     """Rank correlation of mean absolute attribution and absolute loading; null below three shared."""
     both = attribution.join(loadings.select(F.col("metric").alias("feature"), F.abs("loading").alias("size")), "feature").withColumn("all", F.lit(1))
     return spearman(both, "mean_abs", "size", ("all",)).select(F.when(F.col("n") >= 3, F.col("spearman")).alias("agreement"), "n")
+
+
+def claim_report(panel: DataFrame, names: tuple[str, ...], beyond_box: tuple[str, ...], against: tuple[str, ...] = (), trials: int = 40) -> DataFrame:
+    """(part, model, value, observations, p): all that a comparison of candidates says. Stage the panel.
+
+    rmse: every candidate alone, and ridge and trees over all inputs (``_all``) and over those without ``beyond_box``
+    (``_box``). paired: the best candidate less each of ``against``; box_only: the better box-score model less the
+    best candidate of the box score, both with the p value of a paired t test. attribution: the tree model's mean
+    absolute Shapley values. Ties go to the name that sorts first.
+    """
+    box = tuple(n for n in names if n not in beyond_box)
+    single = candidate_errors(long_panel(panel, names))
+    as_candidate = lambda e, name: e.select(F.lit(name).alias("candidate"), F.col("held_out").alias("season"), "team_id", "squared_error")
+    errors_all, _, model = trees.nested_search(panel, names, trials)
+    errors_box, _, _ = trees.nested_search(panel, box, trials)
+    found = {"ridge_all": ridge_baseline(panel, names), "trees_all": errors_all, "ridge_box": ridge_baseline(panel, box), "trees_box": errors_box}
+    errors = single
+    for name, e in found.items():
+        errors = errors.unionByName(as_candidate(e, name))
+    errors = errors.cache()  # models x seasons x teams
+    table = errors.groupBy("candidate").agg(F.sqrt(F.avg("squared_error")).alias("rmse"), F.count("*").alias("observations")).orderBy("rmse", "candidate").collect()  # a row a model
+    order = [r.candidate for r in table]
+    best = next((c for c in order if c in names), None)
+    spark = panel.sparkSession
+    out = spark.createDataFrame([("rmse", r.candidate, r.rmse, r.observations, None) for r in table], "part string, model string, value double, observations long, p double")
+    tests = [("paired", best, other) for other in against if other != best and other in order]
+    one, two = next((c for c in order if c.endswith("_box") and c in found), None), next((c for c in order if c in box), None)
+    tests += [("box_only", one, two)] if one and two else []
+    for part, a, b in tests:
+        row = paired(errors, a, b, with_p=True)
+        out = out.unionByName(row.select(F.lit(part).alias("part"), F.lit(f"{a} - {b}").alias("model"), F.col("rmse_gap").alias("value"), F.col("n").alias("observations"), "p"))
+    said = trees.tree_attribution(panel, names, model)
+    nothing = F.lit(None)
+    return out.unionByName(said.select(F.lit("attribution").alias("part"), F.col("feature").alias("model"), F.col("mean_abs").alias("value"), nothing.cast("long").alias("observations"), nothing.cast("double").alias("p")))

@@ -3,7 +3,8 @@
 A stint is a row of the design: +1 for each offensive player, -1 for each defensive one, target 100 x
 points / possessions, weight possessions. X'WX, X'Wy and the plain sums are added up by Spark over
 whatever groups are asked for (folds, bootstrap draws, halves); only model-sized sums are solved,
-and where there are many of them each is solved in its own task.
+and where there are many of them each is solved in its own task. Beyond MOST_COLUMNS columns all models of a call are
+solved by conjugate gradients over the sparse stints instead.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
 from ..functions.stats import seeded, with_average_rank
 from .stints import possessions_by_player, usable_stints
 
@@ -135,14 +135,15 @@ def column_count(rows: DataFrame) -> int:
 
 def fit(rows: DataFrame, alpha: float) -> tuple[float, DataFrame]:
     """(intercept, ratings) of a design at one penalty: the p x p sums are solved in one task, and beyond
-    MOST_COLUMNS columns the iterative solver takes over."""
+    MOST_COLUMNS columns conjugate gradients over the stints take over."""
     if alpha <= 0:
         raise ValueError(f"alpha must be positive, got {alpha!r}")
     n = column_count(rows)
     if not n:
         raise ValueError("an empty design has no ratings")
     if n > MOST_COLUMNS:
-        return fit_mllib(rows, alpha)
+        solved = fit_iterative(rows, [(alpha, None)])
+        return solved.intercepts().first().intercept, solved.ratings().drop("model")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         intercept, b = (s := sums_of(pdf)).solve(alpha)
@@ -152,30 +153,95 @@ def fit(rows: DataFrame, alpha: float) -> tuple[float, DataFrame]:
     return float(solved["intercept"].iloc[0]), rows.sparkSession.createDataFrame(solved.drop(columns="intercept"))
 
 
-def fit_mllib(rows: DataFrame, alpha: float, tol: float = 1e-12) -> tuple[float, DataFrame]:
-    """(intercept, ratings) by MLlib's iterative solver, for more columns than a dense solve takes.
+WEIGHTS = "_weights"
 
-    MLlib scales the penalty by the weighted deviation of the target, which is undone here.
+
+@dataclass(frozen=True)
+class Solved:
+    """Fits of several models: coef (column, b by model) beside what the intercepts need."""
+
+    coef: DataFrame
+    centre: DataFrame
+
+    def intercepts(self) -> DataFrame:
+        """(model, intercept)."""
+        return self.centre.select(F.posexplode("intercept").alias("model", "intercept"))
+
+    def ratings(self) -> DataFrame:
+        """(model, player_id, offensive, defensive, total), of players that a model saw."""
+        each = self.coef.select(F.floor(F.col("c") / 2).alias("player_id"), (F.col("c") % 2).alias("side"), F.posexplode("b").alias("model", "v"), "seen").where(F.get("seen", F.col("model")))
+        by = each.groupBy("model", "player_id").agg(*[F.coalesce(F.max(F.when(F.col("side") == k, F.col("v"))), F.lit(0.0)).alias(n) for k, n in ((0, "offensive"), (1, "defensive"))])
+        return by.withColumn("total", F.col("offensive") + F.col("defensive"))
+
+
+def fit_iterative(rows: DataFrame, models: list[tuple[float, str | None]], tol: float = 1e-11, most: int = 2000) -> Solved:
+    """Ridge fits of several models at once by conjugate gradients, without any matrix or dense row.
+
+    models: (alpha, how often a row counts: an SQL expression of rows, or None for once). A step joins the
+    stints' sparse entries with the directions by column, sums X p by stint and X' W X p by column, for all models as
+    arrays; the vectors are tables by column and only a few numbers a model reach the driver. The intercept is
+    not penalised: it is taken out by the weighted means of rows. A step's vectors are written, which cuts
+    their lineage. Columns that no row of a model has stay at 0.
     """
-    ids = rows.select(F.explode("x").alias("e")).select(F.floor(F.col("e.c") / 2).alias("p")).distinct().orderBy("p")
-    players = [r.p for r in ids.collect()]  # one number a player
-    place = {c: k for k, c in enumerate(sorted([2 * p for p in players] + [2 * p + 1 for p in players]))}
-    shared, width = rows.sparkSession.sparkContext.broadcast(np.array(sorted(place))), len(place)
-
-    def dense(columns: pd.Series, values: pd.Series) -> pd.Series:
-        out = []
-        for c, v in zip(columns, values, strict=True):
-            row = np.zeros(width)
-            np.add.at(row, np.searchsorted(shared.value, c), v)
-            out.append(row)
-        return pd.Series(out)
-
-    vector = F.pandas_udf(dense, "array<double>")
-    m = rows.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"), F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy")).first()
-    spread = ((m.wyy - m.wy**2 / m.w) / (m.w - m.ww / m.w)) ** 0.5
-    model = LinearRegression(weightCol="w", labelCol="y", featuresCol="v", elasticNetParam=0.0, standardization=False, solver="l-bfgs", maxIter=500, tol=tol, regParam=alpha * spread / m.w)
-    fitted = model.fit(rows.select("y", "w", array_to_vector(vector("x.c", "x.v")).alias("v")))
-    return float(fitted.intercept), rows.sparkSession.createDataFrame(_ratings(np.array(sorted(place)), np.array(fitted.coefficients)))
+    alphas = [float(a) for a, _ in models]
+    if min(alphas) <= 0:
+        raise ValueError("alpha must be positive")
+    k = len(models)
+    array = lambda make: F.array(*[make(i) for i in range(k)])
+    at = lambda c, i: F.get(c, F.lit(i))
+    weighted = rows.withColumn(WEIGHTS, F.array(*[F.col("w") * (F.lit(1.0) if e is None else F.expr(e).cast("double")) for _, e in models]))
+    weighted = written(weighted.select("x", "y", WEIGHTS).withColumn("r", F.monotonically_increasing_id()), "stints")
+    entries = weighted.select("r", "y", WEIGHTS, F.explode("x").alias("e")).groupBy("r", "e.c").agg(F.sum("e.v").alias("v"), F.first("y").alias("y"), F.first(WEIGHTS).alias(WEIGHTS))
+    entries = written(entries.repartition("c"), "entries")
+    total = weighted.agg(*[F.sum(at(WEIGHTS, i)).alias(f"w{i}") for i in range(k)], *[F.sum(at(WEIGHTS, i) * F.col("y")).alias(f"y{i}") for i in range(k)]).first()
+    w = [float(total[f"w{i}"] or 0.0) for i in range(k)]
+    mean = [float(total[f"y{i}"] or 0.0) / w[i] if w[i] else 0.0 for i in range(k)]
+    sums = lambda what: array(lambda i: F.sum(what(i)))
+    columns = entries.groupBy("c").agg(
+        sums(lambda i: at(WEIGHTS, i) * F.col("v")).alias("s"),
+        sums(lambda i: at(WEIGHTS, i) * F.col("v") * (F.col("y") - F.lit(mean[i]))).alias("g"),
+        sums(lambda i: at(WEIGHTS, i) * F.col("v") * F.col("v")).alias("d"),
+        array(lambda i: F.max(at(WEIGHTS, i) > 0)).alias("seen"),
+    )
+    # preconditioned by the diagonal; z = M r, of which p is built
+    scaled = lambda r: array(lambda i: at(r, i) / (at("d", i) + alphas[i]))
+    state = columns.select("c", "s", "d", "seen", array(lambda i: F.lit(0.0)).alias("b"), F.col("g").alias("res"))
+    state = written(state.withColumn("p", scaled("res")), "directions")
+    dots = lambda df, a, b: np.array(df.agg(*[F.coalesce(F.sum(at(a, i) * at(b, i)), F.lit(0.0)).alias(f"v{i}") for i in range(k)]).first(), dtype=float)
+    rho = dots(state.withColumn("z", scaled("res")), "res", "z")
+    goal = tol * tol * np.maximum(rho, 1e-300)
+    for step in range(1, most + 1):
+        if (rho <= goal).all():
+            break
+        # of centred columns: (X - 1 m')' W (X - 1 m') p = X' W X p - s (s' p) / w
+        hit = entries.join(state.select("c", "p"), "c").groupBy("r").agg(sums(lambda i: F.col("v") * at("p", i)).alias("xp"))
+        back = entries.join(hit, "r").groupBy("c").agg(sums(lambda i: at(WEIGHTS, i) * F.col("v") * at("xp", i)).alias("q"))
+        sp = dots(state, "s", "p")
+        joined = state.join(back, "c").withColumn("q", array(lambda i: at("q", i) - at("s", i) * F.lit(float(sp[i] / w[i]) if w[i] else 0.0) + alphas[i] * at("p", i)))
+        joined = written(joined, "step")
+        pq = dots(joined, "p", "q")
+        go = [float(rho[i] / pq[i]) if rho[i] > goal[i] and pq[i] > 0 else 0.0 for i in range(k)]
+        moved = joined.withColumn("b", array(lambda i: at("b", i) + go[i] * at("p", i))).withColumn("res", array(lambda i: at("res", i) - go[i] * at("q", i)))
+        new = dots(moved.withColumn("z", scaled("res")), "res", "z")
+        turn = [float(new[i] / rho[i]) if rho[i] > goal[i] else 0.0 for i in range(k)]
+        state = moved.withColumn("p", array(lambda i: at("res", i) / (at("d", i) + alphas[i]) + turn[i] * at("p", i))).drop("q")
+        rho = np.where(rho > goal, new, rho)
+    sb = dots(state, "s", "b")
+    centre = rows.sparkSession.createDataFrame([([mean[i] - float(sb[i] / w[i]) if w[i] else 0.0 for i in range(k)],)], "intercept array<double>")
+    return Solved(state.select("c", "b", "seen"), centre)
+
+
+def held_out_errors(rows: DataFrame, solved: Solved, models: int, fold: str, of_model: list[int]) -> DataFrame:
+    """(model, mse): weighted squared error of each model on the rows of its fold, from sparse entries."""
+    at = lambda c, i: F.get(c, F.lit(i))
+    own = rows.withColumn("r", F.monotonically_increasing_id())
+    own = written(own.select("r", "y", "w", "x", fold), "scored")
+    hit = own.select("r", F.explode("x").alias("e")).select("r", F.col("e.c").alias("c"), F.col("e.v").alias("v")).join(solved.coef.select("c", "b"), "c")
+    said = hit.groupBy("r").agg(F.array(*[F.sum(F.col("v") * at("b", i)) for i in range(models)]).alias("said"))
+    each = own.select("r", "y", "w", fold).join(said, "r").join(F.broadcast(solved.centre))  # one row
+    error = lambda i: F.when(F.col(fold) == of_model[i], F.col("w") * F.pow(F.col("y") - at("intercept", i) - at("said", i), 2))
+    weight = lambda i: F.when(F.col(fold) == of_model[i], F.col("w"))
+    return each.agg(F.array(*[F.sum(error(i)) / F.sum(weight(i)) for i in range(models)]).alias("m")).select(F.posexplode("m").alias("model", "mse"))
 
 
 def game_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
@@ -187,11 +253,11 @@ def game_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
 def select_alpha(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int = 5, seed: int = SEED) -> tuple[float, DataFrame]:
     """(best alpha, table of alpha and held-out weighted MSE); training sums are total less the fold's,
     and each fold is solved in its own task."""
-    if (n := column_count(rows)) > MOST_COLUMNS:
-        raise ValueError(f"{n} columns; penalties are chosen for up to {MOST_COLUMNS}")
     dealt = game_folds(rows, folds, seed)
     if dealt.agg(F.countDistinct("fold")).first()[0] < folds:
         raise ValueError(f"fewer than {folds} games")
+    if column_count(rows) > MOST_COLUMNS:
+        return _select_iterative(rows.join(dealt, "game_id"), alphas, folds)
     by_fold = gram(rows.join(dealt, "game_id"), "fold")
     # every fold's task gets the sums of all folds: they are p x p numbers a fold
     each = by_fold.withColumn("held_out", F.explode(F.array(*[F.lit(k) for k in range(folds)])))
@@ -208,6 +274,16 @@ def select_alpha(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int
     return best, rows.sparkSession.createDataFrame(table)
 
 
+def _select_iterative(rows: DataFrame, alphas: tuple[float, ...], folds: int) -> tuple[float, DataFrame]:
+    """``select_alpha`` of more columns than a dense system takes: a fit a penalty and fold, all in the same steps."""
+    plan = [(a, k) for a in alphas for k in range(folds)]
+    rows = written(rows, "folded")
+    solved = fit_iterative(rows, [(a, f"cast(fold <> {k} as int)") for a, k in plan])
+    errors = held_out_errors(rows, solved, len(plan), "fold", [k for _, k in plan]).collect()
+    table = [(a, float(np.mean([r.mse for r in errors if plan[r.model][0] == a]))) for a in sorted(alphas)]
+    return min(table, key=lambda r: (r[1], r[0]))[0], rows.sparkSession.createDataFrame(table, "alpha double, weighted_mse double")
+
+
 def solve(stints: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int = 5) -> tuple[float, DataFrame]:
     """(alpha, ratings): the penalty by cross-validation over games, then the fit."""
     rows = design(stints)
@@ -226,6 +302,12 @@ def _solved(alpha: float, *by: str):
     return run
 
 
+def solve_groups(sums: DataFrame, alpha: float, *by: str) -> DataFrame:
+    """Ratings of every group of ``gram`` sums (by..., i, j, s), each solved in its own task."""
+    keys = ", ".join(f"{k} {dict(sums.dtypes)[k]}" for k in by)
+    return sums.groupBy(*by).applyInPandas(_solved(alpha, *by), f"{keys}, {_RATED}")
+
+
 def bootstrap_se(rows: DataFrame, alpha: float, draws: int = 200, seed: int = SEED) -> DataFrame:
     """Standard errors over resamples of whole games: each draw's sums are the games' sums times how
     often they were drawn, and each draw is solved in its own task.
@@ -238,13 +320,27 @@ def bootstrap_se(rows: DataFrame, alpha: float, draws: int = 200, seed: int = SE
     picks = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("g"))
     drawn = picks.groupBy("draw", "g").agg(F.count("*").cast("double").alias("times")).groupBy("g")
     drawn = drawn.agg(F.map_from_entries(F.collect_list(F.struct("draw", "times"))).alias("times"))
-    sums = gram(rows, "game_id").join(games.join(drawn, "g").select("game_id", "times"), "game_id").groupBy("i", "j")
+    of_game = games.join(drawn, "g").select("game_id", "times")
+    if column_count(rows) > MOST_COLUMNS:
+        fits = _bootstrap_iterative(rows.join(of_game, "game_id"), alpha, draws)
+        return fits.groupBy("player_id").agg(*[F.stddev_samp(c).alias(f"{c}_se") for c in ("offensive", "defensive", "total")], F.count("*").alias("draws"))
+    sums = gram(rows, "game_id").join(of_game, "game_id").groupBy("i", "j")
     sums = sums.agg(*[F.sum(F.col("s") * F.coalesce(F.element_at("times", k), F.lit(0.0))).alias(f"d{k}") for k in range(draws)])
     by_draw = sums.select("i", "j", F.posexplode(F.array(*[f"d{k}" for k in range(draws)])).alias("draw", "s"))
     fits = by_draw.groupBy("draw").applyInPandas(_solved(alpha, "draw"), f"draw int, {_RATED}")
     return fits.groupBy("player_id").agg(*[F.stddev_samp(c).alias(f"{c}_se") for c in ("offensive", "defensive", "total")], F.count("*").alias("draws"))
 
 
+def _bootstrap_iterative(rows: DataFrame, alpha: float, draws: int, at_once: int = 50) -> DataFrame:
+    """Ratings of every draw beyond MOST_COLUMNS columns, ``at_once`` draws in the same steps."""
+    rows, out = written(rows, "drawn"), None
+    for first in range(0, draws, at_once):
+        models = [(alpha, f"coalesce(element_at(times, {k}), 0.0)") for k in range(first, min(draws, first + at_once))]
+        part = fit_iterative(rows, models).ratings().withColumn("draw", F.col("model") + first)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def stability(stints: DataFrame, alpha: float, draws: int = 20, possession_floor: float = 2000.0, cohort: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """One row: mean and sd of the correlation of total ratings between halves of the games, and its length correction."""
     rows = design(stints)
@@ -254,8 +350,17 @@ def stability(stints: DataFrame, alpha: float, draws: int = 20, possession_floor
         raise ValueError(f"only {n} games")
     order = Window.partitionBy("draw").orderBy(seeded("draw", "game_id", seed=seed), "game_id")
     split = games.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("half", (F.row_number().over(order) > n // 2).cast("int"))
-    sums = gram(rows, "game_id").join(split, "game_id").groupBy("draw", "half", "i", "j").agg(F.sum("s").alias("s"))
-    fits = sums.groupBy("draw", "half").applyInPandas(_solved(alpha, "draw", "half"), f"draw int, half int, {_RATED}")
+    # a game carries its half in every draw, so its sums are shuffled once
+    halves = split.groupBy("game_id").agg(F.map_from_entries(F.collect_list(F.struct("draw", "half"))).alias("halves"))
+    plan = [(d, h) for d in range(1, draws + 1) for h in (0, 1)]
+    if column_count(rows) > MOST_COLUMNS:
+        solved = fit_iterative(rows.join(halves, "game_id"), [(alpha, f"cast(element_at(halves, {d}) = {h} as int)") for d, h in plan]).ratings()
+        fits = solved.withColumn("draw", F.expr("cast(model div 2 + 1 as int)")).withColumn("half", F.expr("cast(model % 2 as int)"))
+    else:
+        sums = gram(rows, "game_id").join(halves, "game_id").groupBy("i", "j")
+        sums = sums.agg(F.array(*[F.sum(F.when(F.element_at("halves", d) == h, F.col("s"))) for d, h in plan]).alias("sums"))
+        each = sums.select("i", "j", F.posexplode("sums").alias("k", "s")).where("s is not null")
+        fits = solve_groups(each.selectExpr("cast(k div 2 + 1 as int) as draw", "cast(k % 2 as int) as half", "i", "j", "s"), alpha, "draw", "half")
     known = possessions_by_player(stints).where(F.col("possessions") >= possession_floor)
     known = known if cohort is None else known.join(cohort, "player_id", "left_semi")
     pairs = fits.join(known.select("player_id"), "player_id", "left_semi").groupBy("draw", "player_id").agg(

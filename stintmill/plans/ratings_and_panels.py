@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import box, fusion, panel, ridge, stints
+from ..operators import box, fusion, panel, ridge, stints, trees
 from ..operators.tables import rounded
 from ..sources.views import ctes, view
 from .boxes_and_checks import ELIGIBLE, metric_sql
@@ -29,7 +29,7 @@ def _matrix(s, d):
 
 def _fitted(s, d):
     wide = _matrix(s, d).cache()
-    return wide, fusion.fit(wide, FUSED, RELIABILITY, "rating")
+    return wide, fusion.refitted(wide, "athlete_id", FUSED, RELIABILITY, "rating")
 
 
 def _panel(s, d):
@@ -41,26 +41,6 @@ def _panel(s, d):
     return panel.next_season_target(out, out, "points_per_36").repartition(1).cache()
 
 
-def _claim(s, d):
-    """The report: RMSE of every candidate, of ridge and trees on all inputs and on the box score without the rating-like
-    candidate, the paired test of the best two candidates, and what the ridge attributes to each input."""
-    p = _panel(s, d)
-    errors = panel.candidate_errors(panel.long_panel(p, CANDIDATES))
-    table = panel.compare_candidates(panel.long_panel(p, CANDIDATES)).select(F.col("candidate").alias("model"), "rmse", "observations")
-    box_only = CANDIDATES[1:]
-    table = table.unionByName(
-        panel.baseline_table(
-            ridge_all=panel.ridge_baseline(p, CANDIDATES), ridge_box=panel.ridge_baseline(p, box_only), trees_all=panel.tree_baseline(p, CANDIDATES, iterations=2)
-        )
-    )
-    best, second = [r.candidate for r in panel.compare_candidates(panel.long_panel(p, CANDIDATES)).orderBy("rmse", "candidate").limit(2).collect()]
-    none = F.lit(None).cast("double")
-    rows = table.select(F.lit("rmse").alias("part"), "model", F.col("rmse").alias("value"), "observations", none.alias("p"))
-    test = panel.paired(errors, best, second, with_p=True).select(F.lit("paired").alias("part"), F.lit(f"{best} - {second}").alias("model"), F.col("rmse_gap").alias("value"), F.col("n").alias("observations"), "p")
-    said = panel.ridge_attribution(p, CANDIDATES).select(F.lit("attribution").alias("part"), F.col("feature").alias("model"), F.col("mean_abs").alias("value"), F.lit(None).cast("long").alias("observations"), none.alias("p"))
-    return rows.unionByName(test).unionByName(said)
-
-
 def _builds(s, d):
     """The stints as they are beside a second build that lacks the shortest ones."""
     rows = view(s, d, "stints")
@@ -82,8 +62,8 @@ QUERIES = {
     "fusion_matrix": lambda s, d: rounded(_matrix(s, d).drop("rating"), 5, *FUSED[:-1]),
     "fusion_completeness": lambda s, d: rounded(fusion.completeness(_matrix(s, d), FUSED[:-1]), 9, "observed"),
     "fusion_loadings": lambda s, d: fusion.loading_table(s, FUSED, _fitted(s, d)[1]),
-    "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), FUSED, RELIABILITY, "rating"),
-    "fused_ratings": lambda s, d: (lambda w: fusion.scores(w[0], "athlete_id", FUSED, w[1]))(_fitted(s, d)),
+    "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
+    "fused_ratings": lambda s, d: (lambda w: fusion.scores(w, "athlete_id", FUSED, fusion.fit(w, FUSED, RELIABILITY, "rating")))(_matrix(s, d).cache()),
     "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
     "team_panel": lambda s, d: rounded(_panel(s, d), 6, *CANDIDATES, "target"),
     "panel_folds": lambda s, d: panel.folds(_panel(s, d)),
@@ -91,10 +71,11 @@ QUERIES = {
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
     "paired_p_value": lambda s, d: panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36", with_p=True),
     "ridge_baseline": lambda s, d: panel.baseline_table(ridge=panel.ridge_baseline(_panel(s, d), CANDIDATES)),
-    "tree_baseline": lambda s, d: panel.baseline_table(trees=panel.tree_baseline(_panel(s, d), CANDIDATES, iterations=2)),
+    "tree_baseline": lambda s, d: panel.baseline_table(trees=trees.nested_search(_panel(s, d), CANDIDATES)[0]),
+    "tree_choices": lambda s, d: trees.nested_search(_panel(s, d), CANDIDATES)[1],
+    "tree_attribution": lambda s, d: (lambda p: trees.tree_attribution(p, CANDIDATES, trees.nested_search(p, CANDIDATES)[2]))(_panel(s, d)),
     "ridge_attribution": lambda s, d: panel.ridge_attribution(_panel(s, d), CANDIDATES),
     "attribution_agreement": lambda s, d: panel.attribution_agreement(panel.ridge_attribution(_panel(s, d), CANDIDATES), fusion.loading_table(s, FUSED, _fitted(s, d)[1])),
-    "claim_report": _claim,
 }
 
 _X = f"""

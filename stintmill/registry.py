@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import boxes_and_checks, events_and_stints, people_and_tables, ratings_and_panels
+from .plans import boxes_and_checks, events_and_stints, people_and_tables, ratings_and_panels, window_panels
 
-GROUPS = (events_and_stints, boxes_and_checks, people_and_tables, ratings_and_panels)
+GROUPS = (events_and_stints, boxes_and_checks, people_and_tables, ratings_and_panels, window_panels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

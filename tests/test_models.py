@@ -46,8 +46,8 @@ def test_ridge_equals_closed_form_and_finds_the_planted_player(spark, season):
     assert got.keys() == want.keys()
     assert max(abs(np.subtract(got[p], want[p])).max() for p in want) < 1e-8
     assert max(got, key=lambda p: sum(got[p])) == 7
-    mllib = {r.player_id: (r.offensive, r.defensive) for r in ridge.fit_mllib(rows, 500.0)[1].collect()}
-    assert max(abs(np.subtract(mllib[p], want[p])).max() for p in want) < 1e-4
+    sparse = {r.player_id: (r.offensive, r.defensive) for r in ridge.fit_iterative(rows, [(500.0, None)]).ratings().collect()}
+    assert max(abs(np.subtract(sparse[p], want[p])).max() for p in want) < 1e-8
     with pytest.raises(ValueError):
         ridge.fit(rows, 0.0)
 
