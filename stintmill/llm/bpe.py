@@ -9,7 +9,7 @@ the two is the same.) So a window is wide enough once it forms such pairs with t
 
 Joining is associative, so texts may be cut anywhere between matches: texts longer than a leaf are dealt over the
 cluster in leaves, cut where a match surely ends, and their parts are concatenated up a tree of
-bounded groups. Other texts stay in their row. Decoding concatenates up the same tree.
+bounded groups. Other texts stay in their row. Decoding concatenates halves of a row's ids likewise.
 
 Ids travel as a binary of little-endian unsigned 32-bit integers.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged, table
 
-LEAF_BYTES = 12
-REMEMBERED = 1 << 17  # pieces whose ids a worker remembers
+LEAF_BYTES = 32
+REMEMBERED = 1 << 18  # pieces whose ids a worker remembers, and as many that it met before those
+NONE = 1 << 62  # more than any rank
 LEAF_CHARS = 1 << 16
 FAN_IN = 16
 #: A match never goes on from these into what follows: a letter, a digit or another sign before white space, a letter before a non-letter, a digit before a non-digit.
@@ -55,11 +57,16 @@ class Tokenizer:
         ids_of = self.ids_of
 
         class Remembered(dict):
+            older: dict = {}
+
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= REMEMBERED:
-                    self.clear()
-                found = b"".join(i.to_bytes(4, "little") for i in ids_of(piece.encode()))
+                if (found := self.older.get(piece)) is None:
+                    ids = ids_of(piece.encode())
+                    found = pack(f"<{len(ids)}I", *ids)
                 if len(piece) <= 64:
+                    if len(self) >= REMEMBERED:
+                        self.older = self.copy()
+                        self.clear()
                     self[piece] = found
                 return found
 
@@ -70,6 +77,24 @@ class Tokenizer:
 
     def merged(self, data: bytes) -> list[int]:
         """Ids of bytes by merging the neighbours of least rank first, the leftmost of equal ones."""
+        if len(data) > 2 * LEAF_BYTES:
+            return self._merged_long(data)
+        ranks = self.ranks
+        rank = ranks.get
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], NONE) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) != NONE:
+            i = pairs.index(least)
+            parts[i] = whole = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(whole + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + whole, NONE)
+        return [ranks[p] for p in parts]
+
+    def _merged_long(self, data: bytes) -> list[int]:
+        """``merged`` with a queue of pairs, for windows that grew."""
         n, ranks = len(data), self.ranks
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -131,7 +156,13 @@ class Tokenizer:
         return b"".join(map(self.remembered.__getitem__, self.split(text))) if text else b""
 
     def decode(self, ids: bytes | None) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())) if ids else b""
+        """Bytes of ids: halves are decoded apart and concatenated, down to LEAF_CHARS ids."""
+        if not ids:
+            return b""
+        if len(ids) > 4 * LEAF_CHARS:
+            half = len(ids) // 8 * 4
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def leaves(text: str, size: int) -> list[str]:
@@ -146,36 +177,18 @@ def leaves(text: str, size: int) -> list[str]:
     return [*found, text[start:]]
 
 
-def _dealt(rows: DataFrame, work, kind: str, parts: DataFrame, name: str) -> DataFrame:
-    """(row, out): work over the parts (row, at, part) of each row, dealt by row and place, then concatenated
+def _dealt(parts: DataFrame, work) -> DataFrame:
+    """(row, ids): work over the leaves (row, at, part) of each row, dealt by row and place, then concatenated
     in order in groups of FAN_IN, level by level, so that no step holds more than that of a row but the last."""
-    dealt = parts.repartition("row", "at").select("row", "at", work("part").alias("out"))
-    nodes = staged(dealt, f"{name}-leaves")
+    nodes = staged(parts.repartition("row", "at").select("row", "at", work("part").alias("out")), "bpe-leaves")
     top = nodes.agg(F.max("at")).first()[0] or 0
     while True:
         grouped = nodes.groupBy("row", F.expr(f"at div {FAN_IN}").alias("up")).agg(F.sort_array(F.collect_list(F.struct("at", "out"))).alias("parts"))
-        nodes = grouped.select("row", F.col("up").alias("at"), F.expr(f"aggregate(parts.out, cast('' as {kind}), (all, one) -> concat(all, one))").alias("out"))
+        nodes = grouped.select("row", F.col("up").alias("at"), F.expr("aggregate(parts.out, cast('' as binary), (all, one) -> concat(all, one))").alias("out"))
         top //= FAN_IN
         if not top:
             return nodes.select("row", "out")
-        nodes = staged(nodes, f"{name}-level")
-
-
-def _mapped(rows: DataFrame, col: str, out: str, work, cut, short, name: str) -> DataFrame:
-    """rows plus out: work on the column, a row at once where ``short`` says so, by parts of a row elsewhere."""
-    near = rows.where(short).withColumn(out, work(F.col(col)))
-    far = staged(rows.where(~short).withColumn("_row", F.monotonically_increasing_id()), f"{name}-long")
-    if far.isEmpty():
-        return near
-    parts = far.select(F.col("_row").alias("row"), cut(F.col(col)).alias("parts")).select("row", F.posexplode("parts").alias("at", "part"))
-    whole = _dealt(far, work, "binary", parts.withColumn("at", F.col("at").cast("long")), name)
-    return near.unionByName(far.join(whole.withColumnsRenamed({"row": "_row", "out": out}), "_row").drop("_row"))
-
-
-def _own(columns: list[str], wanted: str) -> str:
-    while wanted in columns:
-        wanted = f"_{wanted}"
-    return wanted
+        nodes = staged(nodes, "bpe-level")
 
 
 def _in_struct(df: DataFrame, col: str) -> DataFrame:
@@ -191,27 +204,32 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", out_co
     """docs plus ``ids``, the whole text's ids as little-endian 32-bit integers.
 
     Null and empty texts have no ids (an empty binary). Rows are encoded one by one, so copies and repeated ids agree;
-    an empty table gives no rows. A column that is named as the result is replaced.
+    an empty table gives no rows. A column that is named as the result is replaced. Texts longer than
+    ``leaf_chars`` are dealt in leaves; a match that is longer stays in one leaf.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)  # one vocabulary
     work = F.pandas_udf(lambda s: pd.Series([shared.value.encode(t) for t in s], dtype=object), "binary")
     cut = F.pandas_udf(lambda s: pd.Series([leaves(t, leaf_chars) for t in s], dtype=object), "array<string>")
+    rows = _in_struct(docs, text_col)
     short = F.coalesce(F.length("part"), F.lit(0)) <= leaf_chars
-    rows = _mapped(_in_struct(docs, text_col), "part", "out", work, cut, short, "encode")
-    return _unpacked(rows, docs.columns, out_col)
+    near = rows.where(short).withColumn("out", work("part"))
+    far = staged(rows.where(~short).withColumn("row", F.monotonically_increasing_id()), "bpe-long")
+    if not far.isEmpty():
+        parts = far.select("row", F.posexplode(cut("part")).alias("at", "part")).withColumn("at", F.col("at").cast("long"))
+        near = near.unionByName(far.join(_dealt(parts, work), "row").drop("row"))
+    return _unpacked(near, docs.columns, out_col)
+
 
+def decode(tokens: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """tokens plus ``decoded``, the bytes of the ids; null ids give an empty binary. An id without a token raises.
 
-def decode(tokens: DataFrame, tokenizer: Tokenizer, ids_col: str = "ids", out_col: str = "decoded", leaf_ids: int = LEAF_CHARS) -> DataFrame:
-    """tokens plus ``decoded``, the bytes of the ids; null ids give an empty binary. An id without a token raises."""
+    Ids of a row are one value, so a row is decoded where it lies.
+    """
     small_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(tokenizer)
     work = F.pandas_udf(lambda s: pd.Series([shared.value.decode(t) for t in s], dtype=object), "binary")
-    size = 4 * leaf_ids
-    cut = lambda c: F.transform(F.sequence(F.lit(0), F.expr(f"cast((octet_length(part) - 1) div {size} as int)")), lambda i: F.substring(c, i * size + 1, F.lit(size)))
-    short = F.coalesce(F.octet_length("part"), F.lit(0)) <= size
-    rows = _mapped(_in_struct(tokens, ids_col), "part", "out", work, cut, short, "decode")
-    return _unpacked(rows, tokens.columns, out_col)
+    return _unpacked(_in_struct(tokens, ids_col).withColumn("out", work("part")), tokens.columns, out_col)
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

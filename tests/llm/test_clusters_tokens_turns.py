@@ -127,7 +127,7 @@ def test_windows_grow_until_tokens_are_stable():
         cut = rng.randint(0, len(data))
         whole = TOKENS.merged(data)
         assert TOKENS.joined(TOKENS.merged(data[:cut]), TOKENS.merged(data[cut:])) == whole
-        assert TOKENS.reduced(data) == whole
+        assert TOKENS.reduced(data) == whole == TOKENS._merged_long(data)
 
 
 def test_leaves_are_cut_between_matches():
@@ -137,10 +137,11 @@ def test_leaves_are_cut_between_matches():
         assert b"".join(map(TOKENS.encode, parts)) == TOKENS.encode(text)
 
 
-def test_texts_longer_than_a_leaf(spark):
+def test_texts_longer_than_a_leaf(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 4)
     rows = [(i, t) for i, t in enumerate(odd_texts()[:60])] + [(7, None), (None, "a b c" * 50), (3, "a b c" * 50), (3, "a b c" * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as out", "1 as part", "2 as _row", "3 as `all`")
-    got = bpe.decode(bpe.encode(df, TOKENS, leaf_chars=16), TOKENS, leaf_ids=4)
+    got = bpe.decode(bpe.encode(df, TOKENS, leaf_chars=16), TOKENS)
     assert got.columns == [*df.columns, "ids", "decoded"]
     key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     for r, (i, t) in zip(sorted(got.collect(), key=key), sorted(rows, key=key), strict=True):
