@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -35,12 +36,25 @@ def between(column: str, low: float | None = None, high: float | None = None) ->
 
 
 MADE = Rule("field_goals_made", "made_at_most_attempted", "coalesce(field_goals_made, 0) <= coalesce(field_goals_attempted, 0)")
+# The columns of an event log by type, those of a side with each side's name before them, and the ones that are never null.
+EVENT_COLUMNS = {
+    "bigint": ("game_id", "period", "period_number", "clock_minutes", "type_id", "team_id", "athlete_id_1", "athlete_id_2", "athlete_id_3"),
+    "string": ("period_display_value", "clock_display_value", "wallclock", "athlete_name_1", "athlete_name_2", "athlete_name_3"),
+    "double": ("clock_seconds", "coordinate_x", "coordinate_y", "coordinate_x_raw", "coordinate_y_raw", "home_team_spread"),
+}
+SIDE_COLUMNS = {"bigint": ("team_id",), "string": ("team_name", "team_mascot", "team_abbrev", "team_name_alt")}
+NEVER_NULL = ("game_id", "period", "period_number", "type_id", *(f"{side}_{c}" for side in ("home", "away") for c in ("team_id", "team_name", "team_abbrev")))
+
+
+def _event_columns() -> dict[str, tuple[str, bool]]:
+    own = [(c, kind) for kind, names in EVENT_COLUMNS.items() for c in names]
+    sides = [(f"{side}_{c}", kind) for side in ("home", "away") for kind, names in SIDE_COLUMNS.items() for c in names]
+    return {c: (kind, c not in NEVER_NULL) for c, kind in own + sides}
+
+
 # The ranges and keys of the four datasets.
 SCHEMAS = {
-    "play_by_play": Schema(
-        {"game_id": ("bigint", False), "period": ("bigint", False), "clock_minutes": ("bigint", True), "clock_seconds": ("double", True), "type_text": ("string", True)},
-        (between("period", 1), between("clock_minutes", 0, 12), between("clock_seconds", 0, 60)),
-    ),
+    "play_by_play": Schema(_event_columns(), (between("period", 1), between("period_number", 1), between("clock_minutes", 0, 12), between("clock_seconds", 0, 60))),
     "player_box": Schema(
         {"game_id": ("bigint", False), "season": ("bigint", False), "athlete_id": ("bigint", False), "team_id": ("bigint", False), "minutes": ("double", True),
          "field_goals_made": ("double", True), "field_goals_attempted": ("double", True)},
@@ -174,19 +188,51 @@ def dates_in_season(schedule: DataFrame) -> DataFrame:
     return _result("dates_in_season", _named(dated.where(~F.col("_day").between(low, high)), "game_id"), dated)
 
 
-def validate_season(schedule: DataFrame, pbp: DataFrame, player_box: DataFrame) -> DataFrame:
-    """All results, each check on the tables that it needs."""
-    parts = [
-        coverage(schedule, pbp),
-        no_duplicates(schedule, "schedules"),
-        no_duplicates(player_box, "player_box"),
-        teams_match(schedule, pbp),
-        events_in_order(pbp),
-        dates_in_season(schedule),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def agreement(schedule: DataFrame, pbp: DataFrame) -> DataFrame:
+    """``coverage`` as one result: how many games miss on either side, and which."""
+    both = coverage(schedule, pbp)
+    text = F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") > 0, F.concat(F.replace("check", F.lit("_"), F.lit(" ")), F.lit(": "), "detail")))), "; ")
+    return _result("schedule_and_events_agree", both.agg(F.sum("n").alias("n"), text.alias("detail")))
+
+
+DUPLICATE_CHECKED = ("schedules", "player_box", "team_box")
+
+
+def validate_season(spark: SparkSession, tables: Mapping[str, DataFrame | None]) -> DataFrame:
+    """The seven results of a season, (check, status, n, detail), in their order as ``place``.
+
+    tables: by dataset, schedules, play_by_play, player_box and team_box. A check whose table is absent or None, or lacks a column
+    that it reads, is skipped, which is not passed; all others run, also after one fails.
+    """
+    results = []
+
+    def check(name: str, run, **needs: tuple[str, ...]) -> None:
+        given = {d: tables.get(d) for d in needs}
+        absent = [d for d, t in given.items() if t is None]
+        lacking = [f"{d}.{c}" for d, t in given.items() if t is not None for c in needs[d] if c not in t.columns]
+        if absent:
+            results.append(skipped(spark, name, f"{' and '.join(absent)} not given"))
+        elif lacking:
+            results.append(skipped(spark, name, f"no column {', '.join(lacking)}"))
+        else:
+            results.append(run(*given.values()))
+
+    check("schedule_and_events_agree", agreement, schedules=("game_id",), play_by_play=("game_id",))
+    check("teams_match", teams_match, schedules=("game_id", "home_id", "away_id"), play_by_play=("game_id", "home_team_id", "away_team_id", "game_play_number"))
+    check("events_in_order", events_in_order, play_by_play=("game_id", "period", "game_play_number"))
+    check("dates_in_season", dates_in_season, schedules=("game_id", "game_date", "season"))
+    for dataset in DUPLICATE_CHECKED:
+        check(f"no_duplicates_{dataset}", lambda t, d=dataset: no_duplicates(t, d), **{dataset: SCHEMAS[dataset].key})
+    return reduce(DataFrame.unionByName, [r.withColumn("place", F.lit(k)) for k, r in enumerate(results)])
 
 
 def summarise(results: DataFrame) -> DataFrame:
     """How many checks passed, failed and were skipped; skipped is not passed."""
     return results.groupBy("status").agg(F.count("*").alias("checks"))
+
+
+def summary_text(results: DataFrame) -> str:
+    """A line of counts, then one line a check in their order."""
+    rows = results.orderBy("place").collect()  # a row a check
+    counts = [f"{n} {status}" for status in ("passed", "failed", "skipped") if (n := sum(r.status == status for r in rows))]
+    return "\n".join([f"{len(rows)} checks: {', '.join(counts)}", *[f"  [{r.status:7s}] {r.check}: {r.detail}".rstrip(": ") for r in rows]])

@@ -31,6 +31,10 @@ def _team_box(spark, sf):
     return by_team.withColumn("field_goal_pct", 100 * F.col("field_goals_made") / F.col("field_goals_attempted"))
 
 
+def _season(spark, sf):
+    return {"schedules": view(spark, sf, "sched"), "play_by_play": view(spark, sf, "pbp"), "player_box": view(spark, sf, "box"), "team_box": _team_box(spark, sf)}
+
+
 def _violations(dataset, frame):
     return lambda s, d: checks.report(checks.validate(frame(s, d), dataset)[1])
 
@@ -56,7 +60,7 @@ QUERIES = {
     "primary_team": lambda s, d: box.primary_team(_eligible(s, d)),
     "minutes_weighted_mean": _weighted,
     **{f"metric_{n}": _metric(n) for n in NAMES},
-    "schema_play_by_play": _violations("play_by_play", lambda s, d: view(s, d, "pbp")),
+    "schema_play_by_play": _violations("play_by_play", lambda s, d: view(s, d, "event_feed")),
     "schema_player_box": _violations("player_box", lambda s, d: view(s, d, "box")),
     "schema_team_box": _violations("team_box", _team_box),
     "schema_schedules": _violations("schedules", lambda s, d: view(s, d, "sched")),
@@ -66,8 +70,9 @@ QUERIES = {
     "check_teams_match": lambda s, d: checks.teams_match(view(s, d, "sched"), view(s, d, "pbp")),
     "check_event_order": lambda s, d: checks.events_in_order(view(s, d, "pbp")),
     "check_season_dates": lambda s, d: checks.dates_in_season(view(s, d, "sched")),
-    "check_season": lambda s, d: checks.validate_season(view(s, d, "sched"), view(s, d, "pbp"), view(s, d, "box")),
-    "check_summary": lambda s, d: checks.summarise(checks.validate_season(view(s, d, "sched"), view(s, d, "pbp"), view(s, d, "box"))),
+    "check_season": lambda s, d: checks.validate_season(s, _season(s, d)),
+    "check_season_without_events": lambda s, d: checks.validate_season(s, {**_season(s, d), "play_by_play": None, "team_box": None}),
+    "check_summary": lambda s, d: checks.summarise(checks.validate_season(s, _season(s, d))),
 }
 
 _COUNTS = box.COUNTS
@@ -151,18 +156,37 @@ def _dups(name, table, key):
         FROM (SELECT coalesce(sum(c), 0) AS n FROM (SELECT count(*) AS c FROM {table} GROUP BY {key} HAVING count(*) > 1))"""
 
 
-_ALL = " UNION ALL ".join(
-    [
-        _check("scheduled_without_events", _SILENT),
-        _check("events_without_schedule", _STRAY),
-        _dups("no_duplicates_schedules", "sched", "game_id"),
-        _dups("no_duplicates_player_box", "box", "game_id, athlete_id"),
-        _check("teams_match", _DIFF, "(SELECT 1 FROM sched JOIN ft USING (game_id))"),
-        _check("events_in_order", _FALLS, "pbp"),
-        _check("dates_in_season", _OUT, "dd"),
-    ]
-)
-_SEASON = f"{ctes('sched', 'pbp', 'box')}, {_FT}, {_DAYS}"
+_AGREE = f"""SELECT 'schedule_and_events_agree' AS "check", CASE WHEN a.n + b.n > 0 THEN 'failed' ELSE 'passed' END AS status, a.n + b.n AS n,
+  CASE WHEN a.n + b.n > 0 THEN concat_ws('; ', CASE WHEN a.n > 0 THEN 'events without schedule: ' || a.detail END, CASE WHEN b.n > 0 THEN 'scheduled without events: ' || b.detail END) ELSE '' END AS detail
+  FROM {_list(_STRAY)} a CROSS JOIN {_list(_SILENT)} b"""
+_SKIP = lambda name, why: f"SELECT '{name}' AS \"check\", 'skipped' AS status, 0 AS n, '{why}' AS detail"
+_SEVEN = [
+    _AGREE,
+    _check("teams_match", _DIFF, "(SELECT 1 FROM sched JOIN ft USING (game_id))"),
+    _check("events_in_order", _FALLS, "pbp"),
+    _check("dates_in_season", _OUT, "dd"),
+    _dups("no_duplicates_schedules", "sched", "game_id"),
+    _dups("no_duplicates_player_box", "box", "game_id, athlete_id"),
+    _dups("no_duplicates_team_box", "tb", "game_id, team_id"),
+]
+_WITHOUT = [
+    _SKIP("schedule_and_events_agree", "play_by_play not given"), _SKIP("teams_match", "play_by_play not given"), _SKIP("events_in_order", "play_by_play not given"),
+    *_SEVEN[3:6], _SKIP("no_duplicates_team_box", "team_box not given"),
+]
+_IN_ORDER = lambda parts: " UNION ALL ".join(f'SELECT *, {k} AS place FROM ({p})' for k, p in enumerate(parts))
+_ALL = _IN_ORDER(_SEVEN)
+_SEASON = f"{ctes('sched', 'pbp', 'box')}, {_FT}, {_DAYS}, {_TB}"
+
+
+def _typed(table, columns):
+    """What fails to be of its type, or is null and must not be."""
+    sql = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    out = []
+    for c, (kind, nullable) in columns.items():
+        out.append(f"SELECT '{c}' AS column_name, 'type({kind})' AS rule, CAST({c} AS VARCHAR) AS value FROM {table} WHERE TRY_CAST({c} AS {sql[kind]}) IS NULL AND {c} IS NOT NULL")
+        out += [] if nullable else [f"SELECT '{c}', 'not_null', NULL FROM {table} WHERE {c} IS NULL"]
+    return out
+
 
 SQL = {
     "eligible_rows": f"WITH {ctes('box')}, {ELIGIBLE} SELECT season, game_id, athlete_id, team_id, line, part, minutes FROM el",
@@ -178,7 +202,11 @@ SQL = {
         SELECT season, team_id, round(sum(v * minutes) / sum(minutes), 6) AS value, count(*) AS people
         FROM (SELECT tt.season, pt.team_id, tt.minutes, {metric_sql('points_per_36')} AS v FROM tt JOIN pt USING (season, athlete_id)) WHERE v IS NOT NULL AND minutes >= 200 GROUP BY ALL""",
     **{f"metric_{n}": f"WITH {ctes('box')}, {_T} SELECT season, athlete_id, round({metric_sql(n)}, 9) AS {n} FROM tt" for n in NAMES},
-    "schema_play_by_play": _v([_range("pbp", "period", 1), _range("pbp", "clock_minutes", 0, 12), _range("pbp", "clock_seconds", 0, 60)], ctes("pbp")),
+    "schema_play_by_play": _v(
+        [*_typed("event_feed", checks.SCHEMAS["play_by_play"].columns), _range("event_feed", "period", 1), _range("event_feed", "TRY_CAST(period_number AS BIGINT)", 1).replace("'TRY_CAST(period_number AS BIGINT)'", "'period_number'"),
+         _range("event_feed", "clock_minutes", 0, 12), _range("event_feed", "clock_seconds", 0, 60)],
+        ctes("event_feed"),
+    ),
     "schema_player_box": _v(
         [_range("box", "season", 1946, 2100), *[_range("box", c, 0) for c in ("minutes", "field_goals_made", "field_goals_attempted")], _bad("box", "field_goals_made", "made_at_most_attempted", _MADE), _unique("box", ("game_id", "athlete_id"))],
         ctes("box"),
@@ -195,5 +223,6 @@ SQL = {
     "check_event_order": f"WITH {ctes('pbp')} {_check('events_in_order', _FALLS, 'pbp')}",
     "check_season_dates": f"WITH {ctes('sched')}, {_DAYS} {_check('dates_in_season', _OUT, 'dd')}",
     "check_season": f"WITH {_SEASON} {_ALL}",
+    "check_season_without_events": f"WITH {_SEASON} {_IN_ORDER(_WITHOUT)}",
     "check_summary": f"WITH {_SEASON} SELECT status, count(*) AS checks FROM ({_ALL}) GROUP BY ALL",
 }

@@ -49,6 +49,21 @@ SQL = {
                  WHEN 'click' THEN 'Jump Shot' ELSE 'Substitution' END AS type_text,
                value > 20 AS scoring_play, event_type IN ('error', 'click') AS shooting_play
         FROM {events}""",
+    "event_feed": """
+        SELECT user_id AS game_id, CASE WHEN event_id % 71 = 0 THEN 0 ELSE CAST(1 + event_id % 4 AS BIGINT) END AS period,
+               CAST(CASE WHEN event_id % 83 = 0 THEN 'overtime' WHEN event_id % 79 = 0 THEN '0' ELSE CAST(1 + event_id % 4 AS STRING) END AS STRING) AS period_number,
+               'Q' || CAST(1 + event_id % 4 AS STRING) AS period_display_value, CAST(event_id % 14 AS STRING) || ':00' AS clock_display_value,
+               CAST(event_id % 14 AS BIGINT) AS clock_minutes, CAST(value AS DOUBLE) AS clock_seconds, CAST(ts AS STRING) AS wallclock,
+               CASE WHEN event_id % 61 = 0 THEN NULL ELSE CAST(event_id % 40 AS BIGINT) END AS type_id, CAST(user_id % 25 AS BIGINT) AS team_id,
+               event_id % 500 AS athlete_id_1, event_id % 501 AS athlete_id_2, CASE WHEN event_id % 59 = 0 THEN 'nobody' ELSE CAST(event_id % 502 AS STRING) END AS athlete_id_3,
+               'P' || CAST(event_id % 500 AS STRING) AS athlete_name_1, CAST(NULL AS STRING) AS athlete_name_2, CAST(NULL AS STRING) AS athlete_name_3,
+               CAST(event_id % 50 AS DOUBLE) AS coordinate_x, CAST(event_id % 94 AS DOUBLE) AS coordinate_y, CAST(event_id % 50 AS DOUBLE) AS coordinate_x_raw,
+               CASE WHEN event_id % 67 = 0 THEN '?' ELSE CAST(event_id % 94 AS STRING) END AS coordinate_y_raw,
+               CAST(user_id % 25 AS BIGINT) AS home_team_id, 'H' || CAST(user_id % 25 AS STRING) AS home_team_name, CAST(NULL AS STRING) AS home_team_mascot,
+               CASE WHEN event_id % 53 = 0 THEN NULL ELSE 'H' END AS home_team_abbrev, CAST(NULL AS STRING) AS home_team_name_alt,
+               CASE WHEN event_id % 47 = 0 THEN NULL ELSE CAST((user_id + 1) % 25 AS BIGINT) END AS away_team_id, CASE WHEN event_id % 43 = 0 THEN NULL ELSE 'A' END AS away_team_name,
+               CAST(NULL AS STRING) AS away_team_mascot, 'A' AS away_team_abbrev, CAST(NULL AS STRING) AS away_team_name_alt, CAST(event_id % 9 AS DOUBLE) AS home_team_spread
+        FROM {events}""",
     "sched": """
         SELECT o_orderkey AS game_id, CAST(year(o_orderdate) AS BIGINT) AS season,
                CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' WHEN o_orderkey % 89 = 0 THEN '1900-01-01'

@@ -16,7 +16,7 @@ def test_cast_failure_and_missing_column_are_violations(spark):
     df = spark.createDataFrame([("x", "1")], "game_id string, period string")
     found = {(r.column_name, r.rule) for r in checks.validate(df, "play_by_play")[1].collect()}
     assert ("game_id", "type(bigint)") in found
-    assert ("type_text", "present") in found
+    assert ("type_id", "present") in found
 
 
 def test_skipped_is_not_passed(spark):
@@ -104,3 +104,18 @@ def test_tables_by_a_column_are_replaced_by_value_and_read_back(spark, tmp_path)
     assert [r.total for r in tables.read_by(spark, path, "window_end", 2002).collect()] == [5.0]
     with pytest.raises(ValueError):
         tables.read_by(spark, path, "window_end", 1999)
+
+
+def test_absent_tables_and_columns_are_skipped(spark):
+    nothing = checks.validate_season(spark, {})
+    assert [r.status for r in nothing.collect()] == ["skipped"] * 7
+    sched = spark.createDataFrame([(1, 2024, "2024-01-01", 1, 2), (1, 2024, "2020-01-01", 1, 2)], "game_id long, season long, game_date string, home_id long, away_id long")
+    pbp = spark.createDataFrame([(1, 1)], "game_id long, period long")
+    text = checks.summary_text(checks.validate_season(spark, {"schedules": sched, "play_by_play": pbp, "player_box": None})).split("\n")
+    assert text[0] == "7 checks: 1 passed, 2 failed, 4 skipped" and len(text) == 8
+    assert text[1].startswith("  [passed ] schedule_and_events_agree") and "no column play_by_play.home_team_id" in text[2] and "player_box not given" in text[6]
+
+
+def test_event_log_declares_its_columns(spark):
+    columns = checks.SCHEMAS["play_by_play"].columns
+    assert len(columns) == 31 and sum(not nullable for _, nullable in columns.values()) == 10
