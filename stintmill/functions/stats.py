@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import average_ranks
+
 
 def spearman_brown(rho: Column, times: Column | float) -> Column:
     """Reliability of a measure ``times`` as long; null where times is not positive."""
@@ -21,7 +23,9 @@ def reliability_at(rho: Column, games: Column | float, games_per_half: Column) -
 
 
 def with_average_rank(df: DataFrame, value: str, by: tuple[str, ...], name: str) -> DataFrame:
-    """Rank with ties at the mean of their places."""
+    """Rank with ties at the mean of their places; without ``by``, over ranges of the values and not in one task."""
+    if not by:
+        return average_ranks(df, value, name)
     order, peers = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
     return df.withColumn(name, F.rank().over(order) + (F.count("*").over(peers) - 1) / 2)
 

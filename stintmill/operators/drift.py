@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import quantiles
 from ..functions.stats import kolmogorov_p
 
 EPSILON = 1e-6
@@ -12,14 +13,18 @@ BINS = 10
 
 
 def stability_index(reference: DataFrame, comparison: DataFrame, value: str, bins: int = BINS) -> DataFrame:
-    """Population stability index over the reference's quantile bins, open at both ends; nulls dropped."""
+    """Population stability index over the reference's quantile bins, open at both ends; nulls dropped.
+
+    The edges are exact, found by range counts in rounds; an empty side raises.
+    """
     sides = reference.select(F.lit(0).alias("side"), F.col(value).alias("x")).unionByName(comparison.select(F.lit(1).alias("side"), F.col(value).alias("x"))).where("x is not null")
-    cuts = [k / bins for k in range(bins + 1)]
-    edges = sides.where("side = 0").agg(F.array_distinct(F.percentile("x", F.array(*map(F.lit, cuts)))).alias("edges"))
+    if sides.where("side = 1").isEmpty():
+        raise ValueError("no value to compare")
+    edges = sorted(set(quantiles(sides.where("side = 0"), "x", [k / bins for k in range(bins + 1)])))
     # inner edges at or below x; the outer edges are open
-    binned = sides.join(edges).withColumn("bin", F.size(F.filter(F.expr("slice(edges, 2, greatest(size(edges) - 2, 0))"), lambda e: e <= F.col("x"))))
-    counted = binned.groupBy("bin").agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"), F.max(F.size("edges") - 1).alias("n_bins"))
-    whole = Window.partitionBy()
+    binned = sides.withColumn("bin", sum(((F.col("x") >= e).cast("int") for e in edges[1:-1]), F.lit(0)))
+    counted = binned.groupBy("bin").agg(F.count(F.when(F.col("side") == 0, 1)).alias("a"), F.count(F.when(F.col("side") == 1, 1)).alias("b"))
+    whole = Window.partitionBy()  # a row a bin
     shares = counted.withColumns({"p": F.col("a") / F.sum("a").over(whole) + EPSILON, "q": F.col("b") / F.sum("b").over(whole) + EPSILON})
     # a bin that neither side has adds nothing: both shares are epsilon
     return shares.agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"), F.sum("a").alias("reference_n"), F.sum("b").alias("comparison_n"))

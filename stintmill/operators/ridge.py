@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import numbered, tiles
 from ..functions.staging import written
 from ..functions.stats import seeded, with_average_rank
 from .stints import possessions_by_player, usable_stints
@@ -247,7 +248,7 @@ def held_out_errors(rows: DataFrame, solved: Solved, models: int, fold: str, of_
 def game_folds(rows: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
     """(game_id, fold): games in seeded order, cut in nearly equal parts."""
     games = rows.select("game_id").distinct()
-    return games.select("game_id", (F.ntile(folds).over(Window.orderBy(seeded("game_id", seed=seed), "game_id")) - 1).alias("fold"))
+    return tiles(games, folds, seeded("game_id", seed=seed), "game_id", name="fold")
 
 
 def select_alpha(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, folds: int = 5, seed: int = SEED) -> tuple[float, DataFrame]:
@@ -315,7 +316,7 @@ def bootstrap_se(rows: DataFrame, alpha: float, draws: int = 200, seed: int = SE
     A game carries its counts of all draws as one array, so the games' sums are shuffled once however
     many draws there are.
     """
-    games = rows.select("game_id").distinct().withColumn("g", F.row_number().over(Window.orderBy("game_id")).cast("long") - 1)
+    games = numbered(rows.select("game_id").distinct(), "game_id", name="g")
     n = games.count()
     picks = rows.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("g"))
     drawn = picks.groupBy("draw", "g").agg(F.count("*").cast("double").alias("times")).groupBy("g")
@@ -384,7 +385,7 @@ def compare_builds(one: DataFrame, two: DataFrame, alpha: float, floor: float =
 
 def error_profile(errors: DataFrame, possessions: DataFrame) -> DataFrame:
     """Median standard error by quintile of possessions, and its correlation with their logarithm."""
-    both = errors.join(possessions, "player_id").where("possessions > 0")
-    fifth = both.withColumn("quintile", F.ntile(5).over(Window.orderBy("possessions", "player_id")))
+    both = written(errors.join(possessions, "player_id").where("possessions > 0"), "errors")  # a bootstrap is not run twice
+    fifth = tiles(both, 5, "possessions", "player_id", name="quintile").withColumn("quintile", F.col("quintile") + 1)
     whole = both.agg(F.corr("total_se", F.log("possessions")).alias("correlation"))
     return fifth.groupBy("quintile").agg(F.percentile("total_se", F.lit(0.5)).alias("median_se"), F.count("*").alias("players")).join(whole)

@@ -61,6 +61,49 @@ def failed_games(stats: DataFrame) -> DataFrame:
     return stats.groupBy("game_id").agg(F.count("*").alias("rows"), F.count(F.when(F.col("stat_key") == "OffPoss", 1)).alias("counted")).where("counted = 0").drop("counted")
 
 
+# The shape of a game's payload: possessions, each with its stats.
+PAYLOAD = (
+    "possessions array<struct<possession_no: bigint, stats: array<struct<stat_no: bigint, stat_key: string, stat_value: bigint, "
+    "team_id: bigint, opponent_team_id: bigint, lineup_id: string, opponent_lineup_id: string>>>>, _corrupt string"
+)
+STAT = ("stat_no", "stat_key", "stat_value", "team_id", "opponent_team_id", "lineup_id", "opponent_lineup_id")
+
+
+def season_stints(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stints, failures) of games (game_id, json): a game that cannot be read is told with its reason, and costs no other.
+
+    failures: game_id, reason, detail. Payloads are read permissively with the unreadable text kept; the first of
+    these reasons counts: corrupt (not JSON, or a value of another type), empty (no possessions), unkeyed (a
+    possession without a number, or two of one number), unattributed (a counted possession without both teams), uncounted
+    (no possession is counted). A game's possessions go on only if it has no failure. Repeated game_ids fail as repeated.
+    """
+    read = payloads.withColumn("_g", F.from_json("json", PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    counted = F.expr("flatten(transform(coalesce(_g.possessions, array()), p -> filter(coalesce(p.stats, array()), x -> x.stat_key = 'OffPoss')))")
+    numbers = F.expr("transform(coalesce(_g.possessions, array()), p -> p.possession_no)")
+    reason = (
+        F.when(F.col("_copies") > 1, "repeated")
+        .when(F.col("json").isNull() | F.col("_g").isNull() | F.col("_g._corrupt").isNotNull(), "corrupt")
+        .when(F.coalesce(F.size("_g.possessions"), F.lit(0)) <= 0, "empty")
+        .when(F.exists(numbers, lambda n: n.isNull()) | (F.size(F.array_distinct(numbers)) < F.size(numbers)), "unkeyed")
+        .when(F.exists(counted, lambda x: x["team_id"].isNull() | x["opponent_team_id"].isNull()), "unattributed")
+        .when(F.size(counted) == 0, "uncounted")
+    )
+    # copies are counted on ids alone; payloads are not shuffled but by their own join
+    copies = payloads.groupBy("game_id").agg(F.count("*").alias("_copies"))
+    judged = read.join(copies, "game_id").withColumn("reason", reason)
+    detail = F.when(F.col("reason") == "corrupt", F.left(F.coalesce("json", F.lit("")), F.lit(60))).otherwise(F.lit(""))
+    failures = judged.where("reason is not null").groupBy("game_id").agg(F.min("reason").alias("reason"), F.min(detail).alias("detail"))
+    each = judged.where("reason is null").select("game_id", F.explode("_g.possessions").alias("p")).select("game_id", "p.possession_no", F.explode("p.stats").alias("s"))
+    stats = each.select("game_id", "possession_no", *[F.col(f"s.{c}").alias(c) for c in STAT])
+    return stints(possessions(stats)), failures
+
+
+def season_summary(found: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row: games and stints read, possessions, and games that failed."""
+    told = found.agg(F.countDistinct("game_id").alias("games"), F.count("*").alias("stints"), F.coalesce(F.sum("possessions"), F.lit(0.0)).alias("possessions"))
+    return told.join(failures.agg(F.count("*").alias("failed")))
+
+
 def points_by_team(rows: DataFrame, by: tuple[str, ...] = ("game_id",)) -> DataFrame:
     """Points on offence plus points scored while defending."""
     own = rows.select(*by, F.col("offense_team_id").alias("team_id"), "points")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,41 @@ def read_by(spark: SparkSession, path: str, column: str, *values: int) -> DataFr
     return rows.where(F.col(column).isin(*values))
 
 
+def publish(rows: DataFrame, path: str, mismatches: DataFrame | None = None, by: str | None = None) -> str:
+    """Publish a table as a new version under path and name it: readers see it whole, or the version before.
+
+    The version is written to a folder of its own. It is published by one more row in the manifest, which is written last and
+    only if ``mismatches`` has no row; else a ValueError tells how many there are and the table stays as it was.
+    """
+    spark = rows.sparkSession
+    version = uuid.uuid4().hex
+    target = f"{path}/versions/{version}"
+    writer = rows.write
+    (writer.partitionBy(by) if by else writer).parquet(target)
+    if mismatches is not None and (n := mismatches.count()):
+        raise ValueError(f"{n} rows do not agree; {path} is left as it was")
+    number = max((r.number for r in _manifest(spark, path)), default=0) + 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return version
+
+
+def _manifest(spark: SparkSession, path: str) -> list:
+    """The published versions; a row each time a table was published."""
+    try:
+        return spark.read.schema("number long, version string").json(f"{path}/manifest").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The version published last."""
+    if not (rows := _manifest(spark, path)):
+        raise LookupError(f"nothing is published under {path}")
+    return spark.read.parquet(f"{path}/versions/{max(rows, key=lambda r: (r.number, r.version)).version}")
+
+
 def rating_query(ratings: DataFrame, window_end: int | None = None, least_possessions: float = 0.0) -> DataFrame:
     """Published ratings of a window over a possession floor; an unknown window raises with the range."""
     if window_end is not None and ratings.where(F.col("window_end") == window_end).isEmpty():

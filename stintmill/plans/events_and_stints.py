@@ -36,7 +36,33 @@ def _tenure_mismatch(spark, sf):
     return stints.tenure_mismatches(shipped, derived)
 
 
+# How some games' payloads are broken here, by what game_id % n is.
+BROKEN = {"missing": (13, 6), "cut": (7, 3), "typed": (17, 8), "empty": (11, 5), "renamed": (19, 4)}
+
+
+def _payloads(spark, sf):
+    """Each game's possessions as one JSON text; some are broken."""
+    rows = view(spark, sf, "possession_stats")
+    one = rows.groupBy("game_id", "possession_no").agg(F.collect_list(F.struct(*stints.STAT)).alias("stats"))
+    json = one.groupBy("game_id").agg(F.to_json(F.struct(F.collect_list(F.struct("possession_no", "stats")).alias("possessions"))).alias("json"))
+    broken = {
+        "missing": F.lit(None).cast("string"),
+        "cut": F.expr("left(json, length(json) - 7)"),
+        "typed": F.regexp_replace("json", '"stat_value":[0-9]+', '"stat_value":"many"'),
+        "empty": F.lit('{"possessions":[]}'),
+        "renamed": F.replace("json", F.lit("OffPoss"), F.lit("Held")),
+    }
+    text = F.col("json")
+    for how in reversed(BROKEN):
+        n, k = BROKEN[how]
+        text = F.when(F.col("game_id").cast("long") % n == k, broken[how]).otherwise(text)
+    return json.select("game_id", text.alias("json"))
+
+
 QUERIES = {
+    "season_stints": lambda s, d: stints.season_stints(_payloads(s, d))[0],
+    "season_failures": lambda s, d: stints.season_stints(_payloads(s, d))[1].select("game_id", "reason"),
+    "season_summary": lambda s, d: stints.season_summary(*stints.season_stints(_payloads(s, d))),
     "classify_free_throws": lambda s, d: _classified(s, d).where("is_free_throw").select("event_id", "is_last_of_trip", "ends_possession"),
     "possession_coefficients": lambda s, d: _coefficients(s, d).withColumns({"coefficient": F.round("coefficient", 9), "difference": F.round("difference", 9)}),
     "coefficient_summary": lambda s, d: events.coefficient_summary(_coefficients(s, d)).select(
@@ -100,7 +126,16 @@ _POINTS = """
 pt AS (SELECT game_id, team_id, sum(points) AS points FROM (SELECT game_id, offense_team_id AS team_id, points FROM stints
   UNION ALL SELECT game_id, defense_team_id, opponent_points FROM stints) GROUP BY ALL)"""
 
+_WHY = f"""CASE {' '.join(f"WHEN CAST(game_id AS BIGINT) % {n} = {k} THEN '{'empty' if how == 'empty' else 'uncounted' if how == 'renamed' else 'corrupt'}'" for how, (n, k) in BROKEN.items())}
+  WHEN count(*) FILTER (stat_key = 'OffPoss') = 0 THEN 'uncounted' END"""
+_READ = f"""{_POSS}, wy AS (SELECT game_id, {_WHY} AS reason FROM possession_stats GROUP BY game_id),
+ss AS (SELECT game_id, offense_team_id, defense_team_id, offense_lineup, defense_lineup, CAST(count(*) AS DOUBLE) AS possessions, CAST(sum(points) AS DOUBLE) AS points,
+  CAST(sum(opponent_points) AS DOUBLE) AS opponent_points FROM po SEMI JOIN (SELECT game_id FROM wy WHERE reason IS NULL) USING (game_id) GROUP BY ALL)"""
+
 SQL = {
+    "season_stints": f"WITH {ctes('possession_stats')}, {_READ} SELECT * FROM ss",
+    "season_failures": f"WITH {ctes('possession_stats')}, {_READ} SELECT * FROM wy WHERE reason IS NOT NULL",
+    "season_summary": f"WITH {ctes('possession_stats')}, {_READ} SELECT count(DISTINCT game_id) AS games, count(*) AS stints, sum(possessions) AS possessions, (SELECT count(*) FROM wy WHERE reason IS NOT NULL) AS failed FROM ss",
     "classify_free_throws": f"WITH {ctes('pbp')}, {TOLD} SELECT event_id, is_last_of_trip, ends_possession FROM c WHERE is_free_throw",
     "possession_coefficients": f"""WITH {ctes('pbp')}, {TOLD} SELECT season, total_attempts, unresolved, ending_trips, attempts,
         round(coefficient, 9) AS coefficient, round(coefficient - 0.44, 9) AS difference FROM cf""",

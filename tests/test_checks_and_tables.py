@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stintmill.operators import box, checks, drift, tables
+from stintmill.operators import box, checks, drift, stints, tables
 
 
 def test_every_violation_is_found_and_extras_pass(spark):
@@ -119,3 +119,32 @@ def test_absent_tables_and_columns_are_skipped(spark):
 def test_event_log_declares_its_columns(spark):
     columns = checks.SCHEMAS["play_by_play"].columns
     assert len(columns) == 31 and sum(not nullable for _, nullable in columns.values()) == 10
+
+
+def test_bad_payloads_fail_alone_and_with_a_reason(spark):
+    ok = '{"possessions":[{"possession_no":1,"stats":[{"stat_no":0,"stat_key":"OffPoss","stat_value":1,"team_id":1,"opponent_team_id":2,"lineup_id":"a","opponent_lineup_id":"b"}]}]}'
+    rows = [
+        ("ok", ok), ("cut", ok[:-5]), ("typed", ok.replace('"stat_value":1', '"stat_value":"x"')), ("null", None), ("empty", '{"possessions":[]}'), ("other", '{"x":1}'), ("text", "oops"),
+        ("unkeyed", ok.replace('"possession_no":1,', "")), ("twice", ok.replace("[{", "[" + ok[16:-2] + ",{", 1)), ("teamless", ok.replace('"team_id":1,', "")), ("uncounted", ok.replace("OffPoss", "Held")), ("same", ok), ("same", ok),
+    ]
+    good, bad = stints.season_stints(spark.createDataFrame(rows, "game_id string, json string"))
+    assert [(r.game_id, r.possessions) for r in good.collect()] == [("ok", 1.0)]
+    assert {r.game_id: r.reason for r in bad.collect()} == {
+        "cut": "corrupt", "typed": "corrupt", "null": "corrupt", "text": "corrupt", "empty": "empty", "other": "empty", "unkeyed": "unkeyed", "twice": "unkeyed",
+        "teamless": "unattributed", "uncounted": "uncounted", "same": "repeated",
+    }
+    assert tuple(stints.season_summary(good, bad).first()) == (1, 1, 1.0, 11)
+
+
+def test_a_mismatch_leaves_the_published_table(spark, tmp_path):
+    path = str(tmp_path / "tenure")
+    old = spark.createDataFrame([(1, 2000, 5.0)], "player_id long, window_end long, possessions double")
+    new = spark.createDataFrame([(1, 2000, 6.0)], "player_id long, window_end long, possessions double")
+    with pytest.raises(LookupError):
+        tables.published(spark, path)
+    tables.publish(old, path, stints.tenure_mismatches(old, old))
+    with pytest.raises(ValueError, match="1 rows"):
+        tables.publish(new, path, stints.tenure_mismatches(old, new))
+    assert tables.published(spark, path).collect() == old.collect()
+    tables.publish(new, path, stints.tenure_mismatches(new, new), by="window_end")
+    assert tables.published(spark, path).select(*new.columns).collect() == new.collect()
