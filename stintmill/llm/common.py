@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(docs: DataFrame, **used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with every column under a name that no operator takes for its own, and the way back.
+
+    used: the names that the operator gives to columns that it works on, by keyword to the column's own name.
+    """
+    own = {c: n for n, c in used.items()}
+    names = {c: own.get(c, f"kept_{k}_") for k, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return hidden, lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 BATCH_BYTES = 4 << 20
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shielded, staged
 
 WORD_BITS = 15  # Spark's bitmaps hold 2^15 bits
 BLOCK = 1000  # members of a key that are compared with as many others in one step of a task
@@ -78,16 +78,14 @@ def surely_out(rows: DataFrame, col: str, marks: tuple[DataFrame, int]) -> DataF
 def without_ids(rows: DataFrame, gone: DataFrame, col: str) -> DataFrame:
     """Rows of a wide table whose integer id is not in gone (one column, named as col).
 
-    Only rows that may be among them are shuffled; rows with a null id stay.
+    Only rows that may be among them are shuffled; rows with a null id stay. Other columns may have any name.
     """
-    gone = staged(gone.distinct(), "gone")
-    marks = bitmap(gone.select(F.xxhash64(F.col(col).cast("long")).alias("_k")), "_k")
-    held = rows.withColumn("_k", F.coalesce(F.xxhash64(F.col(col).cast("long")), F.lit(0).cast("long")))
-    return (
-        surely_out(held, "_k", marks)
-        .select(*rows.columns)
-        .unionByName(maybe_in(held, "_k", marks).select(*rows.columns).join(gone, col, "left_anti"))
-    )
+    gone = staged(gone.select(F.col(col).cast("long").alias("gone")).distinct(), "gone")
+    marks = bitmap(gone.select(F.xxhash64("gone").alias("_k")), "_k")
+    hidden, back = shielded(rows, gone_id=col)
+    held = hidden.withColumn("_k", F.coalesce(F.xxhash64(F.col("gone_id").cast("long")), F.lit(0).cast("long")))
+    hit = maybe_in(held, "_k", marks).join(gone, F.col("gone_id") == F.col("gone"), "left_anti")
+    return back(surely_out(held, "_k", marks).unionByName(hit))
 
 
 def crowded(sizes: DataFrame, key: str, crowd: int = CROWD) -> tuple[DataFrame, int] | None:

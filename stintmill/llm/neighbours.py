@@ -110,20 +110,23 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _tops(pdf_v: pd.DataFrame, vs: np.ndarray, pdf_q: pd.DataFrame, qs: np.ndarray, keep: int) -> list[tuple]:
-    """(q, id, score) of the ``keep`` best rows of a block for each query, of those not below its ``floor``."""
+    """(q, id, score) of the ``keep`` best rows of a block for each query, of those not below its ``floor``.
+
+    Products within rounding of the last of them are all scored exactly; ties go to the smaller id.
+    """
     out = []
     floor = pdf_q["floor"].to_numpy() if "floor" in pdf_q else np.full(len(pdf_q), -2.0)
     raw_v, raw_q = pdf_v["v"].to_numpy(), pdf_q["v"].to_numpy()
-    ids = pdf_v["id"].to_numpy()
+    ids, names = pdf_v["id"].to_numpy(), pdf_q["q"].to_numpy()
     for start in range(0, len(qs), 256):
         near = qs[start : start + 256] @ vs.T
         n = min(keep, near.shape[1])
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n]
-        for j, row in enumerate(best):
-            q = start + j
-            a = np.asarray(raw_q[q], dtype=float)
-            row = row[near[j, row] >= floor[q] - 1e-9]
-            out.extend((int(pdf_q["q"].iloc[q]), int(ids[k]), cosine(a, np.asarray(raw_v[k], dtype=float))) for k in row)
+        last = -np.partition(-near, n - 1, axis=1)[:, n - 1]
+        for j, least in enumerate(np.maximum(last, floor[start : start + len(last)]) - 1e-9):
+            a = np.asarray(raw_q[start + j], dtype=float)
+            row = np.flatnonzero(near[j] >= least)
+            scored = sorted((-cosine(a, np.asarray(raw_v[k], dtype=float)), int(ids[k])) for k in row)
+            out.extend((int(names[start + j]), k, -score) for score, k in scored[:keep])
     return out
 
 

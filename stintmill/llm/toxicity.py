@@ -106,7 +106,8 @@ class Model:
 
     def __init__(self, words: dict, stems: dict, pairs: dict):
         self.words, self.stems, self.pairs = words, stems, pairs
-        self.cut, self.slope = 0.0, 1.0
+        self.cut: float | None = 0.0  # None: nothing is known of the classes
+        self.slope = 1.0
 
     def value(self, text: str | None) -> float:
         """Length-normalised difference of the two log-likelihoods; 0 for a text without tokens."""
@@ -118,7 +119,7 @@ class Model:
         return (each + sum(map(self.pairs.get, zip(found, found[1:]), repeat(0.0)))) / len(found)
 
     def score(self, text: str | None) -> float:
-        if not text or not TOKEN.search(text):
+        if self.cut is None or not text or not TOKEN.search(text):
             return 0.0
         x = self.slope * (self.value(text) - self.cut)
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, x))))
@@ -178,11 +179,14 @@ def fit_counts(counts: DataFrame, discount: float, min_count: int, sigmas: float
 
 
 def calibrate(model: Model, rows: list[tuple[float, int]]) -> None:
-    """Cut with the fewest errors (the middle of the widest such gap); slope from the class means."""
+    """Cut with the fewest errors (the middle of the widest such gap); slope from the class means.
+
+    Without rows of both classes there is no cut, and every text scores 0: nothing is called toxic unlearned.
+    """
     rows = sorted(rows)
     ones = sum(y for _, y in rows)
-    if not rows or ones in (0, len(rows)):
-        model.cut, model.slope = (rows[-1][0] + 1.0, 10.0) if rows and not ones else (0.0, 10.0)
+    if ones in (0, len(rows)):
+        model.cut = None
         return
     best, wrong = None, ones  # everything called toxic: wrong are the ordinary ones
     errors = len(rows) - ones
@@ -230,16 +234,17 @@ def train(
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs plus ``score`` (0 to 1) of each whole text; null, empty and token-free texts score 0.
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs plus ``score`` (0 to 1) of each whole text; null, empty and token-free texts score 0, as does
+    every text where training had no rows of both classes.
 
-    A column of docs that is named ``score`` is replaced. Rows are scored one by one, so copies
+    A column of docs that is named as the result is replaced. Rows are scored one by one, so copies
     and repeated ids score alike; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     scored = F.pandas_udf(lambda s: pd.Series([shared.value.score(t) for t in s], dtype=float), "double")
-    return docs.withColumn("score", scored(F.col(text_col)))
+    return docs.withColumn(out_col, scored(F.col(text_col)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

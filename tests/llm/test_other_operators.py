@@ -225,10 +225,28 @@ def test_toxicity_of_empty_and_repeated_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     got = [r.score for r in toxicity.score(docs, model).orderBy(F.desc("text")).collect()]
-    assert got[0] == got[1] and all(0 <= g <= 1 for g in got)
+    assert got == [0.0] * 3  # nothing was learned, so nothing is toxic
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
 
 
+@pytest.mark.parametrize("labelled", [[], [(3, 1)], [(3, 0), (4, 0)], [(k, 1) for k in range(20)]])
+def test_toxicity_without_both_classes_calls_nothing_toxic(spark, labelled):
+    docs = spark.createDataFrame([(i, f"clean words number {i}") for i in range(20)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"))
+    assert {r.score for r in toxicity.score(docs, model).collect()} == {0.0}
+
+
+def test_neighbours_of_multiples_are_ties(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8)
+    rows = [(100 + i, (base * (1 + (i * 7) % 20)).tolist()) for i in range(20)] + [(i, rng.normal(size=8).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    ask = df.where("vec_id in (100, 103, 119)").select(F.col("vec_id").alias("query_id"))
+    got = neighbours.nearest(df, ask, leaf_rows=15, block_rows=4).orderBy("query_id", "rank").collect()
+    for q in (100, 103, 119):
+        assert [r.vec_id for r in got if r.query_id == q] == [i for i in range(100, 107) if i != q][:5]
+
+
 def test_neighbours_of_repeated_ids_take_the_least_vector(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -140,3 +140,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert all(abs(taken[s] - target[s]) <= 1 for s in have)
     per = collections.Counter(r.doc_id for r in out)
     assert max(per.values()) <= 3
+
+
+ODD_NAMES = ("_k", "_K2", "_lines", "_id", "_r", "_c", "_slot", "_bucket", "_bit", "_bits", "_twins", "_dropped", "_nth", "_salt", "score", "id", "id2", "key", "keys", "component", "gone", "h", "n", "s0", "out", "row", "all", "part")
+
+
+def test_no_column_name_clashes_with_a_stage(spark, tmp_path):
+    rows = [(i, f"Line number {i} about nothing much at all, said {i * 37 % 101} times.\nShared closing words that everyone repeats here.") for i in range(30)]
+    rows += [(40, rows[3][1]), (40, rows[3][1]), (None, "no id"), (41, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source", "length(text) as n_chars", *[f"concat('{c}', doc_id) as `{c}`" for c in ODD_NAMES])
+    for name, schema in (("labels", "doc_id long, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in kept for c in ODD_NAMES), name
+    assert corpus_pipeline.mixing(spark, docs, str(tmp_path)).columns[-1] == "n_chars"
+    assert corpus_pipeline.mixing(spark, docs, str(tmp_path)).count() > 30
