@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintmill.llm.common import staged, table
+from stintmill.llm.common import shielded, staged, table
 from stintmill.llm.decontam import decontaminate
 from stintmill.llm.lines import dedup_lines
 from stintmill.llm.mixing import mixed_texts
@@ -18,9 +18,11 @@ from stintmill.llm.toxicity import score, train
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the models learn from the labelled ones among docs."""
+    """Documents that score below 0.5; the models learn from the labelled ones among docs. Without labels of
+    both classes every document stays."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs.select("*", F.col("text").alias("_text")), model, text_col="_text").where("score < 0.5").select(*docs.columns)
+    hidden, back = shielded(docs, doc_id="doc_id", text="text")
+    return back(score(hidden, model).where("score < 0.5"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
