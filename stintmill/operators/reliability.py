@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +38,61 @@ def half_totals(halved: DataFrame) -> DataFrame:
     return halved.groupBy("season", "draw", "athlete_id", "half").agg(*[F.sum(c).alias(c) for c in have], F.countDistinct("game_id").alias("games"))
 
 
+def drawn_totals(rows: DataFrame, draws: int, seed: int = SEED, row_key: tuple[str, ...] = ROW_KEY) -> DataFrame:
+    """What ``half_totals`` says of ``assign_halves`` by random order, both halves in one row: (season, athlete_id, draw, a, b), a and b with the totals of half 0 and 1.
+
+    A person's rows of a season are read once for all draws, so rows are not repeated by draws: a task takes a person's season, some
+    hundred rows, and its totals are one product of the draws' halves and the counts.
+    """
+    have = [c for c in COUNTS if c in rows.columns]
+    tail = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("athlete_id", *row_key)])
+    used = rows.select("season", "athlete_id", F.dense_rank().over(Window.partitionBy("season", "athlete_id").orderBy("game_id")).alias("game"), tail.alias("tail"), *[F.col(c).cast("double").alias(c) for c in have])
+    side = "struct<" + ", ".join(f"{c}: double" for c in have) + ", games: bigint>"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("game", kind="stable")
+        n, tails = len(pdf), pdf["tail"].tolist()
+        digests = b"".join(hashlib.md5(f"{seed}|{d}|{t}".encode()).digest() for d in range(1, draws + 1) for t in tails)
+        high, low = np.frombuffer(digests, ">u8").reshape(draws, n, 2).transpose(2, 0, 1)
+        place = np.empty((draws, n), np.int64)
+        np.put_along_axis(place, np.lexsort((low, high), axis=1), np.arange(1, n + 1)[None, :].repeat(draws, axis=0), axis=1)
+        second = (place % 2).astype(float)  # half 1: the odd places
+        counts = pdf[have].to_numpy(dtype=float)
+        seen, known = ~np.isnan(counts), np.nan_to_num(counts)
+        first_of_game = np.flatnonzero(np.append(True, np.diff(pdf["game"].to_numpy()) != 0))
+        out = {"season": pdf["season"].iloc[0], "athlete_id": pdf["athlete_id"].iloc[0], "draw": np.arange(1, draws + 1)}
+        for name, half in (("a", 1 - second), ("b", second)):
+            total = np.where(half @ seen > 0, half @ known, np.nan)
+            games = np.maximum.reduceat(half, first_of_game, axis=1).sum(axis=1).astype(int)
+            out[name] = [dict(zip([*have, "games"], [*[None if np.isnan(v) else v for v in t], int(g)], strict=True)) if h.any() else None for t, g, h in zip(total, games, half, strict=True)]
+        return pd.DataFrame(out)
+
+    return used.groupBy("season", "athlete_id").applyInPandas(run, f"season long, athlete_id long, draw int, a {side}, b {side}")
+
+
 def half_pairs(halved: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(season, draw, metric, athlete_id, first, second, games): both halves of each person's metrics."""
-    values = long_metrics(with_metrics(half_totals(halved), only=names), ("season", "draw", "athlete_id", "half", "games"), names)
-    of = lambda h, c: F.max(F.when(F.col("half") == h, F.col(c)))
-    return (
-        values.groupBy("season", "draw", "metric", "athlete_id")
-        .agg(of(0, "value").alias("first"), of(1, "value").alias("second"), F.avg("games").alias("games"))
-        .where("first is not null and second is not null")
-    )
+    totals = half_totals(halved)
+    inner = [c for c in totals.columns if c not in ("season", "draw", "athlete_id", "half")]
+    of = lambda h: F.max(F.when(F.col("half") == h, F.struct(*inner)))
+    return paired_metrics(totals.groupBy("season", "draw", "athlete_id").agg(of(0).alias("a"), of(1).alias("b")), names)
+
+
+def paired_metrics(halves: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``half_pairs`` of rows (season, draw, athlete_id, a, b) with a half's totals in a and b."""
+    keys = ["season", "draw", "athlete_id"]
+    both = halves.where("a is not null and b is not null")
+    valued = with_metrics(both.select(*keys, "b", "a.*"), only=names)
+    first = valued.select(*keys, F.col("games").alias("ga"), F.array(*names).alias("first"), "b")
+    valued = with_metrics(first.select(*keys, "ga", "first", "b.*"), only=names)
+    pairs = F.arrays_zip(F.array(*map(F.lit, names)).alias("metric"), F.col("first"), F.array(*names).alias("second"))
+    each = valued.select(*keys, ((F.col("ga") + F.col("games")) / 2).alias("games"), F.explode(pairs).alias("p"))
+    return each.select("season", "draw", F.col("p.metric").alias("metric"), "athlete_id", F.col("p.first").alias("first"), F.col("p.second").alias("second"), "games").where("first is not null and second is not null")
+
+
+def pairs_of(rows: DataFrame, rule: str, draws: int, names: tuple[str, ...], seed: int = SEED) -> DataFrame:
+    """``half_pairs`` of rows by a rule: random halves of all draws at once, or by date."""
+    return paired_metrics(drawn_totals(rows, draws, seed), names) if rule == "random" else half_pairs(assign_halves(rows, rule, draws, seed), names)
 
 
 def draw_correlations(pairs: DataFrame, least: int = 3) -> DataFrame:
@@ -77,7 +127,7 @@ def measure(rows: DataFrame, rule: str = "random", draws: int = 20, floor: float
     """The season table: every metric's repeatability; all metrics share the draws."""
     names = names or tuple(m.name for m in metrics())
     used = measured(rows, floor)
-    out = summarise_draws(draw_correlations(half_pairs(assign_halves(used, rule, draws, seed), names)))
+    out = summarise_draws(draw_correlations(pairs_of(used, rule, draws, names, seed)))
     return out.join(traded_share(used), "season").withColumn("rule", F.lit(rule))
 
 
@@ -98,7 +148,7 @@ def curve(rows: DataFrame, metric: str, floors: tuple[float, ...] = (200.0, 500.
     """
     minutes = rows.groupBy("season", "athlete_id").agg(F.sum("minutes").alias("_m"))
     used = measured(rows, min(floors))
-    pairs = half_pairs(assign_halves(used, "random", draws, seed), (metric,)).join(minutes, ["season", "athlete_id"])
+    pairs = pairs_of(used, "random", draws, (metric,), seed).join(minutes, ["season", "athlete_id"])
     each = pairs.withColumn("floor", F.explode(F.array(*[F.lit(float(f)) for f in floors]))).where("_m >= floor")
     by = ("season", "draw", "floor")
     drawn = each.groupBy(*by).agg(F.corr("first", "second").alias("rho"), F.avg("games").alias("games_per_half"), F.count("*").alias("players")).where("players >= 3")

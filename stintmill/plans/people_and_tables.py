@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import box, drift, events, identity, reliability, tables
+from ..operators import box, drift, events, identity, reliability, ridge, tables
 from ..sources.views import ctes, table, view
-from .boxes_and_checks import ELIGIBLE, metric_sql
+from .boxes_and_checks import ELIGIBLE, NAMES, metric_sql
 from .events_and_stints import TOLD
 
-DRAWS, FLOOR = 4, 300.0
-PROFILED = ("points_per_36", "assists_per_36", "true_shooting", "free_throw_pct")
+DRAWS, FLOOR = 100, 500.0
+PROFILED = NAMES
 
 
 def _eligible(s, d):
@@ -22,7 +22,7 @@ def _halves(s, d, rule="random"):
 
 
 def _pairs(s, d, rule="random"):
-    return reliability.half_pairs(_halves(s, d, rule), PROFILED)
+    return reliability.pairs_of(reliability.measured(_eligible(s, d), FLOOR), rule, DRAWS, PROFILED)
 
 
 def _season_table(s, d, rule="random"):
@@ -51,6 +51,15 @@ def _profile(s, d):
     return tables.rounded(reliability.validity_profile(wide, "rating", PROFILED, rel), 5, "validity", "reliability", "profile")
 
 
+def _rated_profile(s, d):
+    """The same against each season's ridge rating."""
+    wide = box.with_metrics(box.totals(_eligible(s, d), ("season", "athlete_id")), only=PROFILED)
+    rated = ridge.solve_groups(ridge.gram(ridge.design(view(s, d, "stints"), 1.0, "season"), "season"), 3000.0, "season")
+    both = wide.join(rated.select("season", F.col("player_id").alias("athlete_id"), F.col("total").alias("rating")), ["season", "athlete_id"])
+    rel = reliability.measure(_eligible(s, d), "random", DRAWS, FLOOR, PROFILED).groupBy("metric").agg(F.avg("reliability_at_82_games").alias("reliability"))
+    return reliability.validity_profile(both, "rating", PROFILED, rel)
+
+
 def _psi(s, d):
     return tables.rounded(drift.drift_report(view(s, d, "ratings")), 7, "psi", "ks")
 
@@ -66,7 +75,8 @@ def _payloads(s, d):
 
 
 def _with_coefficient(s, d):
-    measured = events.coefficients(events.classify_free_throws(view(s, d, "pbp"))).where("season % 2 = 0").withColumn("season", F.col("season") - 5)
+    # the logs' seasons 2000 to 2004 stand for 1995 to 1999: those before and after have no measured coefficient
+    measured = events.coefficients(events.classify_free_throws(view(s, d, "pbp"))).withColumn("season", F.col("season") - 5)
     rows = tables.with_coefficient(view(s, d, "box").select("season").distinct(), measured)
     return tables.rounded(rows, 9, "coefficient")
 
@@ -80,10 +90,7 @@ QUERIES = {
     ),
     "crosswalk": _crosswalk,
     "crosswalk_rates": lambda s, d: tables.rounded(identity.match_rates(_crosswalk(s, d)), 9, "match_rate"),
-    "window_crosswalk": lambda s, d: identity.window_crosswalk(
-        identity.crosswalk(view(s, d, "people_a").withColumn("athlete_id", F.col("athlete_id") % 200).dropDuplicates(["athlete_id", "season", "athlete_display_name"]), view(s, d, "people_b"), ("season",))
-        .groupBy("season", "athlete_id").agg(F.min("nba_id").alias("nba_id"), F.min(F.when(F.col("nba_id").isNotNull(), "matched")).alias("status"))
-    ),
+    "window_crosswalk": lambda s, d: identity.window_crosswalk(identity.crosswalk(view(s, d, "people_seasons"), view(s, d, "people_b"), ("season",))),
     "team_crosswalk": _teams,
     "season_labels": lambda s, d: view(s, d, "box").select("season").distinct().select("season", identity.season_label(F.col("season") - 1).alias("label")),
     "assign_halves": lambda s, d: _halves(s, d).groupBy("season", "draw", "athlete_id").agg(F.count(F.when(F.col("half") == 0, 1)).alias("h0"), F.count(F.when(F.col("half") == 1, 1)).alias("h1"), F.sum(F.when(F.col("half") == 0, F.col("minutes"))).alias("m0")),
@@ -94,6 +101,7 @@ QUERIES = {
     "reliability_pooled": lambda s, d: tables.rounded(reliability.pooled_reliability(_both_rules(s, d)), 6, "reliability"),
     "rule_differences": lambda s, d: tables.rounded(reliability.rule_differences(_both_rules(s, d)), 6, "mean_difference", "greatest_difference"),
     "validity_profile": _profile,
+    "validity_profile_rated": _rated_profile,
     "drift_report": _psi,
     "top_rated": lambda s, d: tables.top_rated(view(s, d, "ratings"), 25),
     "rating_query": lambda s, d: tables.rating_query(view(s, d, "ratings"), 1998, 100.0),
@@ -104,7 +112,7 @@ QUERIES = {
     "signed_split": lambda s, d: tables.signed_split(view(s, d, "ratings"), "total").select("player_id", "window_end", "total", "total_up", "total_down"),
     "latest_rows": lambda s, d: tables.latest_rows(view(s, d, "ratings")),
     "partial_windows": lambda s, d: tables.partial_windows(view(s, d, "ratings")),
-    "season_ranges": lambda s, d: tables.season_ranges(view(s, d, "ratings").where("(player_id + window_end) % 3 > 0"), ("player_id",), "window_end"),
+    "season_ranges": lambda s, d: tables.season_ranges(view(s, d, "stints"), ("game_id",)),
     "precision_view": lambda s, d: tables.precision_view(view(s, d, "ratings")),
     "schedule_games": lambda s, d: tables.schedule_games(_schedule_payloads(s, d)),
     "payload_validity": lambda s, d: tables.payload_validity(_payloads(s, d)),
@@ -189,6 +197,7 @@ SQL = {
     "crosswalk_rates": f"""WITH {ctes('people_a', 'people_b')}, {_cross('people_a')} SELECT count(*) AS people, count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (pass = 'exact') AS exact,
         count(*) FILTER (pass = 'suffix') AS suffix, count(*) FILTER (pass = 'initial') AS initial, count(*) FILTER (status = 'ambiguous') AS ambiguous,
         count(*) FILTER (status = 'unmatched') AS unmatched, round(count(*) FILTER (status = 'matched') / count(*), 9) AS match_rate FROM cw""",
+    "window_crosswalk": f"WITH {ctes('people_seasons', 'people_b')}, {_cross('people_seasons', 'season')} SELECT athlete_id, arg_max(nba_id, season) AS nba_id FROM cw WHERE status = 'matched' GROUP BY athlete_id",
     "season_labels": f"WITH {ctes('box')} SELECT DISTINCT season, CAST(season - 1 AS VARCHAR) || '-' || lpad(CAST(season % 100 AS VARCHAR), 2, '0') AS label FROM box",
     "team_crosswalk": """WITH a AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'GS' WHEN n_nationkey % 7 = 1 THEN 'UTAH' ELSE n_name END AS code FROM nation),
         b AS (SELECT min(s_suppkey) AS other_id, CASE WHEN s_nationkey = 5 THEN 'GS' WHEN s_nationkey = 8 THEN 'UTAH' ELSE 'NATION_' || s_nationkey END AS code FROM supplier GROUP BY s_nationkey)
@@ -220,12 +229,12 @@ SQL = {
     "signed_split": f"{_R} SELECT player_id, window_end, total, greatest(total, 0) AS total_up, least(total, 0) AS total_down FROM ratings",
     "latest_rows": f"{_R} SELECT player_id, window_end, total, seasons_played FROM ratings QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY window_end DESC, player DESC, total DESC, seasons_played DESC) = 1",
     "partial_windows": f"{_R} SELECT count(*) FILTER (seasons_played < 3) AS partial, count(*) AS rows FROM ratings",
-    "season_ranges": f"""{_R}, d AS (SELECT DISTINCT player_id, window_end AS s FROM ratings WHERE (player_id + window_end) % 3 > 0), g AS (SELECT *, s - row_number() OVER (PARTITION BY player_id ORDER BY s) AS k FROM d)
-        SELECT player_id, min(s) AS first, max(s) AS last, CASE WHEN min(s) = max(s) THEN CAST(min(s) AS VARCHAR) ELSE min(s) || '-' || max(s) END AS label FROM g GROUP BY player_id, k""",
+    "season_ranges": f"""WITH {ctes('stints')}, d AS (SELECT DISTINCT game_id, season AS s FROM stints), g AS (SELECT *, s - row_number() OVER (PARTITION BY game_id ORDER BY s) AS k FROM d)
+        SELECT game_id, min(s) AS first, max(s) AS last, CASE WHEN min(s) = max(s) THEN CAST(min(s) AS VARCHAR) ELSE min(s) || '-' || max(s) END AS label FROM g GROUP BY game_id, k""",
     "precision_view": f"{_R} SELECT player, window_end, possessions, total FROM ratings WHERE player IS NOT NULL",
     "schedule_games": "SELECT DISTINCT '002' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS game_id FROM orders WHERE o_orderkey % 10 <> 0",
     "payload_validity": "SELECT event_id AS name, event_id % 4 = 1 AS valid_game, event_id % 4 = 3 AS valid_schedule FROM events",
     "long_to_wide": f"{_R} SELECT player_id, window_end, avg(offensive) AS offensive, avg(defensive) AS defensive FROM ratings GROUP BY ALL",
     "coefficient_lookup": f"""WITH {ctes('pbp', 'box')}, {TOLD}, s AS (SELECT DISTINCT season FROM box)
-        SELECT s.season, round(coalesce(cf.coefficient, 0.4178::DOUBLE), 9) AS coefficient FROM s LEFT JOIN (SELECT season - 5 AS season, coefficient FROM cf WHERE season % 2 = 0) cf USING (season)""",
+        SELECT s.season, round(coalesce(cf.coefficient, 0.4178::DOUBLE), 9) AS coefficient FROM s LEFT JOIN (SELECT season - 5 AS season, coefficient FROM cf) cf USING (season)""",
 }

@@ -98,6 +98,12 @@ SQL = {
                CASE c_custkey % 5 WHEN 0 THEN 'Núñez' WHEN 1 THEN 'Jokić' WHEN 2 THEN 'Smith-Jones' WHEN 3 THEN 'Huertas' ELSE 'Payton' END || CAST(c_custkey % 40 AS STRING) ||
                CASE c_custkey % 4 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' II' ELSE '' END AS athlete_display_name
         FROM {customer}""",
+    "people_seasons": """
+        SELECT c_custkey AS athlete_id, CAST(2000 + k AS BIGINT) AS season,
+               CASE c_custkey % 6 WHEN 0 THEN 'José' WHEN 1 THEN 'Nikola' WHEN 2 THEN 'D.J.' WHEN 3 THEN 'Marcelinho' WHEN 4 THEN 'De''Aaron' ELSE 'Luka' END || ' ' ||
+               CASE c_custkey % 5 WHEN 0 THEN 'Núñez' WHEN 1 THEN 'Jokić' WHEN 2 THEN 'Smith-Jones' WHEN 3 THEN 'Huertas' ELSE 'Payton' END || CAST((c_custkey + 6 * (k % 2)) % 40 AS STRING) ||
+               CASE (c_custkey + k) % 4 WHEN 0 THEN ' Jr.' WHEN 1 THEN ' II' ELSE '' END AS athlete_display_name
+        FROM {customer} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks""",
     "people_b": """
         SELECT s_suppkey AS nba_id, s_suppkey % 3 <> 0 AS played,
                CASE s_suppkey % 6 WHEN 0 THEN 'Jose' WHEN 1 THEN 'Nikola' WHEN 2 THEN 'DJ' WHEN 3 THEN 'Marcelo' WHEN 4 THEN 'DeAaron' ELSE 'Luka' END || ' ' ||

@@ -170,3 +170,14 @@ def test_positive_anchor_and_loading_deviations(spark):
 def test_split_half_of_one_metric(spark):
     with pytest.raises(ValueError):
         reliability.split_half(spark.createDataFrame([], "season long, athlete_id long, minutes double"), "no such metric")
+
+
+def test_draws_at_once_equal_rows_by_draw(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1 + i % 2, int(rng.integers(0, 5)), int(rng.integers(0, 40)), i, 1, float(rng.integers(1, 40)), None if i % 9 == 0 else float(rng.integers(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "season long, athlete_id long, game_id long, line long, part long, minutes double, points double")
+    plain = {(r.season, r.athlete_id, r.draw, r.half): (r.minutes, r.points, r.games) for r in reliability.half_totals(reliability.assign_halves(df, draws=6)).collect()}
+    got = {}
+    for r in reliability.drawn_totals(df, 6).collect():
+        got |= {(r.season, r.athlete_id, r.draw, h): (x.minutes, x.points, x.games) for h, x in ((0, r.a), (1, r.b)) if x is not None}
+    assert got == plain
