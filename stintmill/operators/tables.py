@@ -21,7 +21,7 @@ def season_scan(spark: SparkSession, root: str, dataset: str, seasons: list[int]
     Files lie at root/dataset/season=YYYY, so a season is a partition and pruned at planning.
     """
     found = spark.read.parquet(f"{root}/{dataset}")
-    have = {r.season for r in found.select("season").distinct().collect()}  # from partition names
+    have = {r.season for r in found.where(F.col("season").isin(seasons)).select("season").distinct().collect()}  # of the asked partitions alone
     asked = [s for s in seasons if s in have]
     rows = found.where(F.col("season").isin(asked)) if asked else None
     return (rows.select(*columns) if rows is not None and columns else rows), [s for s in seasons if s not in have]
@@ -61,7 +61,8 @@ def payload_validity(payloads: DataFrame) -> DataFrame:
 def landed_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(file, rows, usable) of the Parquet files under a pattern; unreadable ones have no rows."""
     listed = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("file"))
-    rows = spark.read.option("ignoreCorruptFiles", True).parquet(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    # rows are counted without any column, so no file's schema is asked for
+    rows = spark.read.schema("_none string").option("ignoreCorruptFiles", True).parquet(pattern).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
     bare = lambda df: df.withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
     return bare(listed).join(bare(rows), "file", "left").select("file", F.coalesce("rows", F.lit(0)).alias("rows"), (F.coalesce("rows", F.lit(0)) > 0).alias("usable"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import events, stints
+from ..operators import events, shots, stints, tables
 from ..sources.views import ctes, view
 
 
@@ -60,6 +60,9 @@ def _payloads(spark, sf):
 
 
 QUERIES = {
+    "location_values": lambda s, d: tables.rounded(shots.location_values(view(s, d, "shots")), 9, "plain", "value"),
+    "shot_values": lambda s, d: tables.rounded(shots.shot_values(view(s, d, "shots")), 9, "expected", "above"),
+    "shot_values_plain": lambda s, d: tables.rounded(shots.shot_values(view(s, d, "shots"), prior=0.0), 9, "expected", "above"),
     "season_stints": lambda s, d: stints.season_stints(_payloads(s, d))[0],
     "season_failures": lambda s, d: stints.season_stints(_payloads(s, d))[1].select("game_id", "reason"),
     "season_summary": lambda s, d: stints.season_summary(*stints.season_stints(_payloads(s, d))),
@@ -132,7 +135,17 @@ _READ = f"""{_POSS}, wy AS (SELECT game_id, {_WHY} AS reason FROM possession_sta
 ss AS (SELECT game_id, offense_team_id, defense_team_id, offense_lineup, defense_lineup, CAST(count(*) AS DOUBLE) AS possessions, CAST(sum(points) AS DOUBLE) AS points,
   CAST(sum(opponent_points) AS DOUBLE) AS opponent_points FROM po SEMI JOIN (SELECT game_id FROM wy WHERE reason IS NULL) USING (game_id) GROUP BY ALL)"""
 
+_BINS = """sb AS (SELECT player_id, CAST(floor(x / 2) AS BIGINT) AS bin_x, CAST(floor(y / 2) AS BIGINT) AS bin_y, count(*) AS n, CAST(sum(points) AS DOUBLE) AS s FROM shots WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+bn AS (SELECT bin_x, bin_y, CAST(sum(n) AS BIGINT) AS n, sum(s) AS s FROM sb GROUP BY ALL),
+ar AS (SELECT a.bin_x, a.bin_y, sum(b.s) / sum(b.n) AS mean FROM bn a JOIN bn b ON abs(a.bin_x - b.bin_x) <= 1 AND abs(a.bin_y - b.bin_y) <= 1 AND (a.bin_x, a.bin_y) <> (b.bin_x, b.bin_y) GROUP BY ALL),
+lv AS (SELECT bn.bin_x, bn.bin_y, n AS attempts, s / n AS plain, (s + 20 * coalesce(ar.mean, (SELECT sum(s) / sum(n) FROM bn))) / (n + 20) AS value FROM bn LEFT JOIN ar USING (bin_x, bin_y))"""
+_SHOT = lambda value: f"""WITH {ctes('shots')}, {_BINS}, pv AS (SELECT player_id, CAST(sum(n) AS BIGINT) AS attempts, sum(s) AS points, sum(n * {value}) / sum(n) AS expected FROM sb JOIN lv USING (bin_x, bin_y) GROUP BY ALL)
+        SELECT player_id, attempts, points, round(expected, 9) AS expected, round(points / attempts - expected, 9) AS above FROM pv"""
+
 SQL = {
+    "location_values": f"WITH {ctes('shots')}, {_BINS} SELECT bin_x, bin_y, attempts, round(plain, 9) AS plain, round(value, 9) AS value FROM lv",
+    "shot_values": _SHOT("value"),
+    "shot_values_plain": _SHOT("plain"),
     "season_stints": f"WITH {ctes('possession_stats')}, {_READ} SELECT * FROM ss",
     "season_failures": f"WITH {ctes('possession_stats')}, {_READ} SELECT * FROM wy WHERE reason IS NOT NULL",
     "season_summary": f"WITH {ctes('possession_stats')}, {_READ} SELECT count(DISTINCT game_id) AS games, count(*) AS stints, sum(possessions) AS possessions, (SELECT count(*) FROM wy WHERE reason IS NOT NULL) AS failed FROM ss",

@@ -64,6 +64,10 @@ SQL = {
                CASE WHEN event_id % 47 = 0 THEN NULL ELSE CAST((user_id + 1) % 25 AS BIGINT) END AS away_team_id, CASE WHEN event_id % 43 = 0 THEN NULL ELSE 'A' END AS away_team_name,
                CAST(NULL AS STRING) AS away_team_mascot, 'A' AS away_team_abbrev, CAST(NULL AS STRING) AS away_team_name_alt, CAST(event_id % 9 AS DOUBLE) AS home_team_spread
         FROM {events}""",
+    "shots": """
+        SELECT user_id AS player_id, CASE WHEN event_id % 37 = 0 THEN NULL ELSE CAST(user_id % 20 + event_id % 30 AS DOUBLE) END AS x, CAST(event_id % 47 AS DOUBLE) * 2 AS y,
+               CASE WHEN value > 20 THEN CAST(2 + event_id % 2 AS BIGINT) ELSE 0 END AS points
+        FROM {events} WHERE event_type IN ('click', 'error')""",
     "sched": """
         SELECT o_orderkey AS game_id, CAST(year(o_orderdate) AS BIGINT) AS season,
                CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' WHEN o_orderkey % 89 = 0 THEN '1900-01-01'

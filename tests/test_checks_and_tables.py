@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stintmill.operators import box, checks, drift, stints, tables
+from stintmill.operators import box, checks, drift, shots, stints, tables
 
 
 def test_every_violation_is_found_and_extras_pass(spark):
@@ -148,3 +148,27 @@ def test_a_mismatch_leaves_the_published_table(spark, tmp_path):
     assert tables.published(spark, path).collect() == old.collect()
     tables.publish(new, path, stints.tenure_mismatches(new, new), by="window_end")
     assert tables.published(spark, path).select(*new.columns).collect() == new.collect()
+
+
+def test_location_values_lean_on_their_neighbours(spark):
+    rows = [(1, 0.5, 0.5, 3), (1, 0.5, 0.7, 0), (2, 3.0, 0.5, 2), (2, 40.0, 40.0, 2), (3, None, 1.0, 3)]
+    df = spark.createDataFrame(rows, "player_id long, x double, y double, points long")
+    got = {(r.bin_x, r.bin_y): (r.attempts, r.plain, r.value) for r in shots.location_values(df, prior=2.0).collect()}
+    assert got[0, 0] == (2, 1.5, (3 + 2 * 2) / 4) and got[1, 0] == (1, 2.0, (2 + 2 * 1.5) / 3)
+    assert got[20, 20] == (1, 2.0, (2 + 2 * 7 / 4) / 3)  # no neighbours: the mean of all
+    by = {r.player_id: r for r in shots.shot_values(df, prior=0.0).collect()}
+    assert set(by) == {1, 2} and by[1].above == by[2].above == 0 and by[2].expected == 2
+    assert shots.shot_values(df.limit(0)).count() == 0
+
+
+def test_master_scan_landed_files_and_reliability_query(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2001, "random"), (2, 2002, "odd_even")], "game_id long, season long, rule string")
+    df.write.parquet(f"{tmp_path}/master")
+    assert [r.game_id for r in tables.master_scan(spark, f"{tmp_path}/master", 2001).collect()] == [1]
+    assert tables.master_scan(spark, f"{tmp_path}/master", 1900) is None
+    assert [r.season for r in tables.reliability_query(df, 2002, "odd_even").collect()] == [2002]
+    with pytest.raises(ValueError):
+        tables.reliability_query(df, 1990)
+    (tmp_path / "master" / "bad.parquet").write_bytes(b"not a table")
+    told = {r.file.rsplit("/", 1)[-1]: r.usable for r in tables.landed_files(spark, f"{tmp_path}/master/*.parquet").collect()}
+    assert told.pop("bad.parquet") is False and sum(told.values()) == 2  # an empty file is not usable either
