@@ -21,12 +21,9 @@ def _possessions(spark, sf):
 
 
 def _reconcile(spark, sf):
-    """Derived points beside a reference that is off by one in every seventh game."""
-    rows = view(spark, sf, "stints")
-    derived = stints.points_by_team(rows)
-    off = F.when(F.expr("cast(game_id as bigint) % 7 = 0"), 1.0).otherwise(0.0)
-    reference = derived.where("team_id <> 24").withColumn("points", F.col("points") + off)
-    return stints.reconcile_points(derived, reference)
+    """Points by team of the stints against those of the possessions: each side lacks teams of the other."""
+    derived = stints.points_by_team(view(spark, sf, "stints"))
+    return stints.reconcile_points(derived, stints.points_by_team(stints.stints(_possessions(spark, sf))))
 
 
 def _tenure_mismatch(spark, sf):
@@ -160,7 +157,8 @@ SQL = {
         CAST(count(*) AS DOUBLE) AS possessions, CAST(sum(points) AS DOUBLE) AS points, CAST(sum(opponent_points) AS DOUBLE) AS opponent_points FROM po GROUP BY ALL""",
     "failed_games": f"""WITH {ctes('possession_stats')} SELECT game_id, count(*) AS rows FROM possession_stats GROUP BY game_id HAVING count(*) FILTER (stat_key = 'OffPoss') = 0""",
     "points_by_team": f"WITH {ctes('stints')}, {_POINTS} SELECT * FROM pt",
-    "reconcile_points": f"""WITH {ctes('stints')}, {_POINTS}, rf AS (SELECT game_id, team_id, points + CASE WHEN CAST(game_id AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS reference FROM pt WHERE team_id <> 24)
+    "reconcile_points": f"""WITH {ctes('stints', 'possession_stats')}, {_POINTS}, {_POSS}, rf AS (SELECT game_id, team_id, CAST(sum(points) AS DOUBLE) AS reference FROM (SELECT game_id, offense_team_id AS team_id, points FROM po
+        UNION ALL SELECT game_id, defense_team_id, opponent_points FROM po) GROUP BY ALL)
         SELECT game_id, team_id, pt.points AS derived, reference, pt.points IS NOT DISTINCT FROM reference AS agrees FROM pt FULL JOIN rf USING (game_id, team_id)""",
     "possessions_by_player": f"WITH {ctes('stints')}, {_PLAYERS} SELECT player_id, sum(possessions) AS possessions FROM pl GROUP BY ALL",
     "dropped_stints": f"""WITH {ctes('stints')}, g AS (SELECT possessions >= 1 AS kept, len(string_split(offense_lineup, '-')) = 5 AND len(string_split(defense_lineup, '-')) = 5 AS ok FROM stints)

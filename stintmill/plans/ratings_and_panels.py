@@ -19,12 +19,17 @@ def _design(s, d, *carry):
     return ridge.design(view(s, d, "stints"), 1.0, *carry)
 
 
+def _people(s, d):
+    """(athlete_id, metrics) of everyone with enough minutes over all seasons."""
+    wide = box.with_metrics(box.totals(box.eligible_rows(view(s, d, "box")), ("athlete_id",)), only=FUSED[:-1])
+    return wide.where("minutes >= 1000").select("athlete_id", *FUSED[:-1])
+
+
 def _matrix(s, d):
     """One row a person over all seasons: metrics and the ridge rating of who has one, standardised; staged in memory for the EM steps."""
-    wide = box.with_metrics(box.totals(box.eligible_rows(view(s, d, "box")), ("athlete_id",)), only=FUSED[:-1])
     enough = stints.possessions_by_player(view(s, d, "stints")).where("possessions >= 100").select("player_id")
     rated = ridge.fit(_design(s, d), ALPHA)[1].join(enough, "player_id", "left_semi").select(F.col("player_id").alias("athlete_id"), F.col("total").alias("rating"))
-    return fusion.standardise(wide.where("minutes >= 1000").join(rated, "athlete_id", "left").select("athlete_id", *FUSED), FUSED)
+    return fusion.standardise(_people(s, d).join(rated, "athlete_id", "left").select("athlete_id", *FUSED), FUSED)
 
 
 def _fitted(s, d):
@@ -42,16 +47,15 @@ def _panel(s, d):
 
 
 def _builds(s, d):
-    """The stints as they are beside a second build that lacks the shortest ones."""
-    rows = view(s, d, "stints")
-    return ridge.compare_builds(rows, rows.where("possessions >= 3"), ALPHA, 200.0)
+    """The stints beside a second build, from the stints of another source."""
+    return ridge.compare_builds(view(s, d, "stints"), stints.external_stints(view(s, d, "external_stints")), ALPHA, 200.0)
 
 
 QUERIES = {
     "design_triples": lambda s, d: ridge.design_triples(_design(s, d)),
     "design_summary": lambda s, d: rounded(ridge.describe(_design(s, d)), 9, "density"),
-    "gram_sums": lambda s, d: rounded(ridge.gram(_design(s, d)).where("not (i = -1 and j = -3)"), 3, "s"),
-    "fold_sums": lambda s, d: rounded(ridge.gram(_design(s, d).join(ridge.game_folds(_design(s, d)), "game_id"), "fold").where("i = -1"), 3, "s"),
+    "gram_sums": lambda s, d: rounded(ridge.gram(_design(s, d)), 2, "s"),
+    "fold_sums": lambda s, d: rounded(ridge.gram(_design(s, d).join(ridge.game_folds(_design(s, d)), "game_id"), "fold"), 2, "s"),
     "game_folds": lambda s, d: ridge.game_folds(_design(s, d)),
     "ridge_ratings": lambda s, d: ridge.fit(_design(s, d), ALPHA)[1],
     "ridge_penalties": lambda s, d: ridge.select_alpha(_design(s, d))[1],
@@ -59,15 +63,15 @@ QUERIES = {
     "ridge_stability": lambda s, d: ridge.stability(view(s, d, "stints"), ALPHA, possession_floor=100.0),
     "ridge_builds": _builds,
     "ridge_error_profile": lambda s, d: ridge.error_profile(ridge.bootstrap_se(_design(s, d), ALPHA), stints.possessions_by_player(view(s, d, "stints"))),
-    "fusion_matrix": lambda s, d: rounded(_matrix(s, d).drop("rating"), 5, *FUSED[:-1]),
-    "fusion_completeness": lambda s, d: rounded(fusion.completeness(_matrix(s, d), FUSED[:-1]), 9, "observed"),
+    "fusion_matrix": lambda s, d: rounded(fusion.standardise(_people(s, d), FUSED[:-1]), 5, *FUSED[:-1]),
+    "fusion_completeness": lambda s, d: rounded(fusion.completeness(_people(s, d), FUSED[:-1]), 9, "observed"),
     "fusion_loadings": lambda s, d: fusion.loading_table(s, FUSED, _fitted(s, d)[1]),
     "fusion_convergence": lambda s, d: fusion.convergence(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
     "fused_ratings": lambda s, d: (lambda w: fusion.scores(w, "athlete_id", FUSED, fusion.fit(w, FUSED, RELIABILITY, "rating")))(_matrix(s, d).cache()),
     "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
     "team_panel": lambda s, d: rounded(_panel(s, d), 6, *CANDIDATES, "target"),
     "panel_folds": lambda s, d: panel.folds(_panel(s, d)),
-    "compare_candidates": lambda s, d: rounded(panel.compare_candidates(panel.long_panel(_panel(s, d), CANDIDATES)), 5, "rmse").drop("vs_best"),
+    "compare_candidates": lambda s, d: rounded(panel.compare_candidates(panel.long_panel(_panel(s, d), CANDIDATES)), 5, "rmse"),
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
     "paired_p_value": lambda s, d: panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36", with_p=True),
     "ridge_baseline": lambda s, d: panel.baseline_table(ridge=panel.ridge_baseline(_panel(s, d), CANDIDATES)),
@@ -104,17 +108,19 @@ SQL = {
         round(count(DISTINCT (rn, c)) / (count(DISTINCT rn) * 2 * count(DISTINCT c // 2)), 9) AS density FROM xv""",
     "gram_sums": f"""WITH {ctes('stints')}, {_X}, g AS (SELECT a.c AS i, b.c AS j, sum(a.w * a.v * b.v) AS s FROM xv a JOIN xv b ON a.rn = b.rn AND b.c >= a.c GROUP BY ALL
         UNION ALL SELECT c, -1, sum(v * 100 * points) FROM xv GROUP BY ALL UNION ALL SELECT c, -2, sum(v * w) FROM xv GROUP BY ALL
-        UNION ALL SELECT -1, -1, sum(100 * points) FROM us UNION ALL SELECT -1, -2, sum(possessions) FROM us) SELECT i, j, round(s, 3) AS s FROM g""",
-    "fold_sums": f"""WITH {ctes('stints')}, {_X}, {_FOLD}, f AS (SELECT fold, possessions, points FROM us JOIN gf USING (game_id))
-        SELECT fold, CAST(-1 AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(sum(s), 3) AS s FROM (SELECT fold, -1 AS j, 100 * points AS s FROM f UNION ALL SELECT fold, -2, possessions FROM f
-        UNION ALL SELECT fold, -3, possessions * (100 * points / possessions) * (100 * points / possessions) FROM f) GROUP BY ALL""",
+        UNION ALL SELECT -1, -1, sum(100 * points) FROM us UNION ALL SELECT -1, -2, sum(possessions) FROM us UNION ALL SELECT -1, -3, sum(10000 * points * points / possessions) FROM us) SELECT i, j, round(s, 2) AS s FROM g""",
+    "fold_sums": f"""WITH {ctes('stints')}, {_X}, {_FOLD}, f AS (SELECT fold, possessions, points FROM us JOIN gf USING (game_id)), xf AS (SELECT xv.*, fold FROM xv JOIN gf USING (game_id)),
+        g AS (SELECT a.fold, a.c AS i, b.c AS j, sum(a.w * a.v * b.v) AS s FROM xf a JOIN xf b ON a.rn = b.rn AND b.c >= a.c GROUP BY ALL
+        UNION ALL SELECT fold, c, -1, sum(v * 100 * points) FROM xf GROUP BY ALL UNION ALL SELECT fold, c, -2, sum(v * w) FROM xf GROUP BY ALL
+        UNION ALL SELECT fold, -1, -1, sum(100 * points) FROM f GROUP BY fold UNION ALL SELECT fold, -1, -2, sum(possessions) FROM f GROUP BY fold
+        UNION ALL SELECT fold, -1, -3, sum(10000 * points * points / possessions) FROM f GROUP BY fold) SELECT fold, i, j, round(s, 2) AS s FROM g""",
     "game_folds": f"WITH {ctes('stints')}, {_X}, {_FOLD} SELECT * FROM gf",
     "fusion_matrix": f"WITH {ctes('box')}, {_MX} SELECT athlete_id, {', '.join(f'round({n}, 5) AS {n}' for n in FUSED[:-1])} FROM sx",
     "fusion_completeness": f"WITH {ctes('box')}, {_MX} SELECT count(*) AS people, round(({' + '.join(f'count({n})' for n in FUSED[:-1])}) / (count(*) * {len(FUSED) - 1}), 9) AS observed FROM sx",
     "team_panel": f"WITH {ctes('box')}, {_PN} SELECT season, team_id, {', '.join(f'round({c}, 6) AS {c}' for c in (*CANDIDATES, 'target'))} FROM pn",
     "panel_folds": f"""WITH {ctes('box')}, {_PN}, n AS (SELECT season AS held_out, count(*) AS test FROM pn GROUP BY ALL)
         SELECT held_out, (SELECT count(*) FROM pn) - test AS train, test, (SELECT count(*) FROM pn) - test >= 5 AS usable FROM n""",
-    "compare_candidates": f"WITH {ctes('box')}, {_ER} SELECT candidate, round(sqrt(avg(e)), 5) AS rmse, count(*) AS observations FROM er GROUP BY ALL",
+    "compare_candidates": f"WITH {ctes('box')}, {_ER} SELECT candidate, round(sqrt(avg(e)), 5) AS rmse, count(*) AS observations, round(sqrt(avg(e)) - min(sqrt(avg(e))) OVER (), 4) AS vs_best FROM er GROUP BY candidate",
     "paired_comparison": f"""WITH {ctes('box')}, {_ER}, d AS (SELECT a.e AS a, b.e AS b FROM er a JOIN er b USING (season, team_id) WHERE a.candidate = 'points_per_36' AND b.candidate = 'assists_per_36')
         SELECT count(*) AS n, round(avg(a - b), 5) AS mean_difference, round(stddev_samp(a - b), 5) AS sd, round(sqrt(avg(a)) - sqrt(avg(b)), 5) AS rmse_gap, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 5) AS t FROM d""",
 }
