@@ -96,6 +96,7 @@ QUERIES = {
     "assign_halves": lambda s, d: _halves(s, d).groupBy("season", "draw", "athlete_id").agg(F.count(F.when(F.col("half") == 0, 1)).alias("h0"), F.count(F.when(F.col("half") == 1, 1)).alias("h1"), F.sum(F.when(F.col("half") == 0, F.col("minutes"))).alias("m0")),
     "draw_correlations": lambda s, d: tables.rounded(reliability.draw_correlations(_pairs(s, d)), 6, "rho", "spearman", "games_per_half"),
     "reliability_season": _season_table,
+    "reliability_query": lambda s, d: tables.reliability_query(_season_table(s, d, "odd_even"), 1998, "odd_even"),
     "reliability_odd_even": lambda s, d: _season_table(s, d, "odd_even"),
     "reliability_curve": lambda s, d: tables.rounded(reliability.curve(_eligible(s, d), "points_per_36", (200.0, 800.0, 1100.0), DRAWS), 6, "rho_half", "games_per_half"),
     "reliability_pooled": lambda s, d: tables.rounded(reliability.pooled_reliability(_both_rules(s, d)), 6, "reliability"),
@@ -205,6 +206,7 @@ SQL = {
     "assign_halves": f"WITH {ctes('box')}, {_halved('random')} SELECT season, draw, athlete_id, count(*) FILTER (half = 0) AS h0, count(*) FILTER (half = 1) AS h1, sum(minutes) FILTER (half = 0) AS m0 FROM hv GROUP BY ALL",
     "draw_correlations": f"WITH {ctes('box')}, {_drawn('random')} SELECT season, draw, metric, round(rho, 6) AS rho, round(games_per_half, 6) AS games_per_half, players, round(spearman, 6) AS spearman FROM dc",
     "reliability_season": f"WITH {ctes('box')}, {_drawn('random')} SELECT {_ST} FROM st",
+    "reliability_query": f"WITH {ctes('box')}, {_drawn('odd_even')} SELECT {_ST} FROM st WHERE season = 1998",
     "reliability_odd_even": f"WITH {ctes('box')}, {_drawn('odd_even')} SELECT {_ST} FROM st",
     "reliability_curve": f"""WITH {ctes('box')}, {_pairs_sql('random', ('points_per_36',), floor=200.0)}, fl AS (SELECT *, unnest([200.0::DOUBLE, 800, 1100]) AS floor FROM pa),
         dc AS (SELECT season, draw, floor, corr(a, b) AS rho, avg(games) AS g, count(*) AS n FROM fl WHERE whole >= floor GROUP BY ALL HAVING count(*) >= 3)

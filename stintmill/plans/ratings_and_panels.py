@@ -58,6 +58,7 @@ QUERIES = {
     "fold_sums": lambda s, d: rounded(ridge.gram(_design(s, d).join(ridge.game_folds(_design(s, d)), "game_id"), "fold"), 2, "s"),
     "game_folds": lambda s, d: ridge.game_folds(_design(s, d)),
     "ridge_ratings": lambda s, d: ridge.fit(_design(s, d), ALPHA)[1],
+    "ridge_solve": lambda s, d: ridge.solve(view(s, d, "stints"))[1],
     "ridge_penalties": lambda s, d: ridge.select_alpha(_design(s, d))[1],
     "ridge_bootstrap": lambda s, d: ridge.bootstrap_se(_design(s, d), ALPHA),
     "ridge_stability": lambda s, d: ridge.stability(view(s, d, "stints"), ALPHA, possession_floor=100.0),
@@ -70,6 +71,8 @@ QUERIES = {
     "fused_ratings": lambda s, d: (lambda w: fusion.scores(w, "athlete_id", FUSED, fusion.fit(w, FUSED, RELIABILITY, "rating")))(_matrix(s, d).cache()),
     "fusion_calibration": lambda s, d: fusion.calibration(_matrix(s, d).cache(), "athlete_id", FUSED, RELIABILITY, "rating"),
     "team_panel": lambda s, d: rounded(_panel(s, d), 6, *CANDIDATES, "target"),
+    "box_candidates": lambda s, d: rounded(panel.without(_panel(s, d), "usage_proxy", "absent"), 6, *CANDIDATES[:3], "target"),
+    "one_candidate": lambda s, d: rounded(panel.only(_panel(s, d), "true_shooting", "absent"), 6, "true_shooting", "target"),
     "panel_folds": lambda s, d: panel.folds(_panel(s, d)),
     "compare_candidates": lambda s, d: rounded(panel.compare_candidates(panel.long_panel(_panel(s, d), CANDIDATES)), 5, "rmse"),
     "paired_comparison": lambda s, d: rounded(panel.paired(panel.candidate_errors(panel.long_panel(_panel(s, d), CANDIDATES)), "points_per_36", "assists_per_36"), 5, "mean_difference", "sd", "rmse_gap", "t"),
@@ -118,6 +121,8 @@ SQL = {
     "fusion_matrix": f"WITH {ctes('box')}, {_MX} SELECT athlete_id, {', '.join(f'round({n}, 5) AS {n}' for n in FUSED[:-1])} FROM sx",
     "fusion_completeness": f"WITH {ctes('box')}, {_MX} SELECT count(*) AS people, round(({' + '.join(f'count({n})' for n in FUSED[:-1])}) / (count(*) * {len(FUSED) - 1}), 9) AS observed FROM sx",
     "team_panel": f"WITH {ctes('box')}, {_PN} SELECT season, team_id, {', '.join(f'round({c}, 6) AS {c}' for c in (*CANDIDATES, 'target'))} FROM pn",
+    "box_candidates": f"WITH {ctes('box')}, {_PN} SELECT season, team_id, {', '.join(f'round({c}, 6) AS {c}' for c in (*CANDIDATES[:3], 'target'))} FROM pn",
+    "one_candidate": f"WITH {ctes('box')}, {_PN} SELECT season, team_id, round(true_shooting, 6) AS true_shooting, round(target, 6) AS target FROM pn",
     "panel_folds": f"""WITH {ctes('box')}, {_PN}, n AS (SELECT season AS held_out, count(*) AS test FROM pn GROUP BY ALL)
         SELECT held_out, (SELECT count(*) FROM pn) - test AS train, test, (SELECT count(*) FROM pn) - test >= 5 AS usable FROM n""",
     "compare_candidates": f"WITH {ctes('box')}, {_ER} SELECT candidate, round(sqrt(avg(e)), 5) AS rmse, count(*) AS observations, round(sqrt(avg(e)) - min(sqrt(avg(e))) OVER (), 4) AS vs_best FROM er GROUP BY candidate",

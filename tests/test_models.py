@@ -167,7 +167,21 @@ def test_positive_anchor_and_loading_deviations(spark):
         fusion.fit(wide, ("a", "b", "rating"), {}, "rating", anchor_mode="other")
 
 
+def test_solve_takes_the_best_penalty(spark, season):
+    df = spark.createDataFrame(season, STINTS)
+    alpha, rated = ridge.solve(df, (300.0, 30000.0), folds=4)
+    assert alpha == ridge.select_alpha(ridge.design(df), (300.0, 30000.0), 4)[0]
+    want = closed_form(season, alpha)
+    assert max(abs(r.offensive - want[r.player_id][0]) for r in rated.collect()) < 1e-8
+
+
 def test_split_half_of_one_metric(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, a, g, g, 1, 30.0, float(rng.poisson(5 + a)), 1) for a in range(12) for g in range(20)]
+    df = spark.createDataFrame(rows, "season long, athlete_id long, game_id long, line long, part long, minutes double, points double, team_id long")
+    one = reliability.split_half(df, "points_per_36", draws=5, floor=100.0).first()
+    assert one.draws_used == 5 and one.players == 12 and one.rho_half > 0.5
+    assert one.rho_half == reliability.measure(df, "random", 5, 100.0, ("points_per_36",)).first().rho_half
     with pytest.raises(ValueError):
         reliability.split_half(spark.createDataFrame([], "season long, athlete_id long, minutes double"), "no such metric")
 
