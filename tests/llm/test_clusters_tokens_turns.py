@@ -1,6 +1,5 @@
 """Operators 11 to 13 against brute force, the tokenizer's own library and odd inputs."""
 
-import base64
 import hashlib
 import itertools
 import math
