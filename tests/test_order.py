@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from stintmill.functions import order, stats
 from stintmill.operators import drift
