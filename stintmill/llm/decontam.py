@@ -7,6 +7,9 @@ benchmark's; hits of one document and item on one alignment must put the same do
 the same item slot everywhere. Equal values are a copy, others a re-parameterised question. A window whose own values are all the item's is copied whatever
 the rest of its alignment holds, and a run of names or numbers at a window's edge, which may go on
 outside, says nothing about consistency. Items without a usable window are searched by plain words.
+Only pairs that share one of the item's rarest windows are aligned: as many are taken as a pair that
+reaches the least share cannot all miss, so a window that many items and documents share makes no
+product of them and no pair is lost.
 """
 
 from __future__ import annotations
@@ -211,14 +214,46 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     return rows.mapInPandas(scan, "doc_id long, key long, doc_pos int, doc_slots array<string>")
 
 
-def _met(hits: DataFrame, items: DataFrame) -> DataFrame:
-    """Hits with the items' windows of their key. The items of a key are one row of the join."""
-    of_key = items.groupBy("key").agg(F.collect_list(F.struct("item_id", "item_pos", "item_slots")).alias("items"))
+def _by_key(hits: DataFrame, items: DataFrame, many: int) -> DataFrame:
+    """Hits joined with a table of one row a key, broadcast where it holds few windows."""
+    if many <= BROADCAST_WINDOWS:
+        return hits.join(F.broadcast(items), "key")
+    return spread_join(hits, items, crowded(staged(hits.groupBy("key").agg(F.count("*").alias("n")), "hit-keys"), "key"), "key", "doc_id")
+
+
+def _probes(hits: DataFrame, items: DataFrame, least_share: float) -> DataFrame:
+    """(key, items): the windows of each item that a document must share one of to reach ``least_share`` of them.
+
+    Who holds t of an item's w windows holds one of any w - t + 1, so the t - 1 windows that the most pairs of
+    items and documents hold need no join. Items of which documents hold fewer than t windows have none.
+    """
+    held = hits.groupBy("key").agg(F.count("*").alias("docs"))
+    windows = items.select("item_id", "key").distinct()
+    windows = windows.join(windows.groupBy("key").agg(F.count("*").alias("among")), "key").join(held, "key", "left")
+    cost = F.coalesce(F.col("docs") * F.col("among"), F.lit(0))
+    listed = windows.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(cost.alias("cost"), "key"))).alias("keys"))
+    listed = listed.withColumn("t", F.greatest(F.lit(1), F.ceil(F.size("keys") * F.lit(least_share) - 1e-9).cast("int")))
+    listed = listed.where("size(filter(keys, k -> k.cost > 0)) >= t")
+    probes = listed.select("item_id", F.explode(F.expr("slice(keys, 1, size(keys) - t + 1)")).alias("k")).where("k.cost > 0")
+    return probes.groupBy(F.col("k.key").alias("key")).agg(F.collect_list("item_id").alias("items"))
+
+
+def candidates(hits: DataFrame, items: DataFrame, least_share: float) -> DataFrame:
+    """(doc_id, item_id) once each: all pairs that can reach the share, and few others."""
+    probes = staged(_probes(hits, items, least_share), "probes")
+    met = _by_key(hits.select("doc_id", "key").distinct(), probes, items.count())
+    return met.select("doc_id", F.explode("items").alias("item_id")).distinct()
+
+
+def _met(hits: DataFrame, items: DataFrame, least_share: float) -> DataFrame:
+    """Hits of candidate pairs with the item's windows of their key."""
+    pairs = staged(candidates(hits, items, least_share), "candidates")
+    of_item = items.groupBy("item_id").agg(F.collect_list(F.struct("key", "item_pos", "item_slots")).alias("windows"))
     if items.count() <= BROADCAST_WINDOWS:
-        joined = hits.join(F.broadcast(of_key), "key")
+        asked = pairs.join(F.broadcast(of_item), "item_id")
     else:
-        joined = spread_join(hits, of_key, crowded(staged(hits.groupBy("key").agg(F.count("*").alias("n")), "hit-keys"), "key"), "key", "doc_id")
-    return joined.select("doc_id", "key", "doc_pos", "doc_slots", F.inline("items"))
+        asked = spread_join(pairs, of_item, crowded(staged(pairs.groupBy("item_id").agg(F.count("*").alias("n")), "item-sizes"), "item_id"), "item_id", "doc_id")
+    return hits.join(asked.select("doc_id", "item_id", F.inline("windows")), ["doc_id", "key"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, changed_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,7 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, copied_share: float = 0.3, chan
     items = item_windows(benchmark)
     hits = staged(window_hits(docs, items, id_col, text_col), "window-hits")
     total = items.groupBy("item_id").agg(F.count_distinct("key").alias("item_windows"))
-    met = _met(hits, items).withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
+    met = _met(hits, items, min(copied_share, changed_share)).withColumn("shift", F.col("doc_pos") - F.col("item_pos"))
     met = met.withColumn("slots", F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")))
     own = """forall(slots, s -> substring(s.i, 2) = s.d or (left(s.i, 1) = '$' and startswith(s.d, concat(substring(s.i, 2), ' ')))
         or (left(s.i, 1) = '^' and endswith(s.d, concat(' ', substring(s.i, 4)))))"""

@@ -250,6 +250,34 @@ def brute_leaks(texts, items, copied_share=0.3, changed_share=0.5):
     return out
 
 
+def test_a_sentence_that_many_items_and_documents_share_makes_no_product(spark):
+    rng = random.Random(8)
+    shared = " ".join(rng.choices(WORDS, k=16))
+    own = [" ".join(rng.choices(WORDS, k=40)) for _ in range(1000)]
+    items = spark.createDataFrame([(k, f"{shared} {w}") for k, w in enumerate(own)], "item_id long, text string")
+    texts = [(k, f"{' '.join(rng.choices(WORDS, k=20))} {shared} {' '.join(rng.choices(WORDS, k=20))}") for k in range(990)]
+    texts += [(k, f"{shared} {own[k]}") for k in range(990, 1000)]
+    docs = frame(spark, texts)
+    windows = decontam.item_windows(items)
+    hits = linking.staged(decontam.window_hits(docs, windows), "hits")
+    assert hits.count() > 9000
+    assert decontam._met(hits, windows, 0.3).count() < 50_000
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(k, k, "copy") for k in range(990, 1000)}
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.5, 0.9])
+def test_candidates_hold_every_pair_that_reaches_the_share(spark, least):
+    rng = random.Random(9)
+    keys = {i: set(rng.sample(range(30), rng.randint(1, 12))) for i in range(40)}  # few keys, so most are shared
+    held = {d: set(rng.sample(range(35), rng.randint(0, 14))) for d in range(60)}
+    items = spark.createDataFrame([(i, k, 0, 8, []) for i, s in keys.items() for k in s], "item_id long, key long, item_pos int, length int, item_slots array<string>")
+    hits = spark.createDataFrame([(d, k, 0, []) for d, s in held.items() for k in s for _ in range(1 + k % 2)], "doc_id long, key long, doc_pos int, doc_slots array<string>")
+    got = [(r.doc_id, r.item_id) for r in decontam.candidates(hits, items, least).collect()]
+    reach = {(d, i) for d, h in held.items() for i, k in keys.items() if h & k and len(h & k) / len(k) >= least}
+    assert len(got) == len(set(got)) and reach <= set(got) <= {(d, i) for d, h in held.items() for i, k in keys.items() if h & k}
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(31)
     names = ["Maria Lopez", "Ann Lee", "Otto", "Kim"]
