@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTS = (
@@ -16,14 +16,20 @@ COUNTS = (
 POOLED_COEFFICIENT = 0.4178
 
 
+def _with_least(pairs: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """pairs plus the least id of their name, by partial minima, since one name may be that of many ids."""
+    name = [*within, "athlete_display_name"]
+    least = pairs.groupBy(*[F.col(c).alias(f"_{c}") for c in name]).agg(F.min("athlete_id").alias("_to"))
+    return pairs.join(least, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in name]).drop(*[f"_{c}" for c in name])
+
+
 def merge_people(rows: DataFrame, within: tuple[str, ...] = ("season",)) -> DataFrame:
     """athlete_id becomes the least id that shares a display name in the same season; unnamed rows keep theirs.
 
     An id that goes by two names takes the smaller of its two mappings, so all its rows move together.
     """
     pairs = rows.select(*within, "athlete_id", "athlete_display_name").where("athlete_display_name is not null").distinct()
-    named = Window.partitionBy(*within, "athlete_display_name")
-    least = pairs.withColumn("_to", F.min("athlete_id").over(named)).groupBy(*within, "athlete_id").agg(F.min("_to").alias("_to"))
+    least = _with_least(pairs, within).groupBy(*within, "athlete_id").agg(F.min("_to").alias("_to"))
     moved = rows.join(least, [*within, "athlete_id"], "left")
     return moved.withColumn("athlete_id", F.coalesce("_to", "athlete_id")).drop("_to").select(*rows.columns)
 
@@ -31,8 +37,7 @@ def merge_people(rows: DataFrame, within: tuple[str, ...] = ("season",)) -> Data
 def merged_ids(rows: DataFrame, within: tuple[str, ...] = ("season",)) -> DataFrame:
     """How many (id, name) pairs a season's merge rewrites."""
     pairs = rows.select(*within, "athlete_id", "athlete_display_name").where("athlete_display_name is not null").distinct()
-    least = F.min("athlete_id").over(Window.partitionBy(*within, "athlete_display_name"))
-    return pairs.withColumn("_to", least).groupBy(*within).agg(F.count(F.when(F.col("_to") != F.col("athlete_id"), 1)).alias("merged"))
+    return _with_least(pairs, within).groupBy(*within).agg(F.count(F.when(F.col("_to") != F.col("athlete_id"), 1)).alias("merged"))
 
 
 def eligible_rows(box: DataFrame, least_team_games: int = 40, within: tuple[str, ...] = ("season",), merge: bool = True) -> DataFrame:

@@ -79,7 +79,8 @@ def validate(frame: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     """(clean, violations): declared columns cast, extras passed through; every failure of every row.
 
     violations has (column_name, rule, value) and one row for each failing row and rule; a missing
-    column is one violation. One pass over the table, and one window where a key is declared.
+    column is one violation. One pass over the table; where a key is declared, its columns are counted
+    and joined beside it, so no task holds all rows of one key and wide rows are not shuffled.
     """
     if dataset not in SCHEMAS:
         raise KeyError(f"unknown dataset {dataset!r}; known: {sorted(SCHEMAS)}")
@@ -99,10 +100,13 @@ def validate(frame: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
     for r in schema.rules:
         if all(c in frame.columns for c in schema.columns if c in r.condition):
             fail(r.column, r.name, ~F.coalesce(F.expr(r.condition), F.lit(True)), F.col(r.column))
-    if schema.key and not set(schema.key) & set(missing):
-        held = held.withColumn("_n", F.count("*").over(Window.partitionBy(*schema.key)))
-        fail("+".join(schema.key), "unique", F.col("_n") > 1, F.concat_ws(",", *schema.key))
     found = held.select(F.explode(F.filter(F.array(*fails), lambda x: x.isNotNull())).alias("f")).select("f.*")
+    if schema.key and not set(schema.key) & set(missing):
+        keys = held.select(*schema.key)
+        shared = keys.groupBy(*schema.key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in schema.key])
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in schema.key]
+        value = F.concat_ws(",", *schema.key).alias("value")
+        found = found.unionByName(keys.join(shared, same, "left_semi").select(F.lit("+".join(schema.key)).alias("column_name"), F.lit("unique").alias("rule"), value))
     if missing:
         absent = frame.sparkSession.createDataFrame([(c, "present", None) for c in missing], "column_name string, rule string, value string")
         found = found.unionByName(absent)

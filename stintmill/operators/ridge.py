@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.order import numbered, tiles
@@ -349,8 +349,9 @@ def stability(stints: DataFrame, alpha: float, draws: int = 20, possession_floor
     n = games.count()
     if n < 4:
         raise ValueError(f"only {n} games")
-    order = Window.partitionBy("draw").orderBy(seeded("draw", "game_id", seed=seed), "game_id")
-    split = games.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("half", (F.row_number().over(order) > n // 2).cast("int"))
+    # all draws are placed in one order over ranges; each has n places of its own in it
+    dealt = games.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    split = numbered(dealt, "draw", seeded("draw", "game_id", seed=seed), "game_id").withColumn("half", (F.col("place") % n >= n // 2).cast("int"))
     # a game carries its half in every draw, so its sums are shuffled once
     halves = split.groupBy("game_id").agg(F.map_from_entries(F.collect_list(F.struct("draw", "half"))).alias("halves"))
     plan = [(d, h) for d in range(1, draws + 1) for h in (0, 1)]

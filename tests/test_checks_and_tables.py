@@ -12,6 +12,22 @@ def test_every_violation_is_found_and_extras_pass(spark):
     assert "extra" in clean.columns
 
 
+def test_every_row_of_a_repeated_key_is_a_violation(spark):
+    rows = [(7, 2024, 1, 2)] * 500 + [(None, 2024, 1, 2)] * 2 + [(k, 2024, 1, 2) for k in range(100, 150)]
+    df = spark.createDataFrame(rows, "game_id long, season long, home_id long, away_id long").withColumn("game_date", F.lit("2024-01-01"))
+    clean, bad = checks.validate(df, "schedules")
+    assert {(r.value, r["count"]) for r in bad.where("rule = 'unique'").groupBy("value").count().collect()} == {("7", 500), ("", 2)}
+    assert clean.count() == len(rows)
+
+
+def test_people_of_one_name_take_its_least_id_in_every_season(spark):
+    rows = [(s, i, "Many") for s in (1, None) for i in range(300, 5, -1)] + [(1, 5, "One"), (1, 300, "Other"), (1, 4, None)]
+    df = spark.createDataFrame(rows, "season long, athlete_id long, athlete_display_name string")
+    moved = {(r.season, r.athlete_display_name): r.ids for r in box.merge_people(df).where("season = 1").groupBy("season", "athlete_display_name").agg(F.collect_set("athlete_id").alias("ids")).collect()}
+    assert moved == {(1, "Many"): [6], (1, "One"): [5], (1, "Other"): [6], (1, None): [4]}
+    assert {r.season: r.merged for r in box.merged_ids(df).collect()} == {1: 294, None: 294}
+
+
 def test_cast_failure_and_missing_column_are_violations(spark):
     df = spark.createDataFrame([("x", "1")], "game_id string, period string")
     found = {(r.column_name, r.rule) for r in checks.validate(df, "play_by_play")[1].collect()}
