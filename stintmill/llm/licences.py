@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .linking import bitmap, maybe_in
+from .linking import bitmap, crowded, maybe_in, spread_join
 
 # Licences by SPDX identifier, with statements and text passages by which projects name them.
 TEMPLATES = (
@@ -187,8 +187,8 @@ def scan(files: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
     weights = Weights(rows, *line_frequencies(files, vocabulary), least)
     said = segments(files, weights.needed)
     # the same statement in many files is one segment
-    once = staged(said.groupBy("s").agg(F.min("segment").alias("segment")), "distinct-segments")
-    hits = said.select("path", "s").distinct().join(matched(once, known, weights, least), "s")
+    once = staged(said.groupBy("s").agg(F.min("segment").alias("segment"), F.count("*").alias("n")), "distinct-segments")
+    hits = spread_join(said.select("path", "s").distinct(), matched(once, known, weights, least), crowded(once, "s"), "s", "path")
     own = staged(hits.groupBy("path").agg(F.max_by(F.struct("licence", "score"), F.struct("score", "licence")).alias("own")), "own-licences")
     own = own.select("path", "own.licence", "own.score")
     folder = F.regexp_replace(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), "/$", "")
@@ -197,7 +197,10 @@ def scan(files: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
     # only ancestors that may hold a licence file are shuffled
     up = paths.where("path is not null").distinct().select("path", ancestors("path").alias("up")).select("path", "up.dir", "up.depth")
     up = maybe_in(up.withColumn("_k", F.xxhash64("dir")), "_k", bitmap(holders.select(F.xxhash64("dir").alias("_k")), "_k")).drop("_k")
-    near = up.join(holders, "dir").groupBy("path").agg(F.max_by("holder", "depth").alias("holder"))
+    # below a licence file of the root lie all paths, so the directories with many are spread
+    up = staged(up, "paths-below")
+    below = staged(up.groupBy("dir").agg(F.count("*").alias("n")), "directory-sizes")
+    near = spread_join(up, holders, crowded(below, "dir"), "dir", "path").groupBy("path").agg(F.max_by("holder", "depth").alias("holder"))
     given = own.select("path", "licence", "score", F.lit("own").alias("via"), F.col("path").alias("origin")).unionByName(
         near.join(own, "path", "left_anti").select("path", "holder.licence", "holder.score", F.lit("inherited").alias("via"), F.col("holder.path").alias("origin"))
     )

@@ -97,19 +97,22 @@ def crowded(sizes: DataFrame, key: str, crowd: int = CROWD) -> tuple[DataFrame,
     return staged(made, "crowded-marks"), bits
 
 
-def spread_join(rows: DataFrame, by_key: DataFrame, marks: tuple[DataFrame, int] | None, key: str, deal_by: str) -> DataFrame:
-    """The inner join of rows with by_key, a table of one row a key, on a column of 64-bit integers.
+def spread_join(
+    rows: DataFrame, by_key: DataFrame, marks: tuple[DataFrame, int] | None, key: str, deal_by: str, how: str = "inner", hint: str | None = None
+) -> DataFrame:
+    """The join (inner or left) of rows with by_key, a table of one row a key.
 
     The rows of keys that ``crowded`` marks are dealt to ``SALTS`` parts by their column deal_by, so
     that no task gets a whole crowded key.
     """
+    hinted = lambda t: t.hint(hint) if hint else t
     if marks is None:
-        return rows.join(by_key, key)
+        return rows.join(hinted(by_key), key, how)
     one, every = F.lit(0), F.sequence(F.lit(0), F.lit(SALTS - 1))
     rows, by_key = (_marked(t.withColumn("_c", F.xxhash64(key)), "_c", marks).drop("_c") for t in (rows, by_key))
     dealt = rows.withColumn("_salt", F.when(F.col("_bit") == 1, F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int")).otherwise(one)).drop("_bit")
     copies = by_key.withColumn("_salt", F.explode(F.when(F.col("_bit") == 1, every).otherwise(F.array(one)))).drop("_bit")
-    return dealt.join(copies, [key, "_salt"]).drop("_salt")
+    return dealt.join(hinted(copies), [key, "_salt"], how).drop("_salt")
 
 
 def packed(values: np.ndarray) -> np.ndarray:

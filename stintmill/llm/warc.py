@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_batches, staged, table
-from .linking import bitmap, maybe_in, surely_out
+from .linking import bitmap, crowded, maybe_in, spread_join, surely_out
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -35,8 +35,10 @@ def with_digests(pages: DataFrame) -> DataFrame:
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.encode("payload", "UTF-8"), 256).alias("payload_digest")
     )
     narrow = staged(rows.where(F.col("payload_bytes") >= LEAST_REVISIT).select("page_id", "payload_digest"), "digests")
-    shared = narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = staged(narrow.join(shared.hint("merge"), "payload_digest").where("page_id <> refers_to").distinct(), "revisits")
+    shared = staged(narrow.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "shared-digests")
+    # one payload may be that of a third of all pages
+    copies = spread_join(narrow, shared.drop("n"), crowded(shared, "payload_digest"), "payload_digest", "page_id", hint="merge")
+    revisits = staged(copies.where("page_id <> refers_to").select("page_id", "payload_digest", "refers_to").distinct(), "revisits")
     # only pages that may be revisits are shuffled; the other payloads stay where they are
     rows = rows.withColumn("_k", F.xxhash64("page_id", "payload_digest"))
     marks = bitmap(revisits.select(F.xxhash64("page_id", "payload_digest").alias("_k")), "_k")
@@ -197,17 +199,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_replace("digest", "^sha256:", "").alias("said"),
     )
     rows = staged(rows, "records")
-    stored = rows.where("record_type = 'response'").select(F.col("page_id").alias("to_id"), F.col("bytes").alias("to_bytes"), F.col("found").alias("to_found")).distinct()
-    revisit = F.col("record_type") == "revisit"
-    return rows.join(stored.hint("merge"), revisit & (F.col("refers_to") == F.col("to_id")) & (F.col("said") == F.col("to_found")), "left").select(
-        "page_id",
-        "uri",
-        "record_type",
-        "refers_to",
-        F.when(revisit, F.col("to_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("to_found")).otherwise(F.col("found")).alias("payload_digest"),
-        F.when(revisit, F.col("to_found").isNotNull()).otherwise(F.col("said") == F.col("found")).alias("intact"),
-    )
+    # a response is named by its page and digest; a third of all records may revisit one, so the join is spread
+    name = lambda page, digest: F.concat(F.col(page).cast("string"), F.lit(":"), F.col(digest))
+    stored = rows.where("record_type = 'response'").select(name("page_id", "found").alias("of"), F.col("bytes").alias("to_bytes"), F.col("found").alias("to_found"))
+    stored = stored.where("of is not null").groupBy("of").agg(F.min("to_bytes").alias("to_bytes"), F.min("to_found").alias("to_found"))
+    again = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    asks = rows.where(again).withColumn("of", name("refers_to", "said"))
+    sizes = staged(asks.groupBy("of").agg(F.count("*").alias("n")), "revisit-sizes")
+    asks = spread_join(asks, stored, crowded(sizes, "of"), "of", "page_id", how="left", hint="merge")
+    columns = ["page_id", "uri", "record_type", "refers_to"]
+    intact = F.col("to_found").isNotNull().alias("intact")
+    asks = asks.select(*columns, F.col("to_bytes").alias("payload_bytes"), F.col("to_found").alias("payload_digest"), intact)
+    own = rows.where(~again).select(*columns, F.col("bytes").alias("payload_bytes"), F.col("found").alias("payload_digest"), (F.col("said") == F.col("found")).alias("intact"))
+    return own.unionByName(asks)
 
 
 def _page(name: str) -> F.Column:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stintmill.llm import html, licences, neighbours, toxicity, urls, warc
+from stintmill.llm import html, licences, linking, neighbours, toxicity, urls, warc
 
 
 def test_toxicity_separates_and_never_learns_from_held_out(spark):
@@ -220,6 +220,27 @@ def test_warc_round_trip_with_false_starts(spark):
         assert (got[i].record_type, got[i].refers_to, got[i].payload_bytes, got[i].payload_digest, got[i].intact) == want
 
 
+def test_warc_of_a_payload_that_most_pages_share(spark, monkeypatch):
+    monkeypatch.setattr(warc, "crowded", lambda sizes, key: linking.crowded(sizes, key, crowd=10))
+    rows = [(i, "http://a/", "same " * 40 if i % 3 else f"page {i} " * 30) for i in range(5, 200)] + [(5, "http://a/", "same " * 40)]
+    path = tempfile.mkdtemp(prefix="spark-") + "/w"
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_digest, r.intact) for r in warc.read_warc(spark, path).collect())
+    digest = lambda h: hashlib.sha256(h.encode()).hexdigest()
+    want = sorted((i, "revisit" if i % 3 and i > 5 else "response", 5 if i % 3 and i > 5 else None, digest(h), True) for i, _, h in rows)
+    assert [tuple("" if v is None else v for v in g) for g in got] == [tuple("" if v is None else v for v in w) for w in want]
+
+
+def test_licences_below_a_crowded_root(spark, monkeypatch):
+    monkeypatch.setattr(licences, "crowded", lambda sizes, key: linking.crowded(sizes, key, crowd=10))
+    known = licences.templates(spark)
+    mit = next(r.text for r in known.collect() if r.licence == "MIT")
+    header = "SPDX-License-Identifier: Apache-2.0"
+    rows = [("LICENSE", mit)] + [(f"d{i % 5}/f{i}.txt", header if i % 3 == 0 else "nothing of the kind") for i in range(90)]
+    got = {r.path: (r.licence, r.via, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string"), known).collect()}
+    assert got == {p: ("MIT", "own", p) if p == "LICENSE" else ("Apache-2.0", "own", p) if t == header else ("MIT", "inherited", "LICENSE") for p, t in rows}
+
+
 def test_toxicity_of_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "vile word"), (1, "vile word"), (1, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
