@@ -50,7 +50,8 @@ def eligible_rows(box: DataFrame, least_team_games: int = 40, within: tuple[str,
         raise ValueError(f"box score lacks columns: {sorted(missing)}")
     regular = box.where("season_type = 2")
     teams = regular.groupBy(*within, "team_id").agg(F.countDistinct("game_id").alias("n")).where(F.col("n") >= least_team_games)
-    played = regular.join(teams.drop("n"), [*within, "team_id"], "left_semi").where(~F.coalesce("did_not_play", F.lit(True)) & (F.coalesce("minutes", F.lit(0)) > 0))
+    # teams of seasons, few by nature: the rows are not shuffled for them
+    played = regular.join(F.broadcast(teams.drop("n")), [*within, "team_id"], "left_semi").where(~F.coalesce("did_not_play", F.lit(True)) & (F.coalesce("minutes", F.lit(0)) > 0))
     played = played.select(*box.columns)
     return merge_people(played, within) if merge and "athlete_display_name" in box.columns else played
 

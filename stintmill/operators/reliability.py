@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, StructType
 
-from ..functions.stats import reliability_at, seeded, spearman
+from ..functions.hashing import Md5
+from ..functions.stats import reliability_at
 from .box import COUNTS, long_metrics, metrics, with_metrics
 
 SEED = 20260910
@@ -19,12 +21,62 @@ ROW_KEY = ("game_id", "line", "part", "minutes", "points")
 def assign_halves(rows: DataFrame, rule: str = "random", draws: int = 1, seed: int = SEED, row_key: tuple[str, ...] = ROW_KEY) -> DataFrame:
     """Each row once a draw, with half 0 or 1; a person's halves differ by at most one row.
 
-    "random" orders a person's rows by a seeded hash, "odd_even" by date; the rank's parity is the half.
+    "random" orders a person's rows by a seeded hash, "odd_even" by date; the rank's parity is the half. Rows are shuffled once
+    and not once a draw: a row gets its halves of all draws as one array, which is spread afterwards.
     """
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws if rule == "random" else 1))))
-    key = [seeded("draw", "athlete_id", *row_key, seed=seed), *row_key] if rule == "random" else ["game_date", *row_key]
-    order = Window.partitionBy("season", "draw", "athlete_id").orderBy(*key)
-    return each.withColumn("half", F.pmod(F.row_number().over(order), F.lit(2)).cast("int"))
+    if rule != "random":
+        order = Window.partitionBy("season", "athlete_id").orderBy("game_date", *row_key)
+        return rows.withColumn("draw", F.lit(1)).withColumn("half", F.pmod(F.row_number().over(order), F.lit(2)).cast("int"))
+    columns, each = rows.columns, rows.withColumn("_tail", _tail(row_key))
+    people = each.groupBy("season", "athlete_id").agg(F.collect_list(F.struct(*each.columns)).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, values, starts in _slices(batches, draws):
+            half = _halves(values.field("_tail"), starts, draws, seed)
+            ends = pa.array(np.arange(0, half.size + 1, draws, dtype=np.int32))
+            dealt = pa.ListArray.from_arrays(ends, pa.array(half.T.reshape(-1).view(np.int8)))
+            yield pa.RecordBatch.from_arrays([*(values.field(c) for c in columns), dealt], [*columns, "_halves"])
+
+    dealt = people.mapInArrow(run, StructType([*rows.schema.fields]).add("_halves", ArrayType(ByteType())))
+    return dealt.select(*columns, F.posexplode("_halves").alias("_d", "half")).select(*columns, (F.col("_d") + 1).alias("draw"), F.col("half").cast("int").alias("half"))
+
+
+def _tail(row_key: tuple[str, ...]):
+    """What is hashed of a row after the seed and the draw, as ``seeded`` has it."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("athlete_id", *row_key)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], draws: int, cells: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.StructArray, np.ndarray]]:
+    """(people, their rows, where each person's rows start and the last ones end) of column ``rows``: whole people, about ``cells`` rows x draws at once."""
+    most = max(1, cells // draws)
+    for batch in batches:
+        lists = batch.column("rows")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        first = 0
+        while first < len(ends) - 1:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+            yield batch.slice(first, last - first), lists.values[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
+            first = last
+
+
+def _halves(tails: pa.Array, starts: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """(draws, rows) of 0 and 1: the parity of a row's place among its person's rows, from 1, in the order of the seeded hash."""
+    size = np.diff(starts)
+    person = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+    parity = ((np.arange(starts[-1]) - np.repeat(starts[:-1], size) + 1) % 2).astype(np.uint8)
+    bits = np.uint64(max(1, len(size).bit_length()))
+    high_person = person << (np.uint64(64) - bits)
+    hashed = Md5([t.encode() for t in tails.to_pylist()])
+    out = np.empty((draws, len(person)), np.uint8)
+    for d in range(draws):
+        high, low = hashed.of(f"{seed}|{d + 1}|".encode())
+        key = high_person | (high >> bits)
+        order = np.argsort(key)
+        ordered = key[order]
+        if (ordered[1:] == ordered[:-1]).any():  # the bits that fit do not tell all rows apart
+            order = np.lexsort((low, high, person))
+        out[d, order] = parity
+    return out
 
 
 def measured(rows: DataFrame, floor: float = 500.0) -> DataFrame:
@@ -38,68 +90,136 @@ def half_totals(halved: DataFrame) -> DataFrame:
     return halved.groupBy("season", "draw", "athlete_id", "half").agg(*[F.sum(c).alias(c) for c in have], F.countDistinct("game_id").alias("games"))
 
 
-def drawn_totals(rows: DataFrame, draws: int, seed: int = SEED, row_key: tuple[str, ...] = ROW_KEY) -> DataFrame:
-    """What ``half_totals`` says of ``assign_halves`` by random order, both halves in one row: (season, athlete_id, draw, a, b), a and b with the totals of half 0 and 1.
+def drawn_totals(rows: DataFrame, draws: int, seed: int = SEED, row_key: tuple[str, ...] = ROW_KEY, rule: str = "random") -> DataFrame:
+    """What ``half_totals`` says of ``assign_halves``, both halves in one row: (season, athlete_id, draw, a, b), a and b with the totals of half 0 and 1.
 
-    A person's rows of a season are read once for all draws, so rows are not repeated by draws: a task takes a person's season, some
+    A person's rows of a season are read once for all draws, so rows are not repeated by draws: a row holds a person's season, some
     hundred rows, and its totals are one product of the draws' halves and the counts.
     """
     have = [c for c in COUNTS if c in rows.columns]
-    tail = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("athlete_id", *row_key)])
-    used = rows.select("season", "athlete_id", F.dense_rank().over(Window.partitionBy("season", "athlete_id").orderBy("game_id")).alias("game"), tail.alias("tail"), *[F.col(c).cast("double").alias(c) for c in have])
-    side = "struct<" + ", ".join(f"{c}: double" for c in have) + ", games: bigint>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("game", kind="stable")
-        n, tails = len(pdf), pdf["tail"].tolist()
-        digests = b"".join(hashlib.md5(f"{seed}|{d}|{t}".encode()).digest() for d in range(1, draws + 1) for t in tails)
-        high, low = np.frombuffer(digests, ">u8").reshape(draws, n, 2).transpose(2, 0, 1)
-        place = np.empty((draws, n), np.int64)
-        np.put_along_axis(place, np.lexsort((low, high), axis=1), np.arange(1, n + 1)[None, :].repeat(draws, axis=0), axis=1)
-        second = (place % 2).astype(float)  # half 1: the odd places
-        counts = pdf[have].to_numpy(dtype=float)
-        seen, known = ~np.isnan(counts), np.nan_to_num(counts)
-        first_of_game = np.flatnonzero(np.append(True, np.diff(pdf["game"].to_numpy()) != 0))
-        out = {"season": pdf["season"].iloc[0], "athlete_id": pdf["athlete_id"].iloc[0], "draw": np.arange(1, draws + 1)}
-        for name, half in (("a", 1 - second), ("b", second)):
-            total = np.where(half @ seen > 0, half @ known, np.nan)
-            games = np.maximum.reduceat(half, first_of_game, axis=1).sum(axis=1).astype(int)
-            out[name] = [dict(zip([*have, "games"], [*[None if np.isnan(v) else v for v in t], int(g)], strict=True)) if h.any() else None for t, g, h in zip(total, games, half, strict=True)]
-        return pd.DataFrame(out)
-
-    return used.groupBy("season", "athlete_id").applyInPandas(run, f"season long, athlete_id long, draw int, a {side}, b {side}")
-
-
-def half_pairs(halved: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(season, draw, metric, athlete_id, first, second, games): both halves of each person's metrics."""
-    totals = half_totals(halved)
-    inner = [c for c in totals.columns if c not in ("season", "draw", "athlete_id", "half")]
-    of = lambda h: F.max(F.when(F.col("half") == h, F.struct(*inner)))
-    return paired_metrics(totals.groupBy("season", "draw", "athlete_id").agg(of(0).alias("a"), of(1).alias("b")), names)
+    names = [*have, "games"]
+    counts = [F.col(c).cast("double").alias(f"v_{c}") for c in have]
+    game = F.col("game_id").cast("string").alias("game")
+    if rule == "random":
+        held = F.collect_list(F.struct(_tail(row_key).alias("tail"), game, *counts))
+    else:  # in order of date; there is one such order
+        draws, held = 1, F.sort_array(F.collect_list(F.struct("game_date", *row_key, game, *counts)))
+    people = rows.groupBy("season", "athlete_id").agg(held.alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, values, starts in _slices(batches, draws):
+            size = np.diff(starts)
+            if rule == "random":
+                half = _halves(values.field("tail"), starts, draws, seed)
+            else:
+                half = ((np.arange(starts[-1]) - np.repeat(starts[:-1], size) + 1) % 2).astype(np.uint8)[None, :]
+            v = np.stack([values.field(f"v_{c}").to_numpy(zero_copy_only=False) for c in have], axis=1)
+            totals = _half_sums(half, v, starts)
+            games = _half_games(half, values.field("game"), starts)
+            who = pa.array(np.repeat(np.arange(len(size)), draws))
+            out = [batch.column("season").take(who), batch.column("athlete_id").take(who), pa.array(np.tile(np.arange(1, draws + 1, dtype=np.int32), len(size)))]
+            for side in (0, 1):
+                out += [pa.array(np.ascontiguousarray(totals[side][:, :, k]).reshape(-1), from_pandas=True) for k in range(len(have))]
+                out += [pa.array(games[side].T.reshape(-1)), pa.array((np.repeat(size, draws) > 1 - side))]
+            yield pa.RecordBatch.from_arrays(out, columns)
+
+    columns = ["season", "athlete_id", "draw", *[f"{s}_{c}" for s in "ab" for c in (*names, "any")]]
+    kinds = {"season": "long", "athlete_id": "long", "draw": "int"}
+    kind = lambda c: kinds.get(c) or ("long" if c.endswith("_games") else "boolean" if c.endswith("_any") else "double")
+    typed = people.select(F.col("season").cast("long").alias("season"), F.col("athlete_id").cast("long").alias("athlete_id"), "rows")
+    flat = typed.mapInArrow(run, ", ".join(f"{c} {kind(c)}" for c in columns))
+    side = lambda s: F.when(F.col(f"{s}_any"), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in names])).alias(s)
+    return flat.select("season", "athlete_id", "draw", side("a"), side("b"))
+
+
+def _half_sums(half: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(people, draws, counts) of half 0 and of half 1: sums of the known values, not a number where none is."""
+    seen = ~np.isnan(values)
+    known, second = np.where(seen, values, 0.0), half.astype(float)
+    out = tuple(np.empty((len(starts) - 1, len(half), values.shape[1])) for _ in (0, 1))
+    for k in range(len(starts) - 1):
+        own = slice(starts[k], starts[k + 1])
+        for side, part in enumerate((1 - second[:, own], second[:, own])):
+            out[side][k] = part @ known[own]
+            if not seen[own].all():
+                out[side][k][part @ seen[own] == 0] = np.nan
+            elif starts[k + 1] - starts[k] < 2:
+                out[side][k][part.sum(axis=1) == 0] = np.nan
+    return out
+
+
+def _half_games(half: np.ndarray, games: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(draws, people) of half 0 and of half 1: how many games a half has rows of; an unknown game is none."""
+    code = games.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    person = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((code, person))
+    code, dealt = code[order], half[:, order]  # people stay where they are
+    fresh = np.append(True, (code[1:] != code[:-1]) | (person[1:] != person[:-1]))
+    at = np.flatnonzero(fresh)
+    known = (code[at] >= 0).astype(np.int64)
+    of_person = np.searchsorted(at, starts[:-1])
+    second, first = np.maximum.reduceat(dealt, at, axis=1), 1 - np.minimum.reduceat(dealt, at, axis=1)
+    return tuple(np.add.reduceat(side * known, of_person, axis=1) for side in (first, second))
 
 
 def paired_metrics(halves: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``half_pairs`` of rows (season, draw, athlete_id, a, b) with a half's totals in a and b."""
+    """(season, draw, athlete_id, games, first, second) of rows (season, athlete_id, draw, a, b): arrays of the metrics ``names`` of both halves.
+
+    Rows lie by season and draw, as the correlations need them: totals, small whole numbers, are shuffled and not the metrics.
+    """
     keys = ["season", "draw", "athlete_id"]
-    both = halves.where("a is not null and b is not null")
+    both = halves.where("a is not null and b is not null").repartition("season", "draw")
     valued = with_metrics(both.select(*keys, "b", "a.*"), only=names)
     first = valued.select(*keys, F.col("games").alias("ga"), F.array(*names).alias("first"), "b")
     valued = with_metrics(first.select(*keys, "ga", "first", "b.*"), only=names)
-    pairs = F.arrays_zip(F.array(*map(F.lit, names)).alias("metric"), F.col("first"), F.array(*names).alias("second"))
-    each = valued.select(*keys, ((F.col("ga") + F.col("games")) / 2).alias("games"), F.explode(pairs).alias("p"))
-    return each.select("season", "draw", F.col("p.metric").alias("metric"), "athlete_id", F.col("p.first").alias("first"), F.col("p.second").alias("second"), "games").where("first is not null and second is not null")
+    return valued.select(*keys, ((F.col("ga") + F.col("games")) / 2).alias("games"), "first", F.array(*names).alias("second"))
 
 
 def pairs_of(rows: DataFrame, rule: str, draws: int, names: tuple[str, ...], seed: int = SEED) -> DataFrame:
-    """``half_pairs`` of rows by a rule: random halves of all draws at once, or by date."""
-    return paired_metrics(drawn_totals(rows, draws, seed), names) if rule == "random" else half_pairs(assign_halves(rows, rule, draws, seed), names)
+    """Both halves' metrics of all draws by a rule: random halves, or by date."""
+    return paired_metrics(drawn_totals(rows, draws, seed, rule=rule), names)
+
+
+def _ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks with ties at the mean of their places."""
+    order = np.argsort(x)
+    fresh = np.flatnonzero(np.append(True, np.diff(x[order]) != 0))
+    upto = np.append(fresh[1:], len(x))
+    out = np.empty(len(x))
+    out[order] = np.repeat((fresh + upto + 1) / 2, upto - fresh)
+    return out
+
+
+def _corr(x: np.ndarray, y: np.ndarray) -> float:
+    """Correlation; not a number where one side does not vary, as Spark's has it."""
+    if x.min() == x.max() or y.min() == y.max():
+        return np.nan
+    x, y = x - x.mean(), y - y.mean()
+    return float(x @ y / np.sqrt((x @ x) * (y @ y)))
+
+
+def draw_correlations(pairs: DataFrame, names: tuple[str, ...], least: int = 3) -> DataFrame:
+    """Pearson and Spearman of the halves for each season, draw and metric with enough people.
+
+    A task takes one draw of one season, a row a person, and ranks its metrics one after the other.
+    """
+    flat = pairs.select("season", "draw", "games", *[F.get(side, F.lit(k)).alias(f"{side}{k}") for side in ("first", "second") for k in range(len(names))])
 
+    def run(group: pa.Table) -> pa.Table:
+        out, games = [], group["games"].to_numpy()
+        for k, name in enumerate(names):
+            x, y = group[f"first{k}"].to_numpy(), group[f"second{k}"].to_numpy()
+            both = ~(np.isnan(x) | np.isnan(y))
+            n = int(both.sum())
+            if n >= least:
+                x, y = x[both], y[both]
+                out.append((name, _corr(x, y), float(games[both].mean()), n, _corr(_ranks(x), _ranks(y))))
+        key = (group["season"][0].as_py(), group["draw"][0].as_py())
+        columns = list(zip(*[(*key, *r) for r in out], strict=True)) or [()] * len(kinds)
+        return pa.table({n: pa.array(v, kinds[n]) for n, v in zip(kinds, columns, strict=True)})
 
-def draw_correlations(pairs: DataFrame, least: int = 3) -> DataFrame:
-    """Pearson and Spearman of the halves for each season, draw and metric with enough people."""
-    by = ("season", "draw", "metric")
-    plain = pairs.groupBy(*by).agg(F.corr("first", "second").alias("rho"), F.avg("games").alias("games_per_half"), F.count("*").alias("players")).where(F.col("players") >= least)
-    return plain.join(spearman(pairs, "first", "second", by).drop("n"), list(by))
+    kinds = {"season": pa.int64(), "draw": pa.int32(), "metric": pa.string(), "rho": pa.float64(), "games_per_half": pa.float64(), "players": pa.int64(), "spearman": pa.float64()}
+    return flat.groupBy("season", "draw").applyInArrow(run, "season long, draw int, metric string, rho double, games_per_half double, players long, spearman double")
 
 
 def traded_share(rows: DataFrame) -> DataFrame:
@@ -127,7 +247,7 @@ def measure(rows: DataFrame, rule: str = "random", draws: int = 20, floor: float
     """The season table: every metric's repeatability; all metrics share the draws."""
     names = names or tuple(m.name for m in metrics())
     used = measured(rows, floor)
-    out = summarise_draws(draw_correlations(pairs_of(used, rule, draws, names, seed)))
+    out = summarise_draws(draw_correlations(pairs_of(used, rule, draws, names, seed), names))
     return out.join(traded_share(used), "season").withColumn("rule", F.lit(rule))
 
 
@@ -148,7 +268,8 @@ def curve(rows: DataFrame, metric: str, floors: tuple[float, ...] = (200.0, 500.
     """
     minutes = rows.groupBy("season", "athlete_id").agg(F.sum("minutes").alias("_m"))
     used = measured(rows, min(floors))
-    pairs = pairs_of(used, "random", draws, (metric,), seed).join(minutes, ["season", "athlete_id"])
+    pairs = pairs_of(used, "random", draws, (metric,), seed).select("season", "draw", "athlete_id", "games", F.get("first", F.lit(0)).alias("first"), F.get("second", F.lit(0)).alias("second"))
+    pairs = pairs.where("first is not null and second is not null").join(minutes, ["season", "athlete_id"])
     each = pairs.withColumn("floor", F.explode(F.array(*[F.lit(float(f)) for f in floors]))).where("_m >= floor")
     by = ("season", "draw", "floor")
     drawn = each.groupBy(*by).agg(F.corr("first", "second").alias("rho"), F.avg("games").alias("games_per_half"), F.count("*").alias("players")).where("players >= 3")

@@ -1,8 +1,12 @@
+import hashlib
+
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stintmill.functions import stats
+from stintmill.functions import hashing, stats
 from stintmill.operators import stints, fusion, identity, panel, reliability, ridge
 
 STINTS = "game_id string, offense_team_id long, defense_team_id long, offense_lineup string, defense_lineup string, possessions double, points double, opponent_points double"
@@ -195,3 +199,46 @@ def test_draws_at_once_equal_rows_by_draw(spark):
     for r in reliability.drawn_totals(df, 6).collect():
         got |= {(r.season, r.athlete_id, r.draw, h): (x.minutes, x.points, x.games) for h, x in ((0, r.a), (1, r.b)) if x is not None}
     assert got == plain
+
+
+def _halving_rows(spark):
+    rng = np.random.default_rng(11)
+    rows = [(1 + i % 2, int(rng.integers(0, 4)), None if i % 13 == 0 else int(rng.integers(0, 30)), i, 1, float(rng.integers(1, 40)), float(rng.integers(0, 30)), f"2001-01-{1 + i % 28:02d}") for i in range(200)]
+    return spark.createDataFrame(rows, "season long, athlete_id long, game_id long, line long, part long, minutes double, points double, game_date string")
+
+
+def test_digests_order_as_hex_text():
+    tails = [b"", b"7|1|2|3", "é|x".encode(), b"y" * 53, b"y" * 54, b"z" * 300]
+    for prefix in (b"20260910|1|", b"1|", b"20260910|12|"):
+        high, low = hashing.Md5(tails).of(prefix)
+        assert [f"{int(h):016x}{int(w):016x}" for h, w in zip(high, low, strict=True)] == [hashlib.md5(prefix + t).hexdigest() for t in tails]
+
+
+def test_rows_get_all_halves_from_one_reading(spark):
+    df = _halving_rows(spark)
+    halved = reliability.assign_halves(df, draws=12)
+    plan = halved._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # a window would sort and shuffle every row once a draw
+    order = Window.partitionBy("season", "draw", "athlete_id").orderBy(stats.seeded("draw", "athlete_id", *reliability.ROW_KEY, seed=reliability.SEED), *reliability.ROW_KEY)
+    want = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn("half", (F.row_number().over(order) % 2).cast("int"))
+    assert sorted((r.draw, r.line, r.half) for r in halved.collect()) == sorted((r.draw, r.line, r.half) for r in want.collect())
+
+
+def test_totals_by_date_equal_rows_by_date(spark):
+    df = _halving_rows(spark)
+    plain = {(r.season, r.athlete_id, r.draw, r.half): (r.minutes, r.points, r.games) for r in reliability.half_totals(reliability.assign_halves(df, "odd_even")).collect()}
+    got = {}
+    for r in reliability.drawn_totals(df, 1, rule="odd_even").collect():
+        got |= {(r.season, r.athlete_id, r.draw, h): (x.minutes, x.points, x.games) for h, x in ((0, r.a), (1, r.b)) if x is not None}
+    assert got == plain
+
+
+def test_draw_correlations_rank_without_a_row_a_metric(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, d, p, 10.0, [float(a), 1.0, None if p % 2 else float(b)], [float(a + c), 1.0, float(c)]) for d in (1, 2) for p in range(30) for a, b, c in [rng.integers(0, 6, 3)]]
+    pairs = spark.createDataFrame(rows, "season long, draw int, athlete_id long, games double, first array<double>, second array<double>")
+    got = {(r.draw, r.metric): r for r in reliability.draw_correlations(pairs, ("a", "flat", "some")).collect()}
+    for d in (1, 2):
+        x, y = (pd.Series([r[k][0] for r in rows if r[1] == d]) for k in (4, 5))
+        assert got[d, "a"].rho == pytest.approx(x.corr(y)) and got[d, "a"].spearman == pytest.approx(x.rank().corr(y.rank()))
+        assert np.isnan(got[d, "flat"].rho) and got[d, "some"].players == 15
