@@ -71,6 +71,55 @@ def poisson_times(draws: int, *key: str, seed: int = 20260910):
     return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: sum(((u(d) >= c).cast("double") for c in upto[1:]), (u(d) >= upto[0]).cast("double")))
 
 
+MOST_SUMS = 4_000_000  # numbers that may reach the driver
+
+
+def _pattern_sums(used: DataFrame, names: tuple[str, ...], models: list[tuple], grouped: bool, timed: bool) -> dict[tuple, list[tuple[np.ndarray, np.ndarray]]]:
+    """For each model (observed, sums) of every pattern of observed cells: sums of (1, y)(1, y)', unknown cells as 0, as often as people are drawn."""
+    m = len(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y = pdf[list(names)].to_numpy(dtype=float)
+            seen = ~np.isnan(y)
+            one = np.concatenate([np.ones((len(y), 1)), np.where(seen, y, 0.0)], axis=1)
+            times = np.stack(pdf["_times"].to_numpy()) if timed and len(pdf) else np.ones((len(y), 1))
+            patterns = pd.Series(["".join("01"[c] for c in r) for r in seen.astype(int)], dtype=object)
+            group = pdf["_group"].reset_index(drop=True) if grouped else pd.Series(0, index=range(len(y)))
+            for (value, pattern), rows in patterns.groupby([group, patterns]).indices.items():
+                own = one[rows]
+                for draw, t in enumerate(times[rows].T):
+                    yield pd.DataFrame({"group": [int(value)], "pattern": [pattern], "draw": [draw], "v": [((own * t[:, None]).T @ own).reshape(-1)]})
+
+    each = used.mapInPandas(run, "group long, pattern string, draw int, v array<double>").select("group", "pattern", "draw", F.posexplode("v").alias("k", "v"))
+    found = each.groupBy("group", "pattern", "draw", "k").agg(F.sum("v").alias("v")).toPandas().sort_values(["group", "pattern", "draw", "k"])
+    out: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for (group, pattern, draw), v in found.groupby(["group", "pattern", "draw"])["v"]:
+        part = (np.array([c == "1" for c in pattern]), v.to_numpy().reshape(m + 1, m + 1))
+        for key in models:
+            if (key[0] is None or key[0] == group) and draw == (key[1] or 0):
+                out.setdefault(key, []).append(part)
+    return out
+
+
+def _pattern_moments(parts: list[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(metrics, moments) of a step: a metric's sums of (1, f)(1, f)' and of y (1, f), by the posterior of each pattern."""
+    m, k = b.shape
+    s = _residual(b)
+    left, right = np.zeros((m, k + 1, k + 1)), np.zeros((m, k + 1))
+    for seen, sums in parts:
+        n, first, second = sums[0, 0], sums[0, 1:], sums[1:, 1:]
+        loads = b.T * (seen / s**2)
+        cov = np.linalg.inv(np.eye(k) + loads @ b)
+        of = cov @ loads  # the posterior mean is of @ (y - a)
+        mean = of @ (first - n * a)
+        centred = second - np.outer(first, a) - np.outer(a, first) + n * np.outer(a, a)
+        whole = np.block([[np.array([[n]]), mean[None, :]], [mean[:, None], of @ centred @ of.T + n * cov]])
+        left[seen] += whole
+        right[seen] += np.concatenate([first[:, None], (second - np.outer(first, a)) @ of.T], axis=1)[seen]
+    return np.concatenate([left.reshape(m, -1), right], axis=1)
+
+
 def fit_many(
     wide: DataFrame,
     names: tuple[str, ...],
@@ -85,7 +134,9 @@ def fit_many(
     anchor_mode: str = "fixed",
     begin: dict[str, np.ndarray] | None = None,
 ) -> dict[tuple, dict[str, np.ndarray]]:
-    """Many models at once: a step reads the people once and sums the moments of every model that still moves.
+    """Many models at once. People are read once: the moments of a step follow from the sums of cells and their products
+    by the pattern of observed cells, so steps need no job. Beyond MOST_SUMS such sums a step reads the people once instead,
+    for every model that still moves.
 
     models: (value of ``group``, draw, seed) each. A model takes the people of its group (all where it is None),
     as often as the array ``times`` says at its draw (once where it is None), and starts from its seed, or
@@ -101,6 +152,9 @@ def fit_many(
     spread = {key: np.zeros((m, k)) for key in models}
     moving, size = list(models), (k + 1) ** 2 + k + 1
     used = wide.select(*([F.col(group).alias("_group")] if group else []), *([F.col(times).alias("_times")] if times else []), *names)
+    patterns = used.select(*(["_group"] if group else []), *[F.col(n).isNull().alias(n) for n in names]).distinct().count()
+    few = patterns * len(models) * (m + 1) ** 2 <= MOST_SUMS
+    known = _pattern_sums(used, names, models, bool(group), bool(times)) if few else {}
     for _ in range(steps):
 
         def moments(batches: Iterator[pd.DataFrame], now=dict(now), moving=tuple(moving)) -> Iterator[pd.DataFrame]:
@@ -126,11 +180,15 @@ def fit_many(
                     right = (np.where(seen, rows, 0.0) * weight).T @ one
                     yield pd.DataFrame({"model": number, "metric": range(m), "v": list(np.concatenate([left, right], axis=1))})
 
-        sums = used.mapInPandas(moments, "model int, metric int, v array<double>")
-        found = sums.groupBy("model", "metric").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)]).orderBy("model", "metric").toPandas()
+        if few:
+            found = {n: _pattern_moments(known[key], *now[key]) for n, key in enumerate(moving) if key in known}
+        else:
+            sums = used.mapInPandas(moments, "model int, metric int, v array<double>")
+            summed = sums.groupBy("model", "metric").agg(*[F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(size)]).orderBy("model", "metric").toPandas()
+            found = {n: pdf[[f"v{i}" for i in range(size)]].to_numpy() for n, pdf in summed.groupby("model")}
         after = []
-        for number, pdf in found.groupby("model"):
-            key, v = moving[number], pdf[[f"v{i}" for i in range(size)]].to_numpy()
+        for number, v in found.items():
+            key = moving[number]
             grams = v[:, : (k + 1) ** 2].reshape(m, k + 1, k + 1) + 1e-9 * np.eye(k + 1)
             c = np.linalg.solve(grams, v[:, (k + 1) ** 2 :, None])[:, :, 0]
             b = _projected(c[:, 1:], bound, at, anchor_mode)

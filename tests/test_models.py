@@ -256,3 +256,19 @@ def test_products_are_taken_once_a_line_up(spark, season):
     rows = ridge.design(spark.createDataFrame(season, STINTS))
     plan = ridge.gram(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.rindex("Aggregate")  # stints are added up below the products
+
+
+def test_steps_from_sums_by_pattern_equal_steps_over_people(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    f = rng.normal(size=300)
+    cell = lambda v, hole: None if rng.random() < hole else float(v)
+    rows = [(i, i % 2, [float(t) for t in rng.integers(0, 3, 2)], cell(0.7 * f[i] + 0.7 * rng.normal(), 0.2), cell(0.5 * f[i] + 0.9 * rng.normal(), 0.3), float(0.6 * f[i] + 0.8 * rng.normal())) for i in range(300)]
+    wide = spark.createDataFrame(rows, "id long, w long, t array<double>, a double, b double, rating double").cache()
+    models = [(g, d, 1) for g in (0, 1) for d in (0, 1)]
+    call = lambda: fusion.fit_many(wide, ("a", "b", "rating"), {"rating": 0.8}, "rating", models, group="w", times="t", steps=4)
+    by_pattern = call()
+    monkeypatch.setattr(fusion, "MOST_SUMS", 0)
+    by_people = call()
+    for key in models:
+        for part in ("loadings", "intercepts", "loading_sd"):
+            assert np.allclose(by_pattern[key][part], by_people[key][part], rtol=1e-8, atol=1e-10)
