@@ -6,12 +6,13 @@ import hashlib
 
 import numpy as np
 
-_K = [np.uint32(int(abs(np.sin(np.float64(i + 1))) * 2**32)) for i in range(64)]
-_TURN = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+# arrays of no dimension: numpy would turn a number into one at each of some hundred steps
+_K = [np.array(int(abs(np.sin(np.float64(i + 1))) * 2**32), np.uint32) for i in range(64)]
+_TURN = [[(np.array(t, np.uint32), np.array(32 - t, np.uint32)) for t in turns] for turns in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))]
 _WORD = [lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: (7 * i) % 16]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 _ONE_BLOCK = 55  # bytes that fit one block beside the padding
-_AT_ONCE = 8192  # texts whose words stay in a core's cache
+_AT_ONCE = 16384  # texts whose state stays in a core's cache, and enough that a step is more than its call
 
 
 def _compressed(words: np.ndarray) -> np.ndarray:
@@ -39,9 +40,9 @@ def _compressed(words: np.ndarray) -> np.ndarray:
         np.add(a, f, a)
         np.add(a, words[_WORD[part](i)], a)
         np.add(a, _K[i], a)
-        turn = _TURN[part][i % 4]
-        np.left_shift(a, np.uint32(turn), g)
-        np.right_shift(a, np.uint32(32 - turn), a)
+        left, right = _TURN[part][i % 4]
+        np.left_shift(a, left, g)
+        np.right_shift(a, right, a)
         np.bitwise_or(a, g, a)
         np.add(a, b, a)
         a, b, c, d = d, a, b, c
@@ -69,17 +70,17 @@ class Md5:
             block[:, start : start + width] = text.view(np.uint8).reshape(-1, width)
         block[np.arange(len(size)), start + size] = 0x80
         block[:, 56:64] = (8 * (size + start)).astype("<u8").view(np.uint8).reshape(-1, 8)
-        self.block = block
+        self.words = np.ascontiguousarray(block.view("<u4").T, dtype=np.uint32)  # a row a word, the prefix's bytes zero
+        self.opening = self.words[: -(-start // 4)].copy()
 
     def of(self, prefix: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(high, low) 64 bits of each digest."""
         if len(prefix) != self.start:
             self._blocks(len(prefix))
-        self.block[:, : self.start] = np.frombuffer(prefix, np.uint8)
-        words = self.block.view("<u4")
+        np.bitwise_or(self.opening, np.frombuffer(prefix + bytes(-len(prefix) % 4), "<u4").astype(np.uint32)[:, None], self.words[: len(self.opening)])
         out = np.empty((len(self.tails), 4), "<u4")
-        for k in range(0, len(words), _AT_ONCE):
-            out[self.short[k : k + _AT_ONCE]] = _compressed(np.ascontiguousarray(words[k : k + _AT_ONCE].T, dtype=np.uint32))
+        for k in range(0, len(self.short), _AT_ONCE):
+            out[self.short[k : k + _AT_ONCE]] = _compressed(self.words[:, k : k + _AT_ONCE])
         for k in self.long:
             out[k] = np.frombuffer(hashlib.md5(prefix + self.tails[k]).digest(), "<u4")
         both = out.view(">u8").astype(np.uint64)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,21 +70,26 @@ def totals(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Metric:
-    """A number from summed counts, with the count that must reach a least value."""
+    """A share of two numbers from summed counts, with the count that must reach a least value.
+
+    ``parts`` takes what stands for a count by its name, a Column or an array, and the coefficient: (numerator, denominator).
+    """
 
     name: str
-    value: Callable[[Column], Column]
+    parts: Callable[[Callable[[str], Any], Any], tuple[Any, Any]]
     evidence: str
     least: float
 
+    def value(self, c: Column) -> Column:
+        return F.try_divide(*self.parts(F.col, c))
+
 
-def _per_36(count: str) -> Callable[[Column], Column]:
-    return lambda c: F.try_divide(36 * F.col(count), F.col("minutes"))
+def _per_36(count: str) -> Callable[[Callable[[str], Any], Any], tuple[Any, Any]]:
+    return lambda of, c: (36 * of(count), of("minutes"))
 
 
 def metrics() -> tuple[Metric, ...]:
-    """The registry; built on call, since Columns need a running session."""
-    col = F.col
+    """The registry."""
     per_36 = {
         "points_per_36": "points", "rebounds_per_36": "rebounds", "assists_per_36": "assists", "steals_per_36": "steals", "blocks_per_36": "blocks",
         "turnovers_per_36": "turnovers", "fouls_per_36": "fouls", "offensive_rebounds_per_36": "offensive_rebounds",
@@ -91,15 +98,35 @@ def metrics() -> tuple[Metric, ...]:
     fga, fta = "field_goals_attempted", "free_throws_attempted"
     return (
         *[Metric(name, _per_36(count), "minutes", 100) for name, count in per_36.items()],
-        Metric("usage_proxy", lambda c: F.try_divide(36 * (col(fga) + c * col(fta) + col("turnovers")), col("minutes")), "minutes", 100),
-        Metric("true_shooting", lambda c: F.try_divide(col("points"), 2 * (col(fga) + c * col(fta))), fga, 50),
-        Metric("effective_fg", lambda c: F.try_divide(col("field_goals_made") + 0.5 * col("three_point_field_goals_made"), col(fga)), fga, 50),
-        Metric("free_throw_rate", lambda c: F.try_divide(col(fta), col(fga)), fga, 50),
-        Metric("three_point_rate", lambda c: F.try_divide(col("three_point_field_goals_attempted"), col(fga)), fga, 50),
-        Metric("free_throw_pct", lambda c: F.try_divide(col("free_throws_made"), col(fta)), fta, 25),
+        Metric("usage_proxy", lambda of, c: (36 * (of(fga) + c * of(fta) + of("turnovers")), of("minutes")), "minutes", 100),
+        Metric("true_shooting", lambda of, c: (of("points"), 2 * (of(fga) + c * of(fta))), fga, 50),
+        Metric("effective_fg", lambda of, c: (of("field_goals_made") + 0.5 * of("three_point_field_goals_made"), of(fga)), fga, 50),
+        Metric("free_throw_rate", lambda of, c: (of(fta), of(fga)), fga, 50),
+        Metric("three_point_rate", lambda of, c: (of("three_point_field_goals_attempted"), of(fga)), fga, 50),
+        Metric("free_throw_pct", lambda of, c: (of("free_throws_made"), of(fta)), fta, 25),
     )
 
 
+def counts_of(names: tuple[str, ...]) -> tuple[str, ...]:
+    """The counts that metrics are made of."""
+    used = set()
+    for m in metrics():
+        if m.name in names:
+            m.parts(lambda n: used.add(n) or 1.0, 1.0)
+            used.add(m.evidence)
+    return tuple(c for c in COUNTS if c in used)
+
+
+def metric_arrays(counts: dict[str, np.ndarray], names: tuple[str, ...], c: float = POOLED_COEFFICIENT) -> list[np.ndarray]:
+    """``with_metrics`` of arrays of counts: an array a name, not a number where the metric is null."""
+    known, out = {m.name: m for m in metrics()}, []
+    for m in (known[n] for n in names):
+        above, below = m.parts(counts.__getitem__, c)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out.append(np.where((counts[m.evidence] >= m.least) & (below != 0), above / below, np.nan))
+    return out
+
+
 def with_metrics(summed: DataFrame, coefficient: Column | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
     """summed plus one column a metric, null where the evidence is too small or the value not finite."""
     c = F.lit(POOLED_COEFFICIENT) if coefficient is None else coefficient

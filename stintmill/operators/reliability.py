@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, ByteType, StructType
 
 from ..functions.hashing import Md5
 from ..functions.stats import reliability_at
-from .box import COUNTS, long_metrics, metrics, with_metrics
+from .box import COUNTS, counts_of, long_metrics, metric_arrays, metrics
 
 SEED = 20260910
 ROW_KEY = ("game_id", "line", "part", "minutes", "points")
@@ -46,7 +46,7 @@ def _tail(row_key: tuple[str, ...]):
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("athlete_id", *row_key)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], draws: int, cells: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.StructArray, np.ndarray]]:
+def _slices(batches: Iterator[pa.RecordBatch], draws: int, cells: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, pa.StructArray, np.ndarray]]:
     """(people, their rows, where each person's rows start and the last ones end) of column ``rows``: whole people, about ``cells`` rows x draws at once."""
     most = max(1, cells // draws)
     for batch in batches:
@@ -98,6 +98,13 @@ def drawn_totals(rows: DataFrame, draws: int, seed: int = SEED, row_key: tuple[s
     """
     have = [c for c in COUNTS if c in rows.columns]
     names = [*have, "games"]
+    side = lambda s: F.when(F.col(f"{s}_any"), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in names])).alias(s)
+    return _flat_totals(rows, draws, seed, row_key, rule, have).select("season", "athlete_id", "draw", side("a"), side("b"))
+
+
+def _flat_totals(rows: DataFrame, draws: int, seed: int, row_key: tuple[str, ...], rule: str, have: list[str]) -> DataFrame:
+    """``drawn_totals`` of the counts ``have``, a column a half and count, and whether a half has a row (a_any, b_any)."""
+    names = [*have, "games"]
     counts = [F.col(c).cast("double").alias(f"v_{c}") for c in have]
     game = F.col("game_id").cast("string").alias("game")
     if rule == "random":
@@ -127,9 +134,7 @@ def drawn_totals(rows: DataFrame, draws: int, seed: int = SEED, row_key: tuple[s
     kinds = {"season": "long", "athlete_id": "long", "draw": "int"}
     kind = lambda c: kinds.get(c) or ("long" if c.endswith("_games") else "boolean" if c.endswith("_any") else "double")
     typed = people.select(F.col("season").cast("long").alias("season"), F.col("athlete_id").cast("long").alias("athlete_id"), "rows")
-    flat = typed.mapInArrow(run, ", ".join(f"{c} {kind(c)}" for c in columns))
-    side = lambda s: F.when(F.col(f"{s}_any"), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in names])).alias(s)
-    return flat.select("season", "athlete_id", "draw", side("a"), side("b"))
+    return typed.mapInArrow(run, ", ".join(f"{c} {kind(c)}" for c in columns))
 
 
 def _half_sums(half: np.ndarray, values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +167,29 @@ def _half_games(half: np.ndarray, games: pa.Array, starts: np.ndarray) -> tuple[
     return tuple(np.add.reduceat(side * known, of_person, axis=1) for side in (first, second))
 
 
-def paired_metrics(halves: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(season, draw, athlete_id, games, first, second) of rows (season, athlete_id, draw, a, b): arrays of the metrics ``names`` of both halves.
+def _pair_totals(rows: DataFrame, rule: str, draws: int, names: tuple[str, ...], seed: int) -> DataFrame:
+    """Totals of both halves, of people with a row in each, of the counts that the metrics ``names`` are made of."""
+    return _flat_totals(rows, draws, seed, ROW_KEY, rule, list(counts_of(names))).where("a_any and b_any").drop("a_any", "b_any")
 
-    Rows lie by season and draw, as the correlations need them: totals, small whole numbers, are shuffled and not the metrics.
-    """
-    keys = ["season", "draw", "athlete_id"]
-    both = halves.where("a is not null and b is not null").repartition("season", "draw")
-    valued = with_metrics(both.select(*keys, "b", "a.*"), only=names)
-    first = valued.select(*keys, F.col("games").alias("ga"), F.array(*names).alias("first"), "b")
-    valued = with_metrics(first.select(*keys, "ga", "first", "b.*"), only=names)
-    return valued.select(*keys, ((F.col("ga") + F.col("games")) / 2).alias("games"), "first", F.array(*names).alias("second"))
+
+def _sides(totals: pa.Table | pa.RecordBatch, names: tuple[str, ...], have: tuple[str, ...]) -> list[list[np.ndarray]]:
+    """The metrics of half 0 and of half 1: arithmetic on whole columns, since thirty conditional shares a row are past what the JVM compiles."""
+    return [metric_arrays({c: np.asarray(totals.column(f"{s}_{c}")) for c in have}, names) for s in "ab"]
 
 
 def pairs_of(rows: DataFrame, rule: str, draws: int, names: tuple[str, ...], seed: int = SEED) -> DataFrame:
-    """Both halves' metrics of all draws by a rule: random halves, or by date."""
-    return paired_metrics(drawn_totals(rows, draws, seed, rule=rule), names)
+    """(season, draw, athlete_id, games, first, second): arrays of both halves' metrics, of all draws by a rule: random halves, or by date."""
+    have = counts_of(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = pa.array(np.arange(0, b.num_rows * len(names) + 1, len(names), dtype=np.int32))
+            sides = [pa.ListArray.from_arrays(ends, pa.array(np.stack(v, axis=1).reshape(-1), from_pandas=True)) for v in _sides(b, names, have)]
+            games = (np.asarray(b.column("a_games")) + np.asarray(b.column("b_games"))) / 2
+            yield pa.RecordBatch.from_arrays([b.column("season"), b.column("draw"), b.column("athlete_id"), pa.array(games), *sides], ["season", "draw", "athlete_id", "games", "first", "second"])
+
+    kinds = "season long, draw int, athlete_id long, games double, first array<double>, second array<double>"
+    return _pair_totals(rows, rule, draws, names, seed).mapInArrow(run, kinds)
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -198,17 +210,12 @@ def _corr(x: np.ndarray, y: np.ndarray) -> float:
     return float(x @ y / np.sqrt((x @ x) * (y @ y)))
 
 
-def draw_correlations(pairs: DataFrame, names: tuple[str, ...], least: int = 3) -> DataFrame:
-    """Pearson and Spearman of the halves for each season, draw and metric with enough people.
-
-    A task takes one draw of one season, a row a person, and ranks its metrics one after the other.
-    """
-    flat = pairs.select("season", "draw", "games", *[F.get(side, F.lit(k)).alias(f"{side}{k}") for side in ("first", "second") for k in range(len(names))])
+def _correlated(grouped: GroupedData, names: tuple[str, ...], least: int, sides: Callable[[pa.Table], tuple[np.ndarray, list, list]]) -> DataFrame:
+    """Pearson and Spearman of the halves in each group of a season and draw; ``sides``: its games and both halves' metrics."""
 
     def run(group: pa.Table) -> pa.Table:
-        out, games = [], group["games"].to_numpy()
-        for k, name in enumerate(names):
-            x, y = group[f"first{k}"].to_numpy(), group[f"second{k}"].to_numpy()
+        out, (games, first, second) = [], sides(group)
+        for name, x, y in zip(names, first, second, strict=True):
             both = ~(np.isnan(x) | np.isnan(y))
             n = int(both.sum())
             if n >= least:
@@ -219,7 +226,25 @@ def draw_correlations(pairs: DataFrame, names: tuple[str, ...], least: int = 3)
         return pa.table({n: pa.array(v, kinds[n]) for n, v in zip(kinds, columns, strict=True)})
 
     kinds = {"season": pa.int64(), "draw": pa.int32(), "metric": pa.string(), "rho": pa.float64(), "games_per_half": pa.float64(), "players": pa.int64(), "spearman": pa.float64()}
-    return flat.groupBy("season", "draw").applyInArrow(run, "season long, draw int, metric string, rho double, games_per_half double, players long, spearman double")
+    return grouped.applyInArrow(run, "season long, draw int, metric string, rho double, games_per_half double, players long, spearman double")
+
+
+def draw_correlations(pairs: DataFrame, names: tuple[str, ...], least: int = 3) -> DataFrame:
+    """Pearson and Spearman of the halves for each season, draw and metric with enough people.
+
+    A task takes one draw of one season, a row a person, and ranks its metrics one after the other.
+    """
+    flat = pairs.select("season", "draw", "games", *[F.get(side, F.lit(k)).alias(f"{side}{k}") for side in ("first", "second") for k in range(len(names))])
+    sides = lambda g: (g["games"].to_numpy(), *[[g[f"{side}{k}"].to_numpy() for k in range(len(names))] for side in ("first", "second")])
+    return _correlated(flat.groupBy("season", "draw"), names, least, sides)
+
+
+def drawn_correlations(rows: DataFrame, rule: str, draws: int, names: tuple[str, ...], seed: int = SEED, least: int = 3) -> DataFrame:
+    """``draw_correlations`` of ``pairs_of``: totals, small whole numbers, are shuffled, and a draw's task takes the metrics of them."""
+    have = counts_of(names)
+    totals = _pair_totals(rows, rule, draws, names, seed).drop("athlete_id")
+    sides = lambda g: ((g["a_games"].to_numpy() + g["b_games"].to_numpy()) / 2, *_sides(g, names, have))
+    return _correlated(totals.groupBy("season", "draw"), names, least, sides)
 
 
 def traded_share(rows: DataFrame) -> DataFrame:
@@ -247,7 +272,7 @@ def measure(rows: DataFrame, rule: str = "random", draws: int = 20, floor: float
     """The season table: every metric's repeatability; all metrics share the draws."""
     names = names or tuple(m.name for m in metrics())
     used = measured(rows, floor)
-    out = summarise_draws(draw_correlations(pairs_of(used, rule, draws, names, seed), names))
+    out = summarise_draws(drawn_correlations(used, rule, draws, names, seed))
     return out.join(traded_share(used), "season").withColumn("rule", F.lit(rule))
 
 

@@ -22,8 +22,8 @@ def _halves(s, d, rule="random"):
     return reliability.assign_halves(rows, rule, DRAWS)
 
 
-def _pairs(s, d, rule="random"):
-    return reliability.pairs_of(reliability.measured(_eligible(s, d), FLOOR), rule, DRAWS, PROFILED)
+def _correlations(s, d):
+    return reliability.drawn_correlations(reliability.measured(_eligible(s, d), FLOOR), "random", DRAWS, PROFILED)
 
 
 def _season_table(s, d, rule="random"):
@@ -95,7 +95,7 @@ QUERIES = {
     "team_crosswalk": _teams,
     "season_labels": lambda s, d: view(s, d, "box").select("season").distinct().select("season", identity.season_label(F.col("season") - 1).alias("label")),
     "assign_halves": lambda s, d: _halves(s, d).groupBy("season", "draw", "athlete_id").agg(F.count(F.when(F.col("half") == 0, 1)).alias("h0"), F.count(F.when(F.col("half") == 1, 1)).alias("h1"), F.sum(F.when(F.col("half") == 0, F.col("minutes"))).alias("m0")),
-    "draw_correlations": lambda s, d: tables.rounded(reliability.draw_correlations(_pairs(s, d), PROFILED), 6, "rho", "spearman", "games_per_half"),
+    "draw_correlations": lambda s, d: tables.rounded(_correlations(s, d), 6, "rho", "spearman", "games_per_half"),
     "reliability_season": _season_table,
     "reliability_query": lambda s, d: tables.reliability_query(_season_table(s, d, "odd_even"), 1998, "odd_even"),
     "reliability_odd_even": lambda s, d: _season_table(s, d, "odd_even"),

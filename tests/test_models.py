@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stintmill.functions import hashing, stats
-from stintmill.operators import stints, fusion, identity, panel, reliability, ridge
+from stintmill.operators import box, stints, fusion, identity, panel, reliability, ridge
 
 STINTS = "game_id string, offense_team_id long, defense_team_id long, offense_lineup string, defense_lineup string, possessions double, points double, opponent_points double"
 
@@ -244,6 +244,23 @@ def test_draw_correlations_rank_without_a_row_a_metric(spark):
         assert np.isnan(got[d, "flat"].rho) and got[d, "some"].players == 15
 
 
+def test_metrics_of_draws_are_taken_by_column(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1 + p % 2, p, g, g, 1, *[float(v) for v in rng.integers(1, 30, len(box.COUNTS))]) for p in range(14) for g in range(p % 3 * 10 + 1)]
+    df = spark.createDataFrame(rows, "season long, athlete_id long, game_id long, line long, part long, " + ", ".join(f"{c} double" for c in box.COUNTS))
+    names = tuple(m.name for m in box.metrics())
+    plan = reliability.measure(df.withColumn("team_id", F.lit(1)), "random", 3, 0.0, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "points#" in plan and "try_divide" not in plan and " >= 100.0" not in plan  # no row's shares and floors in the JVM
+    halves = reliability.drawn_totals(df, 3).where("a is not null and b is not null")
+    a, b = ({(r.season, r.draw, r.athlete_id): [r[n] for n in names] for r in box.with_metrics(halves.select("season", "draw", "athlete_id", f"{s}.*")).collect()} for s in "ab")
+    pairs = reliability.pairs_of(df, "random", 3, names)
+    got = {(r.season, r.draw, r.athlete_id): r for r in pairs.collect()}
+    assert got.keys() == a.keys() and all(r.first == a[k] and r.second == b[k] for k, r in got.items())
+    assert any(None in v for v in a.values())
+    key = lambda r: (r.season, r.draw, r.metric, round(r.rho, 9), r.players, round(r.spearman, 9), r.games_per_half)
+    assert sorted(map(key, reliability.drawn_correlations(df, "random", 3, names).collect())) == sorted(map(key, reliability.draw_correlations(pairs, names).collect()))
+
+
 def test_sums_of_models_equal_repeated_stints(spark, season):
     rows = ridge.design(spark.createDataFrame(season, STINTS))
     dealt = rows.withColumn("models", F.expr("filter(array(0, 1, 1, 3), m -> pmod(xxhash64(game_id), 3) <> m)"))
