@@ -58,6 +58,19 @@ def eligible_rows(box: DataFrame, least_team_games: int = 40, within: tuple[str,
     return merge_people(played, within) if merge and "athlete_display_name" in box.columns else played
 
 
+def added_up(rows: DataFrame, names: tuple[str, ...], merge: bool = True) -> DataFrame:
+    """(season, athlete_id, team_id, the counts of metrics ``names`` and minutes): eligible rows, unmerged, added up before ids are merged.
+
+    A merge asks for a person's names alone, so the rows that meet the mapping are people of teams and not games.
+    """
+    named = merge and "athlete_display_name" in rows.columns
+    keys = ["season", "athlete_id", "team_id"]
+    have = [c for c in COUNTS if c in {"minutes", *counts_of(names)}]
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in have]
+    each = rows.groupBy(*keys, *(["athlete_display_name"] if named else [])).agg(*sums)
+    return merge_people(each).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in have]) if named else each
+
+
 def totals(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Sums of the counting columns (all null: 0), distinct games and teams."""
     have = [c for c in COUNTS if c in rows.columns]

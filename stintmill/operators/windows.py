@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import written
 from . import box, fusion, panel, ridge, stints
 from .tables import with_coefficient
 
 
-def window_metrics(eligible: DataFrame, window: int = 3, measured: DataFrame | None = None) -> DataFrame:
+def window_metrics(eligible: DataFrame, window: int = 3, measured: DataFrame | None = None, added: bool = False) -> DataFrame:
     """(window_end, athlete_id, totals, metrics): metrics of pooled totals, with the coefficient of the window's last season.
 
-    measured: (season, coefficient); a season without one takes the pooled coefficient.
+    measured: (season, coefficient); a season without one takes the pooled coefficient. added: the rows are those of
+    ``box.added_up``, of which games cannot be counted, and totals are counts alone.
     """
-    pooled = box.pooled_totals(eligible, window)
+    if added:
+        counts = [c for c in eligible.columns if c in box.COUNTS]
+        people = eligible.groupBy("season", "athlete_id").agg(*[F.sum(c).alias(c) for c in counts])
+        pooled = box.spread_windows(people, window).groupBy("window_end", "athlete_id").agg(*[F.sum(c).alias(c) for c in counts])
+    else:
+        pooled = box.pooled_totals(eligible, window)
     if measured is None:
         return box.with_metrics(pooled)
     return box.with_metrics(with_coefficient(pooled, F.broadcast(measured), "window_end"), F.col("coefficient")).drop("coefficient")  # a row a season
@@ -22,7 +29,11 @@ def window_metrics(eligible: DataFrame, window: int = 3, measured: DataFrame | N
 
 def window_players(rows: DataFrame, window: int = 3, possession_floor: float = 2000.0) -> DataFrame:
     """(window_end, player_id) of players over the floor of possessions in a window."""
-    by_season = stints.possessions_by_player(stints.usable_stints(rows), ("season",))
+    return _players(ridge.line_up_sums(rows, 1.0, "season"), window, possession_floor)
+
+
+def _players(sums: DataFrame, window: int, possession_floor: float) -> DataFrame:
+    by_season = stints.possessions_by_player(sums.withColumnRenamed("w", "possessions"), ("season",))
     played = box.spread_windows(by_season, window).groupBy("window_end", "player_id").agg(F.sum("possessions").alias("possessions"))
     return played.where(F.col("possessions") >= possession_floor).select("window_end", "player_id")
 
@@ -30,11 +41,13 @@ def window_players(rows: DataFrame, window: int = 3, possession_floor: float = 2
 def window_ratings(rows: DataFrame, alpha: float, window: int = 3, possession_floor: float = 2000.0) -> DataFrame:
     """(window_end, player_id, offensive, defensive, total) of players over the floor in a window.
 
-    The sums of a season are added once and then go to each of its windows, so stints are not repeated.
+    The sums of a season are added once and then go to each of its windows, so stints are not repeated; they are read once,
+    since the line-ups' sums are written.
     """
-    by_season = ridge.gram(ridge.design(rows, 1.0, "season"), "season")
+    added = written(ridge.line_up_sums(rows, 1.0, "season"), "line-ups")
+    by_season = ridge.gram_of_line_ups(added, "season")
     sums = box.spread_windows(by_season, window).groupBy("window_end", "i", "j").agg(F.sum("s").alias("s"))
-    return ridge.solve_groups(sums, alpha, "window_end").join(window_players(rows, window, possession_floor), ["window_end", "player_id"], "left_semi")
+    return ridge.solve_groups(sums, alpha, "window_end").join(_players(added, window, possession_floor), ["window_end", "player_id"], "left_semi")
 
 
 def fusion_people(metrics: DataFrame, ratings: DataFrame, names: tuple[str, ...], crosswalk: DataFrame | None = None, minutes_floor: float = 1000.0) -> DataFrame:

@@ -38,11 +38,13 @@ def _fitted(s, d):
 
 
 def _panel(s, d):
-    rows = box.eligible_rows(view(s, d, "box"))
-    people = box.with_metrics(box.totals(rows, ("season", "athlete_id")), only=CANDIDATES)
-    placed = people.join(box.primary_team(rows).select("season", "athlete_id", "team_id"), ["season", "athlete_id"])
-    out = box.weighted_means(placed, CANDIDATES, ("season", "team_id"))
-    # seasons x teams, a few hundred rows: the folds read it from memory
+    rows = box.added_up(box.eligible_rows(view(s, d, "box"), merge=False), CANDIDATES)
+    counts = [c for c in rows.columns if c in box.COUNTS]
+    team = F.max_by("team_id", F.struct("minutes", -F.col("team_id"))).alias("team_id")
+    people = rows.groupBy("season", "athlete_id").agg(team, *[F.sum(c).alias(c) for c in counts])
+    out = box.weighted_means(box.with_metrics(people, only=CANDIDATES), CANDIDATES, ("season", "team_id"))
+    # seasons x teams, a few hundred rows: the target and the folds read it from memory
+    out = out.repartition(1).cache()
     return panel.next_season_target(out, out, "points_per_36").repartition(1).cache()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stintmill.functions import hashing, stats
-from stintmill.operators import box, stints, fusion, identity, panel, reliability, ridge
+from stintmill.operators import box, stints, fusion, identity, panel, reliability, ridge, windows
 
 STINTS = "game_id string, offense_team_id long, defense_team_id long, offense_lineup string, defense_lineup string, possessions double, points double, opponent_points double"
 
@@ -269,6 +269,29 @@ def test_sums_of_models_equal_repeated_stints(spark, season):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in want)
 
 
+def test_people_are_added_up_before_ids_are_merged(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1 + i % 2, p, int(rng.integers(0, 3)), None if p == 9 else f"P{p // 2}", i, 2, False, *[float(v) for v in rng.integers(1, 30, len(box.COUNTS))]) for i in range(400) for p in [int(rng.integers(0, 10))]]
+    df = spark.createDataFrame(rows, "season long, athlete_id long, team_id long, athlete_display_name string, game_id long, season_type int, did_not_play boolean, " + ", ".join(f"{c} double" for c in box.COUNTS))
+    names = tuple(m.name for m in box.metrics())
+    got = box.added_up(box.eligible_rows(df, 1, merge=False), names)
+    want = box.totals(box.eligible_rows(df, 1), ("season", "athlete_id", "team_id")).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in "".join(plan[plan.index("Join LeftOuter") :].split("\n")[1:3])  # no row of a game meets the mapping
+
+
+def test_line_ups_are_added_up_by_their_texts(spark, season):
+    rows = spark.createDataFrame(season, STINTS).withColumn("season", F.expr("pmod(xxhash64(game_id), 2)"))
+    sums = ridge.line_up_sums(rows, 1.0, "season")
+    got = {(r.season, r.i, r.j): r.s for r in ridge.gram_of_line_ups(sums, "season").collect()}
+    want = {(r.season, r.i, r.j): r.s for r in ridge.gram(ridge.design(rows, 1.0, "season"), "season").collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-6) for k in want)
+    played = {(r.window_end, r.player_id) for r in windows.window_players(rows, 1, 50.0).collect()}
+    plain = stints.possessions_by_player(stints.usable_stints(rows), ("season",)).where("possessions >= 50")
+    assert played == {(r.season, r.player_id) for r in plain.collect()}
+
+
 def test_products_are_taken_once_a_line_up(spark, season):
     rows = ridge.design(spark.createDataFrame(season, STINTS))
     plan = ridge.gram(rows)._jdf.queryExecution().optimizedPlan().toString()
