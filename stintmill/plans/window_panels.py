@@ -27,19 +27,21 @@ def _measured(s, d):
     return found.select((F.col("season") - SHIFT).alias("season"), "coefficient")
 
 
-def _metrics(s, d):
-    return windows.window_metrics(_eligible(s, d), WINDOW, _measured(s, d))
+def _named(s, d):
+    """The metrics of every window, without games and teams: people's seasons are added up before they go to windows."""
+    rows = box.added_up(box.eligible_rows(view(s, d, "box"), merge=False), NAMES)
+    return windows.window_metrics(rows, WINDOW, _measured(s, d), added=True)
 
 
 def _people(s, d):
     rated = windows.window_ratings(view(s, d, "stints"), ALPHA, WINDOW, POSSESSIONS)
-    return windows.fusion_people(_metrics(s, d), rated, NAMES, minutes_floor=MINUTES)
+    return windows.fusion_people(_named(s, d), rated, NAMES, minutes_floor=MINUTES)
 
 
 def _box_panel(s, d):
     """The panel of box-score candidates, of everyone over the floors: nobody's rating need be known."""
     rated = windows.window_players(view(s, d, "stints"), WINDOW, POSSESSIONS).withColumn("total", F.lit(0.0))
-    people = windows.fusion_people(_metrics(s, d), rated, NAMES, minutes_floor=MINUTES)
+    people = windows.fusion_people(_named(s, d), rated, NAMES, minutes_floor=MINUTES)
     return windows.team_panel(people, _eligible(s, d), view(s, d, "stints"), NAMES)
 
 
@@ -51,7 +53,7 @@ def _panel(s, d):
 
 
 QUERIES = {
-    "window_metrics": lambda s, d: rounded(_metrics(s, d).select("window_end", "athlete_id", *NAMES), 9, *NAMES),
+    "window_metrics": lambda s, d: rounded(_named(s, d).select("window_end", "athlete_id", *NAMES), 9, *NAMES),
     "window_ratings": lambda s, d: windows.window_ratings(view(s, d, "stints"), ALPHA, WINDOW, POSSESSIONS),
     "window_people": lambda s, d: _people(s, d),
     "window_panel": lambda s, d: rounded(_box_panel(s, d), 6, *NAMES, "target"),
