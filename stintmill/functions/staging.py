@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +23,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parts_for(spark: SparkSession, rows: int, a_part: int) -> int:
+    """Parts of at most about ``a_part`` rows, so that what a task holds does not grow with the table; at least one a core."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / a_part))

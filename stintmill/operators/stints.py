@@ -77,7 +77,11 @@ def season_stints(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     possession without a number, or two of one number), unattributed (a counted possession without both teams), uncounted
     (no possession is counted). A game's possessions go on only if it has no failure. Repeated game_ids fail as repeated.
     """
-    read = payloads.withColumn("_g", F.from_json("json", PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    # one row a game: of repeated ones any text will do, since they fail whatever they say. Read inside the aggregate, a
+    # text is read once: a filter that goes below a projection would read it for each mention of what it says
+    text = F.max("json")
+    parsed = F.from_json(text, PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    read = payloads.where("game_id is not null").groupBy("game_id").agg(text.alias("json"), parsed.alias("_g"), F.count("*").alias("_copies"))
     counted = F.expr("flatten(transform(coalesce(_g.possessions, array()), p -> filter(coalesce(p.stats, array()), x -> x.stat_key = 'OffPoss')))")
     numbers = F.expr("transform(coalesce(_g.possessions, array()), p -> p.possession_no)")
     reason = (
@@ -88,14 +92,39 @@ def season_stints(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.exists(counted, lambda x: x["team_id"].isNull() | x["opponent_team_id"].isNull()), "unattributed")
         .when(F.size(counted) == 0, "uncounted")
     )
-    # copies are counted on ids alone; payloads are not shuffled but by their own join
-    copies = payloads.groupBy("game_id").agg(F.count("*").alias("_copies"))
-    judged = read.join(copies, "game_id").withColumn("reason", reason)
+    judged = read.withColumn("reason", reason)
     detail = F.when(F.col("reason") == "corrupt", F.left(F.coalesce("json", F.lit("")), F.lit(60))).otherwise(F.lit(""))
-    failures = judged.where("reason is not null").groupBy("game_id").agg(F.min("reason").alias("reason"), F.min(detail).alias("detail"))
-    each = judged.where("reason is null").select("game_id", F.explode("_g.possessions").alias("p")).select("game_id", "p.possession_no", F.explode("p.stats").alias("s"))
-    stats = each.select("game_id", "possession_no", *[F.col(f"s.{c}").alias(c) for c in STAT])
-    return stints(possessions(stats)), failures
+    failures = judged.where("reason is not null").select("game_id", "reason", detail.alias("detail"))
+    each = judged.where("reason is null").select("game_id", F.explode("_g.possessions").alias("p")).select("game_id", F.coalesce("p.stats", F.array()).alias("stats"))
+    return stints(told_possessions(each)), failures
+
+
+def told_possessions(each: DataFrame) -> DataFrame:
+    """``possessions`` of rows that each hold all stats of one possession (game_id, stats), with no other row read or held."""
+    of = lambda key: F.filter("stats", lambda x: x["stat_key"] == key)
+    placed = lambda rows: F.filter(rows, lambda x: x["stat_no"].isNotNull())
+    first = F.array_min(F.transform(placed(of("OffPoss")), lambda x: F.struct(*[x[c].alias(c) for c in ("stat_no", "team_id", "opponent_team_id", "lineup_id", "opponent_lineup_id")])))
+    pairing = ("opponent_team_id", "lineup_id", "opponent_lineup_id")
+    said = F.sort_array(F.transform(placed(of("OpponentPoints")), lambda x: F.struct(*[x[c].alias(c) for c in (*pairing, "stat_no", "stat_value")])))
+    rows = each.where(F.size(of("OffPoss")) > 0).select("game_id", first.alias("o"), said.alias("said"))
+
+    def is_last(x, i):  # of its pairing, in the order of said
+        following = F.get("said", i + 1)
+        return (i + 1 == F.size("said")) | ~F.struct(*[x[c] for c in pairing]).eqNullSafe(F.struct(*[following[c] for c in pairing]))
+
+    def points(own: bool):
+        counts = lambda x: (x["opponent_team_id"] == F.col("o.team_id")) if own else (x["opponent_team_id"] != F.col("o.team_id"))
+        return F.aggregate("last", F.lit(0).cast("long"), lambda sum_, x: sum_ + F.coalesce(F.when(counts(x), x["stat_value"]), F.lit(0)))
+
+    return rows.withColumn("last", F.filter("said", is_last)).select(
+        "game_id",
+        F.col("o.team_id").alias("offense_team_id"),
+        F.col("o.opponent_team_id").alias("defense_team_id"),
+        F.col("o.lineup_id").alias("offense_lineup"),
+        F.col("o.opponent_lineup_id").alias("defense_lineup"),
+        points(True).alias("points"),
+        points(False).alias("opponent_points"),
+    )
 
 
 def season_summary(found: DataFrame, failures: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.staging import parts_for
 from ..operators import events, shots, stints, tables
-from ..sources.views import ctes, view
+from ..sources.views import ctes, table, view
 
 
 def _classified(spark, sf):
@@ -37,9 +38,18 @@ def _tenure_mismatch(spark, sf):
 BROKEN = {"missing": (13, 6), "cut": (7, 3), "typed": (17, 8), "empty": (11, 5), "renamed": (19, 4)}
 
 
+# Possessions that a task puts into payloads. A task that only writes their rows out takes four times as many.
+POSSESSIONS = 50_000
+
+
 def _payloads(spark, sf):
-    """Each game's possessions as one JSON text; some are broken."""
-    rows = view(spark, sf, "possession_stats")
+    """Each game's possessions as one JSON text; some are broken.
+
+    Orders are dealt before each becomes six rows, and these by game, in parts whose number grows with the orders.
+    """
+    n = table(spark, sf, "orders").count()
+    wide, narrow = (parts_for(spark, n, size) for size in (POSSESSIONS, 4 * POSSESSIONS))
+    rows = view(spark, sf, "possession_stats", lambda orders: orders.repartition(narrow, "o_orderkey")).repartition(wide, "game_id")
     one = rows.groupBy("game_id", "possession_no").agg(F.collect_list(F.struct(*stints.STAT)).alias("stats"))
     json = one.groupBy("game_id").agg(F.to_json(F.struct(F.collect_list(F.struct("possession_no", "stats")).alias("possessions"))).alias("json"))
     broken = {

@@ -7,6 +7,7 @@ The SQL is plain enough for Spark and DuckDB to read alike, so an oracle starts
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -127,9 +128,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the views as a DataFrame."""
-    return spark.sql(SQL[name], **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", SQL[name]))})
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """One of the views as a DataFrame; dealt is put between each of its tables and the view."""
+    return spark.sql(SQL[name], **{t: dealt(table(spark, sf_dir, t)) for t in set(re.findall(r"\{(\w+)\}", SQL[name]))})
 
 
 def ctes(*names: str) -> str:
