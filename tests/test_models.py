@@ -312,3 +312,11 @@ def test_steps_from_sums_by_pattern_equal_steps_over_people(spark, monkeypatch):
     for key in models:
         for part in ("loadings", "intercepts", "loading_sd"):
             assert np.allclose(by_pattern[key][part], by_people[key][part], rtol=1e-8, atol=1e-10)
+
+
+def test_games_draws_are_not_broadcast_to_an_error_profile(spark):
+    from stintmill.sources.views import view
+
+    rows = ridge.design(view(spark, "/root/testdata/sf0.001", "stints"))
+    plan = ridge.bootstrap_se(rows, 3000.0, draws=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2  # of games with their draws, and of stints with these
