@@ -391,3 +391,41 @@ def test_line_sketches_of_long_and_odd_lines():
     minima = lines.line_minima(odd)
     assert (minima == np.vstack([lines.line_minima([t]) for t in odd])).all()
     assert lines.line_keys(minima).shape == (len(odd), len(lines.BANDS))
+
+
+def test_lines_are_found_by_dataframe_operations_alone(spark, monkeypatch):
+    """No Python on the executors, also where leaders leave pairs open and nearest ones are tested first."""
+
+    def refused(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    from pyspark.sql import DataFrame
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(spark.range(1)), name, refused)
+        monkeypatch.setattr(DataFrame, name, refused)
+    monkeypatch.setattr(linking, "MANY", 0)
+    rng = random.Random(3)
+    every = []
+    for _ in range(6):  # families of which each line is an edited copy of another
+        family = ["".join(rng.choices("abcdefgh ", k=rng.choice([60, 150, 400]))).strip()]
+        for _ in range(12):
+            line = rng.choice(family)
+            at = rng.randrange(len(line) - 6)
+            family.append((line[:at] + "".join(rng.choices("xyz", k=3)) + line[at + 3 :]).strip())
+        every += family
+    every += ["x" * 3000, "x" * 7, "ab"]
+    sets = lines.line_sets(every)
+    sizes = frame(spark, list(enumerate(every))).select("doc_id", F.size(lines.shingle_set(F.col("text"))).alias("n")).collect()
+    assert {r.doc_id: r.n for r in sizes} == {k: len(s) for k, s in enumerate(sets)}
+    group = list(range(len(every)))
+    for a in range(len(every)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    found = lines.duplicate_lines(frame(spark, list(enumerate(every))))
+    assert not any(word in found._jdf.queryExecution().toString() for word in ("Python", "Pandas", "Arrow"))
+    got, want = {r.doc_id for r in found.collect()}, {k for k, g in enumerate(group) if g != k}
+    assert got <= want and len(want - got) <= 0.02 * len(want)
