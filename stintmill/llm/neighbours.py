@@ -7,8 +7,8 @@ until ``visits`` of them are. How many that takes is calibrated: some queries ar
 brute force over all vectors, and visits widen until their recall reaches the target.
 
 Equal vectors are one vector of the index with their smallest ids: no answer needs more than
-k + 1 of them. Leaves are read in blocks, and the queries that visit a leaf in parts, so a crowded leaf is
-many small tasks.
+k + 1 of them. Small leaves that lie side by side are read as one block and a crowded leaf as many, and the
+queries that visit a block in parts, so no task holds more than a block, a part and a bounded batch of routes.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import small_batches, staged, table
 
+CELLS = 1 << 20  # numbers that a task holds at once in one table of distances, or of vectors on their way
 
 class Tree:
     """Nodes in arrays: ``centres[n]``, ``children[n]`` (empty at a leaf), ``leaf[n]`` (-1 inside)."""
@@ -47,6 +48,17 @@ class Tree:
                 self.children.append([])
                 self.leaf.append(-1)
         self.centres = np.array(self.centres)
+        self.squares = (self.centres**2).sum(axis=1)
+        #: The nodes of each level below the root with their parents, and of each leaf its path below the root; short paths repeat their end.
+        self.levels, paths = [], {0: []}
+        level = [0]
+        while pairs := [(kid, node) for node in level for kid in self.children[node]]:
+            self.levels.append(tuple(np.array(p) for p in zip(*pairs, strict=True)))
+            paths |= {kid: [*paths[node], kid] for kid, node in pairs}
+            level = [kid for kid, _ in pairs]
+        ends = {leaf: node for node, leaf in enumerate(self.leaf) if leaf >= 0}
+        depth = max(1, len(self.levels))
+        self.paths = np.array([(paths[n] or [n]) + [n] * (depth - max(1, len(paths[n]))) for _, n in sorted(ends.items())])
 
     @staticmethod
     def _split(rows: np.ndarray, k: int, rng) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -87,6 +99,36 @@ class Tree:
             for far, kid in zip(((self.centres[kids] - query) ** 2).sum(axis=1), kids, strict=True):
                 heapq.heappush(queue, (float(far), kid))
 
+    def first(self, queries: np.ndarray, visits: int) -> np.ndarray:
+        """For each query the leaves that ``walk`` gives first: ``visits`` of them as columns, the very first in front.
+
+        A queue opens a leaf when the farthest node of its path has come up; of leaves behind the same farthest
+        node those come first whose paths go on nearer.
+        """
+        far = (queries**2).sum(axis=1)[:, None] - 2 * (queries @ self.centres.T) + self.squares
+        worst = far.copy()
+        worst[:, 0] = -np.inf
+        for nodes, parents in self.levels:
+            worst[:, nodes] = np.maximum(worst[:, parents], worst[:, nodes])
+        worst = worst[:, self.paths[:, -1]]
+        visits = min(visits, self.leaves)
+        bound = np.partition(worst, visits - 1, axis=1)[:, visits - 1]
+        out = np.empty((len(queries), visits), np.int64)
+        for k, (row, last) in enumerate(zip(worst, bound, strict=True)):
+            sure, level = np.flatnonzero(row < last), np.flatnonzero(row == last)
+            if len(level) > visits - len(sure):
+                level = self._turns(far[k], level)[: visits - len(sure)]
+            out[k] = np.append(sure, level)
+            least = out[k][row[out[k]] == row[out[k]].min()]
+            start = int(np.flatnonzero(out[k] == self._turns(far[k], least)[0])[0])
+            out[k, [0, start]] = out[k, [start, 0]]
+        return out
+
+    def _turns(self, far: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """leaves in the order in which a queue opens them, by the distances of all nodes."""
+        ahead = np.maximum.accumulate(far[self.paths[leaves]][:, ::-1], axis=1)[:, ::-1]
+        return leaves[np.lexsort(ahead.T[::-1])]
+
 
 def _unit(vectors: pd.Series) -> np.ndarray:
     rows = np.array(vectors.tolist(), dtype=float)
@@ -109,37 +151,100 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (length.n if length else 0))
 
 
-def _tops(pdf_v: pd.DataFrame, vs: np.ndarray, pdf_q: pd.DataFrame, qs: np.ndarray, keep: int) -> list[tuple]:
-    """(q, id, score) of the ``keep`` best rows of a block for each query, of those not below its ``floor``.
+def _tops(vectors: pd.DataFrame, queries: pd.DataFrame, keep: int, met=None) -> list[tuple]:
+    """(q, id, score) of the ``keep`` best vectors (id, v) for each query (q, v), of those not below its ``floor``.
 
-    Products within rounding of the last of them are all scored exactly; ties go to the smaller id.
+    met gives, for a range of queries, pairs of arrays: queries and the vectors that they meet, by position; all by default.
+    Products within rounding of the last of the best are all scored exactly; ties go to the smaller id.
     """
     out = []
-    floor = pdf_q["floor"].to_numpy() if "floor" in pdf_q else np.full(len(pdf_q), -2.0)
-    raw_v, raw_q = pdf_v["v"].to_numpy(), pdf_q["v"].to_numpy()
-    ids, names = pdf_v["id"].to_numpy(), pdf_q["q"].to_numpy()
-    for start in range(0, len(qs), 256):
-        near = qs[start : start + 256] @ vs.T
-        n = min(keep, near.shape[1])
-        last = -np.partition(-near, n - 1, axis=1)[:, n - 1]
-        for j, least in enumerate(np.maximum(last, floor[start : start + len(last)]) - 1e-9):
-            a = np.asarray(raw_q[start + j], dtype=float)
-            row = np.flatnonzero(near[j] >= least)
-            scored = sorted((-cosine(a, np.asarray(raw_v[k], dtype=float)), int(ids[k])) for k in row)
-            out.extend((int(names[start + j]), k, -score) for score, k in scored[:keep])
+    vs, qs = _unit(vectors["v"]), _unit(queries["v"])
+    floor = queries["floor"].to_numpy(copy=True) if "floor" in queries else np.full(len(queries), -2.0)
+    raw_v, raw_q = vectors["v"].to_numpy(), queries["v"].to_numpy()
+    ids, names = vectors["id"].to_numpy(), queries["q"].to_numpy()
+    known: dict[int, tuple] = {}
+
+    def scaled(v: np.ndarray) -> tuple[np.ndarray, float]:
+        v = np.asarray(v, dtype=float)
+        v = v / np.abs(v).max()
+        return v, math.fsum((v * v).tolist())
+
+    step = max(1, min(256, CELLS // max(1, len(vs))))
+    for start in range(0, len(qs), step):
+        stop = min(start + step, len(qs))
+        hits = []
+        for asks, rows in met(start, stop) if met else [(np.arange(start, stop), np.arange(len(vs)))]:
+            near = qs[asks] @ vs[rows].T
+            hit = near >= (floor[asks] - 1e-9)[:, None]
+            for j in np.flatnonzero(np.count_nonzero(hit, axis=1) > keep):
+                # its own best push the floor up: what lies under keep of them is no answer
+                floor[asks[j]] = max(floor[asks[j]], np.partition(near[j][hit[j]], -keep)[-keep])
+                hit[j] = near[j] >= floor[asks[j]] - 1e-9
+            a, b = np.nonzero(hit)
+            hits.append((asks[a], rows[b], near[a, b]))
+        if not hits:
+            continue
+        ask, row, near = (np.concatenate(h) for h in zip(*hits, strict=True))
+        order = np.lexsort((-near, ask))
+        ask, row, near = ask[order], row[order], near[order]
+        edges = np.flatnonzero(np.append(True, ask[1:] != ask[:-1])) if len(ask) else []
+        for low, high in zip(edges, np.append(edges[1:], len(ask)).astype(int), strict=True):
+            least = near[min(low + keep, high) - 1] - 1e-9
+            a, aa = scaled(raw_q[ask[low]])
+            scored = []
+            for k, close in zip(row[low:high].tolist(), near[low:high].tolist(), strict=True):
+                if close < least:
+                    break
+                if k not in known:
+                    known[k] = scaled(raw_v[k])
+                b, bb = known[k]
+                scored.append((-math.fsum((a * b).tolist()) / math.sqrt(aa * bb), int(ids[k])))
+            out.extend((int(names[ask[low]]), k, -score) for score, k in sorted(scored)[:keep])
     return out
 
 
+def _met(leaf: np.ndarray, leaves: list[np.ndarray]):
+    """For ``_tops``: queries meet the vectors of the leaves that they visit."""
+    order = np.argsort(leaf, kind="stable")
+    here, edges = np.unique(leaf[order], return_index=True)
+    parts = dict(zip(here.tolist(), np.split(order, edges[1:]), strict=True))
+
+    def met(start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = [np.asarray(v, dtype=np.int64) for v in leaves[start:stop]]
+        ask, at = np.repeat(np.arange(start, stop), [len(v) for v in own]), np.concatenate(own)
+        by = np.argsort(at, kind="stable")
+        seen, cuts = np.unique(at[by], return_index=True)
+        for k, asks in zip(seen.tolist(), np.split(ask[by], cuts[1:]), strict=True):
+            if k in parts:
+                yield asks, parts[k]
+
+    return met
+
+
+def _blocks(counts: dict[int, int], leaves: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each leaf its first block and its number of blocks, of about ``rows`` vectors each."""
+    first, many = np.zeros(leaves, np.int64), np.ones(leaves, np.int64)
+    block, held = 0, 0
+    for leaf in range(leaves):
+        n = counts.get(leaf, 0)
+        if held and held + n > rows:
+            block, held = block + 1, 0
+        first[leaf] = block
+        many[leaf] = max(1, -(-n // rows))
+        held += n
+        if many[leaf] > 1:
+            block, held = block + int(many[leaf]), 0
+    return first, many
+
+
 def _brute(unique: DataFrame, queries: list, keep: int) -> DataFrame:
     """The best vectors of each of a few queries, over all: (q, id, score)."""
     shared = unique.sparkSession.sparkContext.broadcast(pd.DataFrame(queries, columns=["q", "v"]))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = shared.value
-        asked = _unit(ask["v"])
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame(_tops(pdf, _unit(pdf["v"]), ask, asked, keep), columns=["q", "id", "score"])
+                yield pd.DataFrame(_tops(pdf, shared.value, keep), columns=["q", "id", "score"])
 
     every = unique.select("id", "v").mapInPandas(scan, "q long, id long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
@@ -154,8 +259,8 @@ def nearest(
     sample_rows: int = 40_000,
     calibration_queries: int = 100,
     leaf_rows: int = 400,
-    block_rows: int = 1000,
-    query_rows: int = 2000,
+    block_rows: int = 16_000,
+    query_rows: int = 8_000,
     branching: int = 8,
     seed: int = 20240817,
     id_col: str = "vec_id",
@@ -170,6 +275,7 @@ def nearest(
     """
     spark = vectors.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     # equal vectors: the least id stands for them, and k + 1 ids are kept
     keyed = usable(vectors, id_col, vec_col).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v")).withColumn("key2", F.hash("v"))
     order = Window.partitionBy("key", "key2").orderBy("vec_id")
@@ -183,7 +289,8 @@ def nearest(
     rate = min(1.0, sample_rows / size)
     sample = unique.where(draw < int(1_000_000 * rate)).select("v").toPandas() if rate < 1 else unique.select("v").toPandas()
     sample = sample if len(sample) else unique.select("v").limit(1).toPandas()
-    tree = sc.broadcast(Tree(_unit(sample["v"]), leaf_rows * len(sample) / size, branching, seed))
+    sample_vectors = _unit(sample["v"])
+    tree = sc.broadcast(Tree(sample_vectors, leaf_rows * len(sample) / size, branching, seed))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,42 +313,55 @@ def nearest(
         turns = sorted(ways[r.q][r.leaf] for r in truth)
         visits = turns[math.ceil(target_recall * len(turns)) - 1] if turns else 1
 
+    # a task compares at most about block_rows vectors with query_rows queries that visit them, and less where that leaves tasks idle
+    dim = max(1, sample_vectors.shape[1])
+    block_rows = min(block_rows, max(1000, min(CELLS // dim, size // (2 * sc.defaultParallelism))))
+    query_rows = min(query_rows, max(1000, CELLS // dim))
+    first_block, n_blocks = _blocks(counts, tree.value.leaves, block_rows)
+    sizes = np.array([counts.get(leaf, 0) for leaf in range(tree.value.leaves)])
+    per_batch = max(1, min(256, CELLS // max(len(tree.value.leaf), int(n_blocks.sum()) * dim)))
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for q, v, u in zip(pdf["q"], pdf["v"], _unit(pdf["v"]) if len(pdf) else [], strict=True):
-                seen = met = 0
-                for leaf in tree.value.walk(u):
-                    if seen >= visits and met > k:
-                        break
-                    seen, met = seen + 1, met + counts.get(leaf, 0)
-                    if leaf in counts:
-                        rows.append((q, leaf, seen, v))
-            yield pd.DataFrame(rows, columns=["q", "leaf", "turn", "v"])
-
-    # a task compares at most about block_rows vectors of a leaf with query_rows queries that visit it
-    visited = wanted.select("q", "v").mapInPandas(route, "q long, leaf long, turn int, v array<double>")
-    asks = {r.leaf: -(-r["count"] // query_rows) for r in visited.groupBy("leaf").count().collect()}
-    plan = [(leaf, -(-n // block_rows), asks[leaf]) for leaf, n in counts.items() if leaf in asks]
-    plan = F.broadcast(spark.createDataFrame(plan, "leaf long, blocks long, parts long"))  # one row a leaf of the bounded tree
-    routed = visited.join(plan, "leaf").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    dealt = indexed.join(plan, "leaf").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+            for start in range(0, len(pdf), per_batch):
+                part = pdf.iloc[start : start + per_batch]
+                units = _unit(part["v"])
+                rows = []
+                for q, v, u, seen in zip(part["q"], part["v"], units, tree.value.first(units, visits), strict=True):
+                    if sizes[seen].sum() <= k:  # too few vectors, so the walk goes on
+                        way = np.fromiter(tree.value.walk(u), np.int64)
+                        seen = way[: max(visits, int(np.searchsorted(np.cumsum(sizes[way]), k, "right")) + 1)]
+                    for now, leaves in (("first", seen[:1]), ("later", seen[1:])):
+                        leaves = leaves[sizes[leaves] > 0]
+                        leaves = leaves[np.argsort(first_block[leaves], kind="stable")]
+                        blocks, cuts = np.unique(first_block[leaves], return_index=True)
+                        for block, own in zip(blocks.tolist(), np.split(leaves, cuts[1:]) if len(leaves) else [], strict=True):
+                            rows.extend((q, v, now, block + j, own) for j in range(int(n_blocks[own].max())))
+                yield pd.DataFrame(rows, columns=["q", "v", "turn", "block", "leaves"])
+
+    visited = wanted.select("q", "v").mapInPandas(route, "q long, v array<double>, turn string, block long, leaves array<int>")
+    asks = [(r.block, -(-r["count"] // query_rows)) for r in visited.groupBy("block").count().collect()]  # one row a block
+    asks = F.broadcast(spark.createDataFrame(asks, "block long, parts long"))
+    plan = [(leaf, int(first_block[leaf]), int(n_blocks[leaf])) for leaf in counts]
+    plan = F.broadcast(spark.createDataFrame(plan, "leaf long, first_block long, n_blocks long"))  # one row a leaf of the bounded tree
+    routed = visited.join(asks, "block").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts"))).drop("parts")
+    dealt = indexed.join(plan, "leaf").withColumn("block", F.col("first_block") + F.pmod(F.xxhash64("id"), F.col("n_blocks"))).join(asks, "block")
+    dealt = dealt.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).select("block", "part", "leaf", "id", "v")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = _tops(left, _unit(left["v"]), right, _unit(right["v"]), k + 1) if len(left) and len(right) else []
+        rows = _tops(left, right, k + 1, _met(left["leaf"].to_numpy(), right["leaves"].tolist())) if len(left) and len(right) else []
         return pd.DataFrame(rows, columns=["q", "id", "score"])
 
     def searched(asks: DataFrame) -> DataFrame:
-        asks = asks.drop("blocks", "parts")
-        groups = dealt.select("leaf", "block", "part", "id", "v").groupBy("leaf", "block", "part").cogroup(asks.groupBy("leaf", "block", "part"))
+        groups = dealt.groupBy("block", "part").cogroup(asks.groupBy("block", "part"))
         return groups.applyInPandas(compare, "q long, id long, score double")
 
     # the leaf opened first sets a floor: what lies under its k + 1 best is no answer and is not handed on
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    first = staged(searched(routed.where("turn = 1").drop("turn")), "first-leaf")
+    first = staged(searched(routed.where("turn = 'first'").drop("turn")), "first-leaf")
     ranked = first.withColumn("n", F.row_number().over(best))
     floors = ranked.where(F.col("n") == k + 1).select("q", F.col("score").alias("floor"))
-    later = routed.where("turn > 1").drop("turn").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    later = routed.where("turn = 'later'").drop("turn").join(floors, "q", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
     found = first.unionByName(searched(later))
     found = staged(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n"), "found")
     # back to ids: of the queries that share a vector, and of the vectors that are equal

@@ -7,6 +7,7 @@ import re
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,3 +318,33 @@ def test_warc_of_empty_null_and_repeated_ids(spark):
     assert back([(None, "u", "z"), (3, "u", text), (3, "u", text), (4, "v", text), (4, "v", "short")]) == collections.Counter(
         [(None, "response", None, 1), (3, "response", None, 200), (3, "response", None, 200), (4, "revisit", 3, 200), (4, "response", None, 5)]
     )
+
+
+def test_neighbours_visit_leaves_in_the_order_of_the_queue_and_routes_stay_small(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3000, 16))
+    tree = neighbours.Tree(neighbours._unit(pd.Series(list(v))), 20, 5, 1)
+    asked = neighbours._unit(pd.Series(list(rng.normal(size=(40, 16)))))
+    for visits in (1, 7, 60, tree.leaves, tree.leaves + 5):
+        for u, leaves in zip(asked, tree.first(asked, visits), strict=True):
+            walked = list(tree.walk(u))[:visits]
+            assert leaves[0] == walked[0]
+            assert sorted(leaves) == sorted(walked)
+    # a query's vector is sent once a block, not once a leaf that it visits
+    frames = type(spark.range(1))
+    sent, route = [], frames.mapInPandas
+
+    def watched(df, fn, schema):
+        out = route(df, fn, schema)
+        if "leaves" in str(schema):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(frames, "mapInPandas", watched)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    ask = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    got = neighbours.nearest(df, ask, leaf_rows=20).collect()
+    assert sent and sent[0] <= 60 * 4 + 60  # 3 blocks or 4, and the first leaf by itself; there are over 150 leaves
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = {q: set(np.argsort(-np.where(np.arange(3000) == q, -2, u @ u[q]))[:5].tolist()) for q in range(0, 3000, 50)}
+    assert len(got) == 300 and sum(r.vec_id in best[r.query_id] for r in got) >= 0.9 * 300
