@@ -429,3 +429,74 @@ def test_lines_are_found_by_dataframe_operations_alone(spark, monkeypatch):
     assert not any(word in found._jdf.queryExecution().toString() for word in ("Python", "Pandas", "Arrow"))
     got, want = {r.doc_id for r in found.collect()}, {k for k, g in enumerate(group) if g != k}
     assert got <= want and len(want - got) <= 0.02 * len(want)
+
+
+def test_pairs_are_screened_before_the_exact_test_without_loss(spark, monkeypatch):
+    """Edited copies of lines that come near each other but not to 0.8 meet no exact test, and no alike pair is screened out."""
+    rng = random.Random(8)
+    every = []
+    for size in (40, 90, 300, 900):
+        for _ in range(3):
+            base = rng.choices("abcdefgh ", k=size)
+            for edits in (0, 1, 2, size // 60, size // 45, size // 30, size // 20, size // 15):
+                line = list(base)
+                for at in rng.sample(range(1, size - 1), edits):
+                    line[at] = rng.choice("xyz")
+                every.append("".join(line).strip() + ".")
+    every += ["x" * 2000, "abc", "漢字" * 40, "漢字" * 41, ""]
+    named = frame(spark, list(enumerate(every))).select(F.col("doc_id").alias("id"), F.col("text").alias("line"))
+    bits = lines.shingle_bits(named)
+    may = lines.may_be_alike(0.8)
+    sides = [bits.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits")) for s in ("a", "b")]
+    passed = {(r.a, r.b) for r in sides[0].crossJoin(sides[1]).where("a < b").where(may("a_", "b_")).select("a", "b").collect()}
+    sets = lines.line_sets(every)
+    similar = {}
+    for b in range(len(every)):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            similar[a, b] = both / (len(sets[a]) + len(sets[b]) - both)
+    assert {p for p, s in similar.items() if s >= 0.8} <= passed
+    assert len(similar) > 5000 and sum(s < 0.7 for p, s in similar.items() if p in passed) <= 5
+    # what duplicate_lines hands to the exact test of open pairs
+    tested, exact = [], linking._tested
+
+    def counted(pairs, sets_of, alike):
+        tested.append(pairs.count())
+        return exact(pairs, sets_of, alike)
+
+    monkeypatch.setattr(linking, "_tested", counted)
+    family = []
+    for _ in range(4):
+        words = [rng.choices("abcdefgh", k=5) for _ in range(40)]
+        for _ in range(12):  # pairs of about 0.6 share keys, but are not alike
+            family.append(" ".join("".join(rng.choices("xyz", k=5) if rng.random() < 0.11 else w) for w in words))
+    lines.duplicate_lines(frame(spark, list(enumerate(family)))).collect()
+    assert sum(tested[1:]) <= 12
+    before = len(tested)
+    monkeypatch.setattr(linking, "_screened", lambda pairs, marks, may: pairs)
+    lines.duplicate_lines(frame(spark, list(enumerate(family)))).collect()
+    assert sum(tested[before + 1 :]) >= 40
+
+
+def test_lines_with_some_empty_bins_equal_brute_force(spark):
+    """Lines of 30 to 300 characters, where bins begin to stay empty, lose no more pairs than others."""
+    rng = random.Random(2)
+    texts = []
+    for k in range(300):
+        line = rng.choices("abcdefghijklmnopqrstuvwxyz ", k=rng.randrange(30, 300))
+        line[0], line[-1] = "a", "z"
+        texts.append((2 * k, "".join(line)))
+        at = rng.randrange(1, len(line) - 1)
+        for _ in range(max(1, len(line) // 60)):
+            line[(at + rng.randrange(len(line) - 2)) % (len(line) - 2) + 1] = "é"
+        texts.append((2 * k + 1, "".join(line)))
+    sets = lines.line_sets([t for _, t in texts])
+    want = set()
+    for k in range(0, len(texts), 2):
+        both = len(np.intersect1d(sets[k], sets[k + 1]))
+        if both >= 0.8 * (len(sets[k]) + len(sets[k + 1]) - both):
+            want.add(k + 1)
+    empty = [r.empty for r in lines._filled(lines.bin_minima(frame(spark, texts).select(F.col("doc_id").alias("id"), F.col("text").alias("line")))).collect()]
+    assert sum(0 < e <= lines.FEW for e in empty) > 50 and sum(lines.FEW < e <= lines.MOST for e in empty) > 50
+    got = {r.doc_id for r in lines.duplicate_lines(frame(spark, texts)).collect()}
+    assert got <= want and len(want) > 100 and len(want - got) <= 0.02 * len(want)
